@@ -1,2 +1,135 @@
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+"""Exact top-k search by vector-approximation files.
+
+Each component is quantised to one of 16 cells of its dimension; the approximation of a vector is half a byte per
+dimension. For a block of queries and a shard of vectors, the cells alone give an upper and a lower bound of every inner
+product (two small matrix products: positive query components against the cells' tops, negative ones against their
+bottoms). Vectors whose upper bound is below the kth lower bound are out; exact vectors of the others are read in the
+order of their upper bounds (for a distance: lower bounds) until no bound left reaches the kth result. Every shard gives
+its k best for each query, and a window picks the k best of those.
+
+A shard holds about `shard_rows` vectors, whatever the size of the table, and a block `block_rows` queries: a task holds
+one of each. Vectors are dealt to shards by hash, so equal vectors or ids don't gather.
+
+Scores are exact integers. Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no
+part. Vectors of another length than the query's aren't compared with it. A query's own row is left out by its id, so
+repeated rows of a query's id are neither found by it; repeated rows of other ids are each found. Null ids take no part.
+Where k candidates aren't there, all are returned; empty tables give an empty result; other columns aren't read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import load
+
+K, CELLS, SHARD_ROWS, BLOCK_ROWS = 10, 16, 16_384, 512
+SCHEMA = "query_id long, vec_id long, score long"
+
+
+def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
+    """vec_id, v: the vectors that take part, as floor(scale * x)."""
+    whole = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return vectors.where(whole).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+
+
+def approximate(v, cells: int = CELLS):
+    """The cell of each component, and the bottoms and tops of the cells: edges are the dimension's quantiles."""
+    import numpy as np
+
+    edges = np.quantile(v, np.linspace(0, 1, cells + 1)[1:-1], axis=0)  # (cells - 1, d)
+    code = np.zeros(v.shape, np.uint8)
+    for e in edges:
+        code += v > e
+    # a cell reaches from the least to the largest value that it holds
+    bottom, top = np.full((cells, v.shape[1]), np.inf), np.full((cells, v.shape[1]), -np.inf)
+    for c in range(cells):
+        held = code == c
+        bottom[c] = np.where(held, v, np.inf).min(axis=0)
+        top[c] = np.where(held, v, -np.inf).max(axis=0)
+    return code, bottom, top
+
+
+def search(q, q_ids, v, v_ids, k: int):
+    """The k best rows of v for each row of q: yields (row of q, rows of v, scores)."""
+    import numpy as np
+
+    code, bottom, top = approximate(v)
+    cols = np.arange(v.shape[1])
+    up, down = top[code, cols], bottom[code, cols]
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    high = plus @ up.T + minus @ down.T
+    low = plus @ down.T + minus @ up.T
+    exact = v.shape[1] == 0 or float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * v.shape[1] < 2**53
+    for i in range(len(q)):
+        own = v_ids == q_ids[i]
+        hi, lo = np.where(own, -np.inf, high[i]), np.where(own, -np.inf, low[i])
+        n = min(k, len(v) - int(own.sum()))
+        if n <= 0:
+            continue
+        floor = np.partition(lo, len(lo) - n)[len(lo) - n]
+        near = np.flatnonzero(hi >= floor - abs(floor) * 1e-9) if not exact else np.flatnonzero(hi >= floor)
+        near = near[np.argsort(-hi[near], kind="stable")]
+        rows, scores = near[:0], np.zeros(0, object if not exact else np.float64)
+        for at in range(0, len(near), 4 * k):
+            if len(rows) >= n and hi[near[at]] < float(scores[n - 1]):
+                break
+            more = near[at : at + 4 * k]
+            s = v[more] @ q[i] if exact else np.array([sum(int(a) * int(b) for a, b in zip(x, q[i])) for x in v[more]], object)
+            rows, scores = np.concatenate([rows, more]), np.concatenate([scores, s])
+            best = np.lexsort((v_ids[rows], -scores))[:n]
+            rows, scores = rows[best], scores[best]
+        yield i, rows, scores
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest inner products with all other rows."""
+    rows = usable(vectors, key, vector, scale)
+    queries = rows.where(is_query)
+    counted = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    shards, blocks = max(1, -(-counted[0] // shard_rows)), max(1, -(-counted[1] // block_rows))
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
+    data = rows.select("vec_id", "v", F.size("v").alias("d"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = queries.select("vec_id", "v", F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def run(q, v) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        q, v = q.sort_values("vec_id"), v.sort_values("vec_id")
+        q_ids, v_ids = q["vec_id"].to_numpy(), v["vec_id"].to_numpy()
+        a = np.array(q["v"].tolist(), np.float64).reshape(len(q), -1)
+        b = np.array(v["v"].tolist(), np.float64).reshape(len(v), -1)
+        found = [(np.full(len(r), q_ids[i]), v_ids[r], s.astype(np.int64)) for i, r, s in search(a, q_ids, b, v_ids, k)]
+        if not found:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+
+    keys = ("d", "block", "shard")
+    best = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(run, SCHEMA)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {"op8_vector_topk": query}
+ORACLE = {"op8_vector_topk": SQL}

@@ -1,2 +1,136 @@
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+"""URL filters by a path-template tree.
+
+Rules. A rule is a host and a path prefix with a verdict; it fits its host and all subdomains where the path starts with
+the prefix, and the longest rule (host and path together) decides.
+
+Templates. Where no rule fits, the method decides, taught by the URLs that have one. Per host, a path's segments are first
+masked (runs of 16 and more hex digits and runs of digits become `#`; what follows the third segment is one `**`), and the
+distinct masked paths are counted. Then the tree is walked from the host down, one segment at a time:
+  * a segment is variable, and becomes `*`, unless at least `min_count` URLs and `min_share` of its node's have it;
+  * a branch whose share of blocked labels doesn't differ from its node's by more than `z` standard deviations is
+    statistically similar (so is one without labels) and merges into the node's `*` branch.
+A template is rejected when its smoothed purity, (blocked + k * base) / (labelled + k) with the base rate of all
+labelled URLs, is 0.5 or more.
+
+Only counts are shuffled before the last join, which brings each page its template's verdict: a hot host or template is
+pre-aggregated, and adaptive execution splits its pages in that join. Everything is native SQL.
+
+Cases: a null URL, or one without `://`, has an empty host and path (its template is that of the empty host); repeated
+rows and null ids stay rows of their own; very long URLs are read whole; without any label nothing is rejected; an empty
+table gives an empty result; other columns aren't read.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import ascii_lower, load
+
+#: (verdict, host, path)
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+MIN_COUNT, MIN_SHARE, Z, SMOOTH = 20, 0.02, 2.0, 10.0
+LEVELS = 3
+PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+
+
+def split_url(url: Column) -> tuple[Column, Column]:
+    return ascii_lower(F.coalesce(F.regexp_extract(url, PARTS, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
+
+
+def ruled(rules, host: Column, path: Column) -> tuple[Column, Column]:
+    """The longest rule that fits, and its verdict; null where none does."""
+    rule = verdict = F.lit(None).cast("string")
+    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(verdict)
+    return rule, verdict
+
+
+def masked(path: Column) -> list[Column]:
+    """The first LEVELS segments, masked, and `**` if there are more."""
+    plain = F.regexp_replace(F.regexp_replace(path, "[0-9a-f]{16,}", "#"), "[0-9]+", "#")
+    segment = F.split(F.regexp_replace(plain, "^/", ""), "/")
+    return [F.coalesce(F.try_element_at(segment, F.lit(i + 1)), F.lit("")) for i in range(LEVELS)] + [F.when(F.size(segment) > LEVELS, "**").otherwise("")]
+
+
+def templates(urls: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, z: float = Z, smooth: float = SMOOTH) -> DataFrame:
+    """host, s1 .. s4, template, purity: for each distinct masked path of a host, its template and the smoothed share of
+    blocked labels. urls: host, s1 .. s4, verdict (null where there is no label)."""
+    masks = [f"s{i + 1}" for i in range(LEVELS + 1)]
+    counts = [F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked")]
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    paths = urls.groupBy("host", *masks).agg(*counts)
+    node = ["host"]
+    for i in range(LEVELS):
+        mask, kept = f"s{i + 1}", f"t{i + 1}"
+        kids = paths.groupBy(*node, mask).agg(*sums)
+        whole = kids.groupBy(*(F.col(c).alias(f"_{c}") for c in node)).agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")))
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in node])
+        n, b, all_n, all_b = (F.col(c).cast("double") for c in ("labelled", "blocked", "all_labelled", "all_blocked"))
+        literal = (F.col("n") >= min_count) & (F.col("n") >= F.col("all_n") * F.lit(min_share))
+        differs = F.pow(b * all_n - n * all_b, F.lit(2.0)) > F.lit(z * z) * n * all_b * (all_n - all_b)
+        apart = kids.join(whole, same).where(literal & differs).select(*(F.col(c).alias(f"_{c}") for c in [*node, mask]), F.lit(True).alias("apart"))
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in [*node, mask]])
+        paths = paths.join(apart, same, "left").withColumn(kept, F.when(F.col("apart"), F.col(mask)).otherwise("*")).drop("apart", *(f"_{c}" for c in [*node, mask]))
+        node.append(kept)
+    pools = paths.groupBy(*(F.col(c).alias(f"_{c}") for c in node)).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    base = urls.agg(F.coalesce(F.count_if(F.col("verdict") == "block") / F.nullif(F.count("verdict"), F.lit(0)), F.lit(0.0)).alias("base"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in node])
+    purity = (F.col("all_blocked") + F.lit(smooth) * base.scalar()) / (F.col("all_labelled") + F.lit(smooth))
+    return paths.join(pools, same).select("host", *masks, F.concat_ws("/", *node).alias("template"), purity.alias("purity"))
+
+
+def judge(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", reject: float = 0.5) -> DataFrame:
+    """Per page: key, host, path, rule, verdict, template, purity."""
+    host, path = split_url(F.col(url))
+    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
+    rule, verdict = ruled(rules, F.col("host"), F.col("path"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"), *(c.alias(f"s{i + 1}") for i, c in enumerate(masked(F.col("path")))))
+    masks = ["host", *(f"s{i + 1}" for i in range(LEVELS + 1))]
+    known = templates(rows).select(*(F.col(c).alias(f"_{c}") for c in masks), "template", "purity")
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in masks])
+    said = F.coalesce("verdict", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    return rows.join(known, same, "left").select(F.col("key").alias(key), "host", "path", "rule", said.alias("verdict"), "template", "purity")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def _level(i: int, before: str) -> str:
+    node = ", ".join(["host", *(f"t{j}" for j in range(1, i))])
+    return f"""
+k{i} AS (SELECT {node}, s{i}, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM {before} GROUP BY ALL),
+w{i} AS (SELECT *, sum(n) OVER o AS an, CAST(sum(labelled) OVER o AS DOUBLE) AS al, CAST(sum(blocked) OVER o AS DOUBLE) AS ab FROM k{i} WINDOW o AS (PARTITION BY {node})),
+p{i} AS (SELECT p.*, CASE WHEN w.n >= 20 AND w.n >= w.an * 0.02 AND pow(CAST(w.blocked AS DOUBLE) * al - CAST(w.labelled AS DOUBLE) * ab, 2) > 4.0 * CAST(w.labelled AS DOUBLE) * ab * (al - ab)
+         THEN p.s{i} ELSE '*' END AS t{i} FROM {before} p JOIN w{i} w USING ({node}, s{i})),"""
+
+
+SQL = (
+    r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS r(kind, h, p)),
+hp AS (SELECT DISTINCT host, path FROM u),
+fit AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(kind, length(h || p)) AS kind
+        FROM hp JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+seg AS (SELECT host, path, string_split(regexp_replace(regexp_replace(regexp_replace(path, '[0-9a-f]{16,}', '#', 'g'), '[0-9]+', '#', 'g'), '^/', ''), '/') AS s FROM hp),
+r AS (SELECT u.*, fit.rule, fit.kind, coalesce(s[1], '') AS s1, coalesce(s[2], '') AS s2, coalesce(s[3], '') AS s3, CASE WHEN len(s) > 3 THEN '**' ELSE '' END AS s4
+      FROM u LEFT JOIN fit USING (host, path) JOIN seg USING (host, path)),
+p0 AS (SELECT host, s1, s2, s3, s4, count(*) AS n, count(kind) AS labelled, count_if(kind = 'block') AS blocked FROM r GROUP BY ALL),"""
+    + "".join(_level(i, f"p{i - 1}") for i in range(1, LEVELS + 1))
+    + """
+pool AS (SELECT host, t1, t2, t3, sum(labelled) AS al, sum(blocked) AS ab FROM p3 GROUP BY ALL),
+base AS (SELECT coalesce(count_if(kind = 'block') / nullif(count(kind), 0), 0.0) AS base FROM r),
+t AS (SELECT p3.host, s1, s2, s3, s4, concat_ws('/', p3.host, t1, t2, t3) AS template, (ab + 10.0 * base) / (al + 10.0) AS purity FROM p3 JOIN pool USING (host, t1, t2, t3), base)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM r JOIN t USING (host, s1, s2, s3, s4)
+"""
+)
+
+QUERIES = {"op2_url_filters": query}
+ORACLE = {"op2_url_filters": SQL}

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The queue has one bucket per merge rank; a bucket holds the positions (linked-list nodes) whose pair with their right
-neighbour merges at that rank, leftmost first. Three levels of 64-bit words mark the buckets in use, so that find-first-set
-gives the next rank in three steps whatever the length of the text. A position whose pair has changed since it was
+neighbour merges at that rank, leftmost first. A two-level bitmap marks the buckets in use, so that find-first-set gives
+the next rank in two steps whatever the length of the text. A position whose pair has changed since it was
 queued is stale and skipped. Each merge queues at most two pairs: a pre-token of n bytes costs O(n log n) at worst,
 where scanning for the lowest rank costs O(n^2).
 
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import load
 
 #: Encoded pre-tokens that a Python worker remembers; when full, it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,79 +33,66 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Ranks under 64^3, each with a heap of positions."""
-
-    __slots__ = ("top", "mid", "low", "buckets")
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.mid: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        a, b = rank >> 12, rank >> 6
-        self.top |= 1 << a
-        self.mid[a] = self.mid.get(a, 0) | 1 << (b & 63)
-        self.low[b] = self.low.get(b, 0) | 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position."""
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, at
-
-
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
+    """The ids of one pre-token.
+
+    `top` marks the groups of 256 ranks in use and `low` the ranks within each; x & -x finds the first bit set. `buckets`
+    holds a heap of positions for each rank in use. The queue is written out here, not as a class: calls would take half
+    of the time of short pre-tokens.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     ends = list(range(1, n + 1))  # node i spans piece[i:ends[i]]; the next node starts where it ends
     prev = list(range(-1, n))
     due: list[int | None] = [None] * n  # the rank at which a node merges with the next
-    queue, get = RankQueue(), ranks.get
+    top, low, buckets = 0, {}, {}
     for i in range(n - 1):
-        rank = get(piece[i : i + 2])
+        rank = due[i] = get(piece[i : i + 2])
         if rank is not None:
-            due[i] = rank
-            queue.push(rank, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
+            if rank in buckets:
+                buckets[rank].append(i)  # positions rise: a sorted list is a heap
+            else:
+                buckets[rank] = [i]
+                a = rank >> 8
+                top |= 1 << a
+                low[a] = low.get(a, 0) | 1 << (rank & 255)
+    while top:
+        a = (top & -top).bit_length() - 1
+        word = low[a]
+        first = word & -word
+        rank = a << 8 | first.bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            word = low[a] = word ^ first
+            if not word:
+                top ^= 1 << a
         if due[i] != rank:
             continue  # stale
         j = ends[i]
-        due[j] = None
+        due[j] = due[i] = None
         end = ends[i] = ends[j]
-        due[i] = None
+        near = []
         if end < n:
             prev[end] = i
-            r = due[i] = get(piece[i : ends[end]])
-            if r is not None:
-                queue.push(r, i)
+            near.append((i, ends[end], i))
         p = prev[i]
         if p >= 0:
-            r = due[p] = get(piece[p:end])
-            if r is not None:
-                queue.push(r, p)
+            near.append((p, end, p))
+        for lo, hi, at in near:
+            rank = due[at] = get(piece[lo:hi])
+            if rank is not None:
+                if rank in buckets:
+                    heappush(buckets[rank], at)
+                else:
+                    buckets[rank] = [at]
+                    a = rank >> 8
+                    top |= 1 << a
+                    low[a] = low.get(a, 0) | 1 << (rank & 255)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : ends[i]]])

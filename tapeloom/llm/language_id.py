@@ -3,7 +3,8 @@
 For each language, a suffix automaton of labelled text recognises every substring of it. A text is parsed against it into
 phrases, each the longest match from where the last one ended; a character that the language never has is a phrase of its
 own. A phrase costs log2 of the labelled text's length, and the language with the fewest phrases, so normalised and per
-character, wins (ties: the smaller language).
+character, wins (ties: the smaller language). Texts are lower-cased and any run of other characters than letters counts as
+one space, so that marks and digits, which any language may have, don't decide.
 
 Sample. A language is learned from `buckets` documents at most (for each value of a hash, the first document), and
 `sample_chars` characters in all; that bound is what travels to the tasks. The automaton is built once in each Python worker as a
@@ -17,6 +18,7 @@ an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +61,11 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return moves
 
 
+def _letters(text: str) -> str:
+    out = "".join(c if c.isalpha() else " " for c in text)
+    return re.sub(" +", " ", out)
+
+
 class Parser:
     """The automata of all languages over one alphabet, as tables of states by symbols; 0 is the symbol of none."""
 
@@ -66,8 +73,9 @@ class Parser:
         import numpy as np
 
         self.langs = sorted(samples)
-        symbols = sorted({c for s in samples.values() for c in s})
-        self.symbol = np.zeros(0x110000, np.int32)
+        samples = {k: _letters(v) for k, v in samples.items()}
+        symbols = sorted({c for s in samples.values() for c in s} | {" "})
+        self.symbol = np.array([0 if chr(i).isalpha() else 1 for i in range(0x110000)], np.int32)  # the space is first
         for i, c in enumerate(symbols):
             self.symbol[ord(c)] = i + 1
         self.width = len(symbols) + 1
@@ -81,11 +89,17 @@ class Parser:
             self.tables.append(table.ravel())
             self.bits.append(float(np.log2(max(2, len(samples[lang])))))
 
+    def symbols(self, text: str):
+        import numpy as np
+
+        codes = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return codes[(codes != 1) | (np.concatenate([[0], codes[:-1]]) != 1)]
+
     def phrases(self, texts: list[str], window: int):
-        """Phrases by text and language."""
+        """Phrases by text and language, and the symbols of each text."""
         import numpy as np
 
-        codes = [self.symbol[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
+        codes = [self.symbols(t) for t in texts]
         sizes = np.array([len(c) for c in codes], np.int64)
         whole = np.concatenate([*codes, np.zeros(0, np.int32)])
         starts = np.cumsum(sizes) - sizes
@@ -116,7 +130,7 @@ class Parser:
                 state[:m] = to
             count += state > 0
             np.add.at(out[:, k], text, count)
-        return out
+        return out, sizes
 
 
 _PARSERS: dict[int, Parser] = {}
@@ -168,8 +182,8 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", window
                 if not some or not samples:
                     continue
                 parser = _parser(samples)
-                low = [texts[i].lower() for i in some]
-                cost = parser.phrases(low, window) * np.array(parser.bits) / np.array([[len(t)] for t in low])
+                count, sizes = parser.phrases([texts[i].lower() for i in some], window)
+                cost = count * np.array(parser.bits) / sizes[:, None]
                 best = cost.argmin(axis=1)
                 for i, b, c in zip(some, best, cost):
                     other = np.delete(c, b).min(initial=np.inf)

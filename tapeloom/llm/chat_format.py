@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -89,28 +90,27 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     nodes: tree, node, parent (null at a root), score. (tree, node) is unique.
     """
-    up = nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("n"), F.col("score").alias("sum"))
-    jumps = []
-    # `up` is null once the root is passed; the joins end when all are
-    while True:
-        up = cut(up)
-        jumps.append(up)
-        if up.where("up is not null").isEmpty() or len(jumps) > 40:
-            break
-        above = up.select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
+    # `up` is the node 2^k replies above, null once the root is passed; n and sum are of the path before it
+    now = cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("n"), F.col("score").alias("sum")))
+    jumps, ended = [], [now.where("up is null")]
+    # where some paths go on, others have ended at this step, unless only cycles are left
+    while not now.where("up is not null").isEmpty() and not ended[-1].isEmpty():
+        jumps.append(now.where("up is not null"))
+        above = reduce(DataFrame.union, ended, jumps[-1]).select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
         same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))
-        up = up.join(above, same, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("up").isNotNull() & F.col("m").isNull()).alias("lost"))
-        up = up.withColumn("up", F.when(F.col("lost"), F.lit(None)).otherwise(F.col("up"))).drop("lost")
-    rooted = jumps[-1].where("up is null")
+        # only paths that haven't ended are followed; a parent that isn't there ends a path without a root
+        now = cut(jumps[-1].join(above, same).select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("sum") + F.col("sum2")).alias("sum")))
+        ended.append(now.where("up is null"))
+    rooted = reduce(DataFrame.union, ended)
     parents = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = rooted.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), "node"))
     paths = leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("step"))
     # the highest jump first: each join doubles what a path holds
-    for k in reversed(range(len(jumps) - 1)):
-        jump = jumps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("m"), "up")
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("m"), "up")
         more = paths.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("step") + (1 << k)).alias("step"))
-        paths = paths.unionByName(more)
+        paths = cut(paths.unionByName(more))  # its plan holds the paths twice
     return paths
 
 

@@ -1,11 +1,67 @@
-"""Corpus pipeline: quality rules, near-duplicate join, PII redaction, source mixing, byte-level BPE."""
+"""Corpus pipeline: quality rules, near-duplicate join, PII redaction, source mixing, byte-level BPE.
 
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of
+documents. A stage's decisions reach the documents by their key. What is decided for each key is broadcast where it is
+few rows and joined by a shuffle where it is not.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeloom.llm import bpe, mixing, ngram_jaccard, pii, quality_rules
+from tapeloom.llm.common import if_small, load, stored, with_unique_key
+
+
+def _without(rows: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose key isn't in gone (k)."""
+    return rows.join(if_small(stored(gone, "gone")), F.col(key) == F.col("k"), "left_anti").select(*columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    rows, key = with_unique_key(docs)
+    rejected = quality_rules.judge(rows, key=key).where(~F.col("kept")).select(F.col(key).alias("k"))
+    return _without(rows, key, rejected, docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the smallest key stays, and every document without words."""
+    rows, key = with_unique_key(docs)
+    others = ngram_jaccard.join(rows, key=key).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k"))
+    return _without(rows, key, others, docs.columns)
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stays as often as the mix takes its words; one that is taken in part stays whole."""
+    rows, key = with_unique_key(docs)
+    taken = mixing.mix(rows, key=key).where("taken > 0").select(F.col("doc_id").alias("k"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    rows = rows.join(if_small(stored(taken, "taken")), F.col(key) == F.col("k"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded text, for each document of the mix."""
+    return bpe.round_trip(docs.withColumn("text", F.coalesce("text", F.lit(""))), *bpe.public_vocabulary())
+
+
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("PII", redaction), ("mixing sources", mix), ("byte-level BPE", encoding)]
+
+#: The trees of the third stage aren't SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, "stage")
     return docs

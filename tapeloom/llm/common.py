@@ -39,6 +39,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that may be broadcast where a row is a key and a number: some 24 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it is known to have few rows; otherwise joins with it shuffle both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def with_unique_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs and a column that tells its rows apart: the key, or where that is null or repeated, a row number of a stored
+    copy of docs."""
+    if docs.where(F.col(key).isNull()).isEmpty() and docs.groupBy(key).count().where("count > 1").isEmpty():
+        return docs, key
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, UPPER, LOWER)

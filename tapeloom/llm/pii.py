@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import load, stored
+from .common import BROADCAST_ROWS, load, stored, with_unique_key
 
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -246,15 +246,17 @@ def name(kind: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with each span of the text replaced by its kind in brackets. A stored copy keeps the rows as they are scanned."""
-    rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "redact")
-    rows = rows.withColumn("_key", F.col("_rid"))
-    spans = find(rows, text, "_key").where(F.size("spans") > 0).select(F.col("doc_id").alias("_k"), "spans")
+    """docs with each span of the text replaced by its kind in brackets."""
+    rows, own = with_unique_key(docs, key)
+    spans = find(rows, text, own).where(F.size("spans") > 0).select(F.col("doc_id").alias("_k"), "spans")
+    spans = stored(spans, "spans")
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     keep = lambda a, x: F.substring(F.col(text), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
     step = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(keep(a, x), F.concat(F.lit("["), F.upper(name(x["kind"])), F.lit("]"))))).otherwise(a["out"]).alias("out"))
     done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return rows.join(spans, F.col("_rid") == F.col("_k"), "left").withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
+    rows = rows.join(F.broadcast(spans) if few else spans, F.col(own) == F.col("_k"), "left")
+    return rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
 
 
 def of_kind(i: int):

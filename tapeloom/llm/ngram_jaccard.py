@@ -15,7 +15,8 @@ Steps, each exact:
     a limit are indexed for both sides.
  5. The members of an index entry are verified against one of them, the one with the fewest unshared shingles. What
     links falls into a component. An entry whose members are then of one component is done; in the others every pair of
-    different components whose sizes and unshared shingles allow a link is verified, too.
+    different components is verified, too. Either way a pair is left to its other entries if what both have from this
+    one on in the order can't make a link (for pairs of keys: and the g keys that may come before).
  6. Components of the links, by label propagation with pointer jumping.
 So no link between different components is missed, and the pairs of a group of copies aren't spelt out.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, load, stored
+from .common import cut, if_small, load, stored
 
 PERCENT, WIDTH = 85, 4
 #: Of a set's first shingles in the order of hashes, this percentage of its size counts as k in step 2.
@@ -43,10 +44,8 @@ FIRST = 8
 RARE = 6
 #: (from this size on, groups of frequent keys)
 GROUPS = ((0, 2), (200, 16), (2000, 128))
-#: Rows that may be broadcast: some 24 MB. More are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are hashed together.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def mixed(x):
@@ -173,8 +172,7 @@ def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) -> DataFrame:
     """rid, n, tokens: the whole sets of the documents in wanted (id, rid, sig)."""
-    some = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if some else wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "sig", "text")
+    rows = docs.join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "sig", "text")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -192,29 +190,35 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) ->
 
 
 def signatures(n: int, keys, percent: int):
-    """The index entries of a set of n with these keys in order: 64-bit hashes of single keys and pairs."""
+    """The index entries of a set of n with these keys in order: 64-bit hashes of single keys and pairs, and for each the
+    most that the set can have in common with one that it first meets there."""
     import numpy as np
 
-    out = []
+    sigs, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, (lo, g) in enumerate(GROUPS):
         hi = GROUPS[i + 1][0] if i + 1 < len(GROUPS) else 1 << 62
         if n < least(lo, percent) or least(n, percent) >= hi:
             continue
-        # keys held once come first in the order
+        # shingles that no other set has come first in the order
         first = keys[: max(0, n - least(n, percent) + g + 1 - (n - len(keys)))]
+        left = len(keys) - np.arange(len(first))
         rare = (first >> np.uint64(56)) <= RARE
-        out.append(mixed(first[rare] + np.uint64(i)))
-        often = first[~rare]
+        # nothing common comes before the first common key, if that is a rare one
+        sigs.append(mixed(first[rare] + np.uint64(i)))
+        most.append(left[rare])
+        often, left = first[~rare], left[~rare]
         group = (often % np.uint64(g)).astype(np.int64)
         for k in np.flatnonzero(np.bincount(group, minlength=g) > 1):
-            own = often[group == k]
+            own, own_left = often[group == k], left[group == k]
             a, b = np.triu_indices(len(own), 1)
-            out.append(mixed(mixed(own[a] + np.uint64(i)) + own[b]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            sigs.append(mixed(mixed(own[a] + np.uint64(i)) + own[b]))
+            # of the first g + 1 common keys two are of one group, and g at most come before the first of these
+            most.append(np.minimum(own_left[a] + g, len(keys)))
+    return np.concatenate(sigs), np.concatenate(most)
 
 
 def index(nodes: DataFrame, percent: int) -> DataFrame:
-    """sig, rid, n, lost: nodes by index entry; lost is the number of shingles that no other set has."""
+    """sig, rid, n, lost, most: nodes by index entry; lost is the number of shingles that no other set has."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -224,12 +228,15 @@ def index(nodes: DataFrame, percent: int) -> DataFrame:
             keys = batch.column("keys")
             values, at = keys.values.to_numpy(zero_copy_only=False).view(np.uint64), keys.offsets.to_numpy()
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            out = [signatures(int(n[i]), values[at[i] : at[i + 1]], percent).view(np.int64) for i in range(len(n))]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            out = [signatures(int(n[i]), values[at[i] : at[i + 1]], percent) for i in range(len(n))]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in out])]).astype(np.int32))
+            sigs = np.concatenate([*(x for x, _ in out), np.zeros(0, np.uint64)]).view(np.int64)
+            most = np.concatenate([*(m for _, m in out), np.zeros(0, np.int64)])
             lost = n - np.diff(at)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("n"), pa.array(lost, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))], names=["rid", "n", "lost", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("n"), pa.array(lost, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sigs)), pa.ListArray.from_arrays(offsets, pa.array(most))], names=["rid", "n", "lost", "sigs", "most"])
 
-    return nodes.mapInArrow(run, "rid long, n long, lost long, sigs array<long>").select(F.explode("sigs").alias("sig"), "rid", "n", "lost")
+    entries = nodes.mapInArrow(run, "rid long, n long, lost long, sigs array<long>, most array<long>")
+    return entries.select("rid", "n", "lost", F.explode(F.arrays_zip("sigs", "most")).alias("e")).select(F.col("e.sigs").alias("sig"), "rid", "n", "lost", F.col("e.most").alias("most"))
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -282,19 +289,20 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str
 
     # step 4
     entries = stored(index(nodes, percent), "index")
-    groups = cut(entries.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("lost", "rid")).alias("best")).where("m > 1").select("sig", F.col("best.rid").alias("b")))
-    stars = cut(entries.join(groups, "sig").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct())
+    groups = cut(entries.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("lost", "rid", "n", "most")).alias("best")).where("m > 1").select("sig", F.col("best.rid").alias("b"), F.col("best.n").alias("n2"), F.col("best.most").alias("most2")))
+    common = F.least("most", "most2")
+    may = 100 * common >= percent * (F.col("n") + F.col("n2") - common)
+    stars = cut(entries.join(groups, "sig").where((F.col("rid") != F.col("b")) & may).select(F.col("rid").alias("a"), "b").distinct())
     links = cut(linked(stars, nodes, percent))
     label = components(links)
 
     # step 5
-    members = entries.join(groups.select("sig"), "sig").join(label, F.col("rid") == F.col("node"), "left").select("sig", "rid", "n", "lost", F.coalesce("comp", "rid").alias("comp"))
+    members = entries.join(groups.select("sig"), "sig").join(label, F.col("rid") == F.col("node"), "left").select("sig", "rid", "n", "most", F.coalesce("comp", "rid").alias("comp"))
     members = stored(members, "members")
     mixed_groups = cut(members.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("sig"))
     x = stored(members.join(mixed_groups, "sig"), "open")
-    y = x.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "lost", "comp")))
-    most = F.least(F.col("n") - F.col("lost"), F.col("n2") - F.col("lost2"))
-    may = (100 * most >= percent * (F.col("n") + F.col("n2") - most)) & (F.col("rid") < F.col("rid2")) & (F.col("comp") != F.col("comp2"))
+    y = x.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "most", "comp")))
+    may = may & (F.col("rid") < F.col("rid2")) & (F.col("comp") != F.col("comp2"))
     pairs = x.join(y, "sig").where(may).select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(linked(cut(pairs.join(done, ["a", "b"], "left_anti")), nodes, percent))

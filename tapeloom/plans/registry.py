@@ -1,11 +1,14 @@
 """Every query of the reference's own operators, by name, with its SQL."""
 
+from importlib import import_module
+
 FLAGSHIP = "bars_rolling_z"
+MODULES = ("bars", "flow")
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in import_module(f".{m}", __package__).QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in import_module(f".{m}", __package__).ORACLE.items()}

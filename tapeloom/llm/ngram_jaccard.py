@@ -16,7 +16,8 @@ Steps, each exact:
  5. The members of an index entry are verified against one of them, the one with the fewest unshared shingles. What
     links falls into a component. An entry whose members are then of one component is done; in the others every pair of
     different components is verified, too. Either way a pair is left to its other entries if what both have from this
-    one on in the order can't make a link (for pairs of keys: and the g keys that may come before).
+    one on in the order can't make a link (for pairs of keys: and the g keys that may come before, of the frequent ones
+    alone, as sets with a rare key in common meet there).
  6. Components of the links, by label propagation with pointer jumping.
 So no link between different components is missed, and the pairs of a group of copies aren't spelt out.
 
@@ -207,13 +208,15 @@ def signatures(n: int, keys, percent: int):
         sigs.append(mixed(first[rare] + np.uint64(i)))
         most.append(left[rare])
         often, left = first[~rare], left[~rare]
+        # a pair of sets with a rare key in common meets there; others have frequent keys alone in common
+        frequent = int(np.sum((keys >> np.uint64(56)) > RARE))
         group = (often % np.uint64(g)).astype(np.int64)
         for k in np.flatnonzero(np.bincount(group, minlength=g) > 1):
             own, own_left = often[group == k], left[group == k]
             a, b = np.triu_indices(len(own), 1)
             sigs.append(mixed(mixed(own[a] + np.uint64(i)) + own[b]))
             # of the first g + 1 common keys two are of one group, and g at most come before the first of these
-            most.append(np.minimum(own_left[a] + g, len(keys)))
+            most.append(np.minimum(own_left[a] + g, frequent))
     return np.concatenate(sigs), np.concatenate(most)
 
 

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FLAGSHIP = "bars_rolling_z"
-MODULES = ("bars", "flow", "book", "profile", "structure", "positions", "outcomes", "ledger", "validation", "sequential", "streaming")
+MODULES = ("bars", "flow", "book", "profile", "structure", "positions", "outcomes", "ledger", "validation", "sequential", "streaming", "other")
 
 
 def queries() -> dict:

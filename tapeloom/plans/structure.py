@@ -41,7 +41,7 @@ QUERIES = {
     "pivots": lambda s, sf: O.pivots(fours(s, sf), 5, 1),
     "structure_trend": lambda s, sf: O.trend(found(s, sf)),
     "structure_breaks": lambda s, sf: O.breaks(fours(s, sf), found(s, sf)),
-    "level_touches": lambda s, sf: O.level_touches(fours(s, sf), levels(s, sf), 1),
+    "level_touches": lambda s, sf: O.level_touches(fours(s, sf), levels(s, sf), 1).withColumn("first_us", F.coalesce("first_us", F.lit(-1))),
     "session_levels": lambda s, sf: O.session_levels(hours(s, sf), DAY_US),
     "auction_state": balance,
     "price_action": lambda s, sf: O.price_action(fours(s, sf), 5),
@@ -73,7 +73,7 @@ SELECT instrument, bar_us, side, close, CASE WHEN side = 'up' THEN last_high ELS
     + SWINGS
     + """, x AS (SELECT b.*, s.bar_us AS level_us, s.px, b.low <= s.px + 1 AND b.high >= s.px - 1 AS touch FROM bars b JOIN swings s ON s.instrument = b.instrument AND s.kind = 'high' AND b.bar_us > s.bar_us),
 y AS (SELECT *, touch AND NOT coalesce(lag(touch) OVER (PARTITION BY instrument, level_us, px ORDER BY bar_us), false) AS fresh FROM x)
-SELECT instrument, level_us, px, count_if(touch) AS bars, count_if(fresh) AS tests, min(CASE WHEN touch THEN bar_us END) AS first_us, count_if(sign(close - px) * sign(open - px) < 0) AS through FROM y GROUP BY instrument, level_us, px""",
+SELECT instrument, level_us, px, count_if(touch) AS bars, count_if(fresh) AS tests, coalesce(min(CASE WHEN touch THEN bar_us END), -1) AS first_us, count_if(sign(close - px) * sign(open - px) < 0) AS through FROM y GROUP BY instrument, level_us, px""",
     "session_levels": BARS
     + f""", d AS (SELECT instrument, bar_us // {DAY_US} * {DAY_US} AS day_us, max(high) AS h, min(low) AS l, arg_max(close, bar_us) AS c FROM bars GROUP BY ALL),
 p AS (SELECT instrument, day_us, lag(h) OVER w AS pdh, lag(l) OVER w AS pdl, lag(c) OVER w AS pdc FROM d WINDOW w AS (PARTITION BY instrument ORDER BY day_us))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, parts
 
 #: Encoded pre-tokens that a Python worker remembers; when full, it starts anew.
 CACHE = 1_000_000
@@ -182,7 +182,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
         import pyarrow as pa
 
         codec = _codec(ranks, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             n, ids, back = [], [], []
             for t in batch.column(text):
                 packed = codec.encode(t.as_py() or "")

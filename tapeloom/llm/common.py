@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,13 @@ def with_unique_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, st
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
 
 
+def parts(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches in smaller slices: what Python makes of one is short-lived and bounds a worker's memory."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, UPPER, LOWER)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, parts
 
 BUCKETS, SAMPLE_CHARS, WINDOW = 64, 24_000, 256
 
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", window
         import regex
 
         letter = regex.compile(r"\p{L}").search
-        for batch in batches:
+        for batch in parts(batches):
             texts = [(t.as_py() or "") for t in batch.column(text)]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             for lo in range(0, len(texts), 500):  # bounds what numpy holds at once

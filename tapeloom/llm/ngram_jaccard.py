@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small, load, stored
+from .common import cut, if_small, load, parts, stored
 
 PERCENT, WIDTH = 85, 4
 #: Of a set's first shingles in the order of hashes, this percentage of its size counts as k in step 2.
@@ -158,7 +158,7 @@ def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts(batches):
             sets = _shingler(width).sets([t.as_py() or "" for t in batch.column("text")])
             low = [s[: len(s) - least(len(s), percent) + max(1, FIRST * len(s) // 100)].view(np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
@@ -179,7 +179,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) ->
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts(batches):
             sets = _shingler(width).sets([t.as_py() or "" for t in batch.column("text")])
             # an id may have several texts: only that of the set is meant
             kept = [(r.as_py(), s) for r, sig, s in zip(batch.column("rid"), batch.column("sig"), sets) if len(s) and set_hash(s) == sig.as_py()]
@@ -227,7 +227,7 @@ def index(nodes: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts(batches):
             keys = batch.column("keys")
             values, at = keys.values.to_numpy(zero_copy_only=False).view(np.uint64), keys.offsets.to_numpy()
             n = batch.column("n").to_numpy(zero_copy_only=False)

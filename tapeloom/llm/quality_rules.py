@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, stored
+from .common import load, parts, stored
 
 AT_LEAST, SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.02, 25, 0.3
 
@@ -82,7 +82,7 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
         import xxhash
 
         h64 = lambda s: xxhash.xxh3_64_intdigest(s.encode()) - 2**63
-        for batch in batches:
+        for batch in parts(batches):
             base, hashes, counts, whole = [], [], [], []
             for t in batch.column(text):
                 t = t.as_py()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, parts
 
 PLACES, SAMPLE, FEATURES, FOLDS, MOST_PLACES = 1 << 20, 3000, 8192, 3, 20_000
 
@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in parts(batches):
             found = []
             for t in batch.column("text"):
                 at = {p for w in items(t.as_py() or "") for p in word_places(w)}
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         score = Scorer(*model.value)
-        for batch in batches:
+        for batch in parts(batches):
             found = [score(t.as_py() or "") for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array([x[k] for x in found], pa.float64()) for k in range(len(names)))], names=[*(f.name for f in rest), *names])
 

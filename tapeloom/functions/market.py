@@ -29,8 +29,9 @@ def survivability(sigmas: Column, commitment: Column, carry: Column, cross: Colu
 
 
 def break_even(reward: Column, risk: Column, cost: Column) -> Column:
-    """Hit rate at which a trade pays nothing, within 0 and 1."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(risk + cost, reward + risk)))
+    """Hit rate at which a trade pays nothing, within 0 and 1; null without reward and risk."""
+    rate = F.try_divide(risk + cost, reward + risk)
+    return F.when(rate.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate)))
 
 
 def expectancy(rate: Column, take: Column, stop: Column, cost: Column) -> Column:

@@ -19,6 +19,18 @@ def bucket(us: str, seconds: int) -> Column:
     return F.floor(F.col(us) / (seconds * SECOND)).cast("long") * (seconds * SECOND)
 
 
+def running_sum(prints: DataFrame, value: str, out: str, key: list[str], day_seconds: int = 86_400) -> DataFrame:
+    """prints with the running sum of value by key in the order of seq, this row included. It runs within a day and is shifted by the totals of
+    the days before, so a task holds one day of a key, not its whole history. us must not fall as seq rises."""
+    day = bucket("us", day_seconds)
+    p = prints.withColumn("_day", day)
+    days = p.groupBy(*key, "_day").agg(F.sum(value).alias("_t"))
+    shift = F.coalesce(F.sum("_t").over(W.partitionBy(*key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*key, "_day", shift.alias("_shift"))
+    inside = F.sum(value).over(W.partitionBy(*key, "_day").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    return p.withColumn("_in", inside).join(days, [*key, "_day"]).withColumn(out, F.col("_in") + F.col("_shift")).drop("_in", "_day", "_shift")
+
+
 def _ohlc(px: str = "px_ticks") -> list[Column]:
     at = F.struct("us", "seq")
     return [F.min_by(px, at).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, at).alias("close")]
@@ -53,15 +65,14 @@ def cumulative_delta(bars: DataFrame, window: int) -> DataFrame:
 def tick_bars(prints: DataFrame, per_bar: int) -> DataFrame:
     """Bars of per_bar prints; votes are prints above less prints below the print before."""
     order = W.partitionBy("instrument").orderBy("seq")
-    p = prints.withColumn("bar", F.floor((F.row_number().over(order) - 1) / per_bar)).withColumn("step", F.signum(F.col("px_ticks") - F.lag("px_ticks").over(order)))
+    p = running_sum(prints.withColumn("_one", F.lit(1)), "_one", "_n", ["instrument"]).withColumn("bar", F.floor((F.col("_n") - 1) / per_bar)).withColumn("step", F.signum(F.col("px_ticks") - F.lag("px_ticks").over(order)))
     votes = [F.count_if(F.col("step") > 0).alias("up_votes"), F.count_if(F.col("step") < 0).alias("down_votes"), F.count_if(F.col("side") == "N").alias("unknown")]
     return p.groupBy("instrument", "bar").agg(*_ohlc(), *_flow(), *votes, F.min("us").alias("open_us"), F.max("us").alias("close_us"))
 
 
 def volume_pieces(prints: DataFrame, size: int, key: list[str] | None = None) -> DataFrame:
     """prints with bar and piece: each print is split where a bar of `size` contracts is full."""
-    order = W.partitionBy(*(key or ["instrument"])).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    p = prints.where("sz > 0").withColumn("c1", F.sum("sz").over(order)).withColumn("c0", F.col("c1") - F.col("sz"))
+    p = running_sum(prints.where("sz > 0"), "sz", "c1", key or ["instrument"]).withColumn("c0", F.col("c1") - F.col("sz"))
     p = p.withColumn("bar", F.explode(F.expr(f"sequence(c0 div {size}, (c1 - 1) div {size})")))
     return p.withColumn("piece", F.least(F.col("c1"), (F.col("bar") + 1) * size) - F.greatest(F.col("c0"), F.col("bar") * size))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bars import SECOND
+from .bars import SECOND, running_sum
 
 def order():
     """Prints of an instrument in their order."""
@@ -65,7 +65,7 @@ def book_cvd(touches: DataFrame) -> DataFrame:
     lag = lambda c: F.lag(c).over(order())
     same = (F.col("bid_px") == lag("bid_px")) & (F.col("ask_px") == lag("ask_px"))
     t = touches.withColumn("step", F.when(same, F.col("bid_sz") - lag("bid_sz") - F.col("ask_sz") + lag("ask_sz")).otherwise(0))
-    return t.select("instrument", "seq", F.sum("step").over(order().rowsBetween(W.unboundedPreceding, 0)).alias("cvd"))
+    return running_sum(t, "step", "cvd", ["instrument"]).select("instrument", "seq", "cvd")
 
 
 def delta_window(prints: DataFrame, seconds: int) -> DataFrame:

@@ -76,8 +76,13 @@ def lead_lag(series: DataFrame, a: str, b: str, order: str, lags: int) -> DataFr
 def walk_forward(trades: DataFrame, order: list[str], value: str, score: str, thresholds: list[float], share: float, least: int) -> DataFrame:
     """For each threshold on score: trades and mean value in the first `share` of the time and in the rest; the threshold that is best in the
     first part, of those that keep `least` trades there, is marked chosen."""
-    part = F.when(F.percent_rank().over(W.orderBy(*order)) < share, "fit").otherwise("test")
-    t = trades.withColumn("part", part).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col(score) >= F.col("threshold"))
+    # the rank of a time is the number of trades before it: sums by time, so no task orders the trades themselves
+    times = trades.groupBy(*order).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    times = times.withColumn("_before", before).withColumn("_all", F.sum("_n").over(W.partitionBy()))
+    part = F.when(F.coalesce(F.try_divide("_before", F.col("_all") - 1), F.lit(0.0)) < share, "fit").otherwise("test")
+    trades = trades.join(times.withColumn("part", part).select(*order, "part"), order)
+    t = trades.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col(score) >= F.col("threshold"))
     g = t.groupBy("threshold").agg(*(f(F.when(F.col("part") == p, F.col(value))).alias(f"{p}_{n}") for p in ("fit", "test") for f, n in ((F.count, "n"), (F.avg, "mean"))))
     best = F.max(F.when(F.col("fit_n") >= least, F.struct("fit_mean", "threshold"))).over(W.partitionBy(F.lit(1)))
     return g.withColumn("chosen", F.coalesce(best["threshold"] == F.col("threshold"), F.lit(False)))

@@ -1,4 +1,4 @@
-"""Every query of the reference's own operators, by name, with its SQL."""
+"""Every query of the market operators, by name, with its SQL."""
 
 from importlib import import_module
 

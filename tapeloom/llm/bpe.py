@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts
+from .common import load, parts, small_batches
 
 #: Encoded pre-tokens that a Python worker remembers; when full, it starts anew.
 CACHE = 1_000_000
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
             pdf["ids"] = [np.frombuffer(codec.encode(t or ""), dtype="<i4") for t in pdf[text].array]
             yield pdf
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return small_batches(docs).mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -191,7 +191,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 back.append(hashlib.sha256(codec.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return small_batches(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def public_vocabulary() -> tuple[str, str]:

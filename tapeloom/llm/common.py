@@ -57,6 +57,14 @@ def with_unique_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, st
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts are to be sent to Python: where the session has Spark's usual 10000 rows to an Arrow batch, 2000 are set."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "2000")
+    return df
+
+
 def parts(batches: Iterator, rows: int = 1000) -> Iterator:
     """Arrow batches in smaller slices: what Python makes of one is short-lived and bounds a worker's memory."""
     for batch in batches:

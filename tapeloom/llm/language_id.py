@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts
+from .common import load, parts, small_batches
 
 BUCKETS, SAMPLE_CHARS, WINDOW = 64, 24_000, 256
 
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", window
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [f.name for f in out.fields])
 
     out = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, out)
+    return small_batches(docs).mapInArrow(run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small, load, parts, stored
+from .common import cut, if_small, load, parts, small_batches, stored
 
 PERCENT, WIDTH = 85, 4
 #: Of a set's first shingles in the order of hashes, this percentage of its size counts as k in step 2.
@@ -168,7 +168,7 @@ def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 names=schema.names,
             )
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")).mapInArrow(run, schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) -> DataFrame:
@@ -187,7 +187,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) ->
             values = np.concatenate([*(s for _, s in kept), np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["rid", "n", "tokens"])
 
-    return rows.mapInArrow(run, "rid long, n long, tokens array<long>")
+    return small_batches(rows).mapInArrow(run, "rid long, n long, tokens array<long>")
 
 
 def signatures(n: int, keys, percent: int):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts, stored
+from .common import load, parts, stored, small_batches
 
 AT_LEAST, SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.02, 25, 0.3
 
@@ -98,7 +98,7 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in out.fields])
 
     out = T.StructType([*rest, *BASE.fields, *(LINES.fields if with_lines else [])])
-    return docs.mapInArrow(run, out)
+    return small_batches(docs).mapInArrow(run, out)
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts
+from .common import load, parts, small_batches
 
 PLACES, SAMPLE, FEATURES, FOLDS, MOST_PLACES = 1 << 20, 3000, 8192, 3, 20_000
 
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             found = [score(t.as_py() or "") for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array([x[k] for x in found], pa.float64()) for k in range(len(names)))], names=[*(f.name for f in rest), *names])
 
-    return docs.mapInArrow(run, T.StructType([*rest, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*rest, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

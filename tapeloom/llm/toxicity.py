@@ -6,7 +6,8 @@ that a later model learns how far the earlier ones can be trusted.
 
 Features: each distinct word of a text, without its case and outer punctuation, and its first four letters, hashed to 2^20 places; and
 a few bins of the whole text's form (share of distinct words, symbols, capitals). A model keeps the `features` places that tell
-its category best.
+its category best, and no weight falls below 0: words are evidence for a category only, else the many ordinary words of a
+long text would outweigh its few telling ones.
 
 Sample. The models are fitted on the driver to a bounded sample of labelled rows: for each category the `sample` positive rows of the
 smallest hashes, and as many that are positive in none; each is cut to its places, `most_places` at most for training only.
@@ -109,7 +110,7 @@ def fit(x: Rows, y, more, part, rate: float, features: int = FEATURES, rounds: i
     q1, q0, q = f1 / n1, f0 / n0, (f1 + f0) / (n1 + n0)
     z = np.abs(q1 - q0) / np.sqrt(np.maximum(q * np.maximum(1 - q, 0.02), 1e-9) * (1 / n1 + 1 / n0))
     z[f1 + f0 < 3] = 0
-    columns = np.flatnonzero(z > max(2.5, np.partition(z, -features)[-features]))
+    columns = np.flatnonzero(z > max(4.0, np.partition(z, -features)[-features]))
     row, col = x.only(columns)
     use = part[row]
     row, col = row[use], col[use]
@@ -125,7 +126,7 @@ def fit(x: Rows, y, more, part, rate: float, features: int = FEATURES, rounds: i
         vw = 0.9 * vw + step * (np.bincount(col, r[row], len(columns)) - ridge * w) / (curve * math.sqrt(per_row))
         vd = 0.9 * vd + step * (more.T @ r - ridge * d) / (0.25 * m.sum() + ridge)
         vb = 0.9 * vb + step * r.sum() / (0.25 * m.sum())
-        w, d, b = w + vw, d + vd, b + vb
+        w, d, b = np.maximum(w + vw, 0), d + vd, b + vb
     # the sample's classes are not in their true proportion
     b += math.log(max(rate, 1e-6) / max(1 - rate, 1e-6)) - math.log(n1 / n0)
     return Linear(columns, w, d, b)

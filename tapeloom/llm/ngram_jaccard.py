@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small, load, parts, small_batches, stored
+from .common import cut, if_small, load, parts, stored, small_batches
 
 PERCENT, WIDTH = 85, 4
 #: Of a set's first shingles in the order of hashes, this percentage of its size counts as k in step 2.
@@ -88,8 +88,6 @@ class Shingler:
                 setattr(self, name, np.multiply.accumulate(a))
 
     def sets(self, texts: list[str]) -> list:
-        import numpy as np
-
         out, some, size = [], [], 0
         for t in texts:
             b = t.encode()
@@ -98,7 +96,7 @@ class Shingler:
             if size >= CHUNK:
                 out += self._sets(some)
                 some, size = [], 0
-        return out + (self._sets(some) if some else []) if texts else [np.zeros(0, np.uint64)][:0]
+        return out + self._sets(some) if some else out
 
     def _sets(self, texts: list[bytes]) -> list:
         import numpy as np
@@ -149,45 +147,54 @@ def set_hash(s) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _head_and_rows(heads: dict, name: str, arrays: list):
+    """An Arrow batch of a row for each of heads, then a row for each value of arrays, which have rid and name alone. Plain columns
+    are read and written in small vectors, where arrays of a batch's documents would be one large one."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = [len(x) for x in arrays]
+    rid = np.asarray(heads["rid"], np.int64)
+    n = sum(sizes)
+    cols = {"rid": pa.array(np.concatenate([rid, np.repeat(rid, sizes)]), pa.int64())}
+    for k, v in heads.items():
+        if k != "rid":
+            cols[k] = pa.concat_arrays([v, pa.nulls(n, v.type)])
+    cols[name] = pa.concat_arrays([pa.nulls(len(rid), pa.int64()), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64))])
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
 def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """rid, doc_id, n, sig, low: the size of the set, its 128-bit hash (null if empty) and its first hashes for step 2.
-    docs: doc_id, text."""
-    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.ArrayType(T.LongType()))])
+    """For each document a row with rid, doc_id, n and sig, the size and the 128-bit hash of its set (null if empty), and rows with rid and token
+    for the set's first hashes, for step 2. docs: doc_id, text."""
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("token", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in parts(batches):
             sets = _shingler(width).sets([t.as_py() or "" for t in batch.column("text")])
-            low = [s[: len(s) - least(len(s), percent) + max(1, FIRST * len(s) // 100)].view(np.int64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*low, np.zeros(0, np.int64)])))],
-                names=schema.names,
-            )
+            low = [s[: len(s) - least(len(s), percent) + max(1, FIRST * len(s) // 100)] for s in sets]
+            heads = {"rid": batch.column("rid").to_numpy(), "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())}
+            yield _head_and_rows(heads, "token", low)
 
     return small_batches(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")).mapInArrow(run, schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) -> DataFrame:
-    """rid, n, tokens: the whole sets of the documents in wanted (id, rid, sig)."""
+    """For each document in wanted (id, rid, sig) a row with rid and n, and rows with rid and token for its whole set."""
     rows = docs.join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "sig", "text")
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in parts(batches):
             sets = _shingler(width).sets([t.as_py() or "" for t in batch.column("text")])
             # an id may have several texts: only that of the set is meant
             kept = [(r.as_py(), s) for r, sig, s in zip(batch.column("rid"), batch.column("sig"), sets) if len(s) and set_hash(s) == sig.as_py()]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in kept])]).astype(np.int32)
-            values = np.concatenate([*(s for _, s in kept), np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["rid", "n", "tokens"])
+            yield _head_and_rows({"rid": [r for r, _ in kept], "n": pa.array([len(s) for _, s in kept], pa.int64())}, "token", [s for _, s in kept])
 
-    return small_batches(rows).mapInArrow(run, "rid long, n long, tokens array<long>")
+    return small_batches(rows).mapInArrow(run, "rid long, n long, token long")
 
 
 def signatures(n: int, keys, percent: int):
@@ -267,11 +274,12 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: rid, doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(prepared(docs, percent, width), "sets")
+    both = stored(prepared(docs, percent, width), "sets")
+    rows = cut(both.where("n is not null").drop("token"))
     copies = rows.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min_by("doc_id", "rid").alias("id"))
 
     # step 2
-    low = rows.select("rid", F.explode("low").alias("token"))
+    low = both.where("token is not null").select("rid", "token")
     held = cut(low.groupBy("token").count().where("count > 1").select("token"))
     hits = low.join(held, "token").groupBy("rid").count()
     need = F.greatest(F.lit(1), F.floor(FIRST * F.ceil(percent * F.col("n") / 100) / 100))
@@ -280,15 +288,15 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str
     # step 3
     sets = whole_sets(docs, wanted, percent, width)
     if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["rid"])
+        sets = sets.distinct()
     sets = stored(sets, "tokens")
-    tokens = sets.select("rid", F.explode("tokens").alias("token"))
+    tokens = sets.where("token is not null").select("rid", "token")
     # the class is in the top byte, from 1 up: keys are positive longs and sort as such
     often = tokens.groupBy("token").count().where("count > 1")
     key_of = F.shiftleft(F.floor(F.log2("count")).cast("long"), 56).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 56) - 1)))
     often = stored(often.select("token", key_of.alias("key")), "often")
     keys = tokens.join(often, "token").groupBy("rid").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    nodes = stored(sets.select("rid", "n").join(keys, "rid").where(100 * F.size("keys") >= percent * F.col("n")), "nodes")
+    nodes = stored(sets.where("n is not null").select("rid", "n").join(keys, "rid").where(100 * F.size("keys") >= percent * F.col("n")), "nodes")
 
     # step 4
     entries = stored(index(nodes, percent), "index")

@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from .common import load, parts, small_batches
 
-#: Encoded pre-tokens that a Python worker remembers; when full, it starts anew.
-CACHE = 1_000_000
+#: Encoded pre-tokens that a Python worker remembers in each of two generations: when the young one is full it becomes the old one,
+#: and what is found in the old one is young again.
+CACHE = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +49,7 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     ends = list(range(1, n + 1))  # node i spans piece[i:ends[i]]; the next node starts where it ends
     prev = list(range(-1, n))
     due: list[int | None] = [None] * n  # the rank at which a node merges with the next
+    ids = [ranks[piece[i : i + 1]] for i in range(n)]  # of each node: a merge's rank is the id of what it makes
     top, low, buckets = 0, {}, {}
     for i in range(n - 1):
         rank = due[i] = get(piece[i : i + 2])
@@ -75,6 +77,7 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             continue  # stale
         j = ends[i]
         due[j] = due[i] = None
+        ids[i] = rank
         end = ends[i] = ends[j]
         near = []
         if end < n:
@@ -93,11 +96,11 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     a = rank >> 8
                     top |= 1 << a
                     low[a] = low.get(a, 0) | 1 << (rank & 255)
-    ids, i = [], 0
+    out, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : ends[i]]])
+        out.append(ids[i])
         i = ends[i]
-    return ids
+    return out
 
 
 class Codec:
@@ -108,6 +111,7 @@ class Codec:
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tokens = {rank: token for token, rank in ranks.items()}
 
     def encode(self, text: str) -> bytes:
@@ -116,10 +120,13 @@ class Codec:
         for piece in self.find(text):
             ids = known.get(piece)
             if ids is None:
-                ids = b"".join(x.to_bytes(4, "little") for x in encode_piece(piece.encode(), self.ranks))
+                ids = self.old.get(piece)
+                if ids is None:
+                    ids = array("I", encode_piece(piece.encode(), self.ranks)).tobytes()
                 if len(piece) <= 64:
                     if len(known) >= CACHE:
-                        known.clear()
+                        self.old, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)

@@ -58,18 +58,22 @@ def with_unique_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, st
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose texts are to be sent to Python: where the session has Spark's usual 10000 rows to an Arrow batch, 2000 are set."""
+    """df, whose texts are to be sent to Python: where the session has Spark's usual 10000 rows to an Arrow batch, 500 are set."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key) == "10000":
-        conf.set(key, "2000")
+        conf.set(key, "500")
     return df
 
 
-def parts(batches: Iterator, rows: int = 1000) -> Iterator:
-    """Arrow batches in smaller slices: what Python makes of one is short-lived and bounds a worker's memory."""
+def parts(batches: Iterator, rows: int = 300) -> Iterator:
+    """Arrow batches in smaller slices: what Python makes of one is short-lived and bounds a worker's memory. After the last one what Arrow
+    has kept for more is given back, since idle workers stay."""
+    import pyarrow as pa
+
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(c: Column) -> Column:

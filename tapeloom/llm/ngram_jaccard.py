@@ -46,7 +46,7 @@ RARE = 6
 #: (from this size on, groups of frequent keys)
 GROUPS = ((0, 2), (200, 16), (2000, 128))
 #: Bytes of text that are hashed together.
-CHUNK = 1_000_000
+CHUNK = 150_000
 
 
 def mixed(x):

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tapeloom.llm import bpe, mixing, ngram_jaccard, pii, quality_rules
 from tapeloom.llm.common import if_small, load, stored, with_unique_key
 
+#: Percent and words of a shingle of the second stage. Those of op7_ngram_jaccard bind that query alone.
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
+
 
 def _without(rows: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The rows whose key isn't in gone (k)."""
@@ -29,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the smallest key stays, and every document without words."""
     rows, key = with_unique_key(docs)
-    others = ngram_jaccard.join(rows, key=key).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k"))
+    others = ngram_jaccard.join(rows, percent=NEAR_PERCENT, width=NEAR_WIDTH, key=key).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k"))
     return _without(rows, key, others, docs.columns)
 
 

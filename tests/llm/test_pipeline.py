@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import corpus_pipeline as cp
@@ -59,3 +60,19 @@ def test_run_and_odd_rows(spark, docs, odd, sf):
     assert [re.search(r"\[EMAIL\]$", r.text) is not None for r in df.collect()].count(True) >= 1
     for _, stage in cp.STAGES:
         assert stage(spark, docs([]), sf).count() == 0
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark, docs, sf):
+    """One edit leaves (n - 5) / (n + 5) of n shingles of five words and (n - 3) / (n + 5) of those of four in common."""
+    rng = random.Random(4)
+    rows = []
+    for i, n in enumerate((43, 44, 45, 46, 47, 48, 49, 50, 51, 52, 53, 54, 60)):
+        words = [f"d{i}w{j}" for j in range(n + 4)]
+        rows.append((2 * i, " ".join(words), "en", "a"))
+        words[rng.randrange(5, n - 5)] = "edited"
+        rows.append((2 * i + 1, " ".join(words), "en", "a"))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, _, _ in rows)]
+    gone = {i for i in range(1, len(rows), 2) if 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])}
+    assert 1 not in gone and 5 in gone
+    assert {r.doc_id for r in cp.near_duplicates(spark, docs(rows), sf).collect()} == set(range(len(rows))) - gone
+    assert gone - {d for d, _, c in near_brute([r[:2] for r in rows]) if d != c}

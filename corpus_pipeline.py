@@ -22,11 +22,13 @@ def _without(rows: DataFrame, key: str, gone: DataFrame, columns: list[str]) ->
     return rows.join(if_small(stored(gone, "gone")), F.col(key) == F.col("k"), "left_anti").select(*columns)
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    rows, key = with_unique_key(docs)
-    rejected = quality_rules.judge(rows, key=key).where(~F.col("kept")).select(F.col(key).alias("k"))
-    return _without(rows, key, rejected, docs.columns)
+    """Documents that the rules reject go, and from the others the lines above the limit; n_chars follows the text."""
+    return _recounted(quality_rules.cleaned(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the text."""
-    out = pii.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return _recounted(pii.redact(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Each document's lines are normalised (A-Z lower-cased, digits as 0, runs of white space as one space, ends trimmed) and
 hashed; for each (host, line) the distinct documents are counted, exact copies of a text as one. A line is above the
-limit when more than max(`at_least`, `share` of the host's documents) hold it. It is removed from all of them but the
-first (the smallest key), so that a passage is never lost altogether. A document is rejected when what is left has
-fewer than `least_words` words, or less than `least_share` of the words that it had: it is depleted.
+limit when more than max(`at_least`, `share` of the host's documents) hold it. cleaned() removes it from all of them but the
+first (the smallest key), so that a passage is never lost altogether; judge() counts what goes. A document is rejected when what is
+left has fewer than `least_words` words, or less than `least_share` of the words that it had: it is depleted.
 
 The hot lines never gather: counts are partial before the shuffle, and only lines above the limit go back to the
 documents, in a join that adaptive execution can split. Whole texts are read; hashes of 64 bits stand for lines.
@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts, stored, small_batches
+from .common import if_small, load, parts, stored, small_batches, with_unique_key
 
 AT_LEAST, SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.02, 25, 0.3
+#: Documents whose lines to remove may be broadcast: a key and a few hashes each.
+BROADCAST_DOCS = 200_000
 
 _word = re.compile(r"[^ \t-\r]+").findall
 _symbols = str.maketrans("", "", "#*$%&|<>")
@@ -63,12 +65,28 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(text) - len(text.translate(_symbols)), dup, repeated_words(words)
 
 
+def normal(words: list[str]) -> str:
+    """The normalised line of these words."""
+    return " ".join(words).translate(_plain)
+
+
+def line_hash(line: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(line.encode()) - 2**63
+
+
+def without(text: str, gone: set[int]) -> str:
+    """The text without the lines of these hashes, wherever they stand in it."""
+    return "\n".join(line for line in text.split("\n") if not ((words := _word(line)) and line_hash(normal(words)) in gone))
+
+
 def lines_of(text: str | None) -> dict[str, int]:
     """The words of each distinct normalised line, all its occurrences counted."""
     out: dict[str, int] = {}
     for line in (text or "").split("\n"):
         if words := _word(line):
-            key = " ".join(words).translate(_plain)
+            key = normal(words)
             out[key] = out.get(key, 0) + len(words)
     return out
 
@@ -79,9 +97,7 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
-        h64 = lambda s: xxhash.xxh3_64_intdigest(s.encode()) - 2**63
         for batch in parts(batches):
             base, hashes, counts, whole = [], [], [], []
             for t in batch.column(text):
@@ -89,9 +105,9 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
                 base.append(measure(t))
                 if with_lines:
                     found = lines_of(t)
-                    hashes.append([h64(x) for x in found])
+                    hashes.append([line_hash(x) for x in found])
                     counts.append(list(found.values()))
-                    whole.append(h64(t or ""))
+                    whole.append(line_hash(t or ""))
             cols = [batch.column(f.name) for f in rest] + [pa.array([b[i] for b in base], pa.int64()) for i in range(5)]
             if with_lines:
                 cols += [pa.array(whole, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
@@ -101,8 +117,8 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
     return small_batches(docs).mapInArrow(run, out)
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Per document: rid, key, the base counts, removed_words, base_failed, kept."""
+def above_limit(docs: DataFrame, text: str, key: str, host: str, at_least: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """The measured rows (rid, key, host, the base counts and lines), and rid, key, line and words of each line that is to go."""
     rows = stored(measured(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(host).alias("host"), text), text), "quality")
     lines = rows.select("rid", "key", "host", "text_hash", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("rid", "key", "host", "text_hash", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs")).select(F.col("host").alias("h"), F.greatest(F.lit(at_least), F.floor(F.col("n_docs") * share)).alias("limit"))
@@ -110,6 +126,10 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str =
     held = lines.groupBy("host", "line", "text_hash").agg(F.min("key").alias("first"), F.count_if(F.col("key").isNull()).alias("nulls")).groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max(F.col("nulls") > 0).alias("null_first")).where(F.col("n") > at_least)
     above = held.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where("n > limit").select(F.col("host").alias("h"), F.col("line").alias("x"), "first", "null_first")
     gone = lines.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("x"))).where(F.when(F.col("null_first"), F.col("key").isNotNull()).otherwise(F.col("key") != F.col("first")))
+    return rows, gone.select("rid", "key", "line", "words")
+
+
+def verdicts(rows: DataFrame, gone: DataFrame, key: str, least_words: int, least_share: float) -> DataFrame:
     gone = gone.groupBy(F.col("rid").alias("r")).agg(F.sum("words").alias("removed"))
     out = rows.select("rid", "key", *BASE.names).join(gone, F.col("rid") == F.col("r"), "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -118,6 +138,34 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str =
     return out.select("rid", F.col("key").alias(key), *BASE.names, "removed_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
+def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """Per document: rid, key, the base counts, removed_words, base_failed, kept."""
+    return verdicts(*above_limit(docs, text, key, host, at_least, share), key, least_words, least_share)
+
+
+def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The documents that are kept, all their columns, without the lines above the limit."""
+    names = docs.columns
+    docs, key = with_unique_key(docs, key)
+    rows, gone = above_limit(docs, text, key, host, at_least, share)
+    gone = stored(gone, "gone-lines")
+    rejected = verdicts(rows, gone, key, least_words, least_share).where(~F.col("kept")).select(F.col(key).alias("_k"))
+    kept = docs.join(if_small(stored(rejected, "gone")), F.col(key) == F.col("_k"), "left_anti")
+    lines = if_small(stored(gone.groupBy(F.col("key").alias("_k")).agg(F.collect_set("line").alias("_gone")), "gone-sets"), BROADCAST_DOCS)
+    same = kept.join(lines, F.col(key) == F.col("_k"), "left_anti").select(*names)
+    change = kept.join(lines, F.col(key) == F.col("_k")).select(*names, "_gone")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in parts(batches):
+            old = batch.column(text)
+            texts = [without(t.as_py(), set(g.as_py())) for t, g in zip(old, batch.column("_gone"))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, old.type) if n == text else batch.column(n) for n in names], names=names)
+
+    return same.union(small_batches(change).mapInArrow(run, change.select(*names).schema))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "documents")).select("doc_id", *BASE.names, "base_failed", "kept")
 

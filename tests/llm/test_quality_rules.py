@@ -52,3 +52,50 @@ def test_a_passage_of_all_documents_stays_once(spark, docs):
     rows = [(i, f"{line}\nown{i}", None, "a") for i in range(100)]
     kept = [r.doc_id for r in q.judge(docs(rows)).where("kept").collect()]
     assert kept == [0]
+
+
+def brute_cleaned(rows, at_least, share, least_words, least_share):
+    """(key, text) of the kept documents; keys are distinct."""
+    norm = lambda x: " ".join(q._word(x)).translate(q._plain)
+    texts, first, size = {}, {}, {}
+    for d, t, s in rows:
+        size[s] = size.get(s, 0) + 1
+        for line in {norm(x) for x in t.split("\n")} - {""}:
+            texts.setdefault((s, line), set()).add(t)
+            first[s, line] = min(d, first.get((s, line), d))
+    kept = {r[0] for r in brute(rows, at_least, share, least_words, least_share) if r[-1]}
+    goes = lambda d, s, x: x and len(texts[s, x]) > max(at_least, int(share * size[s])) and d != first[s, x]
+    return sorted((d, "\n".join(x for x in t.split("\n") if not goes(d, s, norm(x)))) for d, t, s in rows if str(d) in kept)
+
+
+def test_lines_above_the_limit_are_taken_out(spark, docs):
+    rng = random.Random(5)
+    common = [" ".join(f"C{i}w{j}" for j in range(6)) for i in range(5)]
+    rows = []
+    for i in range(120):
+        lines = [*rng.sample(common, rng.randrange(0, 4)), "", *(" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(rng.randrange(1, 5)))]
+        lines += [f" {x.lower()}\t" for x in lines[:1]]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), None, rng.choice(["a", "a", "b", None])))
+    rows += [(200 + i, rows[0][1], None, rows[0][3]) for i in range(5)]
+    given = docs(rows)
+    got = q.cleaned(given, at_least=10, share=0.05)
+    want = brute_cleaned([(d, t, s) for d, t, _, s in rows], 10, 0.05, 25, 0.3)
+    assert got.columns == given.columns and sorted((r.doc_id, r.text) for r in got.collect()) == want
+    assert dict(want) != {d: t for d, t, _, _ in rows if d in dict(want)}
+
+
+def test_the_pipeline_takes_lines_out(spark, docs, sf):
+    import corpus_pipeline as cp
+
+    line = " ".join(f"common{i}" for i in range(5))
+    rows = [(i, f"{line}\n" + " ".join(f"d{i}w{j}" for j in range(60)), None, "a") for i in range(30)]
+    got = {r.doc_id: r for r in cp.quality(spark, docs(rows), sf).collect()}
+    assert len(got) == 30 and [d for d, r in got.items() if line in r.text] == [0]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_cleaned_with_repeated_and_null_keys(spark, docs, odd):
+    assert q.cleaned(docs(odd)).count() == 0 and q.cleaned(docs([])).count() == 0
+    text = " ".join(f"own{i}" for i in range(60))
+    assert sorted((str(r.doc_id), r.text) for r in q.cleaned(docs([(None, text, None, "a"), (1, text, None, "a"), (1, text, None, None)])).collect()) == [("1", text), ("1", text), ("None", text)]

@@ -2,7 +2,8 @@
 
 Each document's lines are normalised (A-Z lower-cased, digits as 0, runs of white space as one space, ends trimmed) and
 hashed; for each (host, line) the distinct documents are counted, exact copies of a text as one. A line is above the
-limit when more than max(`at_least`, `share` of the host's documents) hold it. cleaned() removes it from all of them but the
+limit when more than max(`at_least`, `share` of the host's documents) hold it, but never more than `at_most`: a share of a hot host
+would let boilerplate of thousands of documents pass. The query op5_quality_rules has no such bound, as its SQL has none. cleaned() removes it from all of them but the
 first (the smallest key), so that a passage is never lost altogether; judge() counts what goes. A document is rejected when what is
 left has fewer than `least_words` words, or less than `least_share` of the words that it had: it is depleted.
 
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from .common import if_small, load, parts, stored, small_batches, with_unique_key
 
 AT_LEAST, SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.02, 25, 0.3
+#: The limit of documents per host grows no further than this; the share reaches it at 50,000 documents.
+AT_MOST = 1000
 #: Documents whose lines to remove may be broadcast: a key and a few hashes each.
 BROADCAST_DOCS = 200_000
 
@@ -117,11 +120,13 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
     return small_batches(docs).mapInArrow(run, out)
 
 
-def above_limit(docs: DataFrame, text: str, key: str, host: str, at_least: int, share: float) -> tuple[DataFrame, DataFrame]:
+def above_limit(docs: DataFrame, text: str, key: str, host: str, at_least: int, share: float, at_most: int | None) -> tuple[DataFrame, DataFrame]:
     """The measured rows (rid, key, host, the base counts and lines), and rid, key, line and words of each line that is to go."""
     rows = stored(measured(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(host).alias("host"), text), text), "quality")
     lines = rows.select("rid", "key", "host", "text_hash", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("rid", "key", "host", "text_hash", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs")).select(F.col("host").alias("h"), F.greatest(F.lit(at_least), F.floor(F.col("n_docs") * share)).alias("limit"))
+    limit = F.greatest(F.lit(at_least), F.floor(F.col("n_docs") * share))
+    limit = limit if at_most is None else F.least(limit, F.lit(max(at_least, at_most)))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs")).select(F.col("host").alias("h"), limit.alias("limit"))
     # at most one row per text, host and line; then per host and line
     held = lines.groupBy("host", "line", "text_hash").agg(F.min("key").alias("first"), F.count_if(F.col("key").isNull()).alias("nulls")).groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max(F.col("nulls") > 0).alias("null_first")).where(F.col("n") > at_least)
     above = held.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where("n > limit").select(F.col("host").alias("h"), F.col("line").alias("x"), "first", "null_first")
@@ -138,16 +143,16 @@ def verdicts(rows: DataFrame, gone: DataFrame, key: str, least_words: int, least
     return out.select("rid", F.col("key").alias(key), *BASE.names, "removed_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, at_most: int | None = AT_MOST) -> DataFrame:
     """Per document: rid, key, the base counts, removed_words, base_failed, kept."""
-    return verdicts(*above_limit(docs, text, key, host, at_least, share), key, least_words, least_share)
+    return verdicts(*above_limit(docs, text, key, host, at_least, share, at_most), key, least_words, least_share)
 
 
-def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, at_most: int | None = AT_MOST) -> DataFrame:
     """The documents that are kept, all their columns, without the lines above the limit."""
     names = docs.columns
     docs, key = with_unique_key(docs, key)
-    rows, gone = above_limit(docs, text, key, host, at_least, share)
+    rows, gone = above_limit(docs, text, key, host, at_least, share, at_most)
     gone = stored(gone, "gone-lines")
     rejected = verdicts(rows, gone, key, least_words, least_share).where(~F.col("kept")).select(F.col(key).alias("_k"))
     kept = docs.join(if_small(stored(rejected, "gone")), F.col(key) == F.col("_k"), "left_anti")
@@ -167,7 +172,7 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(load(spark, sf_dir, "documents")).select("doc_id", *BASE.names, "base_failed", "kept")
+    return judge(load(spark, sf_dir, "documents"), at_most=None).select("doc_id", *BASE.names, "base_failed", "kept")
 
 
 SQL = r"""

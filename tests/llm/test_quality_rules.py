@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tapeloom.llm import quality_rules as q
 
 
@@ -99,3 +101,18 @@ def test_cleaned_with_repeated_and_null_keys(spark, docs, odd):
     assert q.cleaned(docs(odd)).count() == 0 and q.cleaned(docs([])).count() == 0
     text = " ".join(f"own{i}" for i in range(60))
     assert sorted((str(r.doc_id), r.text) for r in q.cleaned(docs([(None, text, None, "a"), (1, text, None, "a"), (1, text, None, None)])).collect()) == [("1", text), ("1", text), ("None", text)]
+
+
+def test_the_limit_is_bounded_in_a_host_of_many_documents(spark, sf):
+    """2 % of 60,000 documents are 1200: a line in 1100 is above the bound, one in 900 isn't, and the first keeps it."""
+    import corpus_pipeline as cp
+
+    n = F.col("id")
+    own = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("d"), n.cast("string"), F.lit("w"), F.char(F.lit(97) + i / 10), F.char(F.lit(97) + i % 10))))
+    # digits are masked, so the number is spelt in letters
+    own = F.translate(own, "0123456789", "klmnopqrst")
+    text = F.concat(own, F.when(n < 1100, "\nhot line of the host").when(n < 2000, "\nline of fewer documents").otherwise(""))
+    df = spark.range(60_000).select(n.alias("doc_id"), text.alias("text"), F.lit("a").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    got = {r.t: r.n for r in cp.quality(spark, df, sf).groupBy(F.substring_index("text", "\n", -1).alias("t")).agg(F.count("*").alias("n")).where("t like '%line of%'").collect()}
+    assert got == {"hot line of the host": 1, "line of fewer documents": 900}
+    assert q.judge(df).where("removed_words > 0").count() == 1099

@@ -19,10 +19,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one with a local master, and an error on a cluster, whose machines
+    don't share a local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tapeloom-"))
     return sc.getCheckpointDir()
 
 
@@ -57,12 +61,25 @@ def with_unique_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, st
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose texts are to be sent to Python: where the session has Spark's usual 10000 rows to an Arrow batch, 500 are set."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, "500")
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """For sessions that send texts to Python: where the session has Spark's usual 10000 rows to an Arrow batch, 500 are set, as texts are long.
+    The registered queries and the pipeline call it; operators leave the session as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000" and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, "500")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list:
+    """The fields of df but for those of these names, which an operator reads or makes anew."""
+    return [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
 
 
 def parts(batches: Iterator, rows: int = 300) -> Iterator:

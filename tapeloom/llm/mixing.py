@@ -17,8 +17,9 @@ Everything is integer arithmetic and SQL expressions: reruns agree. Ranks and ru
 source (prefix_sums), so a hot source is dealt over many tasks. One row per source is all that meets in one task.
 
 Cases: null texts and texts without a word have size 0 and are never taken; the null source is a source of its own;
-repeated rows are rows of their own; a null doc_id is allowed; an empty table gives an empty result; other columns are
-not read.
+repeated rows are rows of their own; a null doc_id is allowed; documents of the same place in the shuffle go by size, then by row; a very long
+text is several blocks, each taken at its own time; an empty table gives an empty result; other columns are not read, and in_order()
+passes them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, load, prefix_sums
+from .common import WORD, cut, if_small, load, prefix_sums, stored, unused
 
 BLOCK = 4096
 MOST = 3
@@ -103,18 +104,38 @@ def pieces(sized: DataFrame, by: DataFrame, block: int = BLOCK) -> DataFrame:
     return cuts.withColumn("lo", F.expr(f"greatest(start - block * {block}, 0)")).withColumn("hi", F.expr(f"least(start + size - block * {block}, {block})"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, most: int = MOST, text: str = "text", key: str = "doc_id", source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Per document: rid, doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+def taken_pieces(docs: DataFrame, block: int, most: int, text: str, key: str, source: str) -> DataFrame:
+    """pieces() with a row for each slot that takes words of one: pass, at, got (the words); null where no slot does."""
     sized = cut(sizes(docs, text, key, source))
     by = cut(targets(sized, block, most))
-    cuts, slots = pieces(sized, by, block), schedule(by, block).select(F.col("source").alias("s"), F.col("block").alias("b"), "words")
-    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    taken = F.sum(F.greatest(F.lit(0), F.least(F.col("hi"), F.coalesce("words", F.lit(0))) - F.col("lo")))
-    return cuts.join(slots, on, "left").groupBy("rid", "doc_id", "source", "size", "source_size", "target").agg(taken.cast("long").alias("taken"))
+    cuts, slots = pieces(sized, by, block), schedule(by, block).select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "at", "words")
+    found = cuts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    got = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("words")) - F.col("lo"))
+    return found.withColumn("got", F.when(F.col("words").isNotNull(), F.nullif(got, F.lit(0))))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, most: int = MOST, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """Per document: rid, doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted), slots (that take some of
+    them) and first_at (the time of the first of these; null if none)."""
+    found = taken_pieces(docs, block, most, text, key, source).groupBy("rid", "doc_id", "source", "size", "source_size", "target")
+    first = F.min(F.when(F.col("got").isNotNull(), F.col("at")))
+    return found.agg(F.coalesce(F.sum("got"), F.lit(0)).cast("long").alias("taken"), F.count("got").alias("slots"), first.alias("first_at"))
+
+
+def in_order(docs: DataFrame, block: int = BLOCK, most: int = MOST, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The documents as the mix takes them: one row for each pass over its source that takes a document's words, in the order of the slots. A
+    document that a slot cuts comes whole, at the first of its slots. key tells the rows of docs apart.
+
+    The rows are sorted by ranges of the time, so that what is written or read in order holds the sources near their weights at any length."""
+    found = taken_pieces(docs, block, most, text, key, source).where("got is not null")
+    times = found.groupBy("doc_id", "pass").agg(F.min(F.struct("at", "lo")).alias("place"))
+    own, at = unused(docs, "_of"), unused(docs, "_at")
+    times = stored(times.select(F.col("doc_id").alias(own), F.col("place").alias(at)), "times")
+    return docs.join(if_small(times), F.col(key) == F.col(own)).orderBy(at, key).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slots", "first_at")
 
 
 SQL = r"""
@@ -138,12 +159,31 @@ WITH d AS (
   FROM o LEFT JOIN lev l ON true
 ), p AS (
   SELECT d.*, t.source_size, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), t.cap) AS words,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), b AS (
+  SELECT DISTINCT source, source_size, words, (source_size + 4095) // 4096 AS blocks,
+         CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * ((source_size + 4095) // 4096) + (words % source_size + 4095) // 4096 END AS slots FROM p
+), c AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_slot, sum(slots) OVER () AS n,
+         greatest(1, length(bin(CAST(greatest(2 * sum(slots) OVER () - 1, 0) AS BIGINT)))) AS bits FROM b
+), v AS (
+  SELECT *, unnest(range(CAST((first_slot * (1::BIGINT << bits) + n - 1) // n AS BIGINT), CAST(((first_slot + slots) * (1::BIGINT << bits) + n - 1) // n AS BIGINT))) AS v FROM c WHERE slots > 0
+), timed AS (
+  SELECT *, list_sum(list_transform(range(bits), lambda i: ((v >> i) & 1) << (bits - 1 - i))) AS at FROM v
+), rk AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY at) - 1 AS rank FROM timed
+), sl AS (
+  SELECT source, at, rank % blocks AS block, least(4096, least(source_size, words - rank // blocks * source_size) - rank % blocks * 4096) AS words FROM rk WHERE rank < slots
+), pc AS (
+  SELECT p.*, unnest(range(start // 4096, greatest(start, start + size - 1) // 4096 + 1)) AS block FROM p
+), g AS (
+  SELECT pc.doc_id, pc.h, pc.size, pc.source_size, pc.target, pc.source, sl.at,
+         greatest(0, least(least(start + size - pc.block * 4096, 4096), sl.words) - greatest(start - pc.block * 4096, 0)) AS got
+  FROM pc LEFT JOIN sl ON pc.source IS NOT DISTINCT FROM sl.source AND pc.block = sl.block
 )
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE CAST(words // source_size * size + greatest(0, least(start + size, words % source_size) - start) AS BIGINT) END AS taken
-FROM p
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum(got), 0) AS BIGINT) AS taken, count(*) FILTER (got > 0) AS slots, CAST(min(at) FILTER (got > 0) AS BIGINT) AS first_at
+FROM g GROUP BY doc_id, size, source_size, target
 """
 
 QUERIES = {"op1_mix_sources": query}

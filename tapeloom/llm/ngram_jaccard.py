@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small, load, parts, stored, small_batches
+from .common import cut, if_small, load, parts, stored
 
 PERCENT, WIDTH = 85, 4
 #: Of a set's first shingles in the order of hashes, this percentage of its size counts as k in step 2.
@@ -178,7 +178,7 @@ def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
             heads = {"rid": batch.column("rid").to_numpy(), "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())}
             yield _head_and_rows(heads, "token", low)
 
-    return small_batches(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")).mapInArrow(run, schema)
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) -> DataFrame:
@@ -194,7 +194,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) ->
             kept = [(r.as_py(), s) for r, sig, s in zip(batch.column("rid"), batch.column("sig"), sets) if len(s) and set_hash(s) == sig.as_py()]
             yield _head_and_rows({"rid": [r for r, _ in kept], "n": pa.array([len(s) for _, s in kept], pa.int64())}, "token", [s for _, s in kept])
 
-    return small_batches(rows).mapInArrow(run, "rid long, n long, token long")
+    return rows.mapInArrow(run, "rid long, n long, token long")
 
 
 def signatures(n: int, keys, percent: int):

@@ -1,17 +1,18 @@
 """Quality rules: line frequency across the documents of a host.
 
 Each document's lines are normalised (A-Z lower-cased, digits as 0, runs of white space as one space, ends trimmed) and
-hashed; for each (host, line) the distinct documents are counted, exact copies of a text as one. A line is above the
-limit when more than max(`at_least`, `share` of the host's documents) hold it, but never more than `at_most`: a share of a hot host
-would let boilerplate of thousands of documents pass. The query op5_quality_rules has no such bound, as its SQL has none. cleaned() removes it from all of them but the
+hashed; for each (host, line) the distinct documents are counted. A line in more than `limit` of them is above the limit, however large the
+host: a share of a hot host would let boilerplate of thousands of documents pass. cleaned() removes it from all of them but the
 first (the smallest key), so that a passage is never lost altogether; judge() counts what goes. A document is rejected when what is
-left has fewer than `least_words` words, or less than `least_share` of the words that it had: it is depleted.
+left of it has fewer than `least_words` words (with the base's least of 50 it wouldn't pass the base), or less than `least_share`
+of the words that it had: it is depleted.
 
 The hot lines never gather: counts are partial before the shuffle, and only lines above the limit go back to the
 documents, in a join that adaptive execution can split. Whole texts are read; hashes of 64 bits stand for lines.
 
 Cases: a null text has no words and fails the base; empty lines aren't counted; the null host is a host of its own;
-repeated rows are exact copies, and a null key comes first; an empty table gives an empty result; other columns pass.
+repeated rows and copies are documents of their own, and those of the smallest key, or of the null key, which comes first, all keep their lines
+(cleaned() numbers such rows and keeps the lines of one); an empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations
@@ -24,11 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import if_small, load, parts, stored, small_batches, with_unique_key
+from .common import if_small, load, others, parts, stored, unused, with_unique_key
 
-AT_LEAST, SHARE, LEAST_WORDS, LEAST_SHARE = 20, 0.02, 25, 0.3
-#: The limit of documents per host grows no further than this; the share reaches it at 50,000 documents.
-AT_MOST = 1000
+LIMIT, LEAST_WORDS, LEAST_SHARE = 20, 50, 0.5
 #: Documents whose lines to remove may be broadcast: a key and a few hashes each.
 BROADCAST_DOCS = 200_000
 
@@ -37,7 +36,7 @@ _symbols = str.maketrans("", "", "#*$%&|<>")
 _plain = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
 
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-LINES = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
+LINES = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
 
 
 def repeated_words(words: list[str]) -> int:
@@ -96,13 +95,13 @@ def lines_of(text: str | None) -> dict[str, int]:
 
 def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> DataFrame:
     """docs without the text, with the base counts and, with_lines, the hashes and words of the distinct lines."""
-    rest = [f for f in docs.schema.fields if f.name != text]
+    rest = others(docs, text, *BASE.names, *LINES.names)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in parts(batches):
-            base, hashes, counts, whole = [], [], [], []
+            base, hashes, counts = [], [], []
             for t in batch.column(text):
                 t = t.as_py()
                 base.append(measure(t))
@@ -110,26 +109,21 @@ def measured(docs: DataFrame, text: str = "text", with_lines: bool = True) -> Da
                     found = lines_of(t)
                     hashes.append([line_hash(x) for x in found])
                     counts.append(list(found.values()))
-                    whole.append(line_hash(t or ""))
             cols = [batch.column(f.name) for f in rest] + [pa.array([b[i] for b in base], pa.int64()) for i in range(5)]
             if with_lines:
-                cols += [pa.array(whole, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+                cols += [pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in out.fields])
 
     out = T.StructType([*rest, *BASE.fields, *(LINES.fields if with_lines else [])])
-    return small_batches(docs).mapInArrow(run, out)
+    return docs.mapInArrow(run, out)
 
 
-def above_limit(docs: DataFrame, text: str, key: str, host: str, at_least: int, share: float, at_most: int | None) -> tuple[DataFrame, DataFrame]:
+def above_limit(docs: DataFrame, text: str, key: str, host: str, limit: int) -> tuple[DataFrame, DataFrame]:
     """The measured rows (rid, key, host, the base counts and lines), and rid, key, line and words of each line that is to go."""
-    rows = stored(measured(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(host).alias("host"), text), text), "quality")
-    lines = rows.select("rid", "key", "host", "text_hash", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("rid", "key", "host", "text_hash", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
-    limit = F.greatest(F.lit(at_least), F.floor(F.col("n_docs") * share))
-    limit = limit if at_most is None else F.least(limit, F.lit(max(at_least, at_most)))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs")).select(F.col("host").alias("h"), limit.alias("limit"))
-    # at most one row per text, host and line; then per host and line
-    held = lines.groupBy("host", "line", "text_hash").agg(F.min("key").alias("first"), F.count_if(F.col("key").isNull()).alias("nulls")).groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max(F.col("nulls") > 0).alias("null_first")).where(F.col("n") > at_least)
-    above = held.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where("n > limit").select(F.col("host").alias("h"), F.col("line").alias("x"), "first", "null_first")
+    rows = stored(measured(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))), "quality")
+    lines = rows.select("rid", "key", "host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("rid", "key", "host", F.col("l.hashes").alias("line"), F.col("l.words").alias("words"))
+    held = lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max(F.col("key").isNull()).alias("null_first")).where(F.col("n") > limit)
+    above = held.select(F.col("host").alias("h"), F.col("line").alias("x"), "first", "null_first")
     gone = lines.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("x"))).where(F.when(F.col("null_first"), F.col("key").isNotNull()).otherwise(F.col("key") != F.col("first")))
     return rows, gone.select("rid", "key", "line", "words")
 
@@ -143,36 +137,37 @@ def verdicts(rows: DataFrame, gone: DataFrame, key: str, least_words: int, least
     return out.select("rid", F.col("key").alias(key), *BASE.names, "removed_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, at_most: int | None = AT_MOST) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", limit: int = LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """Per document: rid, key, the base counts, removed_words, base_failed, kept."""
-    return verdicts(*above_limit(docs, text, key, host, at_least, share, at_most), key, least_words, least_share)
+    return verdicts(*above_limit(docs, text, key, host, limit), key, least_words, least_share)
 
 
-def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", at_least: int = AT_LEAST, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, at_most: int | None = AT_MOST) -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", limit: int = LIMIT, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents that are kept, all their columns, without the lines above the limit."""
     names = docs.columns
     docs, key = with_unique_key(docs, key)
-    rows, gone = above_limit(docs, text, key, host, at_least, share, at_most)
+    rows, gone = above_limit(docs, text, key, host, limit)
+    own, lost = unused(docs, "_k"), unused(docs, "_gone")
     gone = stored(gone, "gone-lines")
-    rejected = verdicts(rows, gone, key, least_words, least_share).where(~F.col("kept")).select(F.col(key).alias("_k"))
-    kept = docs.join(if_small(stored(rejected, "gone")), F.col(key) == F.col("_k"), "left_anti")
-    lines = if_small(stored(gone.groupBy(F.col("key").alias("_k")).agg(F.collect_set("line").alias("_gone")), "gone-sets"), BROADCAST_DOCS)
-    same = kept.join(lines, F.col(key) == F.col("_k"), "left_anti").select(*names)
-    change = kept.join(lines, F.col(key) == F.col("_k")).select(*names, "_gone")
+    rejected = verdicts(rows, gone, key, least_words, least_share).where(~F.col("kept")).select(F.col(key).alias(own))
+    kept = docs.join(if_small(stored(rejected, "gone")), F.col(key) == F.col(own), "left_anti")
+    lines = if_small(stored(gone.groupBy(F.col("key").alias(own)).agg(F.collect_set("line").alias(lost)), "gone-sets"), BROADCAST_DOCS)
+    same = kept.join(lines, F.col(key) == F.col(own), "left_anti").select(*names)
+    change = kept.join(lines, F.col(key) == F.col(own)).select(*names, lost)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in parts(batches):
             old = batch.column(text)
-            texts = [without(t.as_py(), set(g.as_py())) for t, g in zip(old, batch.column("_gone"))]
+            texts = [without(t.as_py(), set(g.as_py())) for t, g in zip(old, batch.column(lost))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, old.type) if n == text else batch.column(n) for n in names], names=names)
 
-    return same.union(small_batches(change).mapInArrow(run, change.select(*names).schema))
+    return same.union(change.mapInArrow(run, change.select(*names).schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(load(spark, sf_dir, "documents"), at_most=None).select("doc_id", *BASE.names, "base_failed", "kept")
+    return judge(load(spark, sf_dir, "documents")).select("doc_id", *BASE.names, "base_failed", "kept")
 
 
 SQL = r"""
@@ -182,14 +177,12 @@ g AS (SELECT rid, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w
 c AS (SELECT rid, i, w2 IS NOT NULL AND count(*) OVER (PARTITION BY rid, w, w1, w2) > 1 AS twice, w FROM g),
 r AS (SELECT rid, length(w) AS chars, twice OR coalesce(lag(twice, 1) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS repeated FROM c WINDOW o AS (PARTITION BY rid ORDER BY i)),
 words AS (SELECT rid, count(*) AS n_words, sum(chars) AS word_chars, count_if(repeated) AS n_repeat_words FROM r GROUP BY rid),
-l AS (SELECT rid, doc_id, source, md5(text) AS th, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
-ln AS (SELECT rid, doc_id, source, th, line, len(ws) AS n,
+ln AS (SELECT rid, doc_id, source, line, len(ws) AS n,
        translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS x FROM lw WHERE len(ws) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY rid),
-lim AS (SELECT source, greatest(20, floor(count(*) * 0.02)) AS lim FROM d GROUP BY source),
-held AS (SELECT source, x, count(DISTINCT th) AS n, min(doc_id) AS first, bool_or(doc_id IS NULL) AS null_first FROM ln GROUP BY source, x),
-above AS (SELECT h.* FROM held h JOIN lim ON h.source IS NOT DISTINCT FROM lim.source WHERE n > lim),
+above AS (SELECT source, x, min(doc_id) AS first, bool_or(doc_id IS NULL) AS null_first FROM ln GROUP BY source, x HAVING count(DISTINCT rid) > 20),
 gone AS (SELECT rid, sum(ln.n) AS removed FROM ln JOIN above a ON ln.source IS NOT DISTINCT FROM a.source AND ln.x = a.x
          WHERE CASE WHEN a.null_first THEN doc_id IS NOT NULL ELSE doc_id <> first END GROUP BY rid),
 o AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
@@ -199,7 +192,7 @@ o AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT (removed > 0 AND (n_words - removed < 25 OR n_words - removed < n_words * 0.3)) AS kept
+       NOT base_failed AND NOT (removed > 0 AND (n_words - removed < 50 OR n_words - removed < n_words * 0.5)) AS kept
 FROM b
 """
 

@@ -68,3 +68,33 @@ def test_odd_rows_and_reruns(spark, docs, odd):
     assert rows_of(mixing.mix(docs(odd).repartition(3))) == rows_of(got)
     assert mixing.mix(docs([])).count() == 0
     assert all(r.taken == 0 for r in mixing.mix(docs([(1, None, None, "a"), (2, "", None, "b")])).collect())
+
+
+def test_slots_and_times(spark, docs):
+    """What mix() says of each document is what a plain walk through the schedule finds."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(0, 90), None, rng.choice("aaab")) for i in range(120)]
+    given, block = docs(rows), 32
+    slots = mixing.schedule(mixing.targets(mixing.sizes(given), block), block).collect()
+    want = {}
+    for s in "ab":
+        at = 0
+        for _, n, d in sorted((hashlib.md5(f"mix:{d}".encode()).hexdigest(), len(t.split()), d) for d, t, _, x in rows if x == s):
+            hits = [x["at"] for x in slots if x.source == s and min(at + n, x.block * block + x.words) > max(at, x.block * block)]
+            want[d] = (len(hits), min(hits, default=None))
+            at += n
+    assert {r.doc_id: (r["slots"], r.first_at) for r in mixing.mix(given, block).collect()} == want
+
+
+def test_in_order_any_beginning_is_near_the_weights(spark, docs):
+    rows = [(i, "w " * (20 + i % 7), None, "abcd"[min(3, i % 6)]) for i in range(900)]
+    given = docs(rows)
+    got = [(r.source, r.size) for r in mixing.in_order(given.withColumn("size", mixing.F.size(mixing.F.split("text", " ")) - 1), block=50).collect()]
+    share = {r.source: r.target for r in mixing.targets(mixing.sizes(given), 50).collect()}
+    total = sum(share.values())
+    for part in (0.25, 0.5, 0.75, 1.0):
+        some = got[: int(len(got) * part)]
+        words = sum(n for _, n in some)
+        for s, t in share.items():
+            assert abs(sum(n for x, n in some if x == s) / words - t / total) < 0.03, (part, s)
+    assert given.columns == mixing.in_order(given).columns

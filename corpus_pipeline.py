@@ -7,19 +7,22 @@ few rows and joined by a shuffle where it is not.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import bpe, mixing, ngram_jaccard, pii, quality_rules
-from tapeloom.llm.common import if_small, load, stored, with_unique_key
+from tapeloom.llm.common import if_small, load, small_batches, stored, unused, with_unique_key
 
 #: Percent and words of a shingle of the second stage. Those of op7_ngram_jaccard bind that query alone.
 NEAR_PERCENT, NEAR_WIDTH = 80, 5
 
 
 def _without(rows: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows whose key isn't in gone (k)."""
-    return rows.join(if_small(stored(gone, "gone")), F.col(key) == F.col("k"), "left_anti").select(*columns)
+    """The rows whose key isn't in gone, a table of one column."""
+    own = unused(rows, "_k")
+    return rows.join(if_small(stored(gone.toDF(own), "gone")), F.col(key) == F.col(own), "left_anti").select(*columns)
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the smallest key stays, and every document without words."""
     rows, key = with_unique_key(docs)
-    others = ngram_jaccard.join(rows, percent=NEAR_PERCENT, width=NEAR_WIDTH, key=key).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k"))
+    others = ngram_jaccard.join(rows, percent=NEAR_PERCENT, width=NEAR_WIDTH, key=key).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return _without(rows, key, others, docs.columns)
 
 
@@ -44,11 +47,9 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays as often as the mix takes its words; one that is taken in part stays whole."""
+    """A document comes as often as the mix takes its words, in the order of the mix's slots; one that is taken in part stays whole."""
     rows, key = with_unique_key(docs)
-    taken = mixing.mix(rows, key=key).where("taken > 0").select(F.col("doc_id").alias("k"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    rows = rows.join(if_small(stored(taken, "taken")), F.col(key) == F.col("k"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixing.in_order(rows, key=key).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,16 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs.withColumn("text", F.coalesce("text", F.lit(""))), *bpe.public_vocabulary())
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("PII", redaction), ("mixing sources", mix), ("byte-level BPE", encoding)]
+def _set_up(stage):
+    @wraps(stage)
+    def run(spark, docs, sf_dir):
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _set_up(stage)) for name, stage in (("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("PII", redaction), ("mixing sources", mix), ("byte-level BPE", encoding))]
 
 #: The trees of the third stage aren't SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None

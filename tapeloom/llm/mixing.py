@@ -170,19 +170,19 @@ WITH d AS (
 ), v AS (
   SELECT *, unnest(range(CAST((first_slot * (1::BIGINT << bits) + n - 1) // n AS BIGINT), CAST(((first_slot + slots) * (1::BIGINT << bits) + n - 1) // n AS BIGINT))) AS v FROM c WHERE slots > 0
 ), timed AS (
-  SELECT *, list_sum(list_transform(range(bits), lambda i: ((v >> i) & 1) << (bits - 1 - i))) AS at FROM v
+  SELECT *, list_sum(list_transform(range(bits), lambda i: ((v >> i) & 1) << (bits - 1 - i))) AS tm FROM v
 ), rk AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY at) - 1 AS rank FROM timed
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY tm) - 1 AS rank FROM timed
 ), sl AS (
-  SELECT source, at, rank % blocks AS block, least(4096, least(source_size, words - rank // blocks * source_size) - rank % blocks * 4096) AS words FROM rk WHERE rank < slots
+  SELECT source, tm, rank % blocks AS block, least(4096, least(source_size, words - rank // blocks * source_size) - rank % blocks * 4096) AS words FROM rk WHERE rank < slots
 ), pc AS (
   SELECT p.*, unnest(range(start // 4096, greatest(start, start + size - 1) // 4096 + 1)) AS block FROM p
 ), g AS (
-  SELECT pc.doc_id, pc.h, pc.size, pc.source_size, pc.target, pc.source, sl.at,
+  SELECT pc.doc_id, pc.h, pc.size, pc.source_size, pc.target, pc.source, sl.tm,
          greatest(0, least(least(start + size - pc.block * 4096, 4096), sl.words) - greatest(start - pc.block * 4096, 0)) AS got
   FROM pc LEFT JOIN sl ON pc.source IS NOT DISTINCT FROM sl.source AND pc.block = sl.block
 )
-SELECT doc_id, size, source_size, target, CAST(coalesce(sum(got), 0) AS BIGINT) AS taken, count(*) FILTER (got > 0) AS slots, CAST(min(at) FILTER (got > 0) AS BIGINT) AS first_at
+SELECT doc_id, size, source_size, target, CAST(coalesce(sum(got), 0) AS BIGINT) AS taken, count(*) FILTER (got > 0) AS slots, CAST(min(tm) FILTER (got > 0) AS BIGINT) AS first_at
 FROM g GROUP BY doc_id, size, source_size, target
 """
 

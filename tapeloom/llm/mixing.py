@@ -179,7 +179,7 @@ WITH d AS (
   SELECT p.*, unnest(range(start // 4096, greatest(start, start + size - 1) // 4096 + 1)) AS block FROM p
 ), g AS (
   SELECT pc.doc_id, pc.h, pc.size, pc.source_size, pc.target, pc.source, sl.tm,
-         greatest(0, least(least(start + size - pc.block * 4096, 4096), sl.words) - greatest(start - pc.block * 4096, 0)) AS got
+         CASE WHEN sl.words IS NOT NULL THEN greatest(0, least(start + size - pc.block * 4096, 4096, sl.words) - greatest(start - pc.block * 4096, 0)) END AS got
   FROM pc LEFT JOIN sl ON pc.source IS NOT DISTINCT FROM sl.source AND pc.block = sl.block
 )
 SELECT doc_id, size, source_size, target, CAST(coalesce(sum(got), 0) AS BIGINT) AS taken, count(*) FILTER (got > 0) AS slots, CAST(min(tm) FILTER (got > 0) AS BIGINT) AS first_at

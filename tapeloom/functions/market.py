@@ -24,8 +24,11 @@ def hit_probability(spot: Column, barrier: Column, minutes: float, sigma: float)
 
 
 def survivability(sigmas: Column, commitment: Column, carry: Column, cross: Column) -> Column:
-    """(1 - exp(-distance / 2)) * 1 / (1 + 2 c) * carry, a sixth more if cross-margined, within 0 and 1."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - F.exp(-sigmas / 2)) / (1 + 2 * commitment) * carry * F.when(cross, 1.15).otherwise(1.0)))
+    """How well a position can sit through an adverse move, from 0 to 1: its distance to liquidation in sigmas, less for margin committed (a share
+    of the account) and for funding paid (a share of the position a year), somewhat more for funding earned and for cross margin; 0 at liquidation."""
+    carried = F.when(carry > 0, 1 / (1 + carry)).otherwise(1 + F.least(F.lit(0.15), F.abs(carry) * 0.3))
+    s = (1 - F.exp(-sigmas / 2)) / (1 + 2 * F.greatest(F.lit(0.0), commitment)) * carried * F.when(cross, 1.15).otherwise(1.0)
+    return F.when(sigmas <= 0, 0.0).otherwise(F.least(F.lit(1.0), s))
 
 
 def break_even(reward: Column, risk: Column, cost: Column) -> Column:
@@ -75,12 +78,25 @@ def mark_for(elapsed: Column, interval: Column) -> Column:
 
 
 def quote_v3(amount_in: int, sqrt_price_x96: int, liquidity: int, zero_for_one: bool, fee_ppm: int) -> int:
-    """Output of a swap that stays within one range of a concentrated-liquidity pool, in whole units."""
-    net, q96 = amount_in * (1_000_000 - fee_ppm) // 1_000_000, 1 << 96
-    if not net or not liquidity:
+    """Output of a swap that stays within one range of a concentrated-liquidity pool, in whole units; every division rounds down. 0 where there is
+    nothing to swap, no liquidity or price, or the price wouldn't move."""
+    q96 = 1 << 96
+    if min(amount_in, liquidity, sqrt_price_x96) <= 0:
+        return 0
+    net = amount_in * (1_000_000 - fee_ppm) // 1_000_000
+    if net <= 0:
         return 0
     if zero_for_one:
-        after = -(-(liquidity * q96 * sqrt_price_x96) // (liquidity * q96 + net * sqrt_price_x96))
-        return liquidity * (sqrt_price_x96 - after) // q96
+        after = liquidity * q96 * sqrt_price_x96 // (liquidity * q96 + net * sqrt_price_x96)
+        return liquidity * (sqrt_price_x96 - after) // q96 if 0 < after < sqrt_price_x96 else 0
     after = sqrt_price_x96 + net * q96 // liquidity
-    return liquidity * q96 * (after - sqrt_price_x96) // (after * sqrt_price_x96)
+    return liquidity * q96 * (after - sqrt_price_x96) // (after * sqrt_price_x96) if after > sqrt_price_x96 else 0
+
+
+def quote_v2(amount_in: int, reserve_in: int, reserve_out: int, fee_ppm: int) -> int:
+    """What a constant-product pool gives for an amount, in whole units; 0 where there is nothing to swap or the pool would be empty."""
+    if min(amount_in, reserve_in, reserve_out) <= 0:
+        return 0
+    net = amount_in * (1_000_000 - fee_ppm)
+    out = net * reserve_out // (reserve_in * 1_000_000 + net)
+    return out if out < reserve_out else 0

@@ -14,10 +14,11 @@ def vote(*legs: tuple[Column, Column]) -> tuple[Column, Column]:
 
 
 def grade(book: Column, delta: Column, price: Column) -> Column:
-    """A: all agree with price, B: one does and none opposes, C: one does and one opposes, X: only opposition, -: nothing to say."""
+    """A: book and delta both go with price, B: one does, whatever the other says, X: none does and one or both oppose, C: price goes alone, -: price is flat,
+    so there is nothing to trade."""
     agree = (book == price).cast("int") + (delta == price).cast("int")
     against = ((book != price) & (book != "flat")).cast("int") + ((delta != price) & (delta != "flat")).cast("int")
-    return F.when(price == "flat", "-").when(agree == 2, "A").when((agree == 1) & (against == 0), "B").when(agree == 1, "C").when(against > 0, "X").otherwise("-")
+    return F.when(price == "flat", "-").when((agree == 0) & (against > 0), "X").when(agree == 2, "A").when(agree == 1, "B").otherwise("C")
 
 
 def confirmation(signal: Column, action: Column, held_s: Column, flips: Column, min_held: float, max_flips: int) -> Column:

@@ -1,148 +1,164 @@
 """State machines over prints and bars: level life cycles, inside-level events, direction with reversal and silence, cooldowns, positions.
 
-As in `sequential`, one pandas call per (instrument, trade date); each machine is a loop of a few transitions over numpy arrays. The same functions
-are what a streaming job would call with its state.
+As in `sequential`, a generator walks each key's rows in order and keeps its state in local variables; the key says where a machine starts anew. What
+is still open at the end is given with its status.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
-from .sequential import by_day
+from .bars import SECOND
+from .sequential import in_order
+
 
+def level_life(bars: DataFrame, expire: int, away: int, key: tuple[str, ...] = ("instrument", "kind", "session_us")) -> DataFrame:
+    """What bars do to the level of their session: TOUCHED when one trades through and closes back, BROKEN_ABOVE or _BELOW on a close beyond it, from the side
+    that the first open stood on, RECLAIMED on a close back, EXPIRED after `expire` bars more than `away` ticks off. A row for each change.
 
-def level_life(bars: DataFrame, tolerance: int, expire: int) -> DataFrame:
-    """Each bar's level at the day's first high: SET until touched within tolerance, TOUCHED, BROKEN when a close is beyond it by more, RECLAIMED
-    when one comes back, EXPIRED after `expire` bars without a change. One row per change."""
+    bars: the key, bar_us, open, high, low, close, px (the level)."""
 
-    def step(p):
-        level = int(p["high"].iloc[0])
-        out, state, quiet = [], "SET", 0
-        for at, high, close in zip(p["bar_us"].to_numpy()[1:], p["high"].to_numpy()[1:], p["close"].to_numpy()[1:]):
+    def step(rows):
+        state, above, clear = "SET", None, 0
+        for at, open_, high, low, close, px in rows:
+            if state == "EXPIRED":
+                continue
+            above = open_ > px if above is None else above
+            through, back = (close < px, close > px) if above else (close > px, close < px)
             new = state
-            if state in ("SET", "TOUCHED") and close > level + tolerance:
-                new = "BROKEN"
-            elif state == "SET" and high >= level - tolerance:
+            if state.startswith("BROKEN"):
+                new = "RECLAIMED" if back else state
+            elif through:
+                new = "BROKEN_BELOW" if above else "BROKEN_ABOVE"
+            elif low <= px <= high:
                 new = "TOUCHED"
-            elif state == "BROKEN" and close < level - tolerance:
-                new = "RECLAIMED"
-            quiet = 0 if new != state else quiet + 1
-            if new == state and state != "EXPIRED" and quiet >= expire:
-                new = "EXPIRED"
             if new != state:
-                out.append((int(at), level, state, new))
+                yield at, px, state, new
             state = new
-        return out
+            near = abs(high - px) <= away or abs(low - px) <= away or low <= px <= high
+            clear = 0 if near else clear + 1
+            if clear >= expire:
+                yield at, px, state, "EXPIRED"
+                state = "EXPIRED"
 
-    return by_day(bars.select("instrument", "bar_us", "high", "close"), "bar_us", step, "at_us long, level long, old string, new string")
+    cols = ("bar_us", "open", "high", "low", "close", "px")
+    return in_order(bars.select(*key, *cols), step, "at_us long, level long, old string, new string", key, ("bar_us",))
 
 
-def inside_events(touches: DataFrame, window_s: float, drain: float) -> DataFrame:
+def inside_events(touches: DataFrame, window_s: float, drain: float, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """Events at the best bid: VACATED when its price falls, DRAINED when its size falls to `drain` of its peak at that price; each is FAILED if the bid
-    is back (price or two thirds of the peak) within window_s, else PERMANENT."""
-
-    def step(p):
-        us, seq, px, sz = (p[c].to_numpy() for c in ("us", "seq", "bid_px", "bid_sz"))
-        out, open_, peak = [], [], int(sz[0])
-        for i in range(1, len(p)):
+    is back (price or two thirds of the peak) within window_s, else PERMANENT, or PENDING where the rows end before."""
+
+    def step(rows):
+        open_, peak, before = [], 0, None
+        for us, seq, px, sz in rows:
+            if before is None:
+                before, peak = (px, sz), sz
+                continue
             still = []
             for kind, at, level, need, s in open_:
-                back = px[i] > level or (px[i] == level and (kind == "VACATED" or sz[i] >= need))
-                if us[i] - at > window_s * 1e6:
-                    out.append((int(s), kind, int(level), "PERMANENT"))
+                back = px > level or (px == level and (kind == "VACATED" or sz >= need))
+                if us - at > window_s * SECOND:
+                    yield s, kind, level, "PERMANENT"
                 elif back:
-                    out.append((int(s), kind, int(level), "FAILED"))
+                    yield s, kind, level, "FAILED"
                 else:
                     still.append((kind, at, level, need, s))
             open_ = still
-            if px[i] < px[i - 1]:
-                open_.append(("VACATED", us[i], px[i - 1], 0, seq[i]))
-            elif px[i] == px[i - 1] and sz[i] <= drain * peak < sz[i - 1]:
-                open_.append(("DRAINED", us[i], px[i], peak * 2 / 3, seq[i]))
-            peak = max(peak, int(sz[i])) if px[i] == px[i - 1] else int(sz[i])
-        return out
+            if px < before[0]:
+                open_.append(("VACATED", us, before[0], 0, seq))
+            elif px == before[0] and sz <= drain * peak < before[1]:
+                open_.append(("DRAINED", us, px, peak * 2 / 3, seq))
+            peak = max(peak, sz) if px == before[0] else sz
+            before = (px, sz)
+        for kind, _, level, _, s in open_:
+            yield s, kind, level, "PENDING"
 
-    return by_day(touches.select("instrument", "us", "seq", "bid_px", "bid_sz"), "us", step, "seq long, kind string, level long, result string")
+    return in_order(touches.select(*key, "us", "seq", "bid_px", "bid_sz"), step, "seq long, kind string, level long, result string", key)
 
 
-def price_direction(prints: DataFrame, reverse: int, flat_s: float) -> DataFrame:
+def price_direction(prints: DataFrame, reverse: int, flat_s: float, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """up or down once price is `reverse` ticks off the last extreme, flat after flat_s without a new extreme; a row per change."""
 
-    def step(p):
-        us, seq, px = p["us"].to_numpy(), p["seq"].to_numpy(), p["px_ticks"].to_numpy()
-        out, way, hi, lo, moved = [], "flat", px[0], px[0], us[0]
-        for i in range(1, len(p)):
-            if px[i] > hi or px[i] < lo:
-                moved = us[i]
-            hi, lo = max(hi, px[i]), min(lo, px[i])
+    def step(rows):
+        way, hi, lo, moved = "flat", None, None, None
+        for us, seq, px in rows:
+            if hi is None:
+                hi = lo = px
+                moved = us
+                continue
+            if px > hi or px < lo:
+                moved = us
+            hi, lo = max(hi, px), min(lo, px)
             new = way
-            if px[i] - lo >= reverse and way != "up":
-                new, hi = "up", px[i]
-            elif hi - px[i] >= reverse and way != "down":
-                new, lo = "down", px[i]
-            elif us[i] - moved > flat_s * 1e6 and way != "flat":
-                new, hi, lo = "flat", px[i], px[i]
+            if px - lo >= reverse and way != "up":
+                new, hi = "up", px
+            elif hi - px >= reverse and way != "down":
+                new, lo = "down", px
+            elif us - moved > flat_s * SECOND and way != "flat":
+                new, hi, lo = "flat", px, px
             if new != way:
-                out.append((int(seq[i]), way, new))
-                moved = us[i]
+                yield seq, way, new
+                moved = us
             way = new
             if way == "up":
                 lo = max(lo, hi - reverse)
             elif way == "down":
                 hi = min(hi, lo + reverse)
-        return out
 
-    return by_day(prints.select("instrument", "us", "seq", "px_ticks"), "us", step, "seq long, old string, new string")
+    return in_order(prints.select(*key, "us", "seq", "px_ticks"), step, "seq long, old string, new string", key)
 
 
-def cooldown(signals: DataFrame, seconds: float) -> DataFrame:
+def cooldown(signals: DataFrame, seconds: float, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """Signals (instrument, us, seq, side) at least `seconds` after the last one taken of the same side."""
 
-    def step(p):
-        out, last = [], {}
-        for us, seq, side in zip(p["us"].to_numpy(), p["seq"].to_numpy(), p["side"].to_numpy()):
-            if side not in last or us - last[side] >= seconds * 1e6:
-                out.append((int(seq), str(side)))
+    def step(rows):
+        last: dict[str, int] = {}
+        for us, seq, side in rows:
+            if side not in last or us - last[side] >= seconds * SECOND:
+                yield seq, side
                 last[side] = us
-        return out
 
-    return by_day(signals.select("instrument", "us", "seq", "side"), "us", step, "seq long, side string")
+    return in_order(signals.select(*key, "us", "seq", "side"), step, "seq long, side string", key)
 
 
-def autopilot(bars: DataFrame, enter: int, leave: int, target: int, stop: int, max_bars: int) -> DataFrame:
+def autopilot(bars: DataFrame, enter: int, leave: int, target: int, stop: int, max_bars: int, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """A position at a time: in when |delta| of a bar reaches enter, out at the stop, the target, a delta of `leave` against it, or after max_bars.
 
-    Stops and targets are checked on a bar's low and high, the stop first. One row per closed position.
+    Stops and targets are checked on a bar's low and high, the stop first. One row per position; that of the end is open, at its last close.
     """
 
-    def step(p):
-        out, side, entry, since = [], 0, 0, 0
-        for i, (at, hi, lo, close, delta) in enumerate(zip(*(p[c].to_numpy() for c in ("bar_us", "high", "low", "close", "delta")))):
+    def step(rows):
+        side = entry = since = 0
+        i = -1
+        for at, hi, lo, close, delta in rows:
+            i += 1
             if side:
                 worst, best = (lo - entry, hi - entry) if side > 0 else (entry - hi, entry - lo)
                 why = "stop" if worst <= -stop else "target" if best >= target else "flip" if delta * side <= -leave else "time" if i - since >= max_bars else None
                 if why:
-                    net = -stop if why == "stop" else target if why == "target" else (close - entry) * side
-                    out.append((int(at), side, int(entry), why, int(net)))
+                    yield at, side, entry, why, -stop if why == "stop" else target if why == "target" else (close - entry) * side
                     side = 0
                     continue
             if not side and abs(delta) >= enter:
                 side, entry, since = (1 if delta > 0 else -1), close, i
-        return out
+        if side:
+            yield at, side, entry, "open", (close - entry) * side
 
-    return by_day(bars.select("instrument", "bar_us", "high", "low", "close", "delta"), "bar_us", step, "at_us long, side int, entry long, reason string, net long")
+    return in_order(bars.select(*key, "bar_us", "high", "low", "close", "delta"), step, "at_us long, side int, entry long, reason string, net long", key, ("bar_us",))
 
 
-def pace(prints: DataFrame, tau_s: float) -> DataFrame:
+def pace(prints: DataFrame, tau_s: float, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """Exponentially decayed volume rates of buyers and sellers at each print, and the lead of the faster side."""
-    import math
 
-    def step(p):
-        out, b, s, before = [], 0.0, 0.0, None
-        for us, seq, sz, side in zip(*(p[c].to_numpy() for c in ("us", "seq", "sz", "side"))):
-            decay = 1.0 if before is None else math.exp(-(us - before) / 1e6 / tau_s)
+    def step(rows):
+        b = s = 0.0
+        before = None
+        for us, seq, sz, side in rows:
+            decay = 1.0 if before is None else math.exp(-(us - before) / SECOND / tau_s)
             b, s, before = b * decay + (sz if side == "B" else 0), s * decay + (sz if side == "A" else 0), us
-            out.append((int(seq), b / tau_s, s / tau_s, (b - s) / (b + s) if b + s else None))
-        return out
+            yield seq, b / tau_s, s / tau_s, (b - s) / (b + s) if b + s else None
 
-    return by_day(prints.select("instrument", "us", "seq", "sz", "side"), "us", step, "seq long, buy_rate double, sell_rate double, lead double")
+    return in_order(prints.select(*key, "us", "seq", "sz", "side"), step, "seq long, buy_rate double, sell_rate double, lead double", key)

@@ -88,16 +88,24 @@ def balance(bars: DataFrame, levels: DataFrame, accept: int) -> DataFrame:
     return x.select("instrument", "bar_us", state.alias("state"))
 
 
-def price_action(bars: DataFrame, lookback: int) -> DataFrame:
-    """Wicks and closes: wick rejection (a wick over .45 of the range), the close's place in the range, and streaks of closes."""
+def price_action(bars: DataFrame, lookback: int = 12) -> DataFrame:
+    """Rejection, sweep and acceptance of each bar with two before it, from -1 to 1, beside the lookback - 1 bars before.
+
+    Rejection: a wick of more than 45 % of the range that is over 1.5 times the other one; its share, below zero for an upper wick. Sweep: an extreme
+    of the bars before taken out and the close back inside; 0.4 and more by its depth in basis points. Acceptance: the close beyond that extreme, without a sweep.
+    """
     w = by_bar()
+    prior = w.rowsBetween(-max(3, lookback) + 1, -1)
     span = F.col("high") - F.col("low")
     up, down = F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
-    turn = F.signum(F.col("close") - F.lag("close").over(w))
-    b = bars.withColumn("turn", turn)
-    last = w.rowsBetween(-lookback + 1, 0)
-    rejection = F.when(span <= 0, "none").when(up / span > 0.45, "from above").when(down / span > 0.45, "from below").otherwise("none")
-    return b.select("instrument", "bar_us", rejection.alias("rejection"), F.when(span > 0, (F.col("close") - F.col("low")) / span).alias("place"), F.sum("turn").over(last).alias("streak"), (F.col("high") - F.max("high").over(w.rowsBetween(-lookback, -1))).alias("over_high"))
+    b = bars.withColumns({"ph": F.max("high").over(prior), "pl": F.min("low").over(prior), "n": F.count("*").over(w.rowsBetween(-2, 0))})
+    rejection = F.when(span <= 0, 0.0).when((up / span > 0.45) & (up > down * 1.5), -F.least(up / span, F.lit(1.0))).when((down / span > 0.45) & (down > up * 1.5), F.least(down / span, F.lit(1.0))).otherwise(0.0)
+    swept_up, swept_down = (F.col("high") > F.col("ph")) & (F.col("close") < F.col("ph")), (F.col("low") < F.col("pl")) & (F.col("close") > F.col("pl"))
+    depth = lambda far, level: F.least(F.lit(1.0), 0.4 + far / level * 10_000 / 25)
+    sweep = F.when(swept_up, -depth(F.col("high") - F.col("ph"), F.col("ph"))).when(swept_down, depth(F.col("pl") - F.col("low"), F.col("pl"))).otherwise(0.0)
+    acceptance = F.when(swept_up | swept_down, 0.0).when(F.col("close") > F.col("ph"), 1.0).when(F.col("close") < F.col("pl"), -1.0).otherwise(0.0)
+    seen = lambda c: F.when(F.col("n") == 3, c).otherwise(0.0)
+    return b.select("instrument", "bar_us", seen(rejection).alias("rejection"), seen(sweep).alias("sweep"), seen(acceptance).alias("acceptance"))
 
 
 def efficiency(bars: DataFrame, window: int) -> DataFrame:

@@ -125,7 +125,7 @@ SELECT year, month, CAST(first + CAST((5 - isodow(first) + 7) % 7 + 14 AS INTEGE
     + DV
     + """, n AS (SELECT *, CASE d WHEN 'up' THEN 2.0 WHEN 'down' THEN -2.0 ELSE 0 END + CASE p WHEN 'up' THEN 1.0 WHEN 'down' THEN -1.0 ELSE 0 END + CASE v WHEN 'up' THEN 1.0 WHEN 'down' THEN -1.0 ELSE 0 END AS net,
   list_distinct(list_filter([d, p, v], lambda x: x <> 'flat')) AS spoken, CASE WHEN d = p THEN 1 ELSE 0 END + CASE WHEN v = p THEN 1 ELSE 0 END AS agree, CASE WHEN d <> p AND d <> 'flat' THEN 1 ELSE 0 END + CASE WHEN v <> p AND v <> 'flat' THEN 1 ELSE 0 END AS against FROM d)
-SELECT instrument, bar_us, CASE WHEN net > 0 THEN 'up' WHEN net < 0 THEN 'down' WHEN len(spoken) = 1 THEN spoken[1] ELSE 'flat' END AS side, CAST(net AS DOUBLE) AS net, CASE WHEN p = 'flat' THEN '-' WHEN agree = 2 THEN 'A' WHEN agree = 1 AND against = 0 THEN 'B' WHEN agree = 1 THEN 'C' WHEN against > 0 THEN 'X' ELSE '-' END AS grade FROM n""",
+SELECT instrument, bar_us, CASE WHEN net > 0 THEN 'up' WHEN net < 0 THEN 'down' WHEN len(spoken) = 1 THEN spoken[1] ELSE 'flat' END AS side, CAST(net AS DOUBLE) AS net, CASE WHEN p = 'flat' THEN '-' WHEN agree = 0 AND against > 0 THEN 'X' WHEN agree = 2 THEN 'A' WHEN agree = 1 THEN 'B' ELSE 'C' END AS grade FROM n""",
     "suggestion_stats": with_(LEDGER)
     + "SELECT CASE agreeing WHEN 0 THEN 'ignored' WHEN 1 THEN 'undecided' ELSE 'taken' END AS decision, count(*) AS n, avg(CASE WHEN net_bps > 0 THEN 1 ELSE 0 END) AS hit, avg(net_bps) AS avg_net, CAST(sum(net_bps) AS BIGINT) AS total_net, CAST(sum(gross_bps - net_bps) AS BIGINT) AS drag, count_if(exit_reason = 'candle_end') AS open_at_close FROM ledger GROUP BY ALL",
     "read_stats": BARS

@@ -44,7 +44,7 @@ QUERIES = {
     "level_touches": lambda s, sf: O.level_touches(fours(s, sf), levels(s, sf), 1).withColumn("first_us", F.coalesce("first_us", F.lit(-1))),
     "session_levels": lambda s, sf: O.session_levels(hours(s, sf), DAY_US),
     "auction_state": balance,
-    "price_action": lambda s, sf: O.price_action(fours(s, sf), 5),
+    "price_action": lambda s, sf: O.price_action(fours(s, sf), 12),
     "efficiency_ratio": lambda s, sf: O.efficiency(fours(s, sf), 10),
 }
 
@@ -82,10 +82,10 @@ SELECT b.instrument, b.bar_us, pdh, pdl, pdc, CASE WHEN close > pdh THEN 'above'
     + f""", x AS (SELECT b.*, va.val, va.vah FROM bars b JOIN va ON va.instrument = b.instrument AND va.bar_us + {DAY_US} = b.bar_us // {DAY_US} * {DAY_US})
 SELECT instrument, bar_us, CASE WHEN count(*) OVER w = 2 AND min(close) OVER w > vah THEN 'IMBALANCE_UP' WHEN count(*) OVER w = 2 AND max(close) OVER w < val THEN 'IMBALANCE_DOWN' ELSE 'BALANCE' END AS state FROM x WINDOW w AS (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""",
     "price_action": BARS4
-    + """, t AS (SELECT *, sign(close - lag(close) OVER w) AS turn FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY bar_us))
-SELECT instrument, bar_us, CASE WHEN high <= low THEN 'none' WHEN (high - greatest(open, close)) / (high - low) > 0.45 THEN 'from above' WHEN (least(open, close) - low) / (high - low) > 0.45 THEN 'from below' ELSE 'none' END AS rejection,
-  CASE WHEN high > low THEN (close - low) / (high - low) END AS place, CAST(sum(turn) OVER f AS DOUBLE) AS streak, high - max(high) OVER b AS over_high FROM t
-WINDOW f AS (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""",
+    + """, x AS (SELECT *, max(high) OVER p AS ph, min(low) OVER p AS pl, count(*) OVER (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, high - greatest(open, close) AS up, least(open, close) - low AS down, high - low AS span FROM bars WINDOW p AS (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING))
+SELECT instrument, bar_us, CASE WHEN n < 3 OR span <= 0 THEN 0.0 WHEN up / span > 0.45 AND up > down * 1.5 THEN -least(up / span, 1.0) WHEN down / span > 0.45 AND down > up * 1.5 THEN least(down / span, 1.0) ELSE 0.0 END AS rejection,
+  CASE WHEN n < 3 THEN 0.0 WHEN high > ph AND close < ph THEN -least(1.0, 0.4 + (high - ph) / ph * 10000 / 25) WHEN low < pl AND close > pl THEN least(1.0, 0.4 + (pl - low) / pl * 10000 / 25) ELSE 0.0 END AS sweep,
+  CASE WHEN n < 3 OR high > ph AND close < ph OR low < pl AND close > pl THEN 0.0 WHEN close > ph THEN 1.0 WHEN close < pl THEN -1.0 ELSE 0.0 END AS acceptance FROM x""",
     "efficiency_ratio": BARS4
     + """, s AS (SELECT *, abs(close - lag(close) OVER w) AS step, lag(close, 10) OVER w AS c10 FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY bar_us))
 SELECT instrument, bar_us, CASE WHEN count(step) OVER f = 10 THEN abs(close - c10) / nullif(sum(step) OVER f, 0) END AS efficiency FROM s WINDOW f AS (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",

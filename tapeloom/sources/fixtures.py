@@ -73,12 +73,12 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("wallet"), F.col("c_acctbal").alias("account_value"), "c_mktsegment")
     liq = F.col("entry_px") * (1 - 0.1 * F.signum("szi") / (1 + F.col("wallet") % 5))
-    return p.join(c, "wallet").withColumn("liquidation_px", liq).withColumn("leverage", 1 + F.col("wallet") % 20).withColumn("funding", (F.col("wallet") % 7 - 3).cast("double"))
+    return p.join(c, "wallet").withColumn("liquidation_px", liq).withColumn("leverage", 1 + F.col("wallet") % 20).withColumn("funding", (F.col("wallet") % 7 - 3).cast("double")).withColumns({"margin_used": F.abs("szi") * F.col("entry_px") / F.col("leverage"), "isolated": F.col("wallet") % 3 == 0})
 
 
 POSITIONS = """positions AS (
   SELECT p.*, c_acctbal AS account_value, c_mktsegment, entry_px * (1 - 0.1 * sign(szi) / (1 + wallet % 5)) AS liquidation_px,
-         1 + wallet % 20 AS leverage, CAST(wallet % 7 - 3 AS DOUBLE) AS funding
+         1 + wallet % 20 AS leverage, CAST(wallet % 7 - 3 AS DOUBLE) AS funding, abs(szi) * entry_px / (1 + wallet % 20) AS margin_used, wallet % 3 = 0 AS isolated
   FROM (
     SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-04-01 00:00:00' THEN 1 ELSE 2 END AS sweep_id, o_custkey AS wallet, concat('C', CAST(o_orderkey % 4 AS VARCHAR)) AS coin,
            sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * CAST(round(o_totalprice) AS BIGINT)) / 1000 AS szi,

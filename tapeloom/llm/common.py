@@ -53,6 +53,24 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key from which on spread_join() deals them.
+HOT_ROWS = 256
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """many joined with one on key, of which one has a row for each value at most and many may have any number: the rows of a value with n of
+    them are dealt by the column `by` over n / HOT_ROWS tasks, which its row in one is copied to.
+
+    hot: key and the number of rows, for the values with HOT_ROWS or more; counted if not given. There are at most as many as rows / HOT_ROWS."""
+    if hot is None:
+        hot = cut(many.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") >= HOT_ROWS))
+    hot = if_small(hot.select(F.col(key).alias("_hot"), F.expr(f"cast(1 + rows div {HOT_ROWS} as int)").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.when(F.col(key).isNull(), HOT_ROWS).otherwise(salts)).cast("int")).drop("_hot", "_salts")
+    right = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def with_unique_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
     """docs and a column that tells its rows apart: the key, or where that is null or repeated, a row number of a stored
     copy of docs."""

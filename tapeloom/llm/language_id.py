@@ -6,29 +6,33 @@ own. A phrase costs log2 of the labelled text's length, and the language with th
 character, wins (ties: the smaller language). Texts are lower-cased and any run of other characters than letters counts as
 one space, so that marks and digits, which any language may have, don't decide.
 
-Sample. A language is learned from `buckets` documents at most (for each value of a hash, the first document), and
-`sample_chars` characters in all; that bound is what travels to the tasks. The automaton is built once in each Python worker as a
-transition table, and the texts of a batch are walked together with numpy: a text is cut into windows of `window`
-characters, no phrase crosses a cut, and all windows take one step at a time. Whole texts are parsed.
+Sample. A language is learned from the whole texts of `rows` documents at most: for each value of a hash the document of the smallest
+hash among those of at most `longest` characters, or of any length where there is no other. That bound on labelled rows is what travels to the
+tasks. The automaton is built once in each Python worker; its transitions are one dictionary, so an alphabet of thousands of letters costs
+no more than the transitions that there are. Whole texts are parsed from their first character to their last.
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text where nothing was learned; documents
-without a language or with a null id hash as the empty id; repeated rows are predicted alike; long texts are cut into more windows;
-an empty table gives an empty result; other columns aren't read.
+without a language teach nothing, those with a null id hash as the empty id; repeated rows are predicted alike and teach once; a long text is
+parsed in one piece, in memory of its own size; columns named lang_pred and score are replaced; an empty table gives an empty result;
+other columns pass and aren't read.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts
-
-BUCKETS, SAMPLE_CHARS, WINDOW = 64, 24_000, 256
+from .common import load, others, parts
 
+ROWS, LONGEST = 32, 20_000
+#: A transition is kept under state * WIDE + code point.
+WIDE = 1 << 21
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
     """The transitions of each state; a string leads somewhere from state 0 exactly if it occurs in text."""
@@ -61,76 +65,48 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return moves
 
 
-def _letters(text: str) -> str:
-    out = "".join(c if c.isalpha() else " " for c in text)
-    return re.sub(" +", " ", out)
+_other = re.compile(r"[\W\d_]+")
+
+
+def normal(text: str) -> str:
+    """Lower-cased, with a space for each run of anything but letters."""
+    return _other.sub(" ", text.lower())
+
+
+def phrases(text: Iterable[int], move: dict[int, int]) -> int:
+    """The phrases of a text of code points in the cross-parsing by an automaton; a state is WIDE times its number."""
+    get, state, n = move.get, 0, 0
+    for c in text:
+        to = get(state + c)
+        if to is None:
+            if state:  # the phrase so far ends before this character
+                n += 1
+                to = get(c)
+            if to is None:  # the language hasn't got it
+                n += 1
+                to = 0
+        state = to
+    return n + (state > 0)
 
 
 class Parser:
-    """The automata of all languages over one alphabet, as tables of states by symbols; 0 is the symbol of none."""
+    """The automata of all languages."""
 
     def __init__(self, samples: dict[str, str]) -> None:
-        import numpy as np
-
         self.langs = sorted(samples)
-        samples = {k: _letters(v) for k, v in samples.items()}
-        symbols = sorted({c for s in samples.values() for c in s} | {" "})
-        self.symbol = np.array([0 if chr(i).isalpha() else 1 for i in range(0x110000)], np.int32)  # the space is first
-        for i, c in enumerate(symbols):
-            self.symbol[ord(c)] = i + 1
-        self.width = len(symbols) + 1
-        self.tables, self.bits = [], []
+        self.moves, self.bits = [], []
         for lang in self.langs:
-            moves = suffix_automaton(samples[lang])
-            table = np.full((len(moves), self.width), -1, np.int32)
-            for state, out in enumerate(moves):
-                for c, to in out.items():
-                    table[state, self.symbol[ord(c)]] = to * self.width  # a state is the place of its row
-            self.tables.append(table.ravel())
-            self.bits.append(float(np.log2(max(2, len(samples[lang])))))
-
-    def symbols(self, text: str):
-        import numpy as np
-
-        codes = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        return codes[(codes != 1) | (np.concatenate([[0], codes[:-1]]) != 1)]
-
-    def phrases(self, texts: list[str], window: int):
-        """Phrases by text and language, and the symbols of each text."""
-        import numpy as np
-
-        codes = [self.symbols(t) for t in texts]
-        sizes = np.array([len(c) for c in codes], np.int64)
-        whole = np.concatenate([*codes, np.zeros(0, np.int32)])
-        starts = np.cumsum(sizes) - sizes
-        n = -(-sizes // window)
-        text = np.repeat(np.arange(len(texts)), n)
-        first = np.repeat(np.cumsum(n) - n, n)
-        at = starts[text] + (np.arange(len(text)) - first) * window
-        left = np.minimum(window, starts[text] + sizes[text] - at)
-        order = np.argsort(-left, kind="stable")
-        text, at, left = text[order], at[order], left[order]
-        live = np.searchsorted(-left, -np.arange(window), side="left")  # windows with more than t characters
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        for k, table in enumerate(self.tables):
-            state = np.zeros(len(text), np.int32)
-            count = np.zeros(len(text), np.int32)
-            for t in range(window):
-                m = live[t]
-                if not m:
-                    break
-                s = whole[at[:m] + t]
-                to = table[state[:m] + s]
-                stop = np.flatnonzero(to < 0)
-                if len(stop):
-                    count[stop] += state[stop] > 0  # the phrase so far ends before this character
-                    again = table[s[stop]]
-                    count[stop] += again < 0  # a character that the language hasn't got is a phrase
-                    to[stop] = np.maximum(again, 0)
-                state[:m] = to
-            count += state > 0
-            np.add.at(out[:, k], text, count)
-        return out, sizes
+            text = normal(samples[lang])
+            self.moves.append({state * WIDE + ord(c): to * WIDE for state, out in enumerate(suffix_automaton(text)) for c, to in out.items()})
+            self.bits.append(math.log2(max(2, len(text))))
+
+    def __call__(self, text: str) -> tuple[str, float]:
+        """The language, and how far it is from the next, from 0 to 1."""
+        codes = array("I", normal(text).encode("utf-32-le", "surrogatepass"))
+        cost = [phrases(codes, move) * bits / len(codes) for move, bits in zip(self.moves, self.bits)]
+        best = min(range(len(cost)), key=cost.__getitem__)
+        other = min((c for i, c in enumerate(cost) if i != best), default=None)
+        return self.langs[best], 1.0 if other is None else (other - cost[best]) / other
 
 
 _PARSERS: dict[int, Parser] = {}
@@ -148,48 +124,34 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", buckets: int = BUCKETS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """The labelled text of each language; docs are those to learn from. Texts are lower-cased.
-
-    A bounded sample: for each language and hash bucket the document of the smallest hash, `buckets` in all, of each
-    the first 2 * sample_chars / buckets characters. Partial aggregation leaves no large group.
-    """
-    share = 2 * sample_chars // buckets
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS, longest: int = LONGEST) -> dict[str, str]:
+    """The labelled text of each language, the whole texts of `rows` documents at most; docs are those to learn from."""
     h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("sample"))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), h.alias("h"), F.substring(text, 1, share).alias("t"))
-    rows = rows.groupBy("lang", F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "t")).alias("first"))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), h.alias("h"), F.col(text).alias("t"))
+    # at most `rows` for each language
+    picked = known.groupBy("lang", F.pmod("h", F.lit(rows)).alias("b")).agg(F.min(F.struct((F.length("t") > longest).alias("long"), "h")).alias("first"))
+    picked = picked.select(F.col("lang").alias("l"), F.col("first.h").alias("x"))
+    texts = known.join(F.broadcast(picked), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("x"))).groupBy("lang", "h").agg(F.min("t").alias("t"))
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.select("lang", "first.h", "first.t").toLocalIterator():
+    for r in texts.toLocalIterator():
         found.setdefault(r[0], []).append((r[1], r[2]))
-    return {k: "\n".join(t for _, t in sorted(v))[:sample_chars].lower() for k, v in found.items()}
+    return {k: "\n".join(t for _, t in sorted(v)) for k, v in found.items()}
 
 
-def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without the text, with lang_pred and score: how far the best language is from the next, from 0 to 1."""
-    rest = [f for f in docs.schema.fields if f.name != text]
+def predict(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
+    """docs without the text, with lang_pred and score."""
+    rest = others(docs, text, "lang_pred", "score")
+    model = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
         import regex
 
         letter = regex.compile(r"\p{L}").search
+        parser = _parser(model.value) if model.value else None
         for batch in parts(batches):
-            texts = [(t.as_py() or "") for t in batch.column(text)]
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            for lo in range(0, len(texts), 500):  # bounds what numpy holds at once
-                some = [i for i in range(lo, min(lo + 500, len(texts))) if letter(texts[i])]
-                if not some or not samples:
-                    continue
-                parser = _parser(samples)
-                count, sizes = parser.phrases([texts[i].lower() for i in some], window)
-                cost = count * np.array(parser.bits) / sizes[:, None]
-                best = cost.argmin(axis=1)
-                for i, b, c in zip(some, best, cost):
-                    other = np.delete(c, b).min(initial=np.inf)
-                    langs[i] = parser.langs[b]
-                    scores[i] = 1.0 if other == np.inf else float((other - c[b]) / other)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [f.name for f in out.fields])
+            found = [parser(t) if parser and letter(t) else ("und", 0.0) for t in ((x.as_py() or "") for x in batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [f.name for f in out.fields])
 
     out = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, out)

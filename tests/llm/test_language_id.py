@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,28 +7,53 @@ from pyspark.sql import functions as F
 from tapeloom.llm import language_id as lid
 
 
-def phrases(text, sample, window):
-    n = 0
-    for a in range(0, len(text), window):
-        w, i = text[a : a + window], 0
-        while i < len(w):
-            j = i + 1
-            while j <= len(w) and w[i:j] in sample:
-                j += 1
-            i, n = max(j - 1, i + 1), n + 1
+def phrases(text, sample):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i, n = max(j - 1, i + 1), n + 1
     return n
 
 
+def brute(text, samples):
+    """The prediction by plain search of substrings."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    plain = lid.normal(text)
+    cost = {k: phrases(plain, lid.normal(s)) * math.log2(len(lid.normal(s))) / len(plain) for k, s in samples.items()}
+    best, *rest = sorted(cost, key=lambda k: (cost[k], k))
+    return best, (cost[rest[0]] - cost[best]) / cost[rest[0]] if rest else 1.0
+
+
 def test_phrases_against_brute_force():
     rng = random.Random(5)
     samples = {"a": "".join(rng.choice("abcde ") for _ in range(400)), "b": "".join(rng.choice("aabbx ") for _ in range(300))}
     parser = lid.Parser(samples)
-    texts = ["".join(rng.choice("abcdexyz 1.") for _ in range(rng.randrange(1, 200))) for _ in range(60)] + ["zzz", "a", " ", "az" * 40]
-    for window in (7, 64):
-        got, sizes = parser.phrases(texts, window)
-        for t, g, n in zip(texts, got, sizes):
-            plain = lid._letters(t)
-            assert n == len(plain) and list(g) == [phrases(plain, lid._letters(samples[k]), window) for k in "ab"]
+    texts = ["".join(rng.choice("abcdexyz 1.") for _ in range(rng.randrange(1, 900))) for _ in range(60)] + ["zzz", "a", " ", "az" * 40]
+    # a phrase of more than a thousand characters
+    texts += [samples["a"] * 2, "x" + samples["b"][3:] * 3]
+    for t in texts:
+        plain = lid.normal(t)
+        for k, move in zip("ab", parser.moves):
+            assert lid.phrases(map(ord, plain), move) == phrases(plain, lid.normal(samples[k]))
+    assert lid.phrases(map(ord, lid.normal(samples["a"])), parser.moves[0]) == 1
+
+
+def test_predictions_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") < 700)
+    samples = lid.learn(docs.where(~lid.held_out(F.col("doc_id"))), rows=6)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in lid.predict(docs, samples).collect()}
+    want = {r.doc_id: brute(r.text, samples) for r in docs.collect()}
+    assert len(got) > 30 and got == {d: (k, round(s, 9)) for d, (k, s) in want.items()}
+
+
+def test_learning_takes_whole_texts(spark, docs):
+    rows = [(i, f"text {'abcdefghij'[i % 10]} " + "word " * (i * 10), "en", "a") for i in range(1, 40)] + [(99, "lang " * 9000, "xx", "a")]
+    got = lid.learn(docs(rows), rows=4, longest=1000)
+    assert set(got["en"].split("\n")) <= {r[1] for r in rows if len(r[1]) <= 1000} and 1 <= len(got["en"].split("\n")) <= 4
+    assert got["xx"] == rows[-1][1]
 
 
 def test_held_out_accuracy(spark, sf):
@@ -45,5 +71,7 @@ def test_odd_rows(spark, docs, odd):
     assert all(0 <= s <= 1 for _, s in got.values())
     assert {r.lang_pred for r in lid.predict(docs(odd), {}).collect()} == {"und"}
     assert lid.predict(docs([]), samples).count() == 0
+    again = lid.predict(lid.predict(docs(odd), samples).withColumn("text", F.lit("der hund")), samples)
+    assert again.columns.count("lang_pred") == 1 and {r.lang_pred for r in again.collect()} == {"de"}
     keys = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long").select("doc_id", lid.held_out(F.col("doc_id")).alias("h"))
     assert all(r.h == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 4 == 2) for r in keys.collect())

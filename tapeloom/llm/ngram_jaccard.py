@@ -22,7 +22,7 @@ Steps, each exact:
 So no link between different components is missed, and the pairs of a group of copies aren't spelt out.
 
 Frequent shingles never gather: counts are partial before the shuffle, and joins on them are between two shuffled sides, which
-adaptive execution splits.
+adaptive execution splits. Rows of one hub, component or group of copies are dealt over tasks by spread_join().
 
 Cases: a null text, or one without words, has an empty set and links with nothing; repeated rows link by their equal sets; null ids
 stand after all others (component_id is null only if all of a component are); one long text is hashed in one piece; an
@@ -37,14 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, if_small, load, parts, stored
+from .common import HOT_ROWS, cut, if_small, load, parts, spread_join, stored, with_unique_key
 
 PERCENT, WIDTH = 85, 4
 #: Of a set's first shingles in the order of hashes, this percentage of its size counts as k in step 2.
 FIRST = 8
 RARE = 6
-#: (from this size on, groups of frequent keys)
-GROUPS = ((0, 2), (200, 16), (2000, 128))
+#: (from this size on, groups of frequent keys): with sets ten times as large come eight times the groups, so the pairs of a set, some
+#: (0.15 n)^2 / 2g, grow little faster than the set.
+GROUPS = ((0, 2), *((200 * 10**i, 16 * 8**i) for i in range(8)))
 #: Bytes of text that are hashed together.
 CHUNK = 150_000
 
@@ -164,9 +165,17 @@ def _head_and_rows(heads: dict, name: str, arrays: list):
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, text: rid is the id where ids are whole numbers, none null or repeated, otherwise a row number of a stored copy."""
+    if isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        docs, own = with_unique_key(docs)
+        return docs.select(F.col(own).cast("long").alias("rid"), "doc_id", "text")
+    return stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "rows")
+
+
 def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """For each document a row with rid, doc_id, n and sig, the size and the 128-bit hash of its set (null if empty), and rows with rid and token
-    for the set's first hashes, for step 2. docs: doc_id, text."""
+    for the set's first hashes, for step 2. docs: rid, doc_id, text."""
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("token", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -178,21 +187,19 @@ def prepared(docs: DataFrame, percent: int, width: int) -> DataFrame:
             heads = {"rid": batch.column("rid").to_numpy(), "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())}
             yield _head_and_rows(heads, "token", low)
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, percent: int, width: int) -> DataFrame:
-    """For each document in wanted (id, rid, sig) a row with rid and n, and rows with rid and token for its whole set."""
-    rows = docs.join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "sig", "text")
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """For each document in wanted (rid) a row with rid and n, and rows with rid and token for its whole set."""
+    rows = docs.join(if_small(wanted.select(F.col("rid").alias("r"))), F.col("rid") == F.col("r"), "left_semi").select("rid", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in parts(batches):
             sets = _shingler(width).sets([t.as_py() or "" for t in batch.column("text")])
-            # an id may have several texts: only that of the set is meant
-            kept = [(r.as_py(), s) for r, sig, s in zip(batch.column("rid"), batch.column("sig"), sets) if len(s) and set_hash(s) == sig.as_py()]
-            yield _head_and_rows({"rid": [r for r, _ in kept], "n": pa.array([len(s) for _, s in kept], pa.int64())}, "token", [s for _, s in kept])
+            yield _head_and_rows({"rid": batch.column("rid").to_numpy(), "n": pa.array([len(s) for s in sets], pa.int64())}, "token", sets)
 
     return rows.mapInArrow(run, "rid long, n long, token long")
 
@@ -258,14 +265,16 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the least node that each node of the edges (a, b) is joined to."""
+    """node, comp: the least node that each node of the edges (a, b) is joined to. A node of very many edges, or that very many
+    point to, is dealt over several tasks."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = cut(both.groupBy("b").agg(F.count("*").alias("rows")).where(F.col("rows") >= HOT_ROWS))
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        near = spread_join(both, label.select(F.col("node").alias("b"), "comp"), "b", "a", hubs).groupBy("a").agg(F.min("comp").alias("near"))
         moved = cut(label.join(near, label["node"] == near["a"]).select("node", F.least("comp", "near").alias("to"), (F.col("near") < F.col("comp")).alias("moved")))
-        jump = moved.select(F.col("node").alias("n2"), F.col("to").alias("to2"))
-        label = cut(moved.join(jump, moved["to"] == jump["n2"]).select("node", F.least("to", "to2").alias("comp"), "moved", (F.col("to2") < F.col("to")).alias("jumped")))
+        jump = moved.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+        label = cut(spread_join(moved, jump, "to", "node").select("node", F.least("to", "to2").alias("comp"), "moved", (F.col("to2") < F.col("to")).alias("jumped")))
         if label.where("moved or jumped").isEmpty():
             return label.select("node", "comp")
         label = label.select("node", "comp")
@@ -273,23 +282,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: rid, doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = numbered(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     both = stored(prepared(docs, percent, width), "sets")
     rows = cut(both.where("n is not null").drop("token"))
-    copies = rows.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min_by("doc_id", "rid").alias("id"))
+    copies = cut(rows.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("rows")))
 
     # step 2
     low = both.where("token is not null").select("rid", "token")
     held = cut(low.groupBy("token").count().where("count > 1").select("token"))
     hits = low.join(held, "token").groupBy("rid").count()
     need = F.greatest(F.lit(1), F.floor(FIRST * F.ceil(percent * F.col("n") / 100) / 100))
-    wanted = stored(copies.join(hits, "rid").where(F.col("count") >= need).select("id", "rid", "sig"), "wanted")
+    wanted = cut(copies.join(hits, "rid").where(F.col("count") >= need).select("rid"))
 
     # step 3
-    sets = whole_sets(docs, wanted, percent, width)
-    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        sets = sets.distinct()
-    sets = stored(sets, "tokens")
+    sets = stored(whole_sets(docs, wanted, width), "tokens")
     tokens = sets.where("token is not null").select("rid", "token")
     # the class is in the top byte, from 1 up: keys are positive longs and sort as such
     often = tokens.groupBy("token").count().where("count > 1")
@@ -300,15 +306,16 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str
 
     # step 4
     entries = stored(index(nodes, percent), "index")
-    groups = cut(entries.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("lost", "rid", "n", "most")).alias("best")).where("m > 1").select("sig", F.col("best.rid").alias("b"), F.col("best.n").alias("n2"), F.col("best.most").alias("most2")))
+    groups = cut(entries.groupBy("sig").agg(F.count("*").alias("rows"), F.min(F.struct("lost", "rid", "n", "most")).alias("best")).where("rows > 1").select("sig", "rows", F.col("best.rid").alias("b"), F.col("best.n").alias("n2"), F.col("best.most").alias("most2")))
+    met = stored(spread_join(entries.drop("lost"), groups.drop("rows"), "sig", "rid", groups.where(F.col("rows") >= HOT_ROWS)), "met")
     common = F.least("most", "most2")
     may = 100 * common >= percent * (F.col("n") + F.col("n2") - common)
-    stars = cut(entries.join(groups, "sig").where((F.col("rid") != F.col("b")) & may).select(F.col("rid").alias("a"), "b").distinct())
+    stars = cut(met.where((F.col("rid") != F.col("b")) & may).select(F.col("rid").alias("a"), "b").distinct())
     links = cut(linked(stars, nodes, percent))
     label = components(links)
 
     # step 5
-    members = entries.join(groups.select("sig"), "sig").join(label, F.col("rid") == F.col("node"), "left").select("sig", "rid", "n", "most", F.coalesce("comp", "rid").alias("comp"))
+    members = met.join(label, F.col("rid") == F.col("node"), "left").select("sig", "rid", "n", "most", F.coalesce("comp", "rid").alias("comp"))
     members = stored(members, "members")
     mixed_groups = cut(members.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("sig"))
     x = stored(members.join(mixed_groups, "sig"), "open")
@@ -323,10 +330,10 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str
     # step 6
     whole = copies.select("sig", "rid", "first").join(label.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     whole = cut(whole.select("sig", "comp", "first"))
-    least_id = cut(whole.groupBy(F.col("comp").alias("c")).agg(F.min("first").alias("component_id")))
-    known = cut(whole.join(least_id, F.col("comp") == F.col("c")).select(F.col("sig").alias("s"), "component_id"))
-    out = rows.select("rid", "doc_id", F.col("n").alias("n_shingles"), "sig").join(known, F.col("sig") == F.col("s"), "left")
-    return out.select("rid", "doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least_id = cut(whole.groupBy("comp").agg(F.min("first").alias("component_id")))
+    known = cut(spread_join(whole.select("sig", "comp"), least_id, "comp", "sig").select("sig", "component_id"))
+    out = spread_join(rows, known, "sig", "rid", copies.where(F.col("rows") >= HOT_ROWS), "left")
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

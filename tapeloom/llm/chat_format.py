@@ -13,8 +13,9 @@ backslashes away again gives the text, so the output can be read back exactly. T
 of the assistant's texts, in code points of the output.
 
 Cases: null texts and null roles count as empty; empty texts are turns; rows of the same turn follow each other by role and
-text (nulls first); repeated rows are turns of their own; the null conversation is one conversation; an empty table gives
-an empty result; other columns aren't read.
+text (nulls first); repeated rows are turns of their own; the null conversation is one conversation; ties of scores go to the smaller
+leaf; a very long text, and a conversation of very many turns, are formatted whole, in one task, as the output is one string; an empty table
+gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -90,18 +90,18 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     nodes: tree, node, parent (null at a root), score. (tree, node) is unique.
     """
-    # `up` is the node 2^k replies above, null once the root is passed; n and sum are of the path before it
-    now = cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("n"), F.col("score").alias("sum")))
-    jumps, ended = [], [now.where("up is null")]
-    # where some paths go on, others have ended at this step, unless only cycles are left
-    while not now.where("up is not null").isEmpty() and not ended[-1].isEmpty():
+    # `up` is the node 2^k replies above, null once the root is passed; n and sum are of the path before it; ended is the round k of that
+    now = cut(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).alias("n"), F.col("score").alias("sum"), F.lit(0).alias("ended")))
+    jumps: list[DataFrame] = []
+    # where some paths go on, others have ended in this round, unless only cycles are left
+    while not now.where("up is not null").isEmpty() and not now.where(f"up is null and ended = {len(jumps)}").isEmpty():
         jumps.append(now.where("up is not null"))
-        above = reduce(DataFrame.union, ended, jumps[-1]).select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
+        above = now.select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
         same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))
         # only paths that haven't ended are followed; a parent that isn't there ends a path without a root
-        now = cut(jumps[-1].join(above, same).select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("sum") + F.col("sum2")).alias("sum")))
-        ended.append(now.where("up is null"))
-    rooted = reduce(DataFrame.union, ended)
+        further = jumps[-1].join(above, same).select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("sum") + F.col("sum2")).alias("sum"), F.lit(len(jumps)).alias("ended"))
+        now = cut(now.where("up is null").union(further))
+    rooted = now.where("up is null")
     parents = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = rooted.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), "node"))

@@ -6,7 +6,9 @@ the next rank in two steps whatever the length of the text. A position whose pai
 queued is stale and skipped. Each merge queues at most two pairs: a pre-token of n bytes costs O(n log n) at worst,
 where scanning for the lowest rank costs O(n^2).
 
-Null texts count as empty; empty texts have no tokens. Repeated rows give repeated results; other columns pass through.
+Cases: null texts count as empty; empty texts have no tokens; null ids decode to nothing. Repeated rows give repeated results and null keys pass.
+A very long text is encoded in one piece, in memory of some hundred times its longest pre-token. encode() replaces a column named ids, decode()
+one named decoded; other columns pass through, an empty table gives an empty result. Of pairs of the same rank the leftmost merges first.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts
+from .common import load, others, parts
 
 #: Encoded pre-tokens that a Python worker remembers in each of two generations: when the young one is full it becomes the old one,
 #: and what is found in the old one is young again.
@@ -159,9 +161,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
         codec = _codec(ranks, pattern)
         for pdf in batches:
             pdf["ids"] = [np.frombuffer(codec.encode(t or ""), dtype="<i4") for t in pdf[text].array]
-            yield pdf
+            yield pdf[[f.name for f in out.fields]]
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    out = T.StructType([*others(docs, "ids"), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.mapInPandas(run, out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -174,9 +177,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         codec = _codec(ranks, "")
         for pdf in batches:
             pdf["decoded"] = [codec.decode(np.asarray([] if x is None else x, dtype="<u4").tobytes()) for x in pdf[ids].array]
-            yield pdf
+            yield pdf[[f.name for f in out.fields]]
 
-    return encoded.mapInPandas(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    out = T.StructType([*others(encoded, "decoded"), T.StructField("decoded", T.BinaryType())])
+    return encoded.mapInPandas(run, out)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -10,12 +10,13 @@ its category best, and no weight falls below 0: words are evidence for a categor
 long text would outweigh its few telling ones.
 
 Sample. The models are fitted on the driver to a bounded sample of labelled rows: for each category the `sample` positive rows of the
-smallest hashes, and as many that are positive in none; each is cut to its places, `most_places` at most for training only.
+smallest hashes, and as many that are positive in none, of each all places (PLACES at most, four bytes each).
 Intercepts are corrected for the true share of each category in all labels. Prediction reads whole texts.
 
 Cases: null texts have no words and get the probabilities of the intercepts; a label that is null counts as 0; labels without a document
-are ignored, of repeated ones all count; without labels of one kind a category's probability is constant; repeated rows are
-predicted alike; null ids are allowed; an empty table gives an empty result; other columns pass.
+are ignored; repeated labels and documents of one key count once, with the largest label and the smallest text; without labels of one kind a category's probability is constant; repeated rows are
+predicted alike; null ids are allowed; very long texts are read whole; columns named p_<category> are replaced; an empty table gives an empty
+result; other columns pass.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, parts
+from .common import load, others, parts
 
-PLACES, SAMPLE, FEATURES, FOLDS, MOST_PLACES = 1 << 20, 3000, 8192, 3, 20_000
+PLACES, SAMPLE, FEATURES, FOLDS = 1 << 20, 3000, 8192, 3
 
 _word = re.compile(r"[^ \t-\r]+").findall
 _outer = ".,;:!?\"'()[]{}*#$%&|<>-_…«»¿¡"
@@ -195,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
 
     names = list(categories)
     h = F.xxhash64(F.col(key), F.lit("toxicity"))
-    rows = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), h.alias("h"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()))
+    rows = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), h.alias("h"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items())).groupBy("k", "h").agg(*(F.max(n).alias(n) for n in names))
     counts = rows.agg(F.count("*"), *(F.sum(n) for n in names)).first()
     rates = [(s or 0) / max(1, counts[0]) for s in counts[1:]]
     # `sample` rows of each kind at most: this is what is broadcast and what comes to the driver
@@ -212,10 +213,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
             found = []
             for t in batch.column("text"):
                 at = {p for w in items(t.as_py() or "") for p in word_places(w)}
-                found.append(sorted(at)[:MOST_PLACES])
+                found.append(sorted(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", *names)), pa.array(found, pa.list_(pa.int32()))], names=["h", *names, "places"])
 
-    joined = docs.select(F.col(key).alias("d"), F.col(text).alias("text")).join(F.broadcast(some), F.col("d") == F.col("k")).select("h", *names, "text")
+    joined = docs.select(F.col(key).alias("d"), F.col(text).alias("text")).join(F.broadcast(some), F.col("d") == F.col("k"))
+    joined = joined.groupBy("k", "h", *names).agg(F.min("text").alias("text")).select("h", *names, "text")
     got = joined.mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in names), T.StructField("places", T.ArrayType(T.IntegerType()))]))
     table = got.toArrow().sort_by([("h", "ascending")])
     y = np.column_stack([table.column(n).to_numpy() for n in names]) if table.num_rows else np.zeros((0, len(names)), int)
@@ -225,9 +227,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
 
 def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """docs without the text, with p_<category> for each."""
-    rest = [f for f in docs.schema.fields if f.name != text]
-    model = docs.sparkSession.sparkContext.broadcast((chain.tables(), [m.dense.tolist() for m in chain.models], [m.intercept for m in chain.models]))
     names = [f"p_{n}" for n in chain.categories]
+    rest = others(docs, text, *names)
+    model = docs.sparkSession.sparkContext.broadcast((chain.tables(), [m.dense.tolist() for m in chain.models], [m.intercept for m in chain.models]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -43,3 +43,21 @@ def test_operators_round_trip(spark, docs, odd):
     got = bpe.round_trip(docs(odd), path, pattern).collect()
     assert len(got) == len(odd) and all(r.n_tokens == 0 for r in got if r.doc_id in (1, 2))
     assert bpe.round_trip(docs([]), path, pattern).count() == 0
+
+
+def test_the_query_against_tiktoken(spark, codec, sf):
+    import hashlib
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = bpe.query(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        packed = b"".join(i.to_bytes(4, "little") for i in codec[1].encode_ordinary(texts[r.doc_id]))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_columns_of_the_outputs_names(spark):
+    path, pattern = bpe.public_vocabulary()
+    df = spark.createDataFrame([("hello", 1, "x")], "text string, ids int, decoded string")
+    got = bpe.decode(bpe.encode(df, path, pattern), path).first()
+    assert bytes(got.decoded) == b"hello" and len(got) == 3

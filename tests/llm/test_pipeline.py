@@ -17,7 +17,7 @@ def test_stages_against_brute_force(spark, sf):
     at = {c: i for i, c in enumerate(docs.columns)}
     pick = lambda r, *cs: tuple(r[at[c]] for c in cs)
 
-    kept = {x[0] for x in quality_brute([pick(r, "doc_id", "text", "source") for r in rows], quality_rules.AT_LEAST, quality_rules.SHARE, quality_rules.LEAST_WORDS, quality_rules.LEAST_SHARE) if x[-1]}
+    kept = {x[0] for x in quality_brute([pick(r, "doc_id", "text", "source") for r in rows], quality_rules.LIMIT, quality_rules.LEAST_WORDS, quality_rules.LEAST_SHARE) if x[-1]}
     rows = [r for r in rows if str(r[at["doc_id"]]) in kept]
     out = cp.quality(spark, docs, sf)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)

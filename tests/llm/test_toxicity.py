@@ -32,3 +32,28 @@ def test_odd_rows(spark, docs, odd):
         got = tox.predict(docs(odd), chain)
         assert got.count() == len(odd) and all(0 <= r.p_toxic <= 1 for r in got.collect())
     assert tox.predict(docs([]), chain).count() == 0
+
+
+def test_repeated_labels_and_documents_count_once(spark, docs):
+    rows = [(i, f"{'bad' if i % 2 else 'fine'} w{i}", None, "a") for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)]
+    make = lambda x: spark.createDataFrame(x, "doc_id long, bad int")
+    one, two = (tox.learn(docs(r), make(x), {"bad": F.col("bad")}) for r, x in ((rows, labels), (rows * 3, labels * 2)))
+    assert one.tables() == two.tables() and one.models[0].intercept == two.models[0].intercept
+    again = tox.predict(docs(rows).withColumn("p_bad", F.lit("x")), one)
+    assert again.columns.count("p_bad") == 1 and dict(again.dtypes)["p_bad"] == "double"
+
+
+def test_a_probability_is_what_the_models_say(spark, docs):
+    """predict() against the sum over the text's places, written out."""
+    import math
+
+    rows = [(i, f"{'awful nasty' if i % 3 == 0 else 'nice'} word{i % 7} x{i}", None, "a") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 6 == 0)) for i in range(90)], "doc_id long, a int, b int")
+    chain = tox.learn(docs(rows), labels, {"a": F.col("a"), "b": F.col("b")})
+    for r in tox.predict(docs(rows).withColumn("t", F.col("text")), chain).collect():
+        at, before = {p for w in tox.items(r.t) for p in tox.word_places(w)}, []
+        for m, table in zip(chain.models, chain.tables()):
+            s = m.intercept + sum(sum(table.get(p, 0.0) for p in tox.word_places(w)) for w in tox.items(r.t)) + sum(d * p for d, p in zip(m.dense, before))
+            before.append(1 / (1 + math.exp(-s)))
+        assert at and abs(r.p_a - before[0]) < 1e-9 and abs(r.p_b - before[1]) < 1e-9

@@ -4,18 +4,27 @@ Base. Four patterns (email, ip, card, phone) with their checks, leftmost and wit
 written with possessive repeats and anchored where a match can start, which finds the same matches in linear time and
 without deep recursion on very long runs.
 
-Method. High-recall generators propose more spans, which may overlap each other and the base: secrets and assignments,
-written-out addresses, long numbers, long mixed tokens. Each candidate has a few binned features of format (digits, length,
-separators, letters, a checksum) and context (words in the 24 characters before). Boosted trees of depth two are fitted to
-weak labels, given by stricter formats than the generators'. All candidates of all documents count in the fit: they are
-counted by (features, label) in Spark, at most one row for each combination of bins (FEATURES: 48,384 for each generator and label, whatever
-the input; a few hundred occur), and the boosting runs on that table. Its trees are then one SQL expression. The threshold is calibrated per kind on the odd documents, which the
-trees haven't seen: the lowest score at which the weak labels' precision is `precision` or more. Of overlapping
-candidates the one with the highest score is chosen (then the longer, then the earlier); those that overlap a base span go, and base spans stay.
-
-Texts are scanned once; the spans are stored, and the rest works on them. Offsets are code points, end exclusive. Everything is
-native SQL. Cases: null texts count as empty and have no spans; repeated rows are rows of their own; null ids are allowed; very long texts are
-scanned whole; without any candidate nothing is added; an empty table gives an empty result; redact() passes other columns.
+Method. High-recall generators propose more spans of any length, which may overlap each other and the base: secrets and assignments,
+written-out addresses, long numbers, tokens with digits. Each candidate has a few binned features of format (digits, length,
+separators, letters) and context (the characters beside it, words in the 24 characters before). Boosted trees of depth two are fitted to
+labels that the features don't hold: that an independent generator agrees. A secret, known by its key word, is right where the
+token generator finds its value; a token, known by its form, where it is assigned to a key word or lies in base data; a number where base data
+with its checks (Luhn, parts, digits) lies there; an address where its last part is a top-level domain. Key words, checks and
+domains are no features, so the trees must tell from form and surroundings what such evidence would say, and judge the candidates that lack it.
+
+All candidates of all documents count in the fit: they are counted by (features, label) in Spark, at most one row for each combination of bins
+(some 32,000 for each generator and label, whatever the input; a few hundred occur), and the boosting runs on that table. Its trees are then one
+SQL expression. The threshold is calibrated per kind on the documents of odd hash, which the trees haven't seen: the lowest score at which
+precision is `precision` or more; quality() gives the precision and recall there. Of overlapping candidates the one with the highest score is chosen
+(then the longer, then the earlier), then the next best that touches none chosen, until none is left; those that overlap a base span go, and base
+spans stay.
+
+Texts are scanned once; the spans are stored, and the rest works on them. Documents are dealt by a hash of id and text, so reruns
+agree however the rows are partitioned. Offsets are code points, end exclusive. Everything is native SQL.
+
+Cases: null texts count as empty and have no spans; repeated rows are rows of their own; null ids are allowed; very long texts are
+scanned whole, in time that grows with the text and its matches; without any candidate, or any label of a kind, nothing of it is added; an empty
+table gives an empty result; redact() passes other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, load, stored, with_unique_key
+from .common import BROADCAST_ROWS, load, stored, unused, with_unique_key
 
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -35,30 +44,52 @@ BASE = {
     "phone": r"\+[0-9](?:[ ().-]*+[0-9]++)++",
 }
 MORE = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}\"?[A-Za-z0-9+/_.=-]{6,}+\"?",
-    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}+(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,64}+){1,6}+",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key|apikey) *+[=:] *+\"?[A-Za-z0-9+/_.=-]{6,}+\"?",
+    "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9])[0-9](?:[ ().-]{0,2}+[0-9]){8,}+",
-    "token": r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]{0,64}[0-9])[A-Za-z0-9+/_]{20,}+",
+    "token": r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*+[0-9])[A-Za-z0-9+/_]{8,}+",
 }
 KINDS = (*BASE, *MORE)
-#: What must occur in a text at all for a pattern to match.
-NEEDS = {"email": "@", "phone": "+"}
+SECRET, ADDRESS, NUMBER, TOKEN = (KINDS.index(k) for k in MORE)
+#: What must occur in a text for a pattern to match.
+NEEDS = {"email": "@", "phone": r"\+", "secret": "AKIA|ASIA|[=:]", "address": r"[(\[]at[)\]]"}
 #: Bins of each feature.
-FEATURES = {"digits": 7, "size": 6, "separated": 2, "mixed": 2, "capitals": 2, "assigned": 2, "hex": 2, "luhn": 2, "context": 4}
-WORDS = {1: "password|token|secret|key|pass", 2: "phone|tel|call|mail|contact|card|address", 3: "version|page|fig|isbn|date|no\\.|section"}
+FEATURES = {"digits": 7, "size": 6, "separated": 2, "mixed": 2, "capitals": 2, "before": 4, "after": 4, "context": 3}
+WORDS = {1: "phone|tel|call|mail|contact|card|address", 2: "version|page|fig|isbn|date|no\\.|section"}
+DOMAINS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|ch|at|eu|us|ca|au|jp|br|in"
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.9
+#: Matches whose places are added up together.
+CHUNK = 64
 
 
-def places(text: Column, pattern: str, needs: Column) -> Column:
-    """array<struct<start,end,s>>: the matches of pattern, found between the parts that it splits text into."""
-    none = F.array().cast("array<string>")
-    hits = F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    gaps = F.when(F.size(hits) > 0, F.split(text, pattern, -1)).otherwise(none)
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), h.alias("s")))
+def cumulated(sizes: Column) -> Column:
+    """array<struct<start,end,s>> from array<struct<gap,hit,s>>. Appending to an array copies it, so sums run in chunks, whose own starts
+    are summed first."""
+    sizes_of = lambda x: x["gap"] + x["hit"]
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + sizes_of(x)))
+    starts = F.aggregate(totals, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["hit"]).alias("end"), x["s"].alias("s")))).alias("out"))
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+
+    def step(a, x):
+        start, end = a["at"] + x["gap"], a["at"] + sizes_of(x)
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("out"))
+
+    walk = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(chunks, F.slice(starts, 1, F.size(chunks)), walk))).otherwise(empty)
+
+
+def matches(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """rows with m_<kind>, array<struct<start,end,s>>: the matches in text, found between the parts that they split it into. Each step has its
+    own projection, as what is used twice would be computed twice."""
+    none = F.array().cast("array<string>")
+    text = F.col("text")
+    needs = {k: text.rlike(NEEDS.get(k, "[0-9]")) for k in patterns}
+    rows = rows.withColumns({f"h_{k}": F.when(needs[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
+    rows = rows.withColumns({f"g_{k}": F.when(F.size(f"h_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in patterns.items()})
+    pair = lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), h.alias("s"))
+    rows = rows.withColumns({f"z_{k}": F.zip_with(F.slice(f"g_{k}", 1, F.size(f"h_{k}")), F.col(f"h_{k}"), pair) for k in patterns})
+    return rows.withColumns({f"m_{k}": cumulated(F.col(f"z_{k}")) for k in patterns})
 
 
 def luhn(s: Column) -> Column:
@@ -80,53 +111,62 @@ CHECKS = {
 }
 
 
-def features(s: Column, before: Column) -> dict[str, Column]:
+def features(s: Column, before: Column, after: Column) -> dict[str, Column]:
+    """s: what is judged; before: up to 24 characters before it; after: the next one."""
     d, n = n_digits(s), F.length(s)
     bins = lambda x, edges: sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
     flag = lambda c: F.when(c, 1).otherwise(0)
+    beside = lambda c: F.when((c == "") | c.rlike(r"[\n\r]"), 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'`({\\[\\]})]"), 2).otherwise(3)
     context = F.lit(0)
     for k, words in WORDS.items():
         context = F.when(F.lower(before).rlike(words), k).otherwise(context)
     return {
         "digits": bins(d, (1, 7, 10, 14, 16, 20)), "size": bins(n, (9, 14, 17, 20, 32)), "separated": flag(s.rlike(r"[0-9][ ().-]+[0-9]")),
-        "mixed": flag(s.rlike("[A-Za-z]") & (d > 0)), "capitals": flag(~s.rlike("[a-z]") & s.rlike("[A-Z]")), "assigned": flag(s.rlike("[=:]")),
-        "hex": flag(s.rlike("[0-9a-f]{16}") & s.rlike("[a-f]")), "luhn": flag(F.when(d.between(14, 19), luhn(s)).otherwise(False)), "context": context,
+        "mixed": flag(s.rlike("[A-Za-z]") & (d > 0)), "capitals": flag(~s.rlike("[a-z]") & s.rlike("[A-Z]")),
+        "before": beside(F.right(before, F.lit(1))), "after": beside(after), "context": context,
     }
 
 
-def weak_label(kind: Column, s: Column, f: dict[str, Column]) -> Column:
-    """1 where a stricter format holds."""
-    secret = s.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$") | (s.rlike("[=:]") & (n_digits(s) > 0))
-    phone = s.rlike(r"^[(]?[0-9]{3}[)]?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$")
-    number = phone | (f["luhn"] == 1)
-    token = (f["hex"] == 1) & (f["size"] == 5)
-    return F.when(F.when(kind == "secret", secret).when(kind == "address", F.lit(True)).when(kind == "number", number).otherwise(token), 1).otherwise(0)
-
-
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """rid, doc_id, base, more: the base spans that pass their checks, and the candidates with features and weak label."""
+    """rid, doc_id, part (0 or 1), base, more: the base spans that pass their checks, and the candidates with their features."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("numeric", F.col("text").rlike("[0-9]"))
-    needs = lambda k: F.contains("text", F.lit(NEEDS[k])) if k in NEEDS else F.lit(True) if k == "address" else F.col("numeric")
-    for k, p in BASE.items():
-        rows = rows.withColumn(f"f_{k}", places(F.col("text"), p, needs(k)))
+    rows = matches(rows, BASE | MORE)
 
     def valid(k: str) -> Column:
-        return F.transform(F.filter(f"f_{k}", lambda x: CHECKS[k](x["s"])), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end")))
-
-    for k, p in MORE.items():
-        need = F.contains("text", F.lit("at")) & F.col("text").rlike(r"[(\[]at[)\]]") if k == "address" else needs(k) if k != "secret" else F.col("text").rlike("AKIA|ASIA|[=:]")
-        rows = rows.withColumn(f"m_{k}", places(F.col("text"), p, need))
+        return F.transform(F.filter(f"m_{k}", lambda x: CHECKS[k](x["s"])), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end")))
 
     def candidate(x: Column, k: str) -> Column:
         before = F.substring(F.col("text"), F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-        f = features(x["s"], before)
-        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end"), *(c.cast("int").alias(n) for n, c in f.items()), weak_label(F.lit(k), x["s"], f).alias("y"))
-
-    def candidates(k: str) -> Column:
+        after = F.substring(F.col("text"), x["end"] + 1, F.lit(1))
+        # the key word of a secret is no part of what is judged
+        value = F.regexp_replace(x["s"], "^[A-Za-z_]+ *[=:] *\"?", "") if k == "secret" else x["s"]
+        domain = F.lower(x["s"]).rlike(rf"[.)\] ]({DOMAINS})$") if k == "address" else F.lit(False)
+        f = features(value, before, after)
+        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end"), *(c.cast("int").alias(n) for n, c in f.items()), domain.alias("domain"))
+
+    def proposed(k: str) -> Column:
         return F.transform(f"m_{k}", lambda x: candidate(x, k))
 
-    return rows.select("rid", "doc_id", F.sort_array(F.concat(*map(valid, BASE))).alias("base"), F.concat(*map(candidates, MORE)).alias("more"))
+    more = F.concat(*map(proposed, MORE))
+    return rows.select("rid", "doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("part"), F.sort_array(F.concat(*map(valid, BASE))).alias("base"), more.alias("more"))
+
+
+def candidates(spans: DataFrame) -> DataFrame:
+    """rid, part, start, kind, end, the features, y (whether an independent generator agrees) and free (whether no base span is touched)."""
+    held = spans.where(F.size("more") > 0)
+    more = held.select("rid", "part", F.explode("more").alias("c")).select("rid", "part", "c.*")
+    base = held.select("rid", "part", F.explode("base").alias("c")).select("rid", "part", "c.*")
+    order = W.partitionBy("rid").orderBy("start", "end", "kind")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+
+    def meets(which: Column) -> Column:
+        ends, starts = F.max(F.when(which, F.col("end"))).over(before), F.min(F.when(which, F.col("start"))).over(after)
+        return F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+
+    kind = F.col("kind")
+    rows = more.unionByName(base, allowMissingColumns=True).withColumns({"on_base": meets(kind < len(BASE)), "on_token": meets(kind == TOKEN), "on_secret": meets(kind == SECRET)})
+    agrees = F.when(kind == SECRET, F.col("on_token")).when(kind == ADDRESS, F.col("domain")).when(kind == NUMBER, F.col("on_base")).otherwise(F.col("on_secret") | F.col("on_base"))
+    return rows.where(kind >= len(BASE)).select("rid", "part", "start", "kind", "end", *FEATURES, agrees.cast("int").alias("y"), (~F.col("on_base")).alias("free"))
 
 
 class Trees:
@@ -196,37 +236,51 @@ class Trees:
         return out
 
 
-def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[Trees, dict[int, float]]:
-    """The trees, from the documents of even rid, and each kind's threshold, from the odd ones."""
+def counted(found: DataFrame) -> dict[int, list[tuple[tuple[int, ...], float, float]]]:
+    """For each part of the documents: (kind and bins, candidates of label 1, of label 0), in order."""
     names = ["kind", *FEATURES]
-    rows = spans.select((F.pmod(F.xxhash64("doc_id", "rid"), F.lit(2))).alias("part"), F.explode("more").alias("c")).groupBy("part", *(F.col(f"c.{n}").alias(n) for n in names)).agg(F.sum("c.y").alias("pos"), F.sum(1 - F.col("c.y")).alias("neg")).collect()
-    table = lambda part: [(tuple(r[n] for n in names), float(r["pos"]), float(r["neg"])) for r in sorted(rows) if r["part"] == part]
-    trees = Trees(names).fit(table(0))
+    rows = found.groupBy("part", *names).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect()
+    return {part: sorted((tuple(r[n] for n in names), float(r["pos"]), float(r["neg"])) for r in rows if r["part"] == part) for part in (0, 1)}
+
+
+def fit(found: DataFrame, precision: float = PRECISION) -> tuple[Trees, dict[int, float], dict[str, tuple[float, float, float]]]:
+    """The trees, from the documents of part 0; each kind's threshold, from those of part 1; and by kind the precision, recall and number of
+    labels there. found: candidates()."""
+    table = counted(found)
+    trees = Trees(["kind", *FEATURES]).fit(table[0])
     thresholds: dict[int, float] = {}
+    quality: dict[str, tuple[float, float, float]] = {}
     for kind in range(len(BASE), len(KINDS)):
-        scored = sorted(((trees.score(x), p, n) for x, p, n in table(1) if x[0] == kind), reverse=True)
+        scored = sorted(((trees.score(x), p, n) for x, p, n in table[1] if x[0] == kind), reverse=True)
         pos = neg = 0.0
+        labels = sum(p for _, p, _ in scored)
         for i, (s, p, n) in enumerate(scored):
             pos, neg = pos + p, neg + n
-            if (i + 1 == len(scored) or scored[i + 1][0] < s) and pos >= precision * (pos + neg):
+            if (i + 1 == len(scored) or scored[i + 1][0] < s) and pos > 0 and pos >= precision * (pos + neg):
                 thresholds[kind] = s
-    return trees, thresholds
+                quality[KINDS[kind]] = (pos / (pos + neg), pos / labels, labels)
+    return trees, thresholds, quality
+
+
+def picked(run: Column) -> Column:
+    """Of a run's candidates, best first, each that touches none picked before it."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    free = lambda a, x: ~F.exists(a, lambda o: (o["start"] < x["end"]) & (o["end"] > x["start"]))
+    add = lambda a, x: F.concat(a, F.array(F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return F.aggregate(run, none, lambda a, x: F.when(free(a, x), add(a, x)).otherwise(a))
 
 
-def chosen(spans: DataFrame, trees: Trees, thresholds: dict[int, float]) -> DataFrame:
+def chosen(spans: DataFrame, found: DataFrame, trees: Trees, thresholds: dict[int, float]) -> DataFrame:
     """rid, doc_id, base, spans: all spans, array<struct<start,kind,end>> by start and kind."""
     passes = F.lit(False)
     for kind, t in thresholds.items():
         passes = passes | ((F.col("kind") == kind) & (F.col("score") >= t - 1e-9))
-    more = spans.where(F.size("more") > 0).select("rid", "base", F.explode("more").alias("c")).select("rid", "base", "c.*")
-    more = more.withColumn("score", trees.expression(F.col)).where(passes)
-    more = more.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).select("rid", "start", "kind", "end", "score")
-    # a run of overlapping candidates gives its best; the next best that touches none chosen stays out, too
+    more = found.where("free").withColumn("score", trees.expression(F.col)).where(passes).select("rid", "start", "kind", "end", "score")
     order = W.partitionBy("rid").orderBy("start", "end", "kind")
-    more = more.withColumn("fresh", F.when(F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) <= F.col("start"), 1).otherwise(0))
-    more = more.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    best = F.max_by(F.struct("start", "kind", "end"), F.struct("score", F.col("end") - F.col("start"), -F.col("start"), -F.col("kind")))
-    added = more.groupBy("rid", "run").agg(best.alias("s")).groupBy(F.col("rid").alias("r")).agg(F.collect_list("s").alias("added"))
+    fresh = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) <= F.col("start")
+    more = more.withColumn("fresh", F.when(fresh, 1).otherwise(0)).withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), (F.col("start") - F.col("end")).alias("n"), "start", "kind", "end")))
+    added = more.groupBy("rid", "run").agg(picked(best).alias("s")).groupBy(F.col("rid").alias("r")).agg(F.flatten(F.collect_list("s")).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return spans.join(added, F.col("rid") == F.col("r"), "left").select("rid", "doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
@@ -234,7 +288,14 @@ def chosen(spans: DataFrame, trees: Trees, thresholds: dict[int, float]) -> Data
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """rid, doc_id, base, spans of each document; `kind` is an index of KINDS."""
     spans = stored(scan(docs, text, key), "pii")
-    return chosen(spans, *fit(spans))
+    found = stored(candidates(spans), "candidates")
+    trees, thresholds, _ = fit(found)
+    return chosen(spans, found, trees, thresholds)
+
+
+def quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> dict[str, tuple[float, float, float]]:
+    """Precision and recall of the chosen thresholds, and the number of labels, by kind, in the documents that the trees haven't seen."""
+    return fit(stored(candidates(stored(scan(docs, text, key), "pii")), "candidates"))[2]
 
 
 def joined(spans: str) -> Column:
@@ -245,18 +306,28 @@ def name(kind: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, KINDS)), kind + 1)
 
 
+def disjoint(found: DataFrame) -> DataFrame:
+    """k, spans of each document of find() that has any: overlapping ones made one, of the kind of the first."""
+    order = W.partitionBy("rid").orderBy("start", "kind", "end")
+    rows = found.select("rid", "doc_id", F.explode("spans").alias("s")).select("rid", "doc_id", "s.*")
+    fresh = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) <= F.col("start")
+    rows = rows.withColumn("fresh", F.when(fresh, 1).otherwise(0)).withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy("rid", "doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
+    return runs.groupBy("rid", F.col("doc_id").alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans")).select("k", "spans")
+
+
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with each span of the text replaced by its kind in brackets."""
-    rows, own = with_unique_key(docs, key)
-    spans = find(rows, text, own).where(F.size("spans") > 0).select(F.col("doc_id").alias("_k"), "spans")
-    spans = stored(spans, "spans")
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    keep = lambda a, x: F.substring(F.col(text), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-    step = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(keep(a, x), F.concat(F.lit("["), F.upper(name(x["kind"])), F.lit("]"))))).otherwise(a["out"]).alias("out"))
-    done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    rows = rows.join(F.broadcast(spans) if few else spans, F.col(own) == F.col("_k"), "left")
-    return rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
+    """docs with each span of the text replaced by its kind in brackets; of overlapping spans the first is named."""
+    names = docs.columns
+    docs, own = with_unique_key(docs, key)
+    id_, at = unused(docs, "_k"), unused(docs, "_spans")
+    spans = stored(disjoint(find(docs, text, own)).toDF(id_, at), "spans")
+    few = (spans.agg(F.sum(F.size(at))).first()[0] or 0) <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(spans) if few else spans, F.col(own) == F.col(id_), "left")
+    ended = lambda i: F.when(i > 0, F.element_at(at, F.greatest(i, F.lit(1)))["end"]).otherwise(0)
+    piece = lambda x, i: F.concat(F.substring(F.col(text), ended(i) + 1, x["start"] - ended(i)), F.lit("["), F.upper(name(x["kind"])), F.lit("]"))
+    done = F.concat(F.array_join(F.transform(at, piece), ""), F.substring(F.col(text), F.element_at(at, -1)["end"] + 1, F.length(F.col(text))))
+    return rows.withColumn(text, F.when(F.col(at).isNull(), F.col(text)).otherwise(done)).select(*names)
 
 
 def of_kind(i: int):

@@ -124,3 +124,29 @@ LEDGER = """ledger AS (
 def with_(*tables: str) -> str:
     """WITH ... for a query on these tables."""
     return "WITH " + ",\n".join(tables) + "\n"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of book and trade records as a vendor sends them: instrument, us, seq, sequence, contract, action (T trade, A add, C cancel, N nothing,
+    R clear), side, price and level prices in 1e-9 units (2^63 - 1: undefined), size, levels as array<struct<bid_px,bid_sz,ask_px,ask_sz>>."""
+    nth = F.row_number().over(W.partitionBy("instrument").orderBy("seq"))
+    t = tape(spark, sf_dir).withColumn("nth", nth)
+    k, unit = F.col("k"), 250_000_000
+    action = F.when(k % 97 == 0, "N").when(k % 89 == 0, "R").when((F.col("side") != "N") & (k % 3 != 0), "T").when(k % 5 == 0, "C").otherwise("A")
+    bid, ask = F.col("px_ticks") - 1 - k % 2, F.when(k % 67 == 0, F.col("px_ticks") - 1 - k % 2).otherwise(F.col("px_ticks") + 1 + F.floor(k / 2) % 2)
+    level = lambda i: F.struct(((bid - i) * unit).alias("bid_px"), ((k + 7 * i) % 50).alias("bid_sz"), ((ask + i) * unit).alias("ask_px"), ((k + 11 * i) % 40 + 1).alias("ask_sz"))
+    none = F.array().cast("array<struct<bid_px:bigint,bid_sz:bigint,ask_px:bigint,ask_sz:bigint>>")
+    levels = F.when(k % 83 == 0, none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")), level))
+    return t.select(
+        "instrument", "us", "seq", (F.col("nth") + F.floor(F.col("nth") / 40)).cast("long").alias("sequence"), (1 + F.floor(F.col("us") / (9 * 86_400_000_000)) % 2).cast("int").alias("contract"), action.alias("action"), "side",
+        F.when(k % 59 == 0, F.lit(2**63 - 1)).otherwise(F.col("px_ticks") * unit).alias("price"), F.when(k % 53 == 0, 0).otherwise(F.col("sz")).cast("long").alias("size"), levels.alias("levels"),
+    )
+
+
+RECORDS = """records AS (
+  SELECT instrument, us, seq, nth + nth // 40 AS sequence, CAST(1 + us // (9 * 86400000000) % 2 AS INTEGER) AS contract,
+         CASE WHEN k % 97 = 0 THEN 'N' WHEN k % 89 = 0 THEN 'R' WHEN side <> 'N' AND k % 3 <> 0 THEN 'T' WHEN k % 5 = 0 THEN 'C' ELSE 'A' END AS action, side,
+         CASE WHEN k % 59 = 0 THEN 9223372036854775807 ELSE px_ticks * 250000000 END AS price, CASE WHEN k % 53 = 0 THEN 0 ELSE sz END AS size,
+         CASE WHEN k % 83 = 0 THEN [] ELSE list_transform([0, 1, 2], lambda i: {'bid_px': (px_ticks - 1 - k % 2 - i) * 250000000, 'bid_sz': (k + 7 * i) % 50, 'ask_px': (CASE WHEN k % 67 = 0 THEN px_ticks - 1 - k % 2 ELSE px_ticks + 1 + k // 2 % 2 END + i) * 250000000, 'ask_sz': (k + 11 * i) % 40 + 1}) END AS levels
+  FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY seq) AS nth FROM tape)
+)"""

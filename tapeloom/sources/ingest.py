@@ -12,29 +12,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Names by which a column may go, after all but letters and digits is taken away.
-ALIASES = {
-    "ts": ("timestamp", "time", "date", "datetime", "ts", "opentime", "t"),
-    "open": ("open", "openprice", "o"),
-    "high": ("high", "highprice", "max", "h"),
-    "low": ("low", "lowprice", "min", "l"),
-    "close": ("close", "closeprice", "last", "c"),
-    "volume": ("volume", "vol", "basevolume", "v"),
-}
-NEVER = ("closetime", "quotevolume", "ignore")
+#: Parts of a header that say what it holds, and those that say it holds something else than a bar's own value.
+_PARTS = re.compile("open|high|low|close|vol|time|date")
+_OTHER = re.compile("quote|taker|count|number|adj|turnover")
+
+
+def role(header: str) -> tuple[str, int] | None:
+    """The field that a header stands for, and how many letters it has besides; null for none. A time is the bar's own if no price but the
+    open goes with it; a single letter is a field's initial."""
+    plain = re.sub("[^a-z0-9]", "", header.lower())
+    parts = _PARTS.findall(plain)
+    prices = [x for x in parts if x in ("open", "high", "low", "close")]
+    if _OTHER.search(plain):
+        return None
+    if "time" in parts or "date" in parts or plain == "ts":
+        return ("ts", len(plain)) if prices in ([], ["open"]) else None
+    if "vol" in parts:
+        return "volume", len(plain)
+    if len(prices) == 1:
+        return prices[0], len(plain)
+    return next(((f, 1) for f in ("ts", "open", "high", "low", "close", "volume") if plain == f[0]), None)
 
 
 def map_columns(header: list[str]) -> dict[str, str]:
-    """Which header stands for which field: exact names first, then the longest name that a header contains."""
-    plain = {h: re.sub("[^a-z0-9]", "", h.lower()) for h in header}
-    found: dict[str, str] = {}
-    for field, names in ALIASES.items():
-        free = [h for h in header if h not in found.values() and plain[h] not in NEVER]
-        exact = [h for n in names for h in free if plain[h] == n]
-        part = [h for n in sorted(names, key=len, reverse=True) if len(n) > 2 for h in free if n in plain[h]]
-        if exact or part:
-            found[field] = (exact or part)[0]
-    return found
+    """Which header stands for which field: of several the shortest, then the first."""
+    found: dict[str, tuple[int, str]] = {}
+    for h in header:
+        if (r := role(h)) and (r[0] not in found or r[1] < found[r[0]][0]):
+            found[r[0]] = (r[1], h)
+    return {field: h for field, (_, h) in found.items()}
 
 
 def to_number(c: Column) -> Column:
@@ -44,11 +50,14 @@ def to_number(c: Column) -> Column:
 
 
 def to_timestamp_us(c: Column) -> Column:
-    """Epoch microseconds from seconds, milli-, micro- or nanoseconds by size, or from ISO text taken as UTC."""
+    """Epoch microseconds from seconds, milli-, micro- or nanoseconds by size, or from text taken as UTC: ISO, or a date with or
+    without a time, year, day or month first."""
     n = F.trim(c.cast("string")).try_cast("double")
     scale = F.when(n >= 1e17, n / 1e3).when(n >= 1e14, n).when(n >= 1e11, n * 1e3).otherwise(n * 1e6)
-    text = F.unix_micros(F.try_to_timestamp(c.cast("string")))
-    return F.coalesce(F.round(scale).cast("long"), text)
+    text = F.trim(c.cast("string"))
+    # year first as ISO has it; then day or, where that can't be, month first
+    forms = [F.try_to_timestamp(text), *(F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd-MM-yyyy HH:mm", "MM-dd-yyyy HH:mm"))]
+    return F.coalesce(F.round(scale).cast("long"), F.unix_micros(F.coalesce(*forms)))
 
 
 def clean(raw: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:

@@ -163,11 +163,11 @@ def refusals(touches: DataFrame, max_gap: int) -> DataFrame:
     return touches.withColumn("reason", why).groupBy("instrument", "reason").agg(F.count("*").alias("n"))
 
 
-def message_rate(prints: DataFrame, seconds: int) -> DataFrame:
-    """Prints a second of the trailing seconds, and sells over buys among them (null without a buy)."""
+def message_rate(records: DataFrame, seconds: int) -> DataFrame:
+    """Messages of the trailing seconds, and cancels over adds among them; null without an add, as there is nothing to compare with."""
     t = trailing(seconds)
-    n = lambda s: F.count_if(F.col("side") == s).over(t)
-    return prints.select("instrument", "seq", (F.count("*").over(t) / seconds).alias("rate"), F.try_divide(n("A"), n("B")).alias("cancel_add"))
+    n = lambda a: F.count_if(F.col("action") == a).over(t)
+    return records.select("instrument", "seq", F.count("*").over(t).alias("messages"), F.try_divide(n("C"), n("A")).alias("cancel_add"))
 
 
 def rolling_stats(bars: DataFrame, x: str, window: int, current: bool, population: bool, least: int) -> DataFrame:

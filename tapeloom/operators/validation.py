@@ -6,12 +6,14 @@ number. Draws come from a 31-bit congruential generator, so any engine repeats t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z95
-from .outcomes import lcg
+from .outcomes import first_touch, lcg, range_join
 
 
 def lift(rows: DataFrame, by: list[Column], touched: str = "touched", expected: str = "expected") -> DataFrame:
@@ -93,3 +95,28 @@ def mean_table(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     e = F.lit(Z95) * F.col("sd") / F.sqrt("n")
     return g.withColumns({"lo": F.col("mean") - e, "hi": F.col("mean") + e})
+
+
+def after_touch(events: DataFrame, prints: DataFrame, horizon_us: int, follow_us: int) -> DataFrame:
+    """event_id, move: of the events whose level is touched, how far price is beyond it, in the direction that led there, at the last print of the
+    follow_us after the touch. events: event_id, instrument, at_us, spot, level."""
+    t = first_touch(events, prints, horizon_us).where("touched").select("event_id", "minutes")
+    hit = events.join(t, "event_id").select("event_id", "instrument", "spot", "level", (F.col("at_us") + F.round(F.col("minutes") * 60e6).cast("long")).alias("at_us"))
+    x = range_join(hit, prints, follow_us).groupBy("event_id", "spot", "level").agg(F.max_by("px", F.struct("us", "seq")).alias("end"))
+    return x.select("event_id", ((F.col("end") - F.col("level")) * F.when(F.col("level") >= F.col("spot"), 1).otherwise(-1)).alias("move"))
+
+
+def size_effect(rows: DataFrame, size: str, groups: int, draws: int, seed: int, least: int = 10) -> DataFrame:
+    """The lift of touches by bands of size of equal numbers, each with its bootstrapped interval: whether bands differ is what is asked. rows: size,
+    touched, expected, block. The cuts, one number a band, are learned first; bands of fewer than `least` rows go."""
+    cuts = rows.agg(*(F.percentile(size, F.lit(i / groups)).alias(f"c{i}") for i in range(groups))).first()
+    out = []
+    for i in range(groups):
+        if cuts[i] is None:
+            continue
+        band = rows.where(F.col(size) >= cuts[i]) if i + 1 == groups else rows.where((F.col(size) >= cuts[i]) & (F.col(size) < cuts[i + 1]))
+        told = band.agg(F.lit(float(cuts[i])).alias("cut"), F.count("*").alias("n"), F.avg("touched").alias("observed"), F.avg("expected").alias("mean"))
+        lift = block_bootstrap(band, "block", "touched", "expected", draws, seed + i).select(F.col("ratio").alias("lift"), "lo", "hi")
+        out.append(told.crossJoin(lift).where(F.col("n") >= least).select("cut", "n", "observed", F.col("mean").alias("expected"), "lift", "lo", "hi"))
+    none = rows.sparkSession.createDataFrame([], "cut double, n long, observed double, expected double, lift double, lo double, hi double")
+    return reduce(DataFrame.unionByName, out, none)

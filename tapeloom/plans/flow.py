@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import flow as O
-from ..sources.fixtures import DEPTH, TAPE, TOUCH, depth, tape, touch, with_
+from ..sources.fixtures import DEPTH, RECORDS, TAPE, TOUCH, depth, records, tape, touch, with_
 from .bars import BARS, hours
 
 LAST = "WINDOW w AS (PARTITION BY instrument ORDER BY seq)"
@@ -36,7 +36,7 @@ QUERIES = {
     "vwap_bands": lambda s, sf: O.vwap_bands(hours(s, sf)),
     "atr14": lambda s, sf: O.atr(hours(s, sf), 14),
     "refusals_count": lambda s, sf: O.refusals(touch(tape(s, sf)), 20),
-    "message_rate": lambda s, sf: O.message_rate(tape(s, sf), DAY),
+    "message_rate": lambda s, sf: O.message_rate(records(s, sf), DAY),
     "rolling_z_population": lambda s, sf: O.rolling_stats(hours(s, sf), "delta", 30, True, True, 30),
     "rolling_z_excluding": lambda s, sf: O.rolling_stats(hours(s, sf), "delta", 60, False, False, 10),
     "delta_flips": lambda s, sf: O.flips(hours(s, sf), 12),
@@ -96,8 +96,8 @@ SELECT *, vwap + sd AS upper1, vwap - sd AS lower1, vwap + 2 * sd AS upper2, vwa
 SELECT *, CASE WHEN count(*) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM t WINDOW w AS (PARTITION BY instrument ORDER BY bar_us ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
     "refusals_count": with_(TAPE, TOUCH)
     + f", r AS (SELECT instrument, CASE WHEN lag(seq) OVER w IS NULL THEN 'first' WHEN bid_px >= ask_px THEN 'crossed' WHEN seq - lag(seq) OVER w > 20 THEN 'gap' ELSE 'ok' END AS reason FROM touch {LAST}) SELECT instrument, reason, count(*) AS n FROM r GROUP BY ALL",
-    "message_rate": with_(TAPE)
-    + f"SELECT instrument, seq, count(*) OVER t / 86400 AS rate, (count(*) FILTER (WHERE side = 'A') OVER t) / nullif(count(*) FILTER (WHERE side = 'B') OVER t, 0) AS cancel_add FROM tape WINDOW t AS {rng(DAY)}",
+    "message_rate": with_(TAPE, RECORDS)
+    + """SELECT instrument, seq, count(*) OVER w AS messages, count_if(action = 'C') OVER w / nullif(count_if(action = 'A') OVER w, 0) AS cancel_add FROM records WINDOW w AS (PARTITION BY instrument ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""",
     "rolling_z_population": rolling("29 PRECEDING AND CURRENT ROW", "stddev_pop", 30),
     "rolling_z_excluding": rolling("60 PRECEDING AND 1 PRECEDING", "stddev_samp", 10),
     "delta_flips": BARS

@@ -38,11 +38,17 @@ HALVES = ", a AS (SELECT * FROM daily WHERE dayofyear(ts) % 3 <> 0), b AS (SELEC
 
 
 def pools(s, sf):
-    li = table(s, sf, "lineitem").where("l_linenumber = 1 and l_orderkey % 40 = 0")
-    return li.groupBy(F.col("l_orderkey").alias("pool")).agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.sum(F.col("l_quantity").cast("long")).alias("q")).select("pool", (F.col("s") % 12).alias("token0"), (F.col("p") % 12).alias("token1"), (1000 + F.col("q")).alias("reserve0"), (1000 + F.col("p") % 50).alias("reserve1"), F.lit(3000).alias("fee_ppm"))
+    """Three pools of each line: its supplier against its part, its part against its order, its order against its supplier."""
+    q, line = F.col("l_quantity").cast("long"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    names = {"s": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), "p": F.concat(F.lit("P"), F.col("l_partkey").cast("string")), "o": F.concat(F.lit("O"), F.col("l_orderkey").cast("string"))}
+    li = table(s, sf, "lineitem").select(line.cast("long").alias("line"), q.alias("q"), (F.col("l_partkey") % 50).alias("r"), *(c.alias(k) for k, c in names.items()))
+    three = F.array(*(F.struct(F.col(a).alias("token0"), F.col(b).alias("token1"), F.lit(i).alias("i")) for i, (a, b) in enumerate(("sp", "po", "os"))))
+    x = li.withColumn("x", F.explode(three))
+    return x.select((F.col("line") * 3 + F.col("x.i")).alias("pool"), "x.token0", "x.token1", (1000 + F.col("q") * (F.col("x.i") + 1)).alias("reserve0"), (1000 + F.col("r") * (3 - F.col("x.i"))).alias("reserve1"), F.lit(3000).alias("fee_ppm"))
 
 
-POOLS = """pools AS (SELECT pool, s % 12 AS token0, p % 12 AS token1, 1000 + q AS reserve0, 1000 + p % 50 AS reserve1 FROM (SELECT l_orderkey AS pool, min(l_suppkey) AS s, min(l_partkey) AS p, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 0 GROUP BY l_orderkey)),
+POOLS = """li AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS line, CAST(trunc(l_quantity) AS BIGINT) AS q, l_partkey % 50 AS r, 'S' || l_suppkey AS s, 'P' || l_partkey AS p, 'O' || l_orderkey AS o FROM lineitem),
+pools AS (SELECT line * 3 AS pool, s AS token0, p AS token1, 1000 + q AS reserve0, 1000 + r * 3 AS reserve1 FROM li UNION ALL SELECT line * 3 + 1, p, o, 1000 + q * 2, 1000 + r * 2 FROM li UNION ALL SELECT line * 3 + 2, o, s, 1000 + q * 3, 1000 + r FROM li),
 edges AS (SELECT pool, token0 AS a, token1 AS b, reserve1 / reserve0 * (1 - 3000 / 1e6) AS rate FROM pools WHERE token0 <> token1 UNION ALL SELECT pool, token1, token0, reserve0 / reserve1 * (1 - 3000 / 1e6) FROM pools WHERE token0 <> token1)"""
 
 
@@ -104,8 +110,8 @@ QUERIES = {
     "snapshot_counts": snapshot_counts,
     "size_bands": size_bands,
     "notional_profile": by_tape,
-    "dex_cycles2": lambda s, sf: G.cycles2(G.swaps(pools(s, sf)), 1.0),
-    "dex_cycles3": lambda s, sf: G.cycles3(G.swaps(pools(s, sf)), 1.05),
+    "dex_cycles2": lambda s, sf: G.cycles2(G.swaps(pools(s, sf)), 1.02),
+    "dex_cycles3": lambda s, sf: G.cycles3(G.swaps(pools(s, sf)), 1.15),
     "callbook_coverage": lambda s, sf: L.callbook(calls(s, sf).withColumn("mark", (F.col("prints") % 3).cast("int")), ["mark"]),
 }
 
@@ -137,8 +143,8 @@ SELECT instrument, bar_us, CASE WHEN net > 0 THEN 'up' WHEN net < 0 THEN 'down'
     + "SELECT CASE WHEN held_s <= (SELECT quantile_cont(held_s, 1 / 3) FROM ledger) THEN 'low' WHEN held_s <= (SELECT quantile_cont(held_s, 2 / 3) FROM ledger) THEN 'middle' ELSE 'high' END AS band, count(*) AS n, avg(net_bps) AS mean_net, min(held_s) AS from_s, max(held_s) AS to_s FROM ledger GROUP BY ALL",
     "notional_profile": with_(TAPE)
     + ", p AS (SELECT instrument, CAST(floor(px_ticks / 4) AS BIGINT) * 4 AS step, CAST(sum(CASE WHEN side = 'B' THEN px_ticks * sz ELSE 0 END) AS BIGINT) AS bought, CAST(sum(CASE WHEN side = 'A' THEN px_ticks * sz ELSE 0 END) AS BIGINT) AS sold FROM tape GROUP BY ALL) SELECT *, (bought + sold) / sum(bought + sold) OVER (PARTITION BY instrument) AS share FROM p",
-    "dex_cycles2": with_(POOLS) + "SELECT x.a, x.b, x.pool AS p1, y.pool AS p2, x.rate * y.rate AS gain FROM edges x JOIN edges y ON x.b = y.a AND x.a = y.b AND x.pool <> y.pool WHERE x.a < x.b AND x.rate * y.rate >= 1.0",
-    "dex_cycles3": with_(POOLS) + "SELECT x.a, x.b, y.b AS c, x.pool AS p1, y.pool AS p2, z.pool AS p3, x.rate * y.rate * z.rate AS gain FROM edges x JOIN edges y ON x.b = y.a JOIN edges z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.pool <> y.pool AND y.pool <> z.pool AND x.pool <> z.pool AND x.rate * y.rate * z.rate >= 1.05",
+    "dex_cycles2": with_(POOLS) + "SELECT x.a, x.b, x.pool AS p1, y.pool AS p2, x.rate * y.rate AS gain FROM edges x JOIN edges y ON x.b = y.a AND x.a = y.b AND x.pool <> y.pool WHERE x.a < x.b AND x.rate * y.rate >= 1.02",
+    "dex_cycles3": with_(POOLS) + "SELECT x.a, x.b, y.b AS c, x.pool AS p1, y.pool AS p2, z.pool AS p3, x.rate * y.rate * z.rate AS gain FROM edges x JOIN edges y ON x.b = y.a JOIN edges z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.pool <> y.pool AND y.pool <> z.pool AND x.pool <> z.pool AND x.rate * y.rate * z.rate >= 1.15",
     "callbook_coverage": BARS
     + CALLS.replace("volume FROM bars", "volume, CAST(prints % 3 AS INTEGER) AS mark FROM bars")
     + """, g AS (SELECT mark, count(*) AS offered, count_if(side <> 0) AS called, count_if(side <> 0 AND outcome <> 0) AS scored, count_if(side <> 0 AND outcome = side) AS hits, count_if(side <> 0 AND outcome <> 0 AND outcome = naive) AS naive_hits, count_if(side <> 0 AND side = naive) AS agreed FROM calls GROUP BY ALL)

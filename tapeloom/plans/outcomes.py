@@ -17,8 +17,8 @@ def prints(s, sf):
 
 
 def touches(s, sf):
-    p = tape(s, sf).where(F.col("seq") % 10 == 0)
-    return p.select(F.col("seq").alias("event_id"), "instrument", F.col("us").alias("at_us"), F.col("px_ticks").alias("spot"), (F.col("px_ticks") + F.col("k") % 11 - 5).alias("level"))
+    """Every print sets a level of up to five ticks away."""
+    return tape(s, sf).select(F.col("seq").alias("event_id"), "instrument", F.col("us").alias("at_us"), F.col("px_ticks").alias("spot"), (F.col("px_ticks") + F.col("k") % 11 - 5).alias("level"))
 
 
 def signals(s, sf):
@@ -84,7 +84,7 @@ LCG2 = "((1103515245 * ((1103515245 * (({x}) % 2147483648) + 12345) % 2147483648
 
 ORACLE = {
     "touch_resolve": with_(TAPE)
-    + f""", e AS (SELECT seq AS event_id, instrument, us AS at_us, px_ticks AS spot, px_ticks + k % 11 - 5 AS level FROM tape WHERE seq % 10 = 0),
+    + f""", e AS (SELECT seq AS event_id, instrument, us AS at_us, px_ticks AS spot, px_ticks + k % 11 - 5 AS level FROM tape),
 x AS (SELECT event_id, min(CASE WHEN CASE WHEN level >= spot THEN px_ticks >= level ELSE px_ticks <= level END THEN us END) AS hit_us, arg_max(px_ticks, seq) AS last_px, count(*) AS prints FROM e JOIN tape t ON t.instrument = e.instrument AND us > at_us AND us <= at_us + {HORIZON} GROUP BY ALL)
 SELECT event_id, instrument, spot, level, hit_us IS NOT NULL AS touched, (hit_us - at_us) / 60e6 AS minutes, last_px, coalesce(prints, 0) AS prints FROM e LEFT JOIN x USING (event_id)""",
     "triple_barrier": barrier_sql(4, 3)

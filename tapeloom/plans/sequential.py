@@ -41,18 +41,22 @@ def recursive(*tables: str) -> str:
 JOIN = "JOIN o ON o.instrument = st.instrument AND o.i = st.i + 1"
 SG = "CASE side WHEN 'B' THEN sz WHEN 'A' THEN -sz ELSE 0 END"
 
+OFI_BARS = f""", st AS (SELECT instrument, i, seq, us, 0 AS bar, CAST(ofi AS BIGINT) AS acc, 1 AS n, us AS start, bid_px + ask_px AS o2, bid_px + ask_px AS h2, bid_px + ask_px AS l2, bid_px + ask_px AS m2, CAST(0 AS BIGINT) AS path,
+    CASE WHEN ofi >= 100 THEN 'GREEN' WHEN ofi <= -100 THEN 'RED' END AS colour FROM o WHERE i = 1
+  UNION ALL SELECT instrument, i, seq, us, bar, acc, n, start, o2, h2, l2, m2, path, CASE WHEN acc >= 100 THEN 'GREEN' WHEN acc <= -100 THEN 'RED' WHEN us - start >= {6 * 3600 * 1_000_000} AND n >= 5 THEN 'CHOP' END FROM (
+    SELECT o.instrument, o.i, o.seq, o.us, CASE WHEN colour IS NULL THEN bar ELSE bar + 1 END AS bar, CASE WHEN colour IS NULL THEN acc ELSE 0 END + o.ofi AS acc, CASE WHEN colour IS NULL THEN n ELSE 0 END + 1 AS n, CASE WHEN colour IS NULL THEN start ELSE st.us END AS start,
+      CASE WHEN colour IS NULL THEN o2 ELSE m2 END AS o2, greatest(CASE WHEN colour IS NULL THEN h2 ELSE m2 END, bid_px + ask_px) AS h2, least(CASE WHEN colour IS NULL THEN l2 ELSE m2 END, bid_px + ask_px) AS l2, bid_px + ask_px AS m2, CASE WHEN colour IS NULL THEN path ELSE 0 END + abs(bid_px + ask_px - m2) AS path FROM st {JOIN})),
+ob AS (SELECT instrument, CAST(bar AS BIGINT) AS bar, seq AS last_seq, coalesce(colour, 'OPEN') AS colour, o2 AS open2, h2 AS high2, l2 AS low2, m2 AS close2, acc AS ofi, CAST(n AS BIGINT) AS updates, path AS path2 FROM st JOIN (SELECT instrument, i, m FROM o) USING (instrument, i) WHERE colour IS NOT NULL OR i = m)
+"""
+
 ORACLE = {
     "delta_bars": recursive(TAPE, ordered("tape"))
     + f""", st AS (SELECT instrument, i, seq, 0 AS bar, CAST({SG} AS BIGINT) AS acc, abs({SG}) >= 60 AS fin FROM o WHERE i = 1
   UNION ALL SELECT o.instrument, o.i, o.seq, CASE WHEN fin THEN bar + 1 ELSE bar END, CASE WHEN fin THEN 0 ELSE acc END + {SG}, abs(CASE WHEN fin THEN 0 ELSE acc END + {SG}) >= 60 FROM st {JOIN})
 SELECT instrument, CAST(bar AS BIGINT) AS bar, min(o.seq) AS first_seq, arg_min(px_ticks, o.seq) AS open, max(px_ticks) AS high, min(px_ticks) AS low, arg_max(px_ticks, o.seq) AS close, CAST(sum(sz) AS BIGINT) AS volume, arg_max(acc, o.seq) AS delta, bool_or(fin) AS closed FROM st JOIN o USING (instrument, i) GROUP BY ALL""",
     "ofi_bars": recursive(TAPE, TOUCH, L1, "lt AS (SELECT t.*, coalesce(l.ofi, 0) AS ofi FROM touch t JOIN l1 l USING (instrument, seq))", ordered("lt"))
-    + f""", st AS (SELECT instrument, i, seq, us, 0 AS bar, CAST(ofi AS BIGINT) AS acc, 1 AS n, us AS start, bid_px + ask_px AS o2, bid_px + ask_px AS h2, bid_px + ask_px AS l2, bid_px + ask_px AS m2, CAST(0 AS BIGINT) AS path,
-    CASE WHEN ofi >= 100 THEN 'GREEN' WHEN ofi <= -100 THEN 'RED' END AS colour FROM o WHERE i = 1
-  UNION ALL SELECT instrument, i, seq, us, bar, acc, n, start, o2, h2, l2, m2, path, CASE WHEN acc >= 100 THEN 'GREEN' WHEN acc <= -100 THEN 'RED' WHEN us - start >= {6 * 3600 * 1_000_000} AND n >= 5 THEN 'CHOP' END FROM (
-    SELECT o.instrument, o.i, o.seq, o.us, CASE WHEN colour IS NULL THEN bar ELSE bar + 1 END AS bar, CASE WHEN colour IS NULL THEN acc ELSE 0 END + o.ofi AS acc, CASE WHEN colour IS NULL THEN n ELSE 0 END + 1 AS n, CASE WHEN colour IS NULL THEN start ELSE st.us END AS start,
-      CASE WHEN colour IS NULL THEN o2 ELSE m2 END AS o2, greatest(CASE WHEN colour IS NULL THEN h2 ELSE m2 END, bid_px + ask_px) AS h2, least(CASE WHEN colour IS NULL THEN l2 ELSE m2 END, bid_px + ask_px) AS l2, bid_px + ask_px AS m2, CASE WHEN colour IS NULL THEN path ELSE 0 END + abs(bid_px + ask_px - m2) AS path FROM st {JOIN}))
-SELECT instrument, CAST(bar AS BIGINT) AS bar, seq AS last_seq, coalesce(colour, 'OPEN') AS colour, o2 AS open2, h2 AS high2, l2 AS low2, m2 AS close2, acc AS ofi, CAST(n AS BIGINT) AS updates, path AS path2 FROM st JOIN (SELECT instrument, i, m FROM o) USING (instrument, i) WHERE colour IS NOT NULL OR i = m""",
+    + OFI_BARS
+    + "SELECT * FROM ob",
     "fused_bars": recursive(TAPE, TOUCH, L1, "lt AS (SELECT t.instrument, t.seq, t.us, coalesce(l.ofi, 0) AS ofi FROM touch t JOIN l1 l USING (instrument, seq))", ordered("lt"))
     + f""", st AS (SELECT instrument, i, seq, us, 0 AS bar, CAST(ofi AS BIGINT) AS acc, 1 AS n, us AS start, CAST(NULL AS VARCHAR) AS tr FROM o WHERE i = 1
   UNION ALL SELECT instrument, i, seq, us, bar, acc, n, start, CASE WHEN n >= 8 AND abs(acc) >= 50 THEN 'both' WHEN us - start >= {12 * 3600 * 1_000_000} THEN 'time' END FROM (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import calendar as cal
 from tapeloom.functions import market, stats, verdicts
-from tapeloom.operators import bars, book, flow, graph, machines, outcomes, profile, sequential, structure, studies, validation
+from tapeloom.operators import bars, book, flow, graph, machines, outcomes, positions, profile, sequential, structure, studies, validation
 from tapeloom.sources import ingest
 
 TAPE = "instrument string, us long, seq long, px_ticks long, sz long, side string"
@@ -92,13 +92,6 @@ def test_walk_of_a_book(spark):
     assert got == {1: (7, 12, 2, False), 2: (0, None, 0, True)}
 
 
-def plain_days(rows, key):
-    out = {}
-    for r in rows:
-        out.setdefault(r[key] // sequential.DAY, []).append(r)
-    return out.values()
-
-
 def test_zigzag_legs_join_up(spark):
     rng = random.Random(4)
     px = [100]
@@ -109,19 +102,20 @@ def test_zigzag_legs_join_up(spark):
     for a, b in zip(legs, legs[1:]):
         assert a.to_seq == b.from_seq and a.way == -b.way
     assert all(px[x.to_seq] - px[x.from_seq] == x.ticks and (x.ticks > 0) == (x.way > 0) for x in legs)
-    assert all(abs(x.ticks) >= 5 for x in legs[1:])
+    assert all(abs(x.ticks) >= 5 for x in legs[1:] if x.done) and [x.done for x in legs] == [True] * (len(legs) - 1) + [False]
 
 
 def test_level_life(spark):
-    rows = [(0, 10, 9), (1, 9, 8), (2, 10, 9), (3, 13, 13), (4, 12, 8), (5, 9, 8), (6, 9, 8)]
-    df = spark.createDataFrame([("M", t, h, c) for t, h, c in rows], "instrument string, bar_us long, high long, close long")
-    assert one(machines.level_life(df, 1, 2).orderBy("at_us"), "at_us", "old", "new") == [(1, "SET", "TOUCHED"), (3, "TOUCHED", "BROKEN"), (4, "BROKEN", "RECLAIMED"), (6, "RECLAIMED", "EXPIRED")]
+    rows = [(0, 9, 9, 8, 8), (1, 8, 10, 8, 9), (2, 9, 13, 9, 13), (3, 12, 12, 8, 8), (4, 30, 30, 29, 29), (5, 30, 30, 29, 29), (6, 1, 30, 1, 9)]
+    df = spark.createDataFrame([("M", "PDH", 0, t, o, h, lo, c, 10) for t, o, h, lo, c in rows], "instrument string, kind string, session_us long, bar_us long, open long, high long, low long, close long, px long")
+    got = one(machines.level_life(df, 2, 5).orderBy("at_us", "old"), "at_us", "old", "new")
+    assert got == [(1, "SET", "TOUCHED"), (2, "TOUCHED", "BROKEN_ABOVE"), (3, "BROKEN_ABOVE", "RECLAIMED"), (4, "RECLAIMED", "BROKEN_ABOVE"), (5, "BROKEN_ABOVE", "EXPIRED")]
 
 
 def test_inside_events(spark):
-    rows = [(0, 10, 9), (1, 9, 5), (2, 10, 9), (3, 10, 2), (4, 10, 1), (9, 10, 1)]
+    rows = [(0, 10, 9), (1, 9, 5), (2, 10, 9), (3, 10, 2), (4, 10, 1), (9, 10, 1), (10, 8, 4)]
     df = spark.createDataFrame([("M", int(t * S), i, p, z) for i, (t, p, z) in enumerate(rows)], "instrument string, us long, seq long, bid_px long, bid_sz long")
-    assert sorted(one(machines.inside_events(df, 3.0, 0.3), "seq", "kind", "result")) == [(1, "VACATED", "FAILED"), (3, "DRAINED", "PERMANENT")]
+    assert sorted(one(machines.inside_events(df, 3.0, 0.3), "seq", "kind", "result")) == [(1, "VACATED", "FAILED"), (3, "DRAINED", "PERMANENT"), (6, "VACATED", "PENDING")]
 
 
 def test_price_direction(spark):
@@ -165,7 +159,18 @@ def test_market_mathematics(spark):
     assert market.quote_v3(0, 1 << 96, 10**18, True, 3000) == 0
     q = market.quote_v3(10**6, 1 << 96, 10**12, True, 3000)
     assert 996_000 <= q <= 997_000
-    assert graph.constant_product_out(1000, 10**6, 10**6, 3000) == 996
+    assert market.quote_v2(1000, 10**6, 10**6, 3000) == 996
+    assert market.quote_v2(0, 5, 5, 3000) == market.quote_v2(5, 0, 5, 3000) == market.quote_v2(5, 5, 0, 3000) == 0
+    assert market.quote_v3(1, 1 << 96, 10**18, True, 3000) == market.quote_v3(10, 0, 10, True, 0) == market.quote_v3(10, 1 << 96, 0, False, 0) == 0
+
+
+def test_every_division_of_a_quote_rounds_down():
+    """The pool keeps the remainder: the next price, too, is rounded down before the output is taken from it."""
+    q96 = 1 << 96
+    for amount, liquidity in ((10**6, 10**12), (7, 1000), (12345, 99_999)):
+        net = amount * 997_000 // 1_000_000
+        nxt = liquidity * q96 * q96 // (liquidity * q96 + net * q96)
+        assert market.quote_v3(amount, q96, liquidity, True, 3000) == liquidity * (q96 - nxt) // q96
 
 
 def test_calendar(spark):
@@ -184,7 +189,7 @@ def test_verdicts(spark):
     assert tuple(value(spark, side, net)) == ("flat", 0.0)
     side, _ = verdicts.vote((f("up"), f(0.0)), (f("flat"), f(0.0)))
     assert value(spark, side)[0] == "up"
-    assert [value(spark, verdicts.grade(f(b), f(d), f(p)))[0] for b, d, p in (("up", "up", "up"), ("up", "flat", "up"), ("up", "down", "up"), ("down", "down", "up"), ("up", "up", "flat"), ("flat", "flat", "up"))] == ["A", "B", "C", "X", "-", "-"]
+    assert [value(spark, verdicts.grade(f(b), f(d), f(p)))[0] for b, d, p in (("up", "up", "up"), ("up", "flat", "up"), ("up", "down", "up"), ("down", "down", "up"), ("up", "up", "flat"), ("flat", "flat", "up"))] == ["A", "B", "B", "X", "-", "C"]
     assert value(spark, verdicts.exit_reason(("sl", f(False)), ("tp", f(True)), ("flip", f(True))))[0] == "tp"
     assert [value(spark, verdicts.asset_class(f(s)))[0] for s in ("xyz:GOLD", "EURUSD", "BTC", "xyz:TSLA", "SPX")] == ["metals", "fx", "crypto", "equity", "index"]
 
@@ -240,3 +245,115 @@ def test_cycles_once_each(spark):
     edges = graph.swaps(pools)
     assert one(graph.cycles2(edges, 1.0), "p1", "p2", "gain") == [(1, 2, 1.5)]
     assert sorted(one(graph.cycles3(edges, 1.5), "a", "b", "c", "gain")) == [(0, 1, 2, 2.0), (0, 1, 2, 3.0)]
+
+
+def test_grades_of_all_columns(spark):
+    """Price decides: with it both is A, one is B whatever the other says, none C, and X where those who speak oppose."""
+    ways = ("up", "down", "flat")
+    df = spark.createDataFrame([(b, d, p) for b in ways for d in ways for p in ways], "b string, d string, p string")
+    for r in df.select("*", verdicts.grade(F.col("b"), F.col("d"), F.col("p")).alias("g")).collect():
+        agree = sum(x == r.p for x in (r.b, r.d))
+        oppose = sum(x not in (r.p, "flat") for x in (r.b, r.d))
+        want = "-" if r.p == "flat" else "A" if agree == 2 else "B" if agree == 1 else "X" if oppose else "C"
+        assert r.g == want, r
+
+
+def test_strength_of_positions(spark):
+    cols = "sweep_id int, wallet long, coin string, szi double, entry_px double, account_value double, liquidation_px double, margin_used double, funding double, isolated boolean"
+    rows = [(1, 1, "A", 10.0, 100.0, 1000.0, 90.0, 100.0, 1.0, True), (1, 2, "A", -10.0, 100.0, 1000.0, None, 100.0, -1.0, False), (1, 3, "A", 10.0, 100.0, 0.0, 100.0, 500.0, 0.0, True)]
+    got = {r.wallet: r for r in positions.strength(spark.createDataFrame(rows, cols), 100.0, 0.002).collect()}
+    sigmas = abs(math.log(0.9)) / (0.002 * 240**0.5)
+    assert got[1].sigmas == pytest.approx(sigmas) and got[1].carry == pytest.approx(0.001 * 365) and got[1].commitment == pytest.approx(0.1)
+    assert got[1].survivability == pytest.approx((1 - math.exp(-sigmas / 2)) / 1.2 / 1.365)
+    assert got[2].sigmas == math.inf and got[2].survivability == pytest.approx(min(1.0, 1 / 1.2 * (1 + 0.365 * 0.3) * 1.15))
+    assert got[3].survivability == 0.0 and got[3].fragility == 1.0 and got[3].commitment == 0.0
+    c = positions.cohorts(positions.strength(spark.createDataFrame(rows, cols), 100.0, 0.002)).first()
+    assert c.n == 3 and c.fragile_longs > c.fragile_shorts and c.paying == pytest.approx(1 / 3)
+
+
+def test_what_positions_did(spark):
+    cols = "wallet long, coin string, szi double, entry_px double, liquidation_px double"
+    before = [(1, "A", 10.0, 1.0, 80.0), (2, "A", 10.0, 1.0, 80.0), (3, "A", 10.0, 1.0, 80.0), (4, "A", -10.0, 1.0, 120.0), (5, "A", 10.0, 1.0, 99.5), (6, "A", 10.0, 1.0, 50.0), (7, "A", 10.0, 1.0, 80.0), (8, "A", 10.0, 1.0, None)]
+    after = [(1, "A", 11.0, 1.0, 70.0), (2, "A", 9.0, 1.0, 70.0), (3, "A", 10.0, 1.0, 79.0), (4, "A", -10.0, 1.0, 119.0), (7, "A", -10.0, 1.0, 80.1), (8, "A", 10.0, 1.0, 5.0), (9, "A", 1.0, 1.0, 5.0)]
+    got = {r.wallet: r.kind for r in positions.diff(spark.createDataFrame(before, cols), spark.createDataFrame(after, cols), 100.0, 0.02, 0.005, 0.01).collect()}
+    assert got == {1: "ADDED", 2: "REDUCED", 3: "DEFENDED", 4: "WEAKENED", 5: "LIQUIDATED", 6: "CLOSED", 7: "HELD", 8: "HELD", 9: "OPENED"}
+
+
+def test_price_action_of_bars(spark):
+    flat = [("M", i, 100, 102, 98, 100) for i in range(5)]
+    cases = {"upper wick": (100, 103, 99, 100), "equal wicks": (100, 101, 99, 100), "swept high": (100, 104, 100, 101), "accepted": (101, 104, 101, 104), "swept low": (99, 100, 95, 99)}
+    for name, last in cases.items():
+        df = spark.createDataFrame([*flat, ("M", 5, *last)], "instrument string, bar_us long, open long, high long, low long, close long")
+        r = structure.price_action(df, 12).where("bar_us = 5").first()
+        if name == "upper wick":
+            assert r.rejection == -0.75
+        elif name == "equal wicks":
+            assert r.rejection == r.sweep == r.acceptance == 0
+        elif name == "swept high":
+            assert r.sweep == pytest.approx(-1.0) and r.acceptance == 0
+        elif name == "accepted":
+            assert r.acceptance == 1 and r.sweep == 0
+        else:
+            assert r.sweep == pytest.approx(1.0)
+    first = structure.price_action(spark.createDataFrame(flat[:2], "instrument string, bar_us long, open long, high long, low long, close long"), 12)
+    assert all(x.rejection == x.sweep == x.acceptance == 0 for x in first.collect())
+
+
+def test_state_carries_over_midnight_and_stops_at_a_key(spark):
+    day = 86_400_000_000
+    rows = [("M", day - 2, 1, 100, 6, "B"), ("M", day + 2, 2, 101, 6, "B"), ("M", day + 9, 3, 102, 1, "A")]
+    df = spark.createDataFrame(rows, "instrument string, us long, seq long, px_ticks long, sz long, side string")
+    assert one(sequential.delta_bars(df, 10).orderBy("bar"), "first_seq", "delta", "closed") == [(1, 12, True), (3, -1, False)]
+    apart = df.withColumn("session_us", F.floor(F.col("us") / day) * day)
+    assert sorted(one(sequential.delta_bars(apart, 10, ("instrument", "session_us")), "first_seq", "delta", "closed")) == [(1, 6, False), (2, 5, False)]
+
+
+def test_a_long_key_streams_through_in_batches(spark):
+    """More rows than an Arrow batch or an output batch holds, of one key."""
+    n = 25_000
+    df = spark.range(n).select(F.lit("M").alias("instrument"), F.col("id").alias("us"), F.col("id").alias("seq"))
+    got = sequential.thin(df, 0.000002)
+    assert got.count() == n // 2 and got.agg(F.sum("seq")).first()[0] == sum(range(0, n, 2))
+
+
+def test_size_of_routes():
+    def brute(hops, bps):
+        def out(x):
+            for h in hops:
+                if x * 10_000 > h[0] * bps:
+                    return None
+                x = market.quote_v2(x, *h)
+            return x
+
+        found = [(out(x) - x, -x) for x in range(1, hops[0][0] * bps // 10_000 + 1) if out(x) is not None]
+        return max(found, default=(0, 0))
+
+    rng = random.Random(9)
+    won = 0
+    for _ in range(60):
+        hops = [(rng.randrange(2_000, 9_000), rng.randrange(2_000, 9_000), 3000) for _ in range(2)]
+        gain, _ = brute(hops, 300)
+        amount, back = graph.best_size(hops)
+        assert (amount == 0) == (gain <= 0) and (not amount or gain - (back - amount) <= 1)
+        won += gain > 0
+    assert won > 10
+    assert graph.best_size([(0, 5, 3000), (5, 5, 3000)]) == (0, 0)
+
+
+def test_headers_of_public_exports():
+    for header, want in {
+        ("Open time", "Open", "High", "Low", "Close", "Volume", "Close time", "Quote asset volume", "Number of trades"): "Open time",
+        ("Date", "Open", "High", "Low", "Close", "Adj Close", "Volume"): "Date",
+        ("Date", "Close/Last", "Volume", "Open", "High", "Low"): "Date",
+        ("timestamp", "open", "high", "low", "close", "volume"): "timestamp",
+        ("ts", "o", "h", "l", "c", "v"): "ts",
+    }.items():
+        got = ingest.map_columns(list(header))
+        assert got["ts"] == want and len(got) == 6 and "Quote" not in got["volume"] and "Adj" not in got["close"], header
+
+
+def test_dates_in_their_forms(spark):
+    day = 1_704_067_200_000_000
+    texts = {"2024-01-01": day, "2024-01-01 00:01": day + 60_000_000, "2024-01-01 00:00:05": day + 5_000_000, "01-01-2024 00:02": day + 120_000_000, "12-31-2023 23:59": day - 60_000_000, "31-12-2023 23:59": day - 60_000_000, "1704067200": day, "1704067200000": day, "soon": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.us for r in df.select("t", ingest.to_timestamp_us(F.col("t")).alias("us")).collect()} == texts

@@ -307,18 +307,18 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, text: str
     # step 4
     entries = stored(index(nodes, percent), "index")
     groups = cut(entries.groupBy("sig").agg(F.count("*").alias("rows"), F.min(F.struct("lost", "rid", "n", "most")).alias("best")).where("rows > 1").select("sig", "rows", F.col("best.rid").alias("b"), F.col("best.n").alias("n2"), F.col("best.most").alias("most2")))
-    met = stored(spread_join(entries.drop("lost"), groups.drop("rows"), "sig", "rid", groups.where(F.col("rows") >= HOT_ROWS)), "met")
     common = F.least("most", "most2")
     may = 100 * common >= percent * (F.col("n") + F.col("n2") - common)
-    stars = cut(met.where((F.col("rid") != F.col("b")) & may).select(F.col("rid").alias("a"), "b").distinct())
+    met = spread_join(entries.drop("lost"), groups.drop("rows"), "sig", "rid", groups.where(F.col("rows") >= HOT_ROWS))
+    met = stored(met.select("sig", "rid", "n", "most", F.when((F.col("rid") != F.col("b")) & may, F.col("b")).alias("b")), "met")
+    stars = cut(met.where("b is not null").select(F.col("rid").alias("a"), "b").distinct())
     links = cut(linked(stars, nodes, percent))
     label = components(links)
 
     # step 5
-    members = met.join(label, F.col("rid") == F.col("node"), "left").select("sig", "rid", "n", "most", F.coalesce("comp", "rid").alias("comp"))
-    members = stored(members, "members")
-    mixed_groups = cut(members.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("sig"))
-    x = stored(members.join(mixed_groups, "sig"), "open")
+    labelled = lambda entries: entries.drop("b").join(label, F.col("rid") == F.col("node"), "left").select("sig", "rid", "n", "most", F.coalesce("comp", "rid").alias("comp"))
+    mixed_groups = cut(labelled(met).groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("sig"))
+    x = stored(labelled(met.join(mixed_groups, "sig", "left_semi")), "open")
     y = x.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "most", "comp")))
     may = may & (F.col("rid") < F.col("rid2")) & (F.col("comp") != F.col("comp2"))
     pairs = x.join(y, "sig").where(may).select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct()

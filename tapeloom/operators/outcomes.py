@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 
 def range_join(events: DataFrame, prints: DataFrame, horizon_us: int, width_us: int | None = None) -> DataFrame:
-    """events (instrument, at_us, ...) with the prints (instrument, us, seq, px) in (at_us, at_us + horizon]."""
-    width = width_us or max(1, horizon_us)
+    """events (instrument, at_us, ...) with the prints (instrument, us, seq, px) in (at_us, at_us + horizon]. Buckets are a quarter of the horizon, so an
+    event is copied five times and reads little more than its window."""
+    width = width_us or max(1, horizon_us // 4)
     e = events.withColumn("_b", F.explode(F.sequence(F.floor(F.col("at_us") / width), F.floor((F.col("at_us") + horizon_us) / width))))
     p = prints.select("instrument", "us", "seq", "px", F.floor(F.col("us") / width).alias("_b"))
     return e.join(p, ["instrument", "_b"]).where((F.col("us") > F.col("at_us")) & (F.col("us") <= F.col("at_us") + horizon_us)).drop("_b")

@@ -60,13 +60,20 @@ def breaks(bars: DataFrame, found: DataFrame) -> DataFrame:
     return u.where("side is not null").select("instrument", "bar_us", "side", "close", F.when(F.col("side") == "up", F.col("last_high")).otherwise(F.col("last_low")).alias("level"))
 
 
-def level_touches(bars: DataFrame, levels: DataFrame, tolerance: int) -> DataFrame:
-    """Tests of each level (instrument, level_us, px) by later bars: bars that come within tolerance, runs of them, closes through."""
-    x = bars.join(levels, "instrument").where(F.col("bar_us") > F.col("level_us"))
-    x = x.withColumn("touch", (F.col("low") <= F.col("px") + tolerance) & (F.col("high") >= F.col("px") - tolerance))
-    w = W.partitionBy("instrument", "level_us", "px").orderBy("bar_us")
-    x = x.withColumn("fresh", F.col("touch") & ~F.coalesce(F.lag("touch").over(w), F.lit(False)))
-    return x.groupBy("instrument", "level_us", "px").agg(F.count_if("touch").alias("bars"), F.count_if("fresh").alias("tests"), F.min(F.when(F.col("touch"), F.col("bar_us"))).alias("first_us"), F.count_if(F.signum(F.col("close") - F.col("px")) * F.signum(F.col("open") - F.col("px")) < 0).alias("through"))
+def level_touches(bars: DataFrame, levels: DataFrame, tolerance: int, step: int = 8) -> DataFrame:
+    """Tests of each level (instrument, level_us, px) by later bars: bars that come within tolerance, runs of them, closes through.
+
+    Only bars that reach a level meet it: both are dealt to price rows of `step` ticks, a bar to the few that its range spans."""
+    numbered = bars.withColumn("nth", F.row_number().over(by_bar()))
+    reach = F.sequence(F.floor((F.col("low") - tolerance) / step), F.floor((F.col("high") + tolerance) / step))
+    b = numbered.select("instrument", "bar_us", "nth", "open", "high", "low", "close", F.explode(reach).alias("_row"))
+    x = b.join(levels.withColumn("_row", F.floor(F.col("px") / step)), ["instrument", "_row"]).where((F.col("bar_us") > F.col("level_us")) & (F.col("low") <= F.col("px") + tolerance) & (F.col("high") >= F.col("px") - tolerance))
+    before = F.lag("nth").over(W.partitionBy("instrument", "level_us", "px").orderBy("bar_us"))
+    x = x.withColumn("fresh", before.isNull() | (before < F.col("nth") - 1))
+    g = x.groupBy("instrument", "level_us", "px").agg(F.count("*").alias("bars"), F.count_if("fresh").alias("tests"), F.min("bar_us").alias("first_us"), F.count_if(F.signum(F.col("close") - F.col("px")) * F.signum(F.col("open") - F.col("px")) < 0).alias("through"))
+    last = bars.groupBy("instrument").agg(F.max("bar_us").alias("_end"))
+    every = levels.join(last, "instrument").where(F.col("_end") > F.col("level_us")).select("instrument", "level_us", "px").distinct()
+    return every.join(g, ["instrument", "level_us", "px"], "left").na.fill(0, ["bars", "tests", "through"])
 
 
 def session_levels(bars: DataFrame, day_us: int) -> DataFrame:

@@ -88,13 +88,19 @@ def developing_poc(prints: DataFrame, day_s: int, step_s: int) -> DataFrame:
 
 
 def rearmed_touches(prints: DataFrame, levels: DataFrame, touch: int, rearm: int) -> DataFrame:
-    """Touches of each level (instrument, level): a touch within `touch` ticks counts once, again only after price was `rearm` away."""
-    x = prints.join(levels, "instrument").withColumn("d", F.abs(F.col("px_ticks") - F.col("level")))
-    zone = F.when(F.col("d") <= touch, "in").when(F.col("d") >= rearm, "out")
-    x = x.withColumn("zone", zone).where("zone is not null")
-    w = W.partitionBy("instrument", "level").orderBy("seq")
-    x = x.withColumn("prev", F.lag("zone").over(w)).withColumn("side", F.when(F.col("px_ticks") >= F.col("level"), "above").otherwise("below"))
-    return x.where("zone = 'in' and (prev is null or prev = 'out')").select("instrument", "level", "seq", "us", "side")
+    """Touches of each level (instrument, level): a touch within `touch` ticks counts once, again only after price was `rearm` away.
+
+    A print meets a level only where it is within touch of it, or comes to be rearm away from it: both are equal prices, so levels are looked up and no
+    print is held against all."""
+    before = F.lag("px_ticks").over(W.partitionBy("instrument").orderBy("seq"))
+    p = prints.select("instrument", "seq", "us", "px_ticks", before.alias("px0"))
+    near = p.select("*", F.explode(F.sequence(F.col("px_ticks") - touch, F.col("px_ticks") + touch)).alias("level"), F.lit("in").alias("zone"))
+    up, down = F.sequence(F.col("px0") - rearm + 1, F.col("px_ticks") - rearm), F.sequence(F.col("px_ticks") + rearm, F.col("px0") + rearm - 1)
+    away = p.where("px0 <> px_ticks").select("*", F.explode(F.when(F.col("px_ticks") > F.col("px0"), up).otherwise(down)).alias("level"), F.lit("out").alias("zone"))
+    x = near.union(away).join(levels.select("instrument", "level").distinct(), ["instrument", "level"])
+    x = x.withColumn("prev", F.lag("zone").over(W.partitionBy("instrument", "level").orderBy("seq")))
+    side = F.when(F.col("px_ticks") >= F.col("level"), "above").otherwise("below")
+    return x.where("zone = 'in' and (prev is null or prev = 'out')").select("instrument", "level", "seq", "us", side.alias("side"))
 
 
 def swing_pick(found: DataFrame, keep: int) -> DataFrame:
@@ -106,10 +112,13 @@ def swing_pick(found: DataFrame, keep: int) -> DataFrame:
 
 
 def nearest_level(bars: DataFrame, levels: DataFrame) -> DataFrame:
-    """The nearest level above and below each bar's close."""
-    x = bars.join(levels, "instrument", "left")
-    d = F.col("level") - F.col("close")
-    return x.groupBy("instrument", "bar_us", "close").agg(F.min(F.when(d > 0, F.col("level"))).alias("above"), F.max(F.when(d < 0, F.col("level"))).alias("below"))
+    """The nearest level above and below each bar's close: bars and levels in the order of price, each bar looking at the level before it."""
+    b = bars.select("instrument", "bar_us", "close", F.col("close").alias("px"), F.lit(None).cast("long").alias("level"))
+    rows = b.unionByName(levels.select("instrument", F.lit(None).cast("long").alias("bar_us"), F.lit(None).cast(bars.schema["close"].dataType).alias("close"), F.col("level").alias("px"), F.col("level").cast("long").alias("level")))
+    # at the same price bars come first, as a level at the close is neither above nor below
+    first = F.col("level").isNotNull()
+    seen = lambda way: F.last("level", ignorenulls=True).over(W.partitionBy("instrument").orderBy(way, first).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumns({"above": seen(F.desc("px")), "below": seen(F.asc("px"))}).where("bar_us is not null").select("instrument", "bar_us", "close", "above", "below")
 
 
 def resting_fills(orders: DataFrame, prints: DataFrame, horizon_us: int) -> DataFrame:

@@ -43,12 +43,12 @@ def block_bootstrap(rows: DataFrame, block: str, num: str, den: str, draws: int,
 
 
 def permutation(rows: DataFrame, value: str, sign: str, key: str, draws: int, seed: int) -> DataFrame:
-    """The mean of value * sign against `draws` random sign flips: the share of draws at least as large."""
-    explode = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    x = rows.select(key, value, sign, explode)
-    flip = F.when(lcg(lcg(F.col(key) * 31 + F.col("draw") * 65537 + seed)) % 1000 < 500, 1).otherwise(-1)
-    d = x.groupBy("draw").agg(F.avg(F.col(value) * flip).alias("null_mean"), F.avg(F.col(value) * F.col(sign)).alias("mean"))
-    return d.agg(F.first("mean").alias("mean"), F.avg((F.col("null_mean") >= F.col("mean")).cast("int")).alias("p"), F.count("*").alias("draws"))
+    """The mean of value * sign against `draws` random sign flips: the share of draws at least as large. One pass with a sum for each draw; no row is copied."""
+    flip = lambda d: F.when(lcg(lcg(F.col(key) * 31 + F.lit(d * 65537) + seed)) % 1000 < 500, F.col(value)).otherwise(-F.col(value))
+    x = rows.select(value, sign, key).where(F.col(key).isNotNull())
+    d = x.agg(F.avg(F.col(value) * F.col(sign)).alias("mean"), *(F.avg(flip(i)).alias(f"d{i}") for i in range(draws))).where("mean is not null")
+    hits = sum((F.when(F.col(f"d{i}") >= F.col("mean"), 1).otherwise(0) for i in range(draws)), F.lit(0))
+    return d.select("mean", (hits / draws).alias("p"), F.lit(draws).cast("long").alias("draws"))
 
 
 def calibration(rows: DataFrame, p: str, y: str, bins: int) -> DataFrame:

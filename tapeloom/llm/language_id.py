@@ -8,8 +8,8 @@ one space, so that marks and digits, which any language may have, don't decide.
 
 Sample. A language is learned from the whole texts of `rows` documents at most: for each value of a hash the document of the smallest
 hash among those of at most `longest` characters, or of any length where there is no other. That bound on labelled rows is what travels to the
-tasks. The automaton is built once in each Python worker; its transitions are one dictionary, so an alphabet of thousands of letters costs
-no more than the transitions that there are. Whole texts are parsed from their first character to their last.
+tasks. The automaton is built once in each Python worker, as a table or, with thousands of letters, as a dictionary. Whole texts are parsed from their
+first character to their last: windows of them side by side with numpy, but no phrase ends because a window does (parallel_phrases).
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text where nothing was learned; documents
 without a language teach nothing, those with a null id hash as the empty id; repeated rows are predicted alike and teach once; a long text is
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +29,13 @@ from pyspark.sql import types as T
 
 from .common import load, others, parts
 
-ROWS, LONGEST = 32, 20_000
+ROWS, LONGEST = 16, 20_000
 #: A transition is kept under state * WIDE + code point.
 WIDE = 1 << 21
+#: Cells of a table of transitions, four bytes each.
+CELLS = 20_000_000
+#: Characters that are parsed in sequence, beside those of other windows.
+WINDOW = 512
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
     """The transitions of each state; a string leads somewhere from state 0 exactly if it occurs in text."""
@@ -89,24 +92,132 @@ def phrases(text: Iterable[int], move: dict[int, int]) -> int:
     return n + (state > 0)
 
 
+class Automaton:
+    """A language's automaton and the price of a phrase. Its transitions are a table of states by letters, for numpy, or where that would have more
+    than `CELLS` cells (many letters) a dictionary; both find the same phrases."""
+
+    def __init__(self, sample: str) -> None:
+        import numpy as np
+
+        text = normal(sample)
+        moves = suffix_automaton(text)
+        self.bits = math.log2(max(2, len(text)))
+        letters = sorted({*text})
+        self.table = self.move = None
+        if len(moves) * (len(letters) + 1) > CELLS:
+            self.move = {state * WIDE + ord(c): to * WIDE for state, out in enumerate(moves) for c, to in out.items()}
+            return
+        # the last column is for letters that the language hasn't got; a state is the place of its row
+        width = len(letters) + 1
+        column = {c: i for i, c in enumerate(letters)}
+        self.column = np.full(0x110000, width - 1, np.uint16)
+        self.column[[ord(c) for c in letters]] = np.arange(len(letters))
+        table = np.full((len(moves), width), -1, np.int32)
+        for state, out in enumerate(moves):
+            for c, to in out.items():
+                table[state, column[c]] = to * width
+        self.table = table.ravel()
+
+    def count(self, codes, starts, sizes) -> list[int]:
+        """The phrases of each text; codes are the code points of all of them, one text after the other."""
+        if self.move is not None:
+            return [phrases(codes[a : a + n].tolist(), self.move) for a, n in zip(starts, sizes)]
+        return parallel_phrases(self.column[codes].astype("int32"), starts, sizes, self.table)
+
+
+def parallel_phrases(codes, starts, sizes, table, window: int = WINDOW) -> list[int]:
+    """phrases() of many texts at once.
+
+    Texts are cut into windows, and all of them are parsed side by side, each as if a phrase began with it. What is left of the phrase at a
+    window's end is then parsed on into the windows after, until a phrase of both parses begins at the same character: from there on they are the same.
+    So each window knows how many phrases follow it until which place, and a walk over a text's windows adds up those of the one true parse.
+    """
+    import numpy as np
+
+    n = -(-sizes // window)
+    text = np.repeat(np.arange(len(sizes)), n)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[text] + nth * window
+    ends = starts[text] + sizes[text]
+    left = np.minimum(window, ends - at)
+    begins = np.zeros(len(codes) + 1, bool)  # where a phrase begins, in the windows' own parses
+    order = np.argsort(-left, kind="stable")
+    live = np.searchsorted(-left[order], -np.arange(window), side="left")  # windows with more than t characters
+    state, first = np.zeros(len(text), np.int32), at[order]
+    for t in range(window):
+        m = live[t]
+        if not m:
+            break
+        here = first[:m] + t
+        c, s = codes[here], state[:m]
+        to = table[s + c]
+        stop = to < 0
+        begins[here] = stop | (s == 0)
+        if stop.any():
+            to[stop] = np.maximum(table[c[stop]], 0)
+        state[:m] = to
+    after = np.empty_like(state)
+    after[order] = state
+    # on from each window's end
+    more, meets = np.zeros(len(text), np.int64), ends.copy()
+    w = np.flatnonzero(at + left < ends)
+    s, here = after[w], (at + left)[w]
+    while len(w):
+        c = codes[here]
+        to = table[s + c]
+        stop = to < 0
+        new = stop | (s == 0)
+        same = new & begins[here]
+        meets[w[same]] = here[same]
+        more[w] += new & ~same
+        if stop.any():
+            to[stop] = np.maximum(table[c[stop]], 0)
+        here = here + 1
+        on = ~same & (here < ends[w])
+        w, s, here = w[on], to[on], here[on]
+    total = np.concatenate([[0], np.cumsum(begins)])
+    out = (total[starts + np.minimum(sizes, window)] - total[starts]).tolist()
+    base = (np.cumsum(n) - n).tolist()
+    total, more, meets, end_of = total, more.tolist(), meets.tolist(), (at + left).tolist()
+    for i in np.flatnonzero(n > 1).tolist():
+        start, k, last = int(starts[i]), base[i], base[i] + int(n[i]) - 1
+        found, place = 0, start
+        while True:
+            found += int(total[end_of[k]] - total[place])
+            if k == last:
+                break
+            found, place = found + more[k], meets[k]
+            if place >= end_of[last]:
+                break
+            k = base[i] + (place - start) // window
+        out[i] = found
+    return out
+
+
 class Parser:
     """The automata of all languages."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        self.moves, self.bits = [], []
-        for lang in self.langs:
-            text = normal(samples[lang])
-            self.moves.append({state * WIDE + ord(c): to * WIDE for state, out in enumerate(suffix_automaton(text)) for c, to in out.items()})
-            self.bits.append(math.log2(max(2, len(text))))
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        """The language, and how far it is from the next, from 0 to 1."""
-        codes = array("I", normal(text).encode("utf-32-le", "surrogatepass"))
-        cost = [phrases(codes, move) * bits / len(codes) for move, bits in zip(self.moves, self.bits)]
-        best = min(range(len(cost)), key=cost.__getitem__)
-        other = min((c for i, c in enumerate(cost) if i != best), default=None)
-        return self.langs[best], 1.0 if other is None else (other - cost[best]) / other
+        self.automata = [Automaton(samples[k]) for k in self.langs]
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Of each text (with a letter) the language, and how far it is from the next, from 0 to 1."""
+        import numpy as np
+
+        if not texts:
+            return []
+        raw = [np.frombuffer(normal(t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        codes = np.concatenate(raw)
+        costs = np.column_stack([np.array(a.count(codes, starts, sizes)) * a.bits / sizes for a in self.automata])
+        out = []
+        for cost in costs.tolist():
+            best = min(range(len(cost)), key=cost.__getitem__)
+            other = min((c for i, c in enumerate(cost) if i != best), default=None)
+            out.append((self.langs[best], 1.0 if other is None else (other - cost[best]) / other))
+        return out
 
 
 _PARSERS: dict[int, Parser] = {}
@@ -150,7 +261,11 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Dat
         letter = regex.compile(r"\p{L}").search
         parser = _parser(model.value) if model.value else None
         for batch in parts(batches):
-            found = [parser(t) if parser and letter(t) else ("und", 0.0) for t in ((x.as_py() or "") for x in batch.column(text))]
+            texts = [x.as_py() or "" for x in batch.column(text)]
+            some = [i for i, t in enumerate(texts) if parser and letter(t)]
+            found = [("und", 0.0)] * len(texts)
+            for i, r in zip(some, parser([texts[i] for i in some]) if parser else ()):
+                found[i] = r
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [f.name for f in out.fields])
 
     out = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -27,18 +27,25 @@ def brute(text, samples):
     return best, (cost[rest[0]] - cost[best]) / cost[rest[0]] if rest else 1.0
 
 
-def test_phrases_against_brute_force():
+def test_phrases_against_brute_force(monkeypatch):
+    import numpy as np
+
     rng = random.Random(5)
-    samples = {"a": "".join(rng.choice("abcde ") for _ in range(400)), "b": "".join(rng.choice("aabbx ") for _ in range(300))}
-    parser = lid.Parser(samples)
-    texts = ["".join(rng.choice("abcdexyz 1.") for _ in range(rng.randrange(1, 900))) for _ in range(60)] + ["zzz", "a", " ", "az" * 40]
-    # a phrase of more than a thousand characters
-    texts += [samples["a"] * 2, "x" + samples["b"][3:] * 3]
-    for t in texts:
-        plain = lid.normal(t)
-        for k, move in zip("ab", parser.moves):
-            assert lid.phrases(map(ord, plain), move) == phrases(plain, lid.normal(samples[k]))
-    assert lid.phrases(map(ord, lid.normal(samples["a"])), parser.moves[0]) == 1
+    samples = {"a": "".join(rng.choice("abcde ") for _ in range(400)), "b": "".join(rng.choice("aabbx ") for _ in range(300)), "c": "ab" * 150}
+    texts = ["".join(rng.choice("abcdexyz 1.") for _ in range(rng.randrange(1, 900))) for _ in range(60)] + ["zzz", "a", " ", "az" * 40, "ab" * 500, "a" * 700]
+    # phrases of hundreds of characters, over many windows
+    texts += [samples["a"] * 2, "x" + samples["b"][3:] * 3, samples["c"] * 4, "z" + samples["c"]]
+    plain = [lid.normal(t) for t in texts]
+    want = [[phrases(t, lid.normal(samples[k])) for t in plain] for k in "abc"]
+    codes = np.concatenate([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in plain])
+    sizes = np.array([len(t) for t in plain], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    for k, row in zip("abc", want):
+        made = lid.Automaton(samples[k])
+        for window in (1, 3, 7, 64, 512, 5000):
+            assert lid.parallel_phrases(made.column[codes].astype("int32"), starts, sizes, made.table, window) == row, (k, window)
+    monkeypatch.setattr(lid, "CELLS", 0)
+    assert [lid.Automaton(samples[k]).count(codes, starts, sizes) for k in "abc"] == want
 
 
 def test_predictions_against_brute_force(spark, sf):

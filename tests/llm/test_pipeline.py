@@ -1,7 +1,10 @@
+import hashlib
 import math
 import random
 import re
 
+import tiktoken
+
 import corpus_pipeline as cp
 from tapeloom.llm import bpe, mixing, pii, quality_rules
 
@@ -49,6 +52,13 @@ def test_stages_against_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in out.collect()}
     assert all(r.n_tokens == len(ids(codec.encode(texts[r.doc_id]))) for r in got.collect()) and got.count() == len(want)
 
+    # run() gives what the stages, each held to a plain version above, give one after the other
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    plain = tiktoken.Encoding("own", pat_str=bpe.public_vocabulary()[1], mergeable_ranks=bpe.read_ranks(bpe.public_vocabulary()[0]), special_tokens={})
+    packed = {d: b"".join(i.to_bytes(4, "little") for i in plain.encode_ordinary(texts[d])) for d in set(want)}
+    whole = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in cp.run(spark, sf).collect()]
+    assert sorted(whole) == sorted((d, len(packed[d]) // 4, sha(packed[d]), sha(texts[d].encode())) for d in want)
+
 
 def test_run_and_odd_rows(spark, docs, odd, sf):
     assert len(cp.STAGES) == 5 and cp.run(spark, sf).count() > 0

@@ -5,6 +5,8 @@ Many dimensions are one pass: grouping sets expand a row to its sets before a si
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,3 +110,32 @@ def equity(trades: DataFrame, by: str, order: list[str]) -> DataFrame:
     run = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("total", F.sum("day_net").over(run))
     return d.withColumn("drawdown", F.greatest(F.max("total").over(run), F.lit(0)) - F.col("total"))
+
+
+def counts(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """what, n: how many rows of each table its condition holds for."""
+    return reduce(DataFrame.union, (df.agg(F.lit(name).alias("what"), F.count_if(c).alias("n")) for name, (df, c) in tables.items()))
+
+
+def suspect(trades: DataFrame, most: float) -> DataFrame:
+    """Trades whose result can't be true: of more than `most` either way."""
+    return trades.where(F.abs(F.coalesce("net_bps", F.lit(0))) > most)
+
+
+def regime_tally(bars: DataFrame, least: int) -> DataFrame:
+    """By regime, what the reads of its bars came to: n with a read of up or down, right, wrong and flat, and from `least` decided ones on the share
+    that was right. bars: regime, read, outcome (up, down or null)."""
+    b = bars.where(F.col("regime").isNotNull() & F.col("read").isin("up", "down"))
+    g = b.groupBy("regime").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == F.col("read")).alias("right"), F.count_if(F.col("outcome").isNotNull() & (F.col("outcome") != F.col("read"))).alias("wrong"), F.count_if(F.col("outcome").isNull()).alias("flat"))
+    decided = F.col("right") + F.col("wrong")
+    return g.withColumns({"enough": decided >= least, "share": F.when(decided >= least, F.col("right") / decided)})
+
+
+def first_looks(projections: DataFrame, key: list[str], elapsed: str) -> DataFrame:
+    """One projection of each bar, the earliest: ten looks at one bar are one observation, not ten."""
+    return projections.groupBy(*key).agg(F.min_by(F.struct(*(c for c in projections.columns if c not in key)), elapsed).alias("_p")).select(*key, "_p.*")
+
+
+def recent(changes: DataFrame, kinds: list[str], order: list[Column], top: int) -> DataFrame:
+    """A report of the `top` changes of these kinds, by order."""
+    return changes.where(F.col("kind").isin(*kinds)).orderBy(*order).limit(top)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .outcomes import range_join
 from .sequential import in_order
 
 
@@ -65,3 +66,43 @@ def provisional(bars: DataFrame, left: int, right: int) -> DataFrame:
     b = bars.withColumns({"age": last - 1, "is_high": full & (F.max("high").over(before) <= F.col("high")) & F.coalesce(F.max("high").over(after) < F.col("high"), F.lit(True)), "is_low": full & (F.min("low").over(before) >= F.col("low")) & F.coalesce(F.min("low").over(after) > F.col("low"), F.lit(True))})
     kinds = F.explode(F.filter(F.array(F.when(F.col("is_high"), F.struct(F.lit("high").alias("kind"), F.col("high").alias("px"))), F.when(F.col("is_low"), F.struct(F.lit("low").alias("kind"), F.col("low").alias("px")))), lambda x: x.isNotNull()))
     return b.where(F.col("age") < right).select("instrument", "bar_us", F.col("age").cast("long").alias("age"), kinds.alias("k")).select("instrument", "bar_us", "age", "k.*")
+
+
+def touch_outcomes(touches: DataFrame, bars: DataFrame, horizon_us: int, touch: int, rearm: int, through: int, reject: int, go: int) -> DataFrame:
+    """What became of each touch of a price (event_id, instrument, at_us, level, up: whether it was come to from below) over the bars that begin within
+    horizon_us, whose closes alone count as going through.
+
+    reject: `reject` ticks back before any close `through` ticks beyond; break_fail: a close beyond, then one as far back; break_go: a close beyond, then `go`
+    ticks; else stall. mfe and mae are of the leg, which ends when a close that has been `rearm` away is back within `touch`."""
+
+    def step(rows):
+        beyond = left = ended = False
+        best = worst = fav = adv = 0
+        label = dist = took = None
+        for us, at, level, up, high, low, close in rows:
+            gap = abs(close - level)
+            if gap > rearm:
+                left = True
+            elif left and gap <= touch:
+                ended = True
+            if not ended:
+                fav, adv = (high - level, level - low) if up else (level - low, high - level)
+                best, worst = max(best, fav), max(worst, adv)
+            if label:
+                continue
+            past = close - level if up else level - close
+            if not beyond:
+                if past >= through:
+                    beyond = True
+                elif adv >= reject:
+                    label, dist, took = "reject", adv, us - at
+            elif past <= -through:
+                label, dist, took = "break_fail", best, us - at
+            elif fav >= go:
+                label, dist, took = "break_go", fav, us - at
+        yield label or "stall", best if dist is None else dist, horizon_us if took is None else took, best, worst, ended
+
+    b = bars.select("instrument", F.col("bar_us").alias("us"), F.col("bar_us").alias("seq"), F.struct("high", "low", "close").alias("px"))
+    x = range_join(touches.withColumn("at_us", F.col("at_us") - 1), b, horizon_us)
+    x = x.select("event_id", "us", (F.col("at_us") + 1).alias("at"), "level", "up", F.col("px.high").alias("high"), F.col("px.low").alias("low"), F.col("px.close").alias("close"))
+    return in_order(x, step, "label string, dist long, took_us long, mfe long, mae long, returned boolean", ("event_id",), ("us",))

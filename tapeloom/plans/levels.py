@@ -7,9 +7,11 @@ from ..operators import outcomes as X
 from ..operators import validation as V
 from ..operators import zones as O
 from ..sources.fixtures import TAPE, tape, with_
+from .bars import hours
 from .outcomes import HORIZON, LCG2, prints, touches
 from .sequential import ordered
 from .structure import BARS4, SWINGS, found, fours
+from .studies import LV
 
 FOLLOW = 4 * 3600 * 1_000_000
 
@@ -31,7 +33,18 @@ def sized(s, sf):
     return V.size_effect(t, "notional", 3, 100, 7)
 
 
+def node_touches(s, sf):
+    """Touches of the swing levels, and what became of them over two days of hours."""
+    from . import studies as T
+
+    t = T.O.rearmed_touches(tape(s, sf), T.levels(s, sf), 1, 5)
+    t = t.select((F.col("seq") * 100_000 + F.col("level")).alias("event_id"), "instrument", F.col("us").alias("at_us"), "level", (F.col("side") == "below").alias("up"))
+    return O.touch_outcomes(t, hours(s, sf), 48 * 3600 * 1_000_000, 1, 3, 1, 3, 4)
+
+
 QUERIES = {
+    "node_touches": node_touches,
+    "node_catalog": lambda s, sf: node_touches(s, sf).groupBy("label").agg(F.count("*").alias("n"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae"), F.percentile("took_us", F.lit(0.5)).alias("median_us"), F.avg(F.col("returned").cast("int")).alias("returned")),
     "supply_zones": lambda s, sf: O.zones(fours(s, sf), found(s, sf), 2.0),
     "provisional_turns": lambda s, sf: O.provisional(fours(s, sf), 5, 3),
     "post_touch": after,
@@ -60,7 +73,22 @@ EVENTS = f"""ev AS (SELECT seq AS event_id, instrument, us AS at_us, px_ticks AS
 x AS (SELECT event_id, min(CASE WHEN CASE WHEN level >= spot THEN px_ticks >= level ELSE px_ticks <= level END THEN us END) AS hit_us FROM ev JOIN tape t ON t.instrument = ev.instrument AND us > at_us AND us <= at_us + {HORIZON} GROUP BY ALL),
 ob AS (SELECT ev.*, hit_us, event_id // 500 AS block, CASE WHEN hit_us IS NULL THEN 0 ELSE 1 END AS touched, 1 / (1 + abs(level - spot) * 0.5) AS expected FROM ev JOIN x USING (event_id))"""
 
+TOUCHED = """, zz AS (SELECT t.instrument, level, seq, us, px_ticks, CASE WHEN abs(px_ticks - level) <= 1 THEN 'in' WHEN abs(px_ticks - level) >= 5 THEN 'out' END AS zone FROM tape t JOIN (SELECT DISTINCT instrument, level FROM lv) USING (instrument)),
+pp AS (SELECT *, lag(zone) OVER (PARTITION BY instrument, level ORDER BY seq) AS prev FROM zz WHERE zone IS NOT NULL),
+tc AS (SELECT seq * 100000 + level AS event_id, instrument, us AS at_us, level, px_ticks < level AS up FROM pp WHERE zone = 'in' AND (prev IS NULL OR prev = 'out')),
+hr AS (SELECT instrument, us // 3600000000 * 3600000000 AS bar_us, max(px_ticks) AS high, min(px_ticks) AS low, arg_max(px_ticks, seq) AS close FROM tape GROUP BY ALL),
+w AS (SELECT event_id, at_us, level, up, bar_us, high, low, close, row_number() OVER (PARTITION BY event_id ORDER BY bar_us) AS i, count(*) OVER (PARTITION BY event_id) AS m FROM tc JOIN hr USING (instrument) WHERE bar_us >= at_us AND bar_us <= at_us - 1 + 172800000000),
+st AS (SELECT event_id, CAST(0 AS BIGINT) AS i, false AS beyond, false AS lft, false AS ended, CAST(0 AS BIGINT) AS best, CAST(0 AS BIGINT) AS worst, CAST(0 AS BIGINT) AS fav, CAST(0 AS BIGINT) AS adv, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS BIGINT) AS dist, CAST(NULL AS BIGINT) AS took FROM w WHERE i = 1
+  UNION ALL SELECT event_id, i, beyond OR label IS NULL AND past >= 1, lft, ended, best, worst, fav, adv, coalesce(label, nw), CASE WHEN label IS NOT NULL THEN dist ELSE CASE nw WHEN 'reject' THEN adv WHEN 'break_fail' THEN best WHEN 'break_go' THEN fav END END, CASE WHEN label IS NOT NULL THEN took WHEN nw IS NOT NULL THEN dt END FROM (
+    SELECT *, CASE WHEN NOT beyond THEN CASE WHEN past < 1 AND adv >= 3 THEN 'reject' END WHEN past <= -1 THEN 'break_fail' WHEN fav >= 4 THEN 'break_go' END AS nw FROM (
+      SELECT event_id, i, beyond, lft, ended, CASE WHEN ended THEN best ELSE greatest(best, nf) END AS best, CASE WHEN ended THEN worst ELSE greatest(worst, na) END AS worst, CASE WHEN ended THEN fav ELSE nf END AS fav, CASE WHEN ended THEN adv ELSE na END AS adv, label, dist, took, past, dt FROM (
+        SELECT w.event_id, w.i, beyond, lft OR abs(close - level) > 3 AS lft, ended OR abs(close - level) <= 3 AND lft AND abs(close - level) <= 1 AS ended, best, worst, fav, adv, label, dist, took, CASE WHEN up THEN close - level ELSE level - close END AS past, CASE WHEN up THEN high - level ELSE level - low END AS nf, CASE WHEN up THEN level - low ELSE high - level END AS na, bar_us - at_us AS dt
+        FROM st JOIN w ON w.event_id = st.event_id AND w.i = st.i + 1)))),
+tl AS (SELECT event_id, coalesce(label, 'stall') AS label, coalesce(dist, best) AS dist, coalesce(took, 172800000000) AS took_us, best AS mfe, worst AS mae, ended AS returned FROM st JOIN (SELECT DISTINCT event_id, m FROM w) USING (event_id) WHERE i = m)"""
+
 ORACLE = {
+    "node_touches": (BARS4 + "," + SWINGS + LV + TOUCHED).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT * FROM tl",
+    "node_catalog": (BARS4 + "," + SWINGS + LV + TOUCHED).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT label, count(*) AS n, avg(mfe) AS mfe, avg(mae) AS mae, quantile_cont(took_us, 0.5) AS median_us, avg(CASE WHEN returned THEN 1 ELSE 0 END) AS returned FROM tl GROUP BY label",
     "supply_zones": (BARS4 + "," + SWINGS).replace("WITH ", "WITH RECURSIVE ", 1)
     + """, h AS (SELECT b.instrument, b.bar_us, arg_max(s.px, s.bar_us) FILTER (s.kind = 'high') AS sh, arg_max(s.px, s.bar_us) FILTER (s.kind = 'low') AS sl FROM bars b JOIN swings s ON s.instrument = b.instrument AND s.confirmed_us <= b.bar_us GROUP BY ALL),
 c AS (SELECT b.*, sh, sl, {'t': bar_us, 'o': open, 'h': high, 'l': low, 'c': close} AS me FROM bars b JOIN h USING (instrument, bar_us)),

@@ -186,3 +186,33 @@ def next_swing(bars: DataFrame, swings: DataFrame, side: DataFrame, least: int =
     settled = F.when(F.col("next") == "high", F.col("running") > F.col("reference")).otherwise(F.col("running") < F.col("reference"))
     called = F.when(F.col("side").isNull(), None).when(F.col("next") == "high", F.when(F.col("side") == "buy", "HH").otherwise("LH")).otherwise(F.when(F.col("side") == "buy", "HL").otherwise("LL"))
     return x.withColumns({"settled": settled, "call": F.when(settled, F.when(F.col("next") == "high", "HH").otherwise("LL")).otherwise(called)})
+
+
+def market_read(bars: DataFrame, profiles: DataFrame, session: str, at: int = 3, lookback: int = 6, accept: int = 2, hold: int = 3) -> DataFrame:
+    """Where each bar's close stands in a session's profile, and what price is doing there: holding or going through or probing a node that it is at, leaving
+    value that `accept` closes have left, traversing thin ground, rotating inside value, else probing. Bars before the session don't count.
+
+    bars: instrument, session, bar_us, close. profiles: instrument, session, poc, val, vah, and hvn and lvn as arrays of prices."""
+    so_far = W.partitionBy("instrument", session).orderBy("bar_us")
+    b = bars.select("instrument", session, "bar_us", "close", F.collect_list("close").over(so_far.rowsBetween(-lookback + 1, 0)).alias("recent")).join(profiles, ["instrument", session])
+    tail = F.slice("recent", F.greatest(F.size("recent") - accept + 1, F.lit(1)), accept)
+    accepted = F.when(F.size("recent") < accept, None).when(F.forall(tail, lambda x: x > F.col("vah")), "above").when(F.forall(tail, lambda x: x < F.col("val")), "below")
+    nodes = F.concat(F.array(F.col("poc"), F.col("vah"), F.col("val")), "hvn", "lvn")
+    kinds = F.concat(F.array(F.lit("POC"), F.lit("VAH"), F.lit("VAL")), F.transform("hvn", lambda x: F.lit("HVN")), F.transform("lvn", lambda x: F.lit("LVN")))
+    zone = F.when(F.col("close") > F.col("vah"), "above value").when(F.col("close") < F.col("val"), "below value").otherwise("inside value")
+    b = b.withColumns({"zone": zone, "accepted": accepted, "nodes": nodes, "kinds": kinds})
+    # the first of the nearest
+    nearest = F.array_min(F.transform("nodes", lambda x, i: F.struct(F.abs(x - F.col("close")).alias("gap"), i.alias("i"))))
+    b = b.withColumns({"near": nearest, "over": F.array_min(F.filter("nodes", lambda x: x > F.col("close") + 1)), "under": F.array_max(F.filter("nodes", lambda x: x < F.col("close") - 1))})
+    is_at = F.col("near.gap") <= at
+    b = b.withColumns({
+        "at_node": F.when(is_at, F.element_at("kinds", F.col("near.i") + 1)), "node": F.when(is_at, F.element_at("nodes", F.col("near.i") + 1)),
+        "thin_above": F.exists("lvn", lambda x: (x > F.col("close")) & (x <= F.coalesce("over", "close"))), "thin_below": F.exists("lvn", lambda x: (x < F.col("close")) & (x >= F.coalesce("under", "close"))),
+        "moved": F.col("close") - F.element_at("recent", 1),
+    })
+    touching = F.size(F.filter("recent", lambda x: F.abs(x - F.col("node")) <= at))
+    crossed = F.exists("recent", lambda x: (x - F.col("node")) * (F.element_at("recent", 1) - F.col("node")) < 0)
+    there = F.when(crossed, "through").when(touching >= hold, "holding").otherwise("probing")
+    away = F.when(F.col("accepted").isNotNull(), "leaving").when((F.col("thin_above") & (F.col("moved") > 0)) | (F.col("thin_below") & (F.col("moved") < 0)), "traversing").when(F.col("zone") == "inside value", "rotating").otherwise("probing")
+    doing = F.when(F.col("node").isNotNull(), there).otherwise(away)
+    return b.select("instrument", "bar_us", "zone", "accepted", "at_node", "node", F.col("over").alias("node_above"), F.col("under").alias("node_below"), doing.alias("doing"))

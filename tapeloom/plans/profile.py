@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import profile as O
+from ..operators import reads as R
 from ..sources.fixtures import TAPE, tape, with_
-from .bars import BARS, HOUR, OHLC, hours
+from .bars import BARS, HOUR, OHLC, bars_sql, hours
 
 DAY = 24 * HOUR
 DAY_US = DAY * B.SECOND
@@ -37,7 +38,19 @@ def rolled(profile):
     return O.value_area(profile.withColumn("volume", F.round(F.col("volume") * 1000).cast("long")), ["instrument", "bar_us"], 0.7)
 
 
+def market(s, sf):
+    """Each hour against the profile of the day before."""
+    days = daily_profile(s, sf)
+    found = O.nodes(days, ["instrument", "bar_us"])
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("node") == k, F.col("row")))).alias(k)
+    p = area(s, sf).join(found.groupBy("instrument", "bar_us").agg(of("hvn"), of("lvn")), ["instrument", "bar_us"], "left")
+    none = F.array().cast("array<bigint>")
+    p = p.select("instrument", (F.col("bar_us") + DAY_US).alias("day_us"), "poc", "val", "vah", F.coalesce("hvn", none).alias("hvn"), F.coalesce("lvn", none).alias("lvn"))
+    return R.market_read(hours(s, sf).withColumn("day_us", B.bucket("bar_us", DAY)), p, "day_us")
+
+
 QUERIES = {
+    "market_state": market,
     "footprint_levels": fp,
     "footprint_imbalance": lambda s, sf: O.imbalances(fp(s, sf), 3.0, 5),
     "footprint_stacked": lambda s, sf: O.stacked(O.imbalances(fp(s, sf), 3.0, 5), 2),
@@ -120,4 +133,19 @@ y AS (SELECT i.*, wa.val AS oval, wa.vah + 1 AS ovah, (wa.vah + 1 + wa.val) / 2
 SELECT instrument, bar_us, CASE WHEN val > ovah THEN 'BREAKOUT_UP' WHEN vah < oval THEN 'BREAKOUT_DOWN' WHEN val <= oval AND vah >= ovah THEN 'ENGULFING' WHEN val <= ovah AND ovah <= vah THEN 'TESTING_VAH' WHEN val <= oval AND oval <= vah THEN 'TESTING_VAL'
   WHEN poc - mid >= edge AND drift >= 2 THEN 'MIGRATING_UP' WHEN mid - poc >= edge AND drift <= -2 THEN 'MIGRATING_DOWN' ELSE 'NESTED' END AS state,
   greatest(0.0, least(1.0, (least(vah, ovah) - greatest(val, oval)) / (vah - val))) AS overlap, CAST((poc - oval) / (ovah - oval) AS DOUBLE) AS poc_place, drift, CASE WHEN ratio <= 0.7 THEN 'fading' WHEN ratio >= 1.3 THEN 'building' ELSE 'steady' END AS volume_trend FROM y""",
+    "market_state": with_(TAPE, bars_sql(HOUR), area_sql("va", 1)).replace("WITH", "WITH RECURSIVE", 1)
+    + f""", nn AS (SELECT *, max(volume) OVER (PARTITION BY instrument, bar_us) AS peak, max(volume) OVER r AS top, min(volume) OVER r AS bottom, coalesce(max(volume) OVER u, 0) AS under, coalesce(max(volume) OVER o, 0) AS ovr FROM va_p
+  WINDOW r AS (PARTITION BY instrument, bar_us ORDER BY row RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING), u AS (PARTITION BY instrument, bar_us ORDER BY row RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY instrument, bar_us ORDER BY row RANGE BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
+kk AS (SELECT *, CASE WHEN volume >= 0.7 * peak AND volume >= top THEN 'hvn' WHEN volume <= 0.3 * peak AND volume <= bottom AND least(under, ovr) >= 0.3 * peak THEN 'lvn' END AS node FROM nn),
+gg AS (SELECT *, row - row_number() OVER (PARTITION BY instrument, bar_us, node ORDER BY row) AS run FROM kk WHERE node IS NOT NULL),
+nd AS (SELECT instrument, bar_us, node, arg_max(row, (volume, -row)) AS row FROM gg GROUP BY instrument, bar_us, node, run),
+pf AS (SELECT va.instrument, va.bar_us + {DAY_US} AS day_us, poc, val, vah, coalesce(h, []) AS hvn, coalesce(l, []) AS lvn FROM va LEFT JOIN (SELECT instrument, bar_us, list_sort(list(row) FILTER (node = 'hvn')) AS h, list_sort(list(row) FILTER (node = 'lvn')) AS l FROM nd GROUP BY ALL) USING (instrument, bar_us)),
+bb AS (SELECT instrument, bar_us, bar_us // {DAY_US} * {DAY_US} AS day_us, close, list(close) OVER (PARTITION BY instrument, bar_us // {DAY_US} ORDER BY bar_us ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rc FROM bars),
+x AS (SELECT *, [poc, vah, val] || hvn || lvn AS nodes, ['POC', 'VAH', 'VAL'] || list_transform(hvn, lambda q: 'HVN') || list_transform(lvn, lambda q: 'LVN') AS kinds, CASE WHEN len(rc) >= 2 AND rc[-1] > vah AND rc[-2] > vah THEN 'above' WHEN len(rc) >= 2 AND rc[-1] < val AND rc[-2] < val THEN 'below' END AS accepted,
+  CASE WHEN close > vah THEN 'above value' WHEN close < val THEN 'below value' ELSE 'inside value' END AS zone FROM bb JOIN pf USING (instrument, day_us)),
+y AS (SELECT *, list_position(list_transform(nodes, lambda q: abs(q - close)), list_min(list_transform(nodes, lambda q: abs(q - close)))) AS ix, list_min(list_filter(nodes, lambda q: q > close + 1)) AS up_to, list_max(list_filter(nodes, lambda q: q < close - 1)) AS down_to, close - rc[1] AS moved FROM x),
+z AS (SELECT *, CASE WHEN abs(nodes[ix] - close) <= 3 THEN nodes[ix] END AS node, CASE WHEN abs(nodes[ix] - close) <= 3 THEN kinds[ix] END AS at_node, len(list_filter(lvn, lambda q: q > close AND q <= coalesce(up_to, close))) > 0 AS ta, len(list_filter(lvn, lambda q: q < close AND q >= coalesce(down_to, close))) > 0 AS tb FROM y)
+SELECT instrument, bar_us, zone, accepted, at_node, node, up_to AS node_above, down_to AS node_below,
+  CASE WHEN node IS NOT NULL THEN CASE WHEN len(list_filter(rc, lambda q: (q - node) * (rc[1] - node) < 0)) > 0 THEN 'through' WHEN len(list_filter(rc, lambda q: abs(q - node) <= 3)) >= 3 THEN 'holding' ELSE 'probing' END
+       WHEN accepted IS NOT NULL THEN 'leaving' WHEN ta AND moved > 0 OR tb AND moved < 0 THEN 'traversing' WHEN zone = 'inside value' THEN 'rotating' ELSE 'probing' END AS doing FROM z""",
 }

@@ -53,6 +53,16 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes, written out as JSON, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_light(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows have few bytes written out as JSON, whatever they hold; else df itself. df should be stored: it is read to be measured."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 #: Rows of one key from which on spread_join() deals them.
 HOT_ROWS = 256
 

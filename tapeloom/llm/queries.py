@@ -5,7 +5,7 @@ from importlib import import_module
 
 from .common import small_batches
 
-MODULES = ("mixing", "url_filters", "toxicity", "language_id", "quality_rules", "bpe", "ngram_jaccard", "vector_topk", "pii", "chat_format")
+MODULES = ("mixing", "url_filters", "toxicity", "language_id", "quality_rules", "bpe", "ngram_jaccard", "vector_topk", "pii", "chat_format", "importance", "vector_codes", "quality_model")
 
 
 def _with_small_batches(query):

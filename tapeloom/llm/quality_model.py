@@ -44,7 +44,7 @@ def counts(words: list[bytes]) -> list[int]:
 def shares(found: list[int]) -> list[float]:
     words, size, *classes, capitals, distinct, again = found
     n, size = max(1, words), max(1, size)
-    return [*(c / size for c in classes), capitals / n, 1 - distinct / n if words else 0.0, again / n, min(1.0, size / n / 32)]
+    return [*(c / size for c in classes), capitals / n, 1 - distinct / n if words else 0.0, again / n, min(1.0, size / n / 32) if words else 0.0]
 
 
 def features(text: str) -> bytes:

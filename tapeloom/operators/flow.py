@@ -35,29 +35,39 @@ def level1_ofi(touches: DataFrame) -> DataFrame:
     return touches.withColumn("ofi", F.when(lag("seq").isNotNull(), bid - ask))
 
 
-def multilevel_ofi(books: DataFrame, floor: float = 0.1) -> DataFrame:
-    """seq, instrument, ofi: the sum over levels of level OFI, weighted from 1 at the touch down to floor."""
+def level_weight(i: Column, depth: int, floor: float = 0.1) -> Column:
+    """The weight of level i from 0 on: 1 at the touch, floor at the last of `depth` levels, whatever levels a book has."""
+    return F.lit(1.0) - i * ((1 - floor) / max(depth - 1, 1))
+
+
+def multilevel_ofi(books: DataFrame, depth: int = 10, floor: float = 0.1) -> DataFrame:
+    """seq, instrument, ofi: the sum over the first `depth` levels that a book and the one before have of level OFI, weighed by level_weight()."""
     b = books.withColumn("b0", F.lag("bids").over(order())).withColumn("a0", F.lag("asks").over(order())).where("b0 is not null")
-    n = F.least(F.size("bids"), F.size("b0"), F.size("asks"), F.size("a0"))
+    n = F.least(F.size("bids"), F.size("b0"), F.size("asks"), F.size("a0"), F.lit(depth))
 
     def level(i: Column) -> Column:
         at = lambda c: F.element_at(c, i + 1)
         bid = _side_flow(at("bids")["px"], at("bids")["sz"], at("b0")["px"], at("b0")["sz"], True)
         ask = _side_flow(at("asks")["px"], at("asks")["sz"], at("a0")["px"], at("a0")["sz"], False)
-        weight = F.lit(1.0) - i * F.lit(1 - floor) / F.greatest(n - 1, F.lit(1))
-        return (bid - ask) * weight
+        return (bid - ask) * level_weight(i, depth, floor)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), level), F.lit(0.0), lambda a, x: a + x)
+    levels = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(F.transform(levels, level), F.lit(0.0), lambda a, x: a + x)
     return b.select("seq", "instrument", total.alias("ofi"))
 
 
 def race(ofi: DataFrame, window: int, baseline: int) -> DataFrame:
-    """race, the sum of the last `window` OFIs, and z among the last `baseline` races (population deviation), once full."""
-    last = order().rowsBetween(-window + 1, 0)
-    r = ofi.where("ofi is not null").withColumn("race", F.when(F.count("*").over(last) == window, F.sum("ofi").over(last)))
-    base = order().rowsBetween(-baseline + 1, 0)
-    mean, sd, n = F.avg("race").over(base), F.stddev_pop("race").over(base), F.count("race").over(base)
-    return r.select("instrument", "seq", "race", F.when((n == baseline) & (sd > 0), (F.col("race") - mean) / sd).alias("z"))
+    """race, the sum of the last `window` OFIs, and z among the last `baseline` races (population deviation), once full. OFIs are whole numbers, so running
+    sums of races and of their squares, less those `baseline` rows back, give both exactly, with the same work for any length."""
+    so_far = order().rowsBetween(W.unboundedPreceding, 0)
+    back = lambda c, k: F.lag(c, k, 0).over(order())
+    r = ofi.where("ofi is not null").withColumns({"i": F.row_number().over(order()), "total": F.sum(F.col("ofi").cast("long")).over(so_far)})
+    r = r.withColumn("race", F.when(F.col("i") >= window, F.col("total") - back("total", window)))
+    r = r.withColumns({"s": F.coalesce(F.sum("race").over(so_far), F.lit(0)), "q": F.coalesce(F.sum(F.col("race") * F.col("race")).over(so_far), F.lit(0))})
+    r = r.withColumns({"s": F.col("s") - back("s", baseline), "q": F.col("q") - back("q", baseline)})
+    spread = F.col("q") * baseline - F.col("s") * F.col("s")  # baseline^2 times the variance
+    full = F.col("i") >= window + baseline - 1
+    return r.select("instrument", "seq", "race", F.when(full & (spread > 0), (F.col("race") * baseline - F.col("s")) / F.sqrt(spread)).alias("z"))
 
 
 def book_cvd(touches: DataFrame) -> DataFrame:

@@ -21,13 +21,28 @@ def range_join(events: DataFrame, prints: DataFrame, horizon_us: int, width_us:
     return e.join(p, ["instrument", "_b"]).where((F.col("us") > F.col("at_us")) & (F.col("us") <= F.col("at_us") + horizon_us)).drop("_b")
 
 
-def first_touch(events: DataFrame, prints: DataFrame, horizon_us: int) -> DataFrame:
-    """events (event_id, instrument, at_us, spot, level): touched, the time to the first touch, and the last price of the horizon."""
-    x = range_join(events, prints, horizon_us)
-    hit = F.when(F.col("level") >= F.col("spot"), F.col("px") >= F.col("level")).otherwise(F.col("px") <= F.col("level"))
-    t = x.groupBy("event_id").agg(F.min(F.when(hit, F.col("us"))).alias("hit_us"), F.max_by("px", F.struct("us", "seq")).alias("last_px"), F.count("*").alias("prints"))
-    out = events.join(t, "event_id", "left")
-    return out.select("event_id", "instrument", "spot", "level", F.col("hit_us").isNotNull().alias("touched"), ((F.col("hit_us") - F.col("at_us")) / 60e6).alias("minutes"), F.col("last_px"), F.coalesce("prints", F.lit(0)).alias("prints"))
+def first_touch(events: DataFrame, prints: DataFrame, horizon_us: int, parts: int = 16) -> DataFrame:
+    """events (event_id, instrument, at_us, spot, level): touched, the time to the first touch, and the last price of the horizon.
+
+    Time is cut into buckets of a `parts`th of the horizon, of which the highest and lowest price are taken first. An event meets the prints of its first and
+    last bucket, which it has a part of, one row for each bucket between, and the prints of the first of these that reaches its level."""
+    width = max(1, horizon_us // parts)
+    bucket = lambda us: F.floor(us / width)
+    p = prints.select("instrument", "us", "seq", "px", bucket(F.col("us")).alias("_b"))
+    bars = p.groupBy("instrument", "_b").agg(F.max("px").alias("hi"), F.min("px").alias("lo"), F.count("*").alias("n"), F.max(F.struct("us", "seq", "px")).alias("last"))
+    e = events.select("event_id", "instrument", "at_us", "spot", "level", bucket(F.col("at_us")).alias("_b0"), bucket(F.col("at_us") + horizon_us).alias("_b1"))
+    up = F.col("level") >= F.col("spot")
+    hit = F.when(up, F.col("px") >= F.col("level")).otherwise(F.col("px") <= F.col("level"))
+    ends = e.withColumn("_b", F.explode(F.array_distinct(F.array("_b0", "_b1")))).join(p, ["instrument", "_b"]).where((F.col("us") > F.col("at_us")) & (F.col("us") <= F.col("at_us") + horizon_us))
+    ends = ends.groupBy("event_id").agg(F.min(F.when(hit, F.col("us"))).alias("hit_us"), F.max(F.struct("us", "seq", "px")).alias("last"), F.count("*").alias("prints"))
+    inner = F.when(F.col("_b1") - F.col("_b0") > 1, F.sequence(F.col("_b0") + 1, F.col("_b1") - 1))
+    reached = F.when(up, F.col("hi") >= F.col("level")).otherwise(F.col("lo") <= F.col("level"))
+    mid = e.withColumn("_b", F.explode(inner)).join(bars, ["instrument", "_b"]).groupBy("event_id", "instrument", "level", "spot").agg(F.min(F.when(reached, F.col("_b"))).alias("_b"), F.max("last").alias("mid_last"), F.sum("n").alias("mid_n"))
+    found = mid.where("_b is not null").join(p, ["instrument", "_b"]).where(hit).groupBy("event_id").agg(F.min("us").alias("mid_us"))
+    t = e.select("event_id", "instrument", "at_us", "spot", "level").join(ends, "event_id", "left").join(mid.select("event_id", "mid_last", "mid_n"), "event_id", "left").join(found, "event_id", "left")
+    hit_us = F.least("hit_us", "mid_us")  # of the two that are there the earlier
+    last = F.greatest("last", "mid_last")
+    return t.select("event_id", "instrument", "spot", "level", hit_us.isNotNull().alias("touched"), ((hit_us - F.col("at_us")) / 60e6).alias("minutes"), last["px"].alias("last_px"), (F.coalesce("prints", F.lit(0)) + F.coalesce("mid_n", F.lit(0))).alias("prints"))
 
 
 def triple_barrier(events: DataFrame, prints: DataFrame, target: int, stop: int, horizon_us: int, ambiguous: bool = False) -> DataFrame:

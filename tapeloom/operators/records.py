@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .flow import _side_flow
+from .flow import _side_flow, level_weight
 
 UNIT = 1e-9
 UNDEFINED = 2**63 - 1
@@ -45,12 +45,12 @@ def stream(records: DataFrame, flip: bool = False) -> DataFrame:
     return t.union(b).union(records.where("action = 'R'").select("instrument", "seq", F.lit(0), F.lit("clear")))
 
 
-def admissible(records: DataFrame, check_sequence: bool = True) -> DataFrame:
+def admissible(records: DataFrame, check_sequence: bool = True, depth: int = 10) -> DataFrame:
     """instrument, seq, reason, ofi, ofi_levels: the order-flow step of each record, or why there is none.
 
     boundary: nothing happened, or a clear, after which nothing is known; no_book: a record without levels, which leaves what is known as it is; roll:
     another contract; first: nothing known; gap: a number is missing before it; invalid: a touch without price or size; crossed. The record becomes what is
-    known in each of the last five, so the step after is measured from it. ofi_levels weighs the levels from 1 down to a tenth.
+    known in each of the last five, so the step after is measured from it. ofi_levels weighs the levels by flow.level_weight() of `depth`.
     """
     feed = W.partitionBy("instrument").orderBy("seq")
     r = records.withColumn("clears", F.count_if(F.col("action") == "R").over(feed.rowsBetween(W.unboundedPreceding, 0)))
@@ -73,12 +73,11 @@ def admissible(records: DataFrame, check_sequence: bool = True) -> DataFrame:
     def step(a: Column, b: Column) -> Column:
         return _side_flow(b["bid_px"], b["bid_sz"], a["bid_px"], a["bid_sz"], True) - _side_flow(b["ask_px"], b["ask_sz"], a["ask_px"], a["ask_sz"], False)
 
-    n = F.greatest(F.size("levels"), F.size("levels0"))
-    both = F.least(F.size("levels"), F.size("levels0"))
+    both = F.least(F.size("levels"), F.size("levels0"), F.lit(depth))
 
     def weighed(i: Column) -> Column:
         a, b = F.element_at("levels0", i + 1), F.element_at("levels", i + 1)
-        return F.when(valid(a) & valid(b), step(a, b) * (1 - i * F.lit(0.9) / F.greatest(n - 1, F.lit(1)))).otherwise(0.0)
+        return F.when(valid(a) & valid(b), step(a, b) * level_weight(i, depth)).otherwise(0.0)
 
     ok = F.col("reason") == "ok"
     total = F.aggregate(F.transform(F.sequence(F.lit(0), both - 1), weighed), F.lit(0.0), lambda a, x: a + x)

@@ -6,13 +6,12 @@ number. Draws come from a 31-bit congruential generator, so any engine repeats t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z95
+from ..sources.scratch import held
 from .outcomes import first_touch, lcg, range_join
 
 
@@ -30,16 +29,21 @@ def bands(x: Column, edges: list[float]) -> Column:
     return out
 
 
+def resampled_blocks(sums: DataFrame, by: list[str], block: str, draws: int, seed: Column) -> DataFrame:
+    """For each group and draw the sums of num, den over as many blocks as the group has, drawn with replacement: by, draw, num, den. sums: by, block, num, den."""
+    w = W.partitionBy(*by)
+    sums = sums.withColumns({"_i": F.row_number().over(w.orderBy(block)) - 1, "_n": F.count("*").over(w)})
+    slots = sums.where("_i = 0").select(*by, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw")).select(*by, "_n", "draw", F.explode(F.expr("sequence(0L, _n - 1)")).alias("_slot"))
+    slots = slots.withColumn("_i", F.floor(lcg(lcg(F.col("draw") * 7919 + F.col("_slot") * 104729 + seed)) / 2147483648 * F.col("_n")).cast("int"))
+    return slots.select(*by, "draw", "_i").join(sums.select(*by, "_i", "num", "den"), [*by, "_i"]).groupBy(*by, "draw").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+
+
 def block_bootstrap(rows: DataFrame, block: str, num: str, den: str, draws: int, seed: int) -> DataFrame:
     """The ratio sum(num) / sum(den) with the 2.5% and 97.5% points of `draws` resamplings of whole blocks."""
-    sums = rows.groupBy(block).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
-    sums = sums.withColumn("i", F.row_number().over(W.orderBy(block)) - 1).select("i", "num", "den")
-    n = sums.agg(F.count("*").alias("n"), F.sum("num").alias("a"), F.sum("den").alias("b"))
-    slots = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(n)).where("n > 0")
-    slots = slots.select("draw", "n", "a", "b", F.explode(F.expr("sequence(0L, n - 1)")).alias("slot"))
-    slots = slots.withColumn("i", F.floor(lcg(lcg(F.col("draw") * 7919 + F.col("slot") * 104729 + seed)) / 2147483648 * F.col("n")))
-    r = slots.join(sums, "i").groupBy("draw").agg((F.sum("num") / F.sum("den")).alias("ratio"), F.first(F.col("a") / F.col("b")).alias("whole"))
-    return r.agg(F.first("whole").alias("ratio"), F.percentile("ratio", F.lit(0.025)).alias("lo"), F.percentile("ratio", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
+    sums = rows.groupBy(F.lit(0).alias("_g"), block).agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
+    r = resampled_blocks(sums, ["_g"], block, draws, F.lit(seed)).withColumn("ratio", F.col("num") / F.col("den"))
+    ends = r.groupBy("_g").agg(F.percentile("ratio", F.lit(0.025)).alias("lo"), F.percentile("ratio", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
+    return sums.groupBy("_g").agg((F.sum("num") / F.sum("den")).alias("ratio")).join(ends, "_g").drop("_g")
 
 
 def permutation(rows: DataFrame, value: str, sign: str, key: str, draws: int, seed: int) -> DataFrame:
@@ -106,17 +110,17 @@ def after_touch(events: DataFrame, prints: DataFrame, horizon_us: int, follow_us
     return x.select("event_id", ((F.col("end") - F.col("level")) * F.when(F.col("level") >= F.col("spot"), 1).otherwise(-1)).alias("move"))
 
 
-def size_effect(rows: DataFrame, size: str, groups: int, draws: int, seed: int, least: int = 10) -> DataFrame:
-    """The lift of touches by bands of size of equal numbers, each with its bootstrapped interval: whether bands differ is what is asked. rows: size,
-    touched, expected, block. The cuts, one number a band, are learned first; bands of fewer than `least` rows go."""
-    cuts = rows.agg(*(F.percentile(size, F.lit(i / groups)).alias(f"c{i}") for i in range(groups))).first()
-    out = []
-    for i in range(groups):
-        if cuts[i] is None:
-            continue
-        band = rows.where(F.col(size) >= cuts[i]) if i + 1 == groups else rows.where((F.col(size) >= cuts[i]) & (F.col(size) < cuts[i + 1]))
-        told = band.agg(F.lit(float(cuts[i])).alias("cut"), F.count("*").alias("n"), F.avg("touched").alias("observed"), F.avg("expected").alias("mean"))
-        lift = block_bootstrap(band, "block", "touched", "expected", draws, seed + i).select(F.col("ratio").alias("lift"), "lo", "hi")
-        out.append(told.crossJoin(lift).where(F.col("n") >= least).select("cut", "n", "observed", F.col("mean").alias("expected"), "lift", "lo", "hi"))
-    none = rows.sparkSession.createDataFrame([], "cut double, n long, observed double, expected double, lift double, lo double, hi double")
-    return reduce(DataFrame.unionByName, out, none)
+def size_effect(rows: DataFrame, size: str, groups: int, draws: int, seed: int, least: int = 20, least_band: int = 10, least_blocks: int = 8) -> DataFrame:
+    """The lift of touches by bands of size of equal numbers, each with its bootstrapped interval: whether bands differ is what is asked. rows: size, touched,
+    expected, block. Fewer than `least` rows for each band give nothing, bands of fewer than least_band go, and there is no interval below `least_blocks` blocks."""
+    rows = held(rows.select(size, "touched", "expected", "block"))
+    cuts = rows.agg(*(F.percentile(size, F.lit(i / groups)).alias(f"c{i}") for i in range(groups)), F.count("*").alias("n")).first()
+    known = [] if cuts["n"] < least * groups else [float(c) for c in cuts[:groups]]
+    band = sum((F.when(F.col(size) >= c, 1).otherwise(0) for c in known), F.lit(-1))
+    sums = rows.withColumn("band", band).where("band >= 0").groupBy("band", "block").agg(F.count("*").alias("n"), F.sum("touched").alias("num"), F.sum("expected").alias("den"))
+    drawn = resampled_blocks(sums, ["band"], "block", draws, F.lit(seed) + F.col("band")).withColumn("ratio", F.col("num") / F.col("den"))
+    ends = drawn.groupBy("band").agg(F.percentile("ratio", F.lit(0.025)).alias("lo"), F.percentile("ratio", F.lit(0.975)).alias("hi"))
+    told = sums.groupBy("band").agg(F.sum("n").alias("n"), F.sum("num").alias("num"), F.sum("den").alias("den"), F.count("*").alias("blocks"))
+    enough = lambda c: F.when(F.col("blocks") >= least_blocks, c)
+    cut = F.element_at(F.array(*map(F.lit, known or [0.0])), F.col("band") + 1)
+    return told.where(F.col("n") >= least_band).join(ends, "band").select(cut.alias("cut"), "n", (F.col("num") / F.col("n")).alias("observed"), (F.col("den") / F.col("n")).alias("expected"), (F.col("num") / F.col("den")).alias("lift"), enough(F.col("lo")).alias("lo"), enough(F.col("hi")).alias("hi"))

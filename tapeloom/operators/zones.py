@@ -70,39 +70,31 @@ def provisional(bars: DataFrame, left: int, right: int) -> DataFrame:
 
 def touch_outcomes(touches: DataFrame, bars: DataFrame, horizon_us: int, touch: int, rearm: int, through: int, reject: int, go: int) -> DataFrame:
     """What became of each touch of a price (event_id, instrument, at_us, level, up: whether it was come to from below) over the bars that begin within
-    horizon_us, whose closes alone count as going through.
-
-    reject: `reject` ticks back before any close `through` ticks beyond; break_fail: a close beyond, then one as far back; break_go: a close beyond, then `go`
-    ticks; else stall. mfe and mae are of the leg, which ends when a close that has been `rearm` away is back within `touch`."""
-
-    def step(rows):
-        beyond = left = ended = False
-        best = worst = fav = adv = 0
-        label = dist = took = None
-        for us, at, level, up, high, low, close in rows:
-            gap = abs(close - level)
-            if gap > rearm:
-                left = True
-            elif left and gap <= touch:
-                ended = True
-            if not ended:
-                fav, adv = (high - level, level - low) if up else (level - low, high - level)
-                best, worst = max(best, fav), max(worst, adv)
-            if label:
-                continue
-            past = close - level if up else level - close
-            if not beyond:
-                if past >= through:
-                    beyond = True
-                elif adv >= reject:
-                    label, dist, took = "reject", adv, us - at
-            elif past <= -through:
-                label, dist, took = "break_fail", best, us - at
-            elif fav >= go:
-                label, dist, took = "break_go", fav, us - at
-        yield label or "stall", best if dist is None else dist, horizon_us if took is None else took, best, worst, ended
-
-    b = bars.select("instrument", F.col("bar_us").alias("us"), F.col("bar_us").alias("seq"), F.struct("high", "low", "close").alias("px"))
-    x = range_join(touches.withColumn("at_us", F.col("at_us") - 1), b, horizon_us)
-    x = x.select("event_id", "us", (F.col("at_us") + 1).alias("at"), "level", "up", F.col("px.high").alias("high"), F.col("px.low").alias("low"), F.col("px.close").alias("close"))
-    return in_order(x, step, "label string, dist long, took_us long, mfe long, mae long, returned boolean", ("event_id",), ("us",))
+    horizon_us.
+
+    A leg lasts until a close that has been over `rearm` away is back within `touch`; mfe and mae are its excursions, and a bar after it stands for the leg's last
+    one. reject: `reject` ticks back before any close `through` ticks beyond; break_fail: after such a close, one as far back; break_go: after such a
+    close, `go` ticks, if no close back came before or with it; else stall. Each is the first bar of its kind in the touch's path."""
+    b = bars.select("instrument", F.col("bar_us").alias("us"), F.col("bar_us").alias("seq"), F.struct("bar_us", "high", "low", "close").alias("px"))
+    x = range_join(touches.withColumn("at_us", F.col("at_us") - 1), b, horizon_us).groupBy("event_id").agg(F.first(F.struct((F.col("at_us") + 1).alias("at"), "level", "up")).alias("t"), F.array_sort(F.collect_list("px")).alias("bars"))
+    level, up = F.col("t.level"), F.col("t.up")
+    ahead = lambda b: F.struct(F.when(up, b["high"] - level).otherwise(level - b["low"]).alias("fav"), F.when(up, level - b["low"]).otherwise(b["high"] - level).alias("adv"), F.when(up, b["close"] - level).otherwise(level - b["close"]).alias("past"), b["bar_us"].alias("us"))
+    first = lambda rule: F.array_position(F.transform("path", lambda b, i: F.coalesce(rule(b, i + 1), F.lit(False))), True)  # noqa: E731  from 1 on; 0: none
+    x = x.select("event_id", F.col("t.at").alias("at"), F.transform("bars", ahead).alias("path"))
+    x = x.withColumn("left", first(lambda b, i: F.abs(b["past"]) > rearm)).withColumn("through", first(lambda b, i: b["past"] >= through))
+    x = x.withColumn("end", first(lambda b, i: (F.col("left") > 0) & (i > F.col("left")) & (F.abs(b["past"]) <= touch)))
+    x = x.withColumn("leg", F.when(F.col("end") > 0, F.col("end") - 1).otherwise(F.size("path")).cast("int"))
+    of_leg = lambda i: F.element_at("path", F.least(i.cast("int"), F.col("leg")))
+    best = lambda of, n: F.greatest(F.lit(0), F.array_max(F.transform(F.slice("path", F.lit(1), F.least(n.cast("int"), F.col("leg"))), lambda b: b[of])))
+    broken = F.col("through") > 0
+    x = x.withColumn("reject", first(lambda b, i: (of_leg(i)["adv"] >= reject) & (~broken | (i < F.col("through")))))
+    x = x.withColumn("back", first(lambda b, i: broken & (i > F.col("through")) & (b["past"] <= -through))).withColumn("go", first(lambda b, i: broken & (i > F.col("through")) & (of_leg(i)["fav"] >= go)))
+    failed = (F.col("back") > 0) & ((F.col("go") == 0) | (F.col("back") <= F.col("go")))
+    label = F.when(F.col("reject") > 0, "reject").when(failed, "break_fail").when(F.col("go") > 0, "break_go").otherwise("stall")
+    x = x.withColumns({"label": label, "mfe": best("fav", F.col("leg")), "mae": best("adv", F.col("leg"))})
+    at = F.when(F.col("label") == "reject", F.col("reject")).when(F.col("label") == "break_fail", F.col("back")).when(F.col("label") == "break_go", F.col("go")).cast("int")
+    x = x.withColumn("n", at)
+    one = F.greatest("n", F.lit(1))
+    dist = F.when(F.col("label") == "reject", of_leg(one)["adv"]).when(F.col("label") == "break_fail", best("fav", one)).when(F.col("label") == "break_go", of_leg(one)["fav"]).otherwise(F.col("mfe"))
+    took = F.when(F.col("n").isNull(), F.lit(horizon_us)).otherwise(F.element_at("path", one)["us"] - F.col("at"))
+    return x.select("event_id", "label", dist.cast("long").alias("dist"), took.cast("long").alias("took_us"), F.col("mfe").cast("long").alias("mfe"), F.col("mae").cast("long").alias("mae"), (F.col("end") > 0).alias("returned"))

@@ -1,8 +1,7 @@
-"""Queries on zones, unsettled turns, what follows a touch, the effect of size, and routes of pools."""
+"""Queries on zones, unsettled turns, what follows a touch, the effect of size."""
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
 from ..operators import outcomes as X
 from ..operators import validation as V
 from ..operators import zones as O
@@ -49,16 +48,9 @@ QUERIES = {
     "provisional_turns": lambda s, sf: O.provisional(fours(s, sf), 5, 3),
     "post_touch": after,
     "size_effect": sized,
-    "route_sizes": lambda s, sf: G.route_sizes(G.routes2(pools_of(s, sf), 1.0)),
 }
 
 
-def pools_of(s, sf):
-    from .other import pools
-
-    return pools(s, sf)
-
-
 def boot(src: str, name: str, num: str, den: str, draws: int, seed: int) -> str:
     """The bootstrap of a ratio over blocks, as CTEs that end in {name}: ratio, lo, hi, draws."""
     return f"""{name}_b AS (SELECT row_number() OVER (ORDER BY block) - 1 AS i, num, den FROM (SELECT block, sum({num}) AS num, sum({den}) AS den FROM {src} GROUP BY block)),

@@ -49,7 +49,39 @@ def pools(s, sf):
 
 POOLS = """li AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS line, CAST(trunc(l_quantity) AS BIGINT) AS q, l_partkey % 50 AS r, 'S' || l_suppkey AS s, 'P' || l_partkey AS p, 'O' || l_orderkey AS o FROM lineitem),
 pools AS (SELECT line * 3 AS pool, s AS token0, p AS token1, 1000 + q AS reserve0, 1000 + r * 3 AS reserve1 FROM li UNION ALL SELECT line * 3 + 1, p, o, 1000 + q * 2, 1000 + r * 2 FROM li UNION ALL SELECT line * 3 + 2, o, s, 1000 + q * 3, 1000 + r FROM li),
-edges AS (SELECT pool, token0 AS a, token1 AS b, reserve1 / reserve0 * (1 - 3000 / 1e6) AS rate FROM pools WHERE token0 <> token1 UNION ALL SELECT pool, token1, token0, reserve0 / reserve1 * (1 - 3000 / 1e6) FROM pools WHERE token0 <> token1)"""
+edges AS MATERIALIZED (SELECT pool, token0 AS a, token1 AS b, reserve1 / reserve0 * (1 - 3000 / 1e6) AS rate FROM pools WHERE token0 <> token1 UNION ALL SELECT pool, token1, token0, reserve0 / reserve1 * (1 - 3000 / 1e6) FROM pools WHERE token0 <> token1)"""
+
+
+CYCLES2 = """t2 AS (SELECT a, b, max(rate) AS top FROM edges GROUP BY a, b),
+c2 AS (SELECT x.a, x.b, x.pool AS p1, y.pool AS p2, x.rate * y.rate AS gain FROM edges x JOIN t2 ON t2.a = x.b AND t2.b = x.a JOIN edges y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b AND x.rate * top >= 1.02 AND x.pool <> y.pool AND x.rate * y.rate >= 1.02)"""
+#: Edges that the best ones beside them can't bring to the gain go first.
+CYCLES3 = """e3 AS MATERIALIZED (SELECT e.* FROM edges e JOIN (SELECT a, max(rate) AS o FROM edges GROUP BY a) y ON y.a = e.b JOIN (SELECT b, max(rate) AS i FROM edges GROUP BY b) z ON z.b = e.a WHERE rate * o * i >= 1.15 * (1 - 1e-12)),
+c3 AS (SELECT x.a, x.b, y.b AS c, x.pool AS p1, y.pool AS p2, z.pool AS p3, x.rate * y.rate * z.rate AS gain FROM e3 x JOIN e3 y ON x.b = y.a JOIN e3 z ON y.b = z.a AND z.b = x.a
+  WHERE x.a < x.b AND x.a < y.b AND x.pool <> y.pool AND y.pool <> z.pool AND x.pool <> z.pool AND x.rate * y.rate * z.rate >= 1.15)"""
+#: Two pools of constant product: the amount where profit has its top, or the room of both legs if that is less.
+ROUTES = """deep AS (SELECT pool, token0 AS a, token1 AS b, CAST(reserve0 AS HUGEINT) * 1000000 AS i, CAST(reserve1 AS HUGEINT) * 1000000 AS o FROM pools UNION ALL SELECT pool, token1, token0, CAST(reserve1 AS HUGEINT) * 1000000, CAST(reserve0 AS HUGEINT) * 1000000 FROM pools),
+ring AS (SELECT x.a AS start, [x.pool, y.pool] AS route, x.i AS i1, x.o AS o1, y.i AS i2, y.o AS o2 FROM deep x JOIN deep y ON y.a = x.b AND y.b = x.a AND x.pool <> y.pool WHERE x.a <> x.b AND CAST(x.o AS DOUBLE) / x.i * (1 - 3000 / 1e6) * (CAST(y.o AS DOUBLE) / y.i * (1 - 3000 / 1e6)) >= {least}),
+room AS (SELECT *, i1 * 30 // 10000 AS r1, i2 * 30 // 10000 AS m FROM ring),
+cap AS (SELECT *, least(r1, ((m + 1) * i1 * 1000000 - 1) // (997000 * (o1 - m - 1))) AS most FROM room),
+best AS (SELECT *, greatest(least(most, CAST(floor((sqrt(CAST(o1 AS DOUBLE) * o2 * i1 * i2) * 997000 * 1e6 - CAST(i1 AS DOUBLE) * i2 * 1e12) / (997000.0 * (CAST(o1 AS DOUBLE) * 997000 + CAST(i2 AS DOUBLE) * 1000000))) AS HUGEINT)), 0) AS x FROM cap),
+one AS (SELECT start, route, i2, o2, x, x * 997000 * o1 // (i1 * 1000000 + x * 997000) AS y FROM best),
+sized AS (SELECT start, route, CAST(x AS DECIMAL(38, 0)) AS amount, CAST(y * 997000 * o2 // (i2 * 1000000 + y * 997000) AS DECIMAL(38, 0)) AS returned FROM one WHERE y * 997000 * o2 // (i2 * 1000000 + y * 997000) > x)"""
+
+
+def deep(s, sf):
+    """The pools with a million times their reserves, so that what a leg has room for are many units."""
+    return pools(s, sf).withColumns({c: F.col(c) * 1_000_000 for c in ("reserve0", "reserve1")})
+
+
+def mixed(s, sf):
+    """deep(), every third of them of concentrated liquidity."""
+    one = F.expr("79228162514264337593543950336BD")
+    near = (F.col("reserve1").cast("decimal(20,0)") / F.col("reserve0").cast("decimal(20,0)")).cast("decimal(10,6)")
+    return deep(s, sf).withColumns({"sqrt_price": F.when(F.col("pool") % 9 < 3, F.floor(one.cast("decimal(29,0)") * near.cast("decimal(8,6)")).cast("string")), "liquidity": F.col("reserve0").cast("string")})
+
+
+def told(sized):
+    return sized.withColumn("route", F.array_join(F.col("route").cast("array<string>"), "-"))
 
 
 def voted(s, sf):
@@ -112,6 +144,9 @@ QUERIES = {
     "notional_profile": by_tape,
     "dex_cycles2": lambda s, sf: G.cycles2(G.swaps(pools(s, sf)), 1.02),
     "dex_cycles3": lambda s, sf: G.cycles3(G.swaps(pools(s, sf)), 1.15),
+    "route_sizes": lambda s, sf: told(G.route_sizes(G.routes2(deep(s, sf), 1.0))),
+    "route_sizes_mixed": lambda s, sf: told(G.route_sizes(G.routes_from(mixed(s, sf), "S1"))),
+    "dex_best_routes": lambda s, sf: told(G.ranked(G.route_sizes(G.routes2(deep(s, sf), 1.0)))),
     "callbook_coverage": lambda s, sf: L.callbook(calls(s, sf).withColumn("mark", (F.col("prints") % 3).cast("int")), ["mark"]),
 }
 
@@ -143,8 +178,11 @@ SELECT instrument, bar_us, CASE WHEN net > 0 THEN 'up' WHEN net < 0 THEN 'down'
     + "SELECT CASE WHEN held_s <= (SELECT quantile_cont(held_s, 1 / 3) FROM ledger) THEN 'low' WHEN held_s <= (SELECT quantile_cont(held_s, 2 / 3) FROM ledger) THEN 'middle' ELSE 'high' END AS band, count(*) AS n, avg(net_bps) AS mean_net, min(held_s) AS from_s, max(held_s) AS to_s FROM ledger GROUP BY ALL",
     "notional_profile": with_(TAPE)
     + ", p AS (SELECT instrument, CAST(floor(px_ticks / 4) AS BIGINT) * 4 AS step, CAST(sum(CASE WHEN side = 'B' THEN px_ticks * sz ELSE 0 END) AS BIGINT) AS bought, CAST(sum(CASE WHEN side = 'A' THEN px_ticks * sz ELSE 0 END) AS BIGINT) AS sold FROM tape GROUP BY ALL) SELECT *, (bought + sold) / sum(bought + sold) OVER (PARTITION BY instrument) AS share FROM p",
-    "dex_cycles2": with_(POOLS) + "SELECT x.a, x.b, x.pool AS p1, y.pool AS p2, x.rate * y.rate AS gain FROM edges x JOIN edges y ON x.b = y.a AND x.a = y.b AND x.pool <> y.pool WHERE x.a < x.b AND x.rate * y.rate >= 1.02",
-    "dex_cycles3": with_(POOLS) + "SELECT x.a, x.b, y.b AS c, x.pool AS p1, y.pool AS p2, z.pool AS p3, x.rate * y.rate * z.rate AS gain FROM edges x JOIN edges y ON x.b = y.a JOIN edges z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.pool <> y.pool AND y.pool <> z.pool AND x.pool <> z.pool AND x.rate * y.rate * z.rate >= 1.15",
+    "dex_cycles2": with_(POOLS, CYCLES2) + "SELECT * FROM c2",
+    "dex_cycles3": with_(POOLS, CYCLES3) + "SELECT * FROM c3",
+    "dex_best_routes": with_(POOLS, ROUTES.format(least=1.0))
+    + "SELECT start, array_to_string(route, '-') AS route, amount, returned, returned - amount AS gross, CAST(returned - amount AS DOUBLE) / amount * 10000 AS bps FROM sized WHERE CAST(returned - amount AS DOUBLE) / amount * 10000 <= 1000 ORDER BY gross DESC, sized.route LIMIT 10",
+    "route_sizes": with_(POOLS, ROUTES.format(least=1.0)) + "SELECT * REPLACE (array_to_string(route, '-') AS route) FROM sized",
     "callbook_coverage": BARS
     + CALLS.replace("volume FROM bars", "volume, CAST(prints % 3 AS INTEGER) AS mark FROM bars")
     + """, g AS (SELECT mark, count(*) AS offered, count_if(side <> 0) AS called, count_if(side <> 0 AND outcome <> 0) AS scored, count_if(side <> 0 AND outcome = side) AS hits, count_if(side <> 0 AND outcome <> 0 AND outcome = naive) AS naive_hits, count_if(side <> 0 AND side = naive) AS agreed FROM calls GROUP BY ALL)

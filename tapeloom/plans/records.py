@@ -38,7 +38,7 @@ a AS (SELECT *, CASE WHEN c0 IS NOT NULL AND c0 <> contract THEN 'roll' WHEN l0
 adm AS (SELECT instrument, seq, reason, CASE WHEN reason = 'ok' THEN """
     + STEP.format(a="o1", b="n1")
     + " END AS ofi, CASE WHEN reason = 'ok' THEN CAST("
-    + " + ".join(f"CASE WHEN {VALID.format(x=f'o{i}')} AND {VALID.format(x=f'n{i}')} THEN {STEP.format(a=f'o{i}', b=f'n{i}')} * (1 - {i - 1} * 0.9 / 2) ELSE 0 END" for i in (1, 2, 3))
+    + " + ".join(f"CASE WHEN {VALID.format(x=f'o{i}')} AND {VALID.format(x=f'n{i}')} THEN {STEP.format(a=f'o{i}', b=f'n{i}')} * (1 - {i - 1} * 0.9 / 9) ELSE 0 END" for i in (1, 2, 3))
     + " AS DOUBLE) END AS ofi_levels FROM a UNION ALL SELECT instrument, seq, skipped, NULL, NULL FROM c WHERE skipped IS NOT NULL)"
 )
 

@@ -1,33 +1,22 @@
 """Queries that run as streams over the driver's events until all is read."""
 
-import tempfile
-import uuid
-
 from ..sources.fixtures import TAPE, with_
+from ..sources.scratch import place
 from ..streaming import bars as S
 from .flow import L1
 from .sequential import JOIN, OFI_BARS, ordered, recursive
 
 
-def place(spark) -> str:
-    """A folder for the stream's output and state: the shared one of the cluster; a temporary one where that is unset and the master is local."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    root = root or tempfile.mkdtemp(prefix="tapeloom-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def prints(s, sf):
     return S.events_as_prints(S.prints_stream(s, sf, "events.parquet"))
 
 
 QUERIES = {
-    "stream_bars": lambda s, sf: S.drain(S.time_bars(prints(s, sf), "4 hours", "1 hour"), place(s)),
-    "stream_sessions": lambda s, sf: S.drain(S.session_activity(prints(s, sf), "2 hours", "1 hour"), place(s)),
-    "stream_delta_bars": lambda s, sf: S.drain(S.delta_bars(prints(s, sf), 100), place(s)),
-    "stream_ofi_bars": lambda s, sf: S.drain(S.ofi_bars(S.events_as_touches(S.prints_stream(s, sf, "events.parquet")), 100, 6 * 3600, 5), place(s)),
-    "stream_stance": lambda s, sf: S.drain(S.stance(prints(s, sf), 6 * 3600.0, 12.0, 5.0), place(s)),
+    "stream_bars": lambda s, sf: S.drain(S.time_bars(prints(s, sf), "4 hours", "1 hour"), place(s, "stream")),
+    "stream_sessions": lambda s, sf: S.drain(S.session_activity(prints(s, sf), "2 hours", "1 hour"), place(s, "stream")),
+    "stream_delta_bars": lambda s, sf: S.drain(S.delta_bars(prints(s, sf), 100), place(s, "stream")),
+    "stream_ofi_bars": lambda s, sf: S.drain(S.ofi_bars(S.events_as_touches(S.prints_stream(s, sf, "events.parquet")), 100, 6 * 3600, 5), place(s, "stream")),
+    "stream_stance": lambda s, sf: S.drain(S.stance(prints(s, sf), 6 * 3600.0, 12.0, 5.0), place(s, "stream")),
 }
 
 ORACLE = {

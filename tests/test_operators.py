@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import calendar as cal
 from tapeloom.functions import market, stats, verdicts
-from tapeloom.operators import bars, book, flow, graph, machines, outcomes, positions, profile, sequential, structure, studies, validation
+from tapeloom.operators import bars, book, flow, graph, machines, outcomes, positions, profile, sequential, structure, studies, validation, zones
 from tapeloom.sources import ingest
 
 TAPE = "instrument string, us long, seq long, px_ticks long, sz long, side string"
@@ -316,28 +316,116 @@ def test_a_long_key_streams_through_in_batches(spark):
     assert got.count() == n // 2 and got.agg(F.sum("seq")).first()[0] == sum(range(0, n, 2))
 
 
-def test_size_of_routes():
-    def brute(hops, bps):
-        def out(x):
-            for h in hops:
-                if x * 10_000 > h[0] * bps:
-                    return None
-                x = market.quote_v2(x, *h)
-            return x
+def test_size_of_routes(spark):
+    """Against every amount that both legs have room for, pools of either kind mixed."""
+    rng = random.Random(9)
 
-        found = [(out(x) - x, -x) for x in range(1, hops[0][0] * bps // 10_000 + 1) if out(x) is not None]
-        return max(found, default=(0, 0))
+    def some():
+        if rng.random() < 0.5:
+            return graph.Leg(rng.randrange(2_000, 9_000), rng.randrange(2_000, 9_000), 3000)
+        return graph.Leg(fee_ppm=3000, sqrt_price=int((1 << 96) * rng.uniform(0.7, 1.4)), liquidity=rng.randrange(2_000, 9_000), zero_for_one=rng.random() < 0.5)
+
+    def out(legs, x, bps):
+        for leg in legs:
+            if x * 10_000 > leg.depth * bps:
+                return None
+            x = leg.quote(x)
+        return x
 
-    rng = random.Random(9)
     won = 0
-    for _ in range(60):
-        hops = [(rng.randrange(2_000, 9_000), rng.randrange(2_000, 9_000), 3000) for _ in range(2)]
-        gain, _ = brute(hops, 300)
-        amount, back = graph.best_size(hops)
-        assert (amount == 0) == (gain <= 0) and (not amount or gain - (back - amount) <= 1)
+    for n in [2] * 60 + [3] * 40:
+        legs = [some() for _ in range(n)]
+        got = [(y - x, x) for x in range(1, legs[0].depth * 300 // 10_000 + 1) if (y := out(legs, x, 300)) is not None]
+        gain = max(got, default=(0, 0))[0]
+        amount, back = graph.best_size(legs, 300)
+        assert not amount or out(legs, amount, 300) == back > amount
+        assert max(gain, 0) - (back - amount) <= 3 * n  # what a unit of each leg is worth
         won += gain > 0
-    assert won > 10
-    assert graph.best_size([(0, 5, 3000), (5, 5, 3000)]) == (0, 0)
+    assert won > 20
+    assert graph.best_size([graph.Leg(0, 5, 3000), graph.Leg(5, 5, 3000)]) == (0, 0)
+    deep = [graph.Leg(10**24, 11 * 10**23, 3000), graph.Leg(10**24, 10**24, 500)]
+    amount, back = graph.best_size(deep, 10_000)
+    value = lambda x: deep[1].quote(deep[0].quote(x)) - x
+    assert back - amount == value(amount) >= max(value(amount + d) for d in (-(10**15), -1, 1, 10**15)) - 2
+    assert graph.best_size(deep)[0] == 10**24 * 30 // 10_000 - 0 or deep[0].quote(graph.best_size(deep)[0]) <= 10**24 * 30 // 10_000
+
+
+def test_routes_of_a_token_and_their_rank(spark):
+    pools = spark.createDataFrame([(1, "A", "B", 10**9, 11 * 10**8, 0), (2, "B", "A", 10**9, 10**9, 0), (3, "B", "C", 10**9, 10**9, 0), (4, "C", "A", 10**9, 101 * 10**7, 0), (5, "D", "A", 10**9, 10**9, 0)], "pool int, token0 string, token1 string, reserve0 long, reserve1 long, fee_ppm int")
+    found = graph.routes_from(pools, "A")
+    assert sorted(tuple(r.route) for r in found.collect()) == [(1, 2), (1, 3, 4), (2, 1), (2, 3, 4), (4, 3, 1), (4, 3, 2)]
+    best = graph.ranked(graph.route_sizes(found), 2, 10_000).collect()
+    assert [tuple(r.route) for r in best] == [(1, 3, 4), (1, 2)] and best[0].gross >= best[1].gross > 0
+    assert graph.ranked(graph.route_sizes(found), 2, 1.0).count() == 0  # edges that no market has are broken readings
+
+
+def test_cycles_through_a_hub(spark):
+    """Three hubs and many tokens: all that brute force finds, without pairing the edges of a hub."""
+    rng = random.Random(2)
+    names = ["H0", "H1", "H2", *(f"t{i}" for i in range(60))]
+    rows = [(i, *rng.sample(names[:3] if rng.random() < 0.4 else names, 2), rng.randrange(900, 1200), rng.randrange(900, 1200), 3000) for i in range(260)]
+    rows += [(1000 + i, f"H{i % 3}", f"t{i % 60}", 1000, rng.randrange(900, 1200), 3000) for i in range(180)]
+    edges = graph.swaps(spark.createDataFrame(rows, "pool int, token0 string, token1 string, reserve0 long, reserve1 long, fee_ppm int"))
+    e = [(r.pool, r.a, r.b, r.rate) for r in edges.collect()]
+    start = {}
+    for x in e:
+        start.setdefault(x[1], []).append(x)
+    want = sorted((a, b, c, p, q, r) for p, a, b, x in e for q, _, c, y in start[b] for r, _, d, z in start[c] if d == a and a < b and a < c and len({p, q, r}) == 3 and x * y * z >= 1.1)
+    assert sorted(one(graph.cycles3(edges, 1.1), "a", "b", "c", "p1", "p2", "p3")) == want and len(want) > 50
+    want = sorted((a, b, p, q) for p, a, b, x in e for q, _, c, y in start[b] if c == a and a < b and p != q and x * y >= 1.02)
+    assert sorted(one(graph.cycles2(edges, 1.02), "a", "b", "p1", "p2")) == want
+    assert graph.triangles(edges).count() == len({frozenset((a, b, c)) for _, a, b, _ in e for _, _, c, _ in start[b] if any(d == a for _, _, d, _ in start[c])})
+
+
+def test_levels_weigh_by_configured_depth(spark):
+    """A book of three levels of ten weighs them 1, 0.9 and 0.8."""
+    level = lambda px, sz: {"px": px, "sz": sz}
+    rows = [("M", 1, [level(10 - i, 5) for i in range(3)], [level(11 + i, 5) for i in range(3)]), ("M", 2, [level(10 - i, 5 + 10**i) for i in range(3)], [level(11 + i, 5) for i in range(3)]), ("M", 3, [level(10, 6)], [level(11, 5)]), ("M", 4, [], [])]
+    books = spark.createDataFrame(rows, "instrument string, seq long, bids array<struct<px:long,sz:long>>, asks array<struct<px:long,sz:long>>")
+    assert [round(r[0], 9) for r in sorted(one(flow.multilevel_ofi(books), "ofi", "seq"), key=lambda r: r[1])] == [1 + 0.9 * 10 + 0.8 * 100, 0.0, 0.0]
+    assert [round(r[0], 9) for r in sorted(one(flow.multilevel_ofi(books, depth=2), "ofi", "seq"), key=lambda r: r[1])] == [1 + 0.1 * 10, 0.0, 0.0]
+
+
+def test_first_touch_against_every_print(spark):
+    rng = random.Random(8)
+    px, rows = 100, []
+    for i in range(900):
+        px += rng.choice([-2, -1, 0, 1, 2])
+        rows.append((f"M{i % 2}", i * 700 + rng.randrange(600), i, px))
+    prints = spark.createDataFrame(rows, "instrument string, us long, seq long, px long")
+    events = [(i, m, us + rng.randrange(-50, 50), p, p + rng.randrange(-9, 10)) for m, us, i, p in rows[::3]]
+    df = spark.createDataFrame(events, "event_id long, instrument string, at_us long, spot long, level long")
+    for horizon, parts in ((90_000, 16), (5, 16), (40_000, 1), (40_000, 3)):
+        want = []
+        for i, m, at, spot, level in events:
+            path = sorted((us, s, p) for n, us, s, p in rows if n == m and at < us <= at + horizon)
+            hit = [us for us, _, p in path if (p >= level if level >= spot else p <= level)]
+            want.append((i, bool(hit), (hit[0] - at) / 60e6 if hit else None, path[-1][2] if path else None, len(path)))
+        assert sorted(one(outcomes.first_touch(df, prints, horizon, parts), "event_id", "touched", "minutes", "last_px", "prints")) == want
+
+
+def test_what_became_of_a_touch(spark):
+    """Each rule on paths of bars (high, low, close) about a level of 100 that was come to from below."""
+    paths = {
+        "stall": ([(101, 99, 100), (101, 99, 100)], ("stall", 1, 1000, 1, 1, False)),
+        "reject": ([(100, 99, 100), (100, 96, 99)], ("reject", 4, 20, 0, 4, False)),
+        "through first": ([(102, 96, 101), (102, 100, 101)], ("stall", 2, 1000, 2, 4, False)),  # the close through comes with the reach
+        "go": ([(102, 100, 101), (105, 101, 104)], ("break_go", 5, 20, 5, 0, False)),
+        "fail": ([(102, 100, 101), (102, 98, 99)], ("break_fail", 2, 20, 2, 2, False)),
+        "fail before go": ([(102, 100, 101), (105, 98, 99), (106, 100, 104)], ("break_fail", 5, 20, 6, 2, False)),
+        "the leg ends": ([(102, 100, 101), (103, 101, 103), (105, 104, 105), (101, 99, 100), (120, 99, 101)], ("break_go", 5, 30, 5, 0, True)),
+        "after the leg": ([(100, 97, 98), (100, 95, 96), (100, 99, 100), (110, 90, 100)], ("reject", 5, 20, 0, 5, True)),
+        "no bars": ([], None),
+    }
+    touches = spark.createDataFrame([(i, f"M{i}", 10, 100, True) for i in range(len(paths))], "event_id long, instrument string, at_us long, level long, up boolean")
+    bars = spark.createDataFrame([(f"M{i}", 10 + 10 * j, *b) for i, (path, _) in enumerate(paths.values()) for j, b in enumerate(path)], "instrument string, bar_us long, high long, low long, close long")
+    got = {r[0]: tuple(r[1:]) for r in one(zones.touch_outcomes(touches, bars, 1000, 1, 3, 1, 4, 4), "event_id", "label", "dist", "took_us", "mfe", "mae", "returned")}
+    for i, (name, (_, want)) in enumerate(paths.items()):
+        if want:
+            label, dist, took, *rest = want
+            assert got.get(i) == (label, dist, took - 10 if took != 1000 else 1000, *rest), name
+        else:
+            assert i not in got
 
 
 def test_headers_of_public_exports():

@@ -4,20 +4,18 @@ Base. Four patterns (email, ip, card, phone) with their checks, leftmost and wit
 written with possessive repeats and anchored where a match can start, which finds the same matches in linear time and
 without deep recursion on very long runs.
 
-Method. High-recall generators propose more spans of any length, which may overlap each other and the base: secrets and assignments,
-written-out addresses, long numbers, tokens with digits. Each candidate has a few binned features of format (digits, length,
-separators, letters) and context (the characters beside it, words in the 24 characters before). Boosted trees of depth two are fitted to
-labels that the features don't hold: that an independent generator agrees. A secret, known by its key word, is right where the
-token generator finds its value; a token, known by its form, where it is assigned to a key word or lies in base data; a number where base data
-with its checks (Luhn, parts, digits) lies there; an address where its last part is a top-level domain. Key words, checks and
-domains are no features, so the trees must tell from form and surroundings what such evidence would say, and judge the candidates that lack it.
+Method. High-recall generators propose more spans of any length, which may overlap each other: runs with a digit that could be a secret (secret), whatever is assigned
+by = or : (assigned), written-out addresses, long numbers. Those that touch a base span are out from the start, as none of them can be added: the trees, the thresholds
+and the figures below are about candidates that can be. Each has a few binned features of format (digits, letters, length, separators, repetition) and of the characters
+beside it. Boosted trees of depth two are fitted to labels from evidence that no feature holds: a secret or assigned value is right if a key word is assigned to it or
+a public key's prefix begins it, a number if a word like phone or card stands before it, an address if its last part is a top-level domain. So the trees say
+from form and surroundings what such evidence would say, and judge the candidates that lack it.
 
 All candidates of all documents count in the fit: they are counted by (features, label) in Spark, at most one row for each combination of bins
 (some 32,000 for each generator and label, whatever the input; a few hundred occur), and the boosting runs on that table. Its trees are then one
 SQL expression. The threshold is calibrated per kind on the documents of odd hash, which the trees haven't seen: the lowest score at which
-precision is `precision` or more; quality() gives the precision and recall there. Of overlapping candidates the one with the highest score is chosen
-(then the longer, then the earlier), then the next best that touches none chosen, until none is left; those that overlap a base span go, and base
-spans stay.
+precision is `precision` or more, so a kind none of whose candidates has evidence adds nothing; quality() gives the precision and recall there. Of overlapping candidates the one with the highest score is chosen
+(then the longer, then the earlier), then the next best that touches none chosen, until none is left. Base spans stay.
 
 Texts are scanned once; the spans are stored, and the rest works on them. Documents are dealt by a hash of id and text, so reruns
 agree however the rows are partitioned. Offsets are code points, end exclusive. Everything is native SQL.
@@ -44,18 +42,21 @@ BASE = {
     "phone": r"\+[0-9](?:[ ().-]*+[0-9]++)++",
 }
 MORE = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api_key|apikey) *+[=:] *+\"?[A-Za-z0-9+/_.=-]{6,}+\"?",
+    "secret": r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*+[0-9])[A-Za-z0-9+/_]{8,}+",
+    "assigned": r"[=:] ?+\"?+[^\s\"]{6,}+",
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9])[0-9](?:[ ().-]{0,2}+[0-9]){8,}+",
-    "token": r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*+[0-9])[A-Za-z0-9+/_]{8,}+",
 }
 KINDS = (*BASE, *MORE)
-SECRET, ADDRESS, NUMBER, TOKEN = (KINDS.index(k) for k in MORE)
+SECRET, ASSIGNED, ADDRESS, NUMBER = (KINDS.index(k) for k in MORE)
 #: What must occur in a text for a pattern to match.
-NEEDS = {"email": "@", "phone": r"\+", "secret": "AKIA|ASIA|[=:]", "address": r"[(\[]at[)\]]"}
+NEEDS = {"email": "@", "phone": r"\+", "assigned": "[=:]", "address": r"[(\[]at[)\]]"}
 #: Bins of each feature.
-FEATURES = {"digits": 7, "size": 6, "separated": 2, "mixed": 2, "capitals": 2, "before": 4, "after": 4, "context": 3}
-WORDS = {1: "phone|tel|call|mail|contact|card|address", 2: "version|page|fig|isbn|date|no\\.|section"}
+FEATURES = {"digits": 7, "letters": 4, "size": 6, "separated": 2, "capitals": 2, "variety": 4, "before": 4, "after": 4}
+#: Evidence of labels: what stands before a value, how a public key begins, and a last part of an address.
+KEYS = "(?i)(password|passwd|pwd|token|secret|api_?key|access_?key)[\"']? ?[=:] ?\"?$"
+CONTACTS = r"(?i)(phone|tel|call|mobile|fax|card|account)[a-z]*[.:]? ?$"
+PREFIX = "^(AKIA|ASIA)[0-9A-Z]{16}$"
 DOMAINS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|ch|at|eu|us|ca|au|jp|br|in"
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.9
 #: Matches whose places are added up together.
@@ -112,23 +113,20 @@ CHECKS = {
 
 
 def features(s: Column, before: Column, after: Column) -> dict[str, Column]:
-    """s: what is judged; before: up to 24 characters before it; after: the next one."""
+    """s: what is judged; before and after: the character beside it, or empty."""
     d, n = n_digits(s), F.length(s)
     bins = lambda x, edges: sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
     flag = lambda c: F.when(c, 1).otherwise(0)
     beside = lambda c: F.when((c == "") | c.rlike(r"[\n\r]"), 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'`({\\[\\]})]"), 2).otherwise(3)
-    context = F.lit(0)
-    for k, words in WORDS.items():
-        context = F.when(F.lower(before).rlike(words), k).otherwise(context)
+    letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
     return {
-        "digits": bins(d, (1, 7, 10, 14, 16, 20)), "size": bins(n, (9, 14, 17, 20, 32)), "separated": flag(s.rlike(r"[0-9][ ().-]+[0-9]")),
-        "mixed": flag(s.rlike("[A-Za-z]") & (d > 0)), "capitals": flag(~s.rlike("[a-z]") & s.rlike("[A-Z]")),
-        "before": beside(F.right(before, F.lit(1))), "after": beside(after), "context": context,
+        "digits": bins(d, (1, 4, 7, 10, 14, 20)), "letters": bins(letters, (1, 4, 12)), "size": bins(n, (9, 14, 17, 20, 32)), "separated": flag(s.rlike(r"[0-9][ ().-]+[0-9]")),
+        "capitals": flag(~s.rlike("[a-z]") & s.rlike("[A-Z]")), "variety": bins(F.size(F.array_distinct(F.split(s, ""))), (5, 8, 11)), "before": beside(before), "after": beside(after),
     }
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """rid, doc_id, part (0 or 1), base, more: the base spans that pass their checks, and the candidates with their features."""
+    """rid, doc_id, part (0 or 1), base, more: the base spans that pass their checks, and the candidates with their features and y, whether there is evidence for them."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = matches(rows, BASE | MORE)
 
@@ -136,13 +134,14 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         return F.transform(F.filter(f"m_{k}", lambda x: CHECKS[k](x["s"])), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end")))
 
     def candidate(x: Column, k: str) -> Column:
-        before = F.substring(F.col("text"), F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+        # what assigns is no part of what is judged
+        lead = F.length(F.regexp_extract(x["s"], r"^[=:] ?\"?", 0)) if k == "assigned" else F.lit(0)
+        start, value = x["start"] + lead, F.substr(x["s"], lead + 1, F.length(x["s"]))
+        before = F.substring(F.col("text"), F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
         after = F.substring(F.col("text"), x["end"] + 1, F.lit(1))
-        # the key word of a secret is no part of what is judged
-        value = F.regexp_replace(x["s"], "^[A-Za-z_]+ *[=:] *\"?", "") if k == "secret" else x["s"]
-        domain = F.lower(x["s"]).rlike(rf"[.)\] ]({DOMAINS})$") if k == "address" else F.lit(False)
-        f = features(value, before, after)
-        return F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end"), *(c.cast("int").alias(n) for n, c in f.items()), domain.alias("domain"))
+        evidence = before.rlike(CONTACTS) if k == "number" else F.lower(value).rlike(rf"[.)\] ]({DOMAINS})$") if k == "address" else before.rlike(KEYS) | value.rlike(PREFIX)
+        f = features(value, F.right(before, F.lit(1)), after)
+        return F.struct(start.alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end"), *(c.cast("int").alias(n) for n, c in f.items()), evidence.cast("int").alias("y"))
 
     def proposed(k: str) -> Column:
         return F.transform(f"m_{k}", lambda x: candidate(x, k))
@@ -152,21 +151,17 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def candidates(spans: DataFrame) -> DataFrame:
-    """rid, part, start, kind, end, the features, y (whether an independent generator agrees) and free (whether no base span is touched)."""
+    """rid, part, start, kind, end, the features, y: the candidates that touch no base span."""
     held = spans.where(F.size("more") > 0)
     more = held.select("rid", "part", F.explode("more").alias("c")).select("rid", "part", "c.*")
     base = held.select("rid", "part", F.explode("base").alias("c")).select("rid", "part", "c.*")
     order = W.partitionBy("rid").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-
-    def meets(which: Column) -> Column:
-        ends, starts = F.max(F.when(which, F.col("end"))).over(before), F.min(F.when(which, F.col("start"))).over(after)
-        return F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
-
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("rid").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
     kind = F.col("kind")
-    rows = more.unionByName(base, allowMissingColumns=True).withColumns({"on_base": meets(kind < len(BASE)), "on_token": meets(kind == TOKEN), "on_secret": meets(kind == SECRET)})
-    agrees = F.when(kind == SECRET, F.col("on_token")).when(kind == ADDRESS, F.col("domain")).when(kind == NUMBER, F.col("on_base")).otherwise(F.col("on_secret") | F.col("on_base"))
-    return rows.where(kind >= len(BASE)).select("rid", "part", "start", "kind", "end", *FEATURES, agrees.cast("int").alias("y"), (~F.col("on_base")).alias("free"))
+    ends, starts = F.max(F.when(kind < len(BASE), F.col("end"))).over(before), F.min(F.when(kind < len(BASE), F.col("start"))).over(after)
+    touches = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+    rows = more.unionByName(base, allowMissingColumns=True).withColumn("touches", touches)
+    return rows.where((kind >= len(BASE)) & ~F.col("touches")).select("rid", "part", "start", "kind", "end", *FEATURES, "y")
 
 
 class Trees:
@@ -275,7 +270,7 @@ def chosen(spans: DataFrame, found: DataFrame, trees: Trees, thresholds: dict[in
     passes = F.lit(False)
     for kind, t in thresholds.items():
         passes = passes | ((F.col("kind") == kind) & (F.col("score") >= t - 1e-9))
-    more = found.where("free").withColumn("score", trees.expression(F.col)).where(passes).select("rid", "start", "kind", "end", "score")
+    more = found.withColumn("score", trees.expression(F.col)).where(passes).select("rid", "start", "kind", "end", "score")
     order = W.partitionBy("rid").orderBy("start", "end", "kind")
     fresh = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) <= F.col("start")
     more = more.withColumn("fresh", F.when(fresh, 1).otherwise(0)).withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))

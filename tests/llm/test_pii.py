@@ -1,6 +1,9 @@
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tapeloom.llm import pii
 
 #: The patterns as they are asked for; the operator's are anchored and possessive.
@@ -82,7 +85,7 @@ def test_all_spans_of_a_chain_are_resolved(spark):
             if all(e <= s2 or e2 <= s for s2, _, e2 in kept):
                 kept.append((s, k, e))
         want[d] = sorted(kept)
-    found = spark.createDataFrame([(d, s, k, e, b, True) for d, s, k, e, b in docs], "rid long, start int, kind int, end int, size int, free boolean")
+    found = spark.createDataFrame(docs, "rid long, start int, kind int, end int, size int")
 
     class Size:
         expression = staticmethod(lambda at: at("size").cast("double"))
@@ -99,8 +102,8 @@ def test_candidates_of_any_length_and_many_matches(spark, docs):
     many = " ".join(f"{i % 250}.1.2.3" for i in range(5000))
     rows = [(1, f"mail {long} now", None, "a"), (2, f"id {token}", None, "a"), (3, many, None, "a"), (4, "né token=é", None, "a")]
     got = {r.doc_id: r for r in pii.scan(docs(rows)).collect()}
-    assert [(x.start, x.end) for x in got[1].more if x.kind == pii.ADDRESS] == [(5, 5 + len(long))] and got[1].more[0].domain
-    assert [(x.start, x.end) for x in got[2].more if x.kind == pii.TOKEN] == [(3, 3 + len(token))]
+    assert [(x.start, x.end) for x in got[1].more if x.kind == pii.ADDRESS] == [(5, 5 + len(long))] and [x.y for x in got[1].more if x.kind == pii.ADDRESS] == [1]
+    assert [(x.start, x.end) for x in got[2].more if x.kind == pii.SECRET] == [(3, 3 + len(token))]
     assert [tuple(x) for x in got[3].base] == brute(many) and len(got[3].base) == 5000
 
 
@@ -110,10 +113,102 @@ def test_reruns_agree_however_rows_are_dealt(spark, sf):
     assert rows(docs) == rows(docs.repartition(7, "n_chars"))
 
 
+def plain(text):
+    """Candidates of a text with features and evidence, by Python's re: (start, kind, end, bins, y)."""
+    base, out = brute(text), []
+    bins = lambda x, edges: sum(x >= e for e in edges)
+    beside = lambda c: 0 if c in ("", "\n", "\r") else 1 if c in " \t\x0b\f" else 2 if c in "\"'`({[]})" else 3
+    for kind, k in enumerate(pii.MORE, len(pii.BASE)):
+        for m in re.finditer(pii.MORE[k], text):
+            lead = len(re.match(r'[=:] ?"?', m[0])[0]) if k == "assigned" else 0
+            start, end = m.start() + lead, m.end()
+            if any(s < end and start < e for s, _, e in base):
+                continue
+            v, before = text[start:end], text[max(0, start - 24) : start]
+            y = bool(re.search(pii.CONTACTS, before)) if k == "number" else bool(re.search(rf"[.)\] ]({pii.DOMAINS})$", v.lower())) if k == "address" else bool(re.search(pii.KEYS, before) or re.search(pii.PREFIX, v))
+            x = (
+                bins(sum("0" <= c <= "9" for c in v), (1, 4, 7, 10, 14, 20)), bins(len(re.sub("[^A-Za-z]", "", v)), (1, 4, 12)), bins(len(v), (9, 14, 17, 20, 32)), int(bool(re.search(r"[0-9][ ().-]+[0-9]", v))),
+                int(not re.search("[a-z]", v) and bool(re.search("[A-Z]", v))), bins(len(set(v)), (5, 8, 11)), beside(before[-1:]), beside(text[end : end + 1]),
+            )
+            out.append((start, kind, end, (kind, *x), int(y)))
+    return out
+
+
+def test_candidates_scores_and_added_spans_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    spans = pii.stored(pii.scan(docs), "t")
+    found = pii.stored(pii.candidates(spans), "t")
+    trees, thresholds, _ = pii.fit(found)
+    part, ids = {r.doc_id: r.part for r in spans.collect()}, {r.rid: r.doc_id for r in spans.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {d: plain(t) for d, t in texts.items()}
+    names = list(pii.FEATURES)
+    scores = {(ids[r.rid], r.start, r.kind): r.s for r in found.withColumn("s", trees.expression(F.col)).collect()}
+    assert sorted((ids[r.rid], r.start, r.kind, r.end, *(r[n] for n in names), r.y) for r in found.collect()) == sorted((d, s, k, e, *x[1:], y) for d, rows in want.items() for s, k, e, x, y in rows)
+    table = {0: {}, 1: {}}
+    for d, rows in want.items():
+        for *_, x, y in rows:
+            table[part[d]].setdefault(x, [0, 0])[1 - y] += 1
+    again = pii.Trees(["kind", *names]).fit(sorted((x, float(p), float(n)) for x, (p, n) in table[0].items()))
+    assert all(abs(scores[d, s, k] - again.score(x)) < 1e-9 for d, rows in want.items() for s, k, _, x, _ in rows)
+    for kind in range(len(pii.BASE), len(pii.KINDS)):
+        held = sorted({again.score(x) for x in table[1] if x[0] == kind})
+        right = [t for t in held if (p := sum(v[0] for x, v in table[1].items() if x[0] == kind and again.score(x) >= t)) and p >= pii.PRECISION * sum(sum(v) for x, v in table[1].items() if x[0] == kind and again.score(x) >= t)]
+        assert (kind in thresholds) == bool(right) and (not right or abs(thresholds[kind] - right[0]) < 1e-9)
+    for r in pii.chosen(spans, found, trees, thresholds).collect():
+        kept = []
+        ranked = [(-round(again.score(x), 9), s - e, s, k, e) for s, k, e, x, _ in want[r.doc_id] if k in thresholds and again.score(x) >= thresholds[k] - 1e-9]
+        for _, _, s, k, e in sorted(ranked):
+            if all(e <= s2 or e2 <= s for s2, _, e2 in kept):
+                kept.append((s, k, e))
+        assert sorted([*brute(texts[r.doc_id]), *kept]) == [tuple(x) for x in r.spans]
+
+
+def test_what_is_added_has_its_evidence(spark, sf):
+    """Of the added spans of the documents that the trees haven't seen, over candidates of both labels: no more wrong ones than the stated precision lets pass."""
+    docs = spark.read.parquet(f"{sf}/../sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    said = {(d, s, k): y for d, t in texts.items() for s, k, _, _, y in plain(t)}
+    both = {k for _, _, k in said if {y for (_, _, j), y in said.items() if j == k} == {0, 1}}
+    added = [(r.doc_id, x.start, x.kind) for r in pii.find(docs).collect() for x in r.spans if x.kind >= len(pii.BASE)]
+    assert any(k in both for _, _, k in added)
+    assert sum(said[x] for x in added) >= pii.PRECISION * len(added) > 50
+    secrets = {(d, s) for (d, s, k), y in said.items() if y and k in (pii.SECRET, pii.ASSIGNED)}
+    assert len({(d, s) for d, s, _ in added} & secrets) >= 0.9 * len(secrets)
+
+
+def test_trees_beat_any_rule_on_two_features():
+    """Labels that weigh four features: the trees are right more often on other rows than the best table of any two."""
+    rng = random.Random(5)
+    weights = {"digits": 0.9, "letters": -1.1, "variety": 1.3, "after": -0.8}
+    names, most = list(pii.FEATURES), pii.FEATURES
+
+    def rows(n):
+        out = {}
+        for _ in range(n):
+            x = tuple(rng.randrange(most[f]) for f in names)
+            raw = sum(w * (x[names.index(f)] / (most[f] - 1) - 0.5) for f, w in weights.items()) * 4
+            out.setdefault(x, [0, 0])[int(rng.random() >= 1 / (1 + math.exp(-raw)))] += 1
+        return [(x, float(p), float(n)) for x, (p, n) in sorted(out.items())]
+
+    seen, other = rows(6000), rows(3000)
+    trees = pii.Trees(names, rounds=60).fit(seen)
+    right = lambda says: sum(p if says(x) else n for x, p, n in other)
+
+    def pair(i, j):
+        t = {}
+        for x, p, n in seen:
+            t[x[i], x[j]] = t.get((x[i], x[j]), 0) + p - n
+        return lambda x: t.get((x[i], x[j]), 0) > 0
+
+    best = max(right(pair(i, j)) for i in range(len(names)) for j in range(i))
+    assert right(lambda x: trees.score(x) > 0) > 1.05 * best
+
+
 def test_held_out_quality(spark, sf):
-    """Precision is calibrated; a label's evidence isn't among the features, so recall says what form and context tell."""
+    """Precision is calibrated over candidates that can be added; a label's evidence isn't among the features, so recall says what form and surroundings tell."""
     got = pii.quality(spark.read.parquet(f"{sf}/../sf0.1/documents.parquet"))
-    assert {"secret", "token", "number"} <= set(got)
+    assert "secret" in got and "number" not in got  # no number that can be added has evidence in these tables
     assert all(p >= pii.PRECISION and r >= 0.5 for p, r, _ in got.values()), got
 
 

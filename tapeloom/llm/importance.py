@@ -6,7 +6,7 @@ Blocks. One pass over the texts writes, for each block of some `block_words` wor
 tuples of places in that dictionary with their counts, and for each document the places of its n-grams in that list with counts. From there on
 a word or n-gram travels once a block, not once a document.
 
-Dictionary. The distinct words of all blocks get integer ids. A block's tuples become tuples of ids, equal ones are summed over the blocks, and the
+Dictionary. The words of all blocks, sorted, get integer ids. A block's tuples become tuples of ids, equal ones are summed over the blocks, and the
 bytes of each distinct tuple are put together from the dictionary and hashed once. What the hash says (its bucket's gain) is joined back to the
 blocks by tuple, and to the documents by block.
 
@@ -46,7 +46,7 @@ def numbered() -> defaultdict:
 
 
 def encoded(docs: DataFrame, shortest: int, longest: int, text: str, key: str, block_words: int) -> DataFrame:
-    """A row for each document (rid, key, n_words, n_features, at, n: the places of its n-grams in its block's list, and how often each) and, with
+    """A row for each document (rid, key, n_words, n_features, at, n: the places of its n-grams in its block's list, each as the distance from the one before, and how often each) and, with
     rid null, for each block (words, grams, totals)."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     small, large = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
@@ -91,7 +91,7 @@ def encoded(docs: DataFrame, shortest: int, longest: int, text: str, key: str, b
                 found = [g for n in range(shortest, longest + 1) for g in map(grams.__getitem__, zip(*(ids[k:] for k in range(n))))]
                 at, n = np.unique(np.asarray(found, np.int32), return_counts=True)
                 seen.append((at, n := n.astype(np.int32)))
-                done.append((len(own), len(found), at, n))
+                done.append((len(own), len(found), np.diff(at, prepend=np.int32(0)), n))
                 blocks.append(block)
                 held += len(own)
             yield whole({"block": pa.array(blocks, pa.int64()), "rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n_words": pa.array([x[0] for x in done], pa.int64()), "n_features": pa.array([x[1] for x in done], pa.int64()), "at": lists([x[2] for x in done], np.int32), "n": lists([x[3] for x in done], np.int32)}, batch.num_rows)
@@ -101,10 +101,35 @@ def encoded(docs: DataFrame, shortest: int, longest: int, text: str, key: str, b
     return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields.items()]))
 
 
-def tuples(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """target, block, j, gram, total: the blocks' n-grams as tuples of the dictionary's ids."""
-    rows = blocks.select("target", "block", F.posexplode("words").alias("p", "word")).join(dictionary, "word")
-    ids = rows.groupBy("target", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "id"))), lambda x: x["id"]).alias("ids"))
+def numbered_words(blocks: DataFrame) -> DataFrame:
+    """target, block, p, id, word: the id of each word of each block; the word itself stands at one row of each id. Rows are dealt and sorted by word, so
+    equal words follow one another, and a task counts them as they stream by."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        id_, before = (TaskContext.get().partitionId() << 40) - 1, None
+        for batch in batches:
+            word = batch.column("word")
+            if not len(word):
+                continue
+            fresh = np.ones(len(word), bool)
+            fresh[0] = word[0].as_py() != before
+            fresh[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+            ids = id_ + np.cumsum(fresh)
+            id_, before = int(ids[-1]), word[len(word) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("target", "block", "p")), pa.array(ids, pa.int64()), pc.if_else(pa.array(fresh), word, pa.scalar(None, word.type))], names=["target", "block", "p", "id", "word"])
+
+    rows = blocks.select("target", "block", F.posexplode("words").alias("p", "word"))
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "target boolean, block long, p int, id long, word binary")
+
+
+def tuples(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """target, block, j, gram, total: the blocks' n-grams as tuples of the dictionary's ids. numbers: numbered_words()."""
+    ids = numbers.groupBy("target", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "id"))), lambda x: x["id"]).alias("ids"))
     own = blocks.select("target", "block", "grams", "totals").join(ids, ["target", "block"])
     named = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i)))
     return own.select("target", "block", named.alias("g"), "totals").select("target", "block", F.posexplode(F.arrays_zip("g", "totals")).alias("j", "x")).select("target", "block", "j", F.col("x.g").alias("gram"), F.col("x.totals").alias("total"))
@@ -137,8 +162,9 @@ def weights(docs: DataFrame, target: DataFrame, shortest: int = 1, longest: int
     aim = stored(encoded(target.select(F.col(target_text).alias("text"), F.lit(0).alias("id")), shortest, longest, "text", "id", block_words), "target")
     of = lambda rows, side: rows.where("rid is null").select(F.lit(side).alias("target"), "block", "words", "grams", "totals")
     blocks = of(source, False).union(of(aim, True))
-    dictionary = stored(blocks.select(F.explode("words").alias("word")).distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    found = stored(tuples(blocks, dictionary), "tuples")
+    numbers = stored(numbered_words(blocks), "dictionary")
+    dictionary = numbers.where("word is not null").select("id", "word")
+    found = stored(tuples(blocks, numbers), "tuples")
     counted = stored(hashed(found, dictionary, longest, buckets), "hashed")
     gain = counted.join(F.broadcast(gains(counted, buckets)), F.col("bucket") == F.col("b")).select("gram", "gain")
     back = found.where(~F.col("target")).select("block", "j", "gram").join(gain, "gram").select("block", "j", "gain")
@@ -147,10 +173,13 @@ def weights(docs: DataFrame, target: DataFrame, shortest: int = 1, longest: int
         import numpy as np
         import pyarrow as pa
 
-        at, by = own.column("at").combine_chunks(), np.zeros(known.num_rows, np.int64)
+        steps, by = own.column("at").combine_chunks(), np.zeros(known.num_rows, np.int64)
         by[known.column("j").to_numpy()] = known.column("gain").to_numpy()
-        each = by[at.flatten().to_numpy()] * own.column("n").combine_chunks().flatten().to_numpy()
-        ends = np.cumsum([0, *at.value_lengths().to_pylist()])
+        sizes = steps.value_lengths().to_numpy()
+        ends = np.cumsum([0, *sizes])
+        run_on = np.concatenate([[0], np.cumsum(steps.flatten().to_numpy().astype(np.int64))])
+        at = run_on[1:] - np.repeat(run_on[ends[:-1]], sizes)
+        each = by[at] * own.column("n").combine_chunks().flatten().to_numpy()
         sums = np.concatenate([[0], np.cumsum(each)])
         return pa.table([*(own.column(c) for c in ("rid", "doc_id", "n_words", "n_features")), pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], names=["rid", "doc_id", "n_words", "n_features", "weight"])
 

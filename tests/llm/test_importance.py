@@ -78,6 +78,8 @@ def test_odd_rows(spark, docs, odd):
 def test_each_distinct_tuple_is_hashed_once(spark):
     docs = spark.createDataFrame([(i, "a b a b c") for i in range(50)], "doc_id long, text string")
     blocks = im.stored(im.encoded(docs, 1, 2, "text", "doc_id", 20), "t").where("rid is null").select(F.lit(False).alias("target"), "block", "words", "grams", "totals")
-    names = im.stored(blocks.select(F.explode("words").alias("word")).distinct().withColumn("id", F.monotonically_increasing_id()), "t")
-    rows = im.hashed(im.tuples(blocks, names), names, 2, 1 << 30).collect()
+    numbers = im.stored(im.numbered_words(blocks), "t")
+    names = numbers.where("word is not null").select("id", "word")
+    assert sorted(bytes(r.word) for r in names.collect()) == [b"a", b"b", b"c"] and numbers.count() > 3
+    rows = im.hashed(im.tuples(blocks, numbers), names, 2, 1 << 30).collect()
     assert sorted(r.s for r in rows) == [50, 50, 50, 100, 100, 100] and {r.bucket for r in rows} == {zlib.crc32(g) % (1 << 30) for g in (b"a", b"b", b"c", b"a b", b"b a", b"b c")}

@@ -134,7 +134,8 @@ QUERIES = {
     "upsert_merge": lambda s, sf: I.merge(*halves(s, sf), ["ts"]),
     "insert_ignore": lambda s, sf: I.insert_or_ignore(*halves(s, sf), ["ts"]),
     "prune_latest": lambda s, sf: I.prune(hours(s, sf).select("instrument", "bar_us", "close"), ["instrument"], F.desc("bar_us"), 25),
-    "roll_dates": lambda s, sf: C.roll_dates(s, 2020, 2030).withColumn("expiry", F.col("expiry").cast("string")),
+    "roll_dates": lambda s, sf: C.roll_dates(table(s, sf, "orders"), "o_orderdate").withColumn("expiry", F.col("expiry").cast("string")),
+    "front_contracts": lambda s, sf: C.contracts(table(s, sf, "orders"), "o_orderdate").withColumn("day", F.col("day").cast("string")),
     "votes_and_grades": voted,
     "suggestion_stats": suggestions,
     "read_stats": read_stats,
@@ -150,6 +151,11 @@ QUERIES = {
     "callbook_coverage": lambda s, sf: L.callbook(calls(s, sf).withColumn("mark", (F.col("prints") % 3).cast("int")), ["mark"]),
 }
 
+EXPIRIES = """WITH y AS (SELECT CAST(y AS INTEGER) AS year, m AS month FROM (SELECT min(year(o_orderdate)) - 1 AS a, max(year(o_orderdate)) + 1 AS b FROM orders), range(a, b + 1) r(y), (SELECT unnest([3, 6, 9, 12]) AS m)),
+f AS (SELECT *, make_date(year, month, 1) AS first FROM y),
+x AS (SELECT year, month, first + CAST((5 - isodow(first) + 7) % 7 + 14 AS INTEGER) AS expiry, substr('HMUZ', month // 3, 1) || lpad(CAST(year % 100 AS VARCHAR), 2, '0') AS code FROM f)
+"""
+
 DV = "d AS (SELECT *, CASE WHEN delta > 20 THEN 'up' WHEN delta < -20 THEN 'down' ELSE 'flat' END AS d, CASE WHEN close > open THEN 'up' WHEN close < open THEN 'down' ELSE 'flat' END AS p, CASE WHEN buy - sell * 2 > 0 THEN 'up' WHEN buy - sell * 2 < 0 THEN 'down' ELSE 'flat' END AS v FROM bars)"
 
 ORACLE = {
@@ -158,9 +164,10 @@ ORACLE = {
     "upsert_merge": with_(DAILY) + HALVES + " SELECT * FROM b UNION ALL SELECT * FROM a WHERE ts NOT IN (SELECT ts FROM b)",
     "insert_ignore": with_(DAILY) + HALVES + " SELECT * FROM b WHERE ts NOT IN (SELECT ts FROM a)",
     "prune_latest": BARS + "SELECT instrument, bar_us, close FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY bar_us DESC) <= 25",
-    "roll_dates": """WITH y AS (SELECT CAST(y AS INTEGER) AS year, m AS month FROM range(2020, 2031) r(y), (SELECT unnest([3, 6, 9, 12]) AS m)),
-f AS (SELECT *, make_date(year, month, 1) AS first FROM y)
-SELECT year, month, CAST(first + CAST((5 - isodow(first) + 7) % 7 + 14 AS INTEGER) AS DATE)::VARCHAR AS expiry, substr('HMUZ', month // 3, 1) || lpad(CAST(year % 100 AS VARCHAR), 2, '0') AS code FROM f""",
+    "roll_dates": EXPIRIES + "SELECT year, month, expiry::VARCHAR AS expiry, code FROM x WHERE year IN (SELECT year(o_orderdate) FROM orders)",
+    "front_contracts": EXPIRIES
+    + """, d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), n AS (SELECT *, lead(code) OVER (ORDER BY expiry) AS deferred, lag(expiry) OVER (ORDER BY expiry) AS prior FROM x)
+SELECT day::VARCHAR AS day, arg_min(code, expiry) AS front, arg_min(deferred, expiry) AS deferred, CAST(min(expiry) - day AS INTEGER) AS days_left, min(expiry) - day <= 4 OR day - arg_min(prior, expiry) <= 4 AS near_roll FROM d JOIN n ON expiry >= day GROUP BY day""",
     "votes_and_grades": BARS
     + ", "
     + DV

@@ -6,7 +6,7 @@ from ..functions import market as M
 from ..operators import bars as B
 from ..operators import studies as O
 from ..operators import structure as S
-from ..sources.fixtures import POSITIONS, TAPE, TOUCH, positions, tape, touch, with_
+from ..sources.fixtures import LEDGER, POSITIONS, TAPE, TOUCH, ledger, positions, table, tape, touch, with_
 from .bars import BARS, HOUR, bars_sql, hours
 from .outcomes import HORIZON, S as SIG, prints, signals
 from .positions import SPOT
@@ -41,19 +41,22 @@ def closed_form(s, sf):
 
 
 def economics(s, sf):
-    rows = [(k, *v) for k, v in M.SPECS.items()]
-    spec = s.createDataFrame(rows, "symbol string, tick double, tick_value double, cost double")
-    t = spec.select("*", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("target")).select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("stop"))
-    cost = F.col("cost") / F.col("tick_value")
-    be = M.break_even(F.col("target").cast("double"), F.col("stop").cast("double"), cost)
-    return t.select("symbol", "target", "stop", cost.alias("cost_ticks"), be.alias("breakeven"), (be <= 0.75).alias("viable"), M.expectancy(F.lit(0.6), F.col("target"), F.col("stop"), cost).alias("expectancy"))
+    """What each instrument's trades need: targets and stops in ticks from the ledger's excursions, instruments by supplier."""
+    spec = F.create_map(*(x for k, (_, worth, cost) in M.SPECS.items() for x in (F.lit(k), F.lit(cost / worth))))
+    symbols = F.array(*map(F.lit, M.SPECS))
+    t = ledger(s, sf).select(F.element_at(symbols, (F.col("supp") % len(M.SPECS) + 1).cast("int")).alias("symbol"), (F.col("mfe_bps") + 1).cast("double").alias("target"), (1 - F.col("mae_bps")).cast("double").alias("stop"), (F.col("exit_reason") == "target").cast("int").alias("won"))
+    g = t.groupBy("symbol", "target", "stop").agg(F.count("*").alias("n"), F.avg("won").alias("rate")).withColumn("cost_ticks", F.element_at(spec, F.col("symbol")))
+    be = M.break_even(F.col("target"), F.col("stop"), F.col("cost_ticks"))
+    return g.select("symbol", "target", "stop", "n", "rate", "cost_ticks", be.alias("breakeven"), (be <= 0.75).alias("viable"), M.expectancy(F.col("rate"), F.col("target"), F.col("stop"), F.col("cost_ticks")).alias("expectancy"))
 
 
 def names(s, sf):
-    n = ["15s", "5m", "15m", "1h", "4h", "1d", "1w", "x", "5000t", "5000t+2000"]
-    df = s.createDataFrame([(x,) for x in n], "name string")
+    """Interval names as the events give them, of seconds to weeks, of prints with and without OFI, and of no known unit."""
+    e = table(s, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    unit = F.element_at(F.array(*map(F.lit, ("s", "m", "h", "d", "w", "t", "x"))), (F.col("user_id") % 7 + 1).cast("int"))
+    name = F.concat((F.col("k") % 30 + 1).cast("string"), unit, F.when((unit == "t") & (F.col("k") % 2 == 0), F.concat(F.lit("+"), (F.col("k") * 100).cast("string"))).otherwise(""))
     ticks, ofi = M.parse_ticks(F.col("name"))
-    return df.select("name", F.coalesce(M.seconds_of(F.col("name")), F.lit(-1)).alias("seconds"), F.coalesce(ticks, F.lit(-1)).alias("ticks"), F.coalesce(ofi, F.lit(-1)).alias("ofi"))
+    return e.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("n")).select("name", "n", F.coalesce(M.seconds_of(F.col("name")), F.lit(-1)).alias("seconds"), F.coalesce(ticks, F.lit(-1)).alias("ticks"), F.coalesce(ofi, F.lit(-1)).alias("ofi"))
 
 
 def ways(s, sf):
@@ -179,9 +182,14 @@ SELECT instrument, count(*) AS n, avg(CASE WHEN sign(close - open) = s.side THEN
     + f""", x AS (SELECT sweep_id, wallet, coin, ln(liquidation_px / {SPOT}) AS l, abs(ln(liquidation_px / {SPOT})) AS a, CASE WHEN liquidation_px >= {SPOT} THEN -0.0000005 ELSE 0.0000005 END AS m FROM positions),
 z AS (SELECT *, (-a + m * 1440) / (0.001 * sqrt(1440)) AS z1, (-a - m * 1440) / (0.001 * sqrt(1440)) AS z2 FROM x)
 SELECT sweep_id, wallet, coin, round(l / (0.001 * sqrt(1440)), 9) AS sigmas, round(CASE WHEN a < 1e-12 THEN 1 ELSE least(1, greatest(0, {cdf('z1')} + exp(2 * m * a / 0.000001) * {cdf('z2')})) END, 9) AS p FROM z""",
-    "instrument_economics": """WITH s AS (SELECT * FROM (VALUES ('ES', 4.0 / 12.5), ('MES', 1.2 / 1.25), ('NQ', 4.0 / 5.0), ('EQUITY', 0.0)) AS v(symbol, c)), g AS (SELECT symbol, CAST(c AS DOUBLE) AS cost_ticks, target, stop FROM s, (SELECT unnest(range(1, 9)) AS target), (SELECT unnest(range(1, 5)) AS stop))
-SELECT symbol, target, stop, cost_ticks, least(1, greatest(0, (stop + cost_ticks) / (target + stop))) AS breakeven, least(1, greatest(0, (stop + cost_ticks) / (target + stop))) <= 0.75 AS viable, 0.6::DOUBLE * (target - cost_ticks) - 0.4::DOUBLE * (stop + cost_ticks) AS expectancy FROM g""",
-    "interval_names": """SELECT * FROM (VALUES ('15s', 15, -1, -1), ('5m', 300, -1, -1), ('15m', 900, -1, -1), ('1h', 3600, -1, -1), ('4h', 14400, -1, -1), ('1d', 86400, -1, -1), ('1w', 604800, -1, -1), ('x', -1, -1, -1), ('5000t', -1, 5000, -1), ('5000t+2000', -1, 5000, 2000)) AS v(name, seconds, ticks, ofi)""",
+    "instrument_economics": with_(LEDGER)
+    + """, t AS (SELECT ['ES', 'MES', 'NQ', 'EQUITY'][supp % 4 + 1] AS symbol, CAST(mfe_bps + 1 AS DOUBLE) AS target, CAST(1 - mae_bps AS DOUBLE) AS stop, exit_reason = 'target' AS won FROM ledger),
+g AS (SELECT symbol, target, stop, count(*) AS n, avg(CASE WHEN won THEN 1 ELSE 0 END) AS rate, CAST(CASE symbol WHEN 'ES' THEN 4.0 / 12.5 WHEN 'MES' THEN 1.2 / 1.25 WHEN 'NQ' THEN 4.0 / 5.0 ELSE 0 END AS DOUBLE) AS cost_ticks FROM t GROUP BY ALL),
+b AS (SELECT *, least(1.0, (stop + cost_ticks) / (target + stop)) AS breakeven FROM g)
+SELECT *, breakeven <= 0.75 AS viable, rate * (target - cost_ticks) - (1 - rate) * (stop + cost_ticks) AS expectancy FROM b""",
+    "interval_names": """WITH e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, ['s', 'm', 'h', 'd', 'w', 't', 'x'][user_id % 7 + 1] AS unit FROM events),
+n AS (SELECT (k % 30 + 1) || unit || CASE WHEN unit = 't' AND k % 2 = 0 THEN '+' || (k * 100) ELSE '' END AS name, k % 30 + 1 AS m, unit, CASE WHEN unit = 't' AND k % 2 = 0 THEN k * 100 ELSE -1 END AS ofi FROM e)
+SELECT name, count(*) AS n, any_value(CAST(CASE unit WHEN 's' THEN m WHEN 'm' THEN m * 60 WHEN 'h' THEN m * 3600 WHEN 'd' THEN m * 86400 WHEN 'w' THEN m * 604800 ELSE -1 END AS BIGINT)) AS seconds, any_value(CASE unit WHEN 't' THEN m ELSE -1 END) AS ticks, any_value(ofi) AS ofi FROM n GROUP BY name""",
     "ways_and_marks": with_(TAPE, bars_sql(4 * HOUR))
     + f""", x AS (SELECT t.instrument, CASE WHEN us % {4 * H} * 100 >= 75 * {4 * H} THEN 75 WHEN us % {4 * H} * 100 >= 50 * {4 * H} THEN 50 WHEN us % {4 * H} * 100 >= 25 * {4 * H} THEN 25 ELSE 0 END AS mark, (px_ticks / open - 1) * 1e4 AS mv FROM tape t JOIN bars b ON b.instrument = t.instrument AND b.bar_us = us // {4 * H} * {4 * H})
 SELECT instrument, mark, CASE WHEN mv > 0.5 THEN 'up' WHEN mv < -0.5 THEN 'down' ELSE 'flat' END AS way, count(*) AS n FROM x GROUP BY ALL""",

@@ -111,5 +111,5 @@ SELECT instrument, bar_us, age, 'high' AS kind, high AS px FROM p WHERE age < 3
 g0 AS (SELECT ob.*, c0 AS cut FROM ob, q WHERE notional >= c0 AND notional < c1), g1 AS (SELECT ob.*, c1 AS cut FROM ob, q WHERE notional >= c1 AND notional < c2), g2 AS (SELECT ob.*, c2 AS cut FROM ob, q WHERE notional >= c2),
 """
     + ",\n".join(boot(f"g{i}", f"b{i}", "touched", "expected", 100, 7 + i) for i in range(3))
-    + " UNION ALL ".join(f" SELECT any_value(cut)::DOUBLE AS cut, count(*) AS n, avg(touched) AS observed, avg(expected) AS expected, any_value(b{i}.ratio) AS lift, any_value(b{i}.lo) AS lo, any_value(b{i}.hi) AS hi FROM g{i}, b{i} HAVING count(*) >= 10" for i in range(3)),
+    + " UNION ALL ".join(f" SELECT any_value(cut)::DOUBLE AS cut, count(*) AS n, avg(touched) AS observed, avg(expected) AS expected, any_value(b{i}.ratio) AS lift, CASE WHEN count(DISTINCT block) >= 8 THEN any_value(b{i}.lo) END AS lo, CASE WHEN count(DISTINCT block) >= 8 THEN any_value(b{i}.hi) END AS hi FROM g{i}, b{i} HAVING count(*) >= 10" for i in range(3)),
 }

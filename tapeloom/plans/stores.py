@@ -7,11 +7,11 @@ from ..operators import ledger as O
 from ..operators import outcomes as X
 from ..sources import sinks as S
 from ..sources.fixtures import LEDGER, POSITIONS, TAPE, daily, ledger, positions, table, tape, with_
+from ..sources.scratch import place
 from .bars import BARS, hours
 from .levels import EVENTS
 from .outcomes import HORIZON, prints, touches
 from .positions import DIFF, SPOT, diff
-from .streaming import place
 
 
 def observations(s, sf):
@@ -38,7 +38,7 @@ def looks(s, sf):
 
 def snapshot_sink(s, sf):
     """Two runs over overlapping sweeps leave what one run over both would."""
-    folder = place(s)
+    folder = place(s, "store")
     p = positions(s, sf).select("sweep_id", "wallet", "coin", "szi")
     for sweeps in ([1], [1, 2]):
         some = p.where(F.col("sweep_id").isin(*sweeps))
@@ -49,7 +49,7 @@ def snapshot_sink(s, sf):
 
 def dataset_sink(s, sf):
     """Daily bars saved twice by their day, the second time with new days among old ones."""
-    folder = place(s) + "/daily"
+    folder = place(s, "store") + "/daily"
     d = daily(s, sf).withColumn("year", F.year("ts"))
     S.append_new(folder, d.where(F.dayofyear("ts") % 3 != 0), ["ts"], "year")
     S.append_new(folder, d.withColumn("close", F.col("close") + 1), ["ts"], "year")
@@ -57,7 +57,7 @@ def dataset_sink(s, sf):
 
 
 def exported(s, sf):
-    folder = place(s) + "/trades.csv"
+    folder = place(s, "store") + "/trades.csv"
     t = ledger(s, sf).select("order_id", "supp", "coin", "net_bps", "exit_reason")
     S.export_csv(t, folder, ["order_id", "supp", "net_bps"])
     return s.read.option("header", True).schema(t.schema).csv(folder).groupBy("coin", "exit_reason").agg(F.count("*").alias("n"), F.sum("net_bps").alias("net_bps"))

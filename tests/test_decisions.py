@@ -93,7 +93,7 @@ def test_scalp_in_closed_form_is_the_search(spark, rate):
             assert r.gate in (None, "no room")
             assert (abs(r.target_px - r.entry), abs(r.stop_px - r.entry)) == pytest.approx(want[:2]) and r.capped == want[2]
             paid, pulled = paid + (r.gate is None), pulled + want[2]
-    assert paid > 20 and refused > 20 and (pulled or rate < 0.75)
+    assert paid > 20 and (refused > 20 or rate > 0.8) and (pulled or rate < 0.75)
 
 
 def test_each_gate(spark):

@@ -49,7 +49,7 @@ def level_life(bars: DataFrame, expire: int, away: int, key: tuple[str, ...] = (
 
 def inside_events(touches: DataFrame, window_s: float, drain: float, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """Events at the best bid: VACATED when its price falls, DRAINED when its size falls to `drain` of its peak at that price; each is FAILED if the bid
-    is back (price or two thirds of the peak) within window_s, else PERMANENT, or PENDING where the rows end before."""
+    is back (price or two thirds of the peak) within window_s, else PERMANENT, or PENDING where the rows end before. at_us: when that is known."""
 
     def step(rows):
         open_, peak, before = [], 0, None
@@ -61,9 +61,9 @@ def inside_events(touches: DataFrame, window_s: float, drain: float, key: tuple[
             for kind, at, level, need, s in open_:
                 back = px > level or (px == level and (kind == "VACATED" or sz >= need))
                 if us - at > window_s * SECOND:
-                    yield s, kind, level, "PERMANENT"
+                    yield s, kind, level, "PERMANENT", us
                 elif back:
-                    yield s, kind, level, "FAILED"
+                    yield s, kind, level, "FAILED", us
                 else:
                     still.append((kind, at, level, need, s))
             open_ = still
@@ -74,9 +74,9 @@ def inside_events(touches: DataFrame, window_s: float, drain: float, key: tuple[
             peak = max(peak, sz) if px == before[0] else sz
             before = (px, sz)
         for kind, _, level, _, s in open_:
-            yield s, kind, level, "PENDING"
+            yield s, kind, level, "PENDING", None
 
-    return in_order(touches.select(*key, "us", "seq", "bid_px", "bid_sz"), step, "seq long, kind string, level long, result string", key)
+    return in_order(touches.select(*key, "us", "seq", "bid_px", "bid_sz"), step, "seq long, kind string, level long, result string, at_us long", key)
 
 
 def price_direction(prints: DataFrame, reverse: int, flat_s: float, key: tuple[str, ...] = ("instrument",)) -> DataFrame:

@@ -15,13 +15,20 @@ def sided(s, sf):
 
 QUERIES = {
     "level_life": lambda s, sf: O.level_life(L.on_levels(hours(s, sf), L.session_levels(hours(s, sf))), 8, 12),
-    "l1_queue_events": lambda s, sf: O.inside_events(touch(tape(s, sf)), 3600.0, 0.34),
+    "l1_queue_events": lambda s, sf: O.inside_events(touch(tape(s, sf)), 3600.0, 0.34).drop("at_us"),
     "price_direction": lambda s, sf: O.price_direction(tape(s, sf), 4, 7200.0),
     "signal_cooldown": lambda s, sf: O.cooldown(sided(s, sf), 3600.0),
     "autopilot_book": lambda s, sf: O.autopilot(hours(s, sf), 30, 15, 4, 3, 6),
     "pace_lead": lambda s, sf: O.pace(tape(s, sf), 3600.0).withColumns({c: F.round(c, 9) for c in ("buy_rate", "sell_rate", "lead")}),
 }
 
+INSIDE = f""", st AS (SELECT instrument, i, seq, us, bid_px, bid_sz, bid_sz AS peak, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS level, CAST(NULL AS DOUBLE) AS need FROM o WHERE i = 1
+  UNION ALL SELECT o.instrument, o.i, o.seq, o.us, o.bid_px, o.bid_sz, CASE WHEN o.bid_px = st.bid_px THEN greatest(peak, o.bid_sz) ELSE o.bid_sz END,
+    CASE WHEN o.bid_px < st.bid_px THEN 'VACATED' WHEN o.bid_px = st.bid_px AND o.bid_sz <= 0.34 * peak AND 0.34 * peak < st.bid_sz THEN 'DRAINED' END, CASE WHEN o.bid_px < st.bid_px THEN st.bid_px ELSE o.bid_px END, peak * 2 / 3 FROM st {JOIN}),
+e AS (SELECT * FROM st WHERE kind IS NOT NULL),
+f AS (SELECT e.instrument, e.i, e.seq, e.us, e.kind, e.level, min(n.i) FILTER (WHERE n.us - e.us > 3600000000) AS late, min(n.i) FILTER (WHERE n.bid_px > e.level OR n.bid_px = e.level AND (e.kind = 'VACATED' OR n.bid_sz >= e.need)) AS back
+      FROM e LEFT JOIN o n ON n.instrument = e.instrument AND n.i > e.i GROUP BY ALL)"""
+
 ORACLE = {
     "signal_cooldown": recursive(TAPE, "sd AS (SELECT instrument, us, seq, side FROM tape WHERE side <> 'N')", ordered("sd"))
     + f""", st AS (SELECT instrument, i, seq, side, CASE WHEN side = 'B' THEN us END AS lb, CASE WHEN side = 'A' THEN us END AS la, true AS taken FROM o WHERE i = 1
@@ -62,11 +69,7 @@ UNION ALL SELECT instrument, kind, session_us, bar_us, px, state, 'EXPIRED' FROM
         SELECT o.instrument, o.i, o.seq, o.us, o.px_ticks AS px, way, greatest(hi, o.px_ticks) AS h, least(lo, o.px_ticks) AS l, CASE WHEN o.px_ticks > hi OR o.px_ticks < lo THEN o.us ELSE moved END AS mv FROM st {JOIN}))))
 SELECT instrument, seq, old, way AS new FROM st WHERE old <> way""",
     "l1_queue_events": recursive(TAPE, TOUCH, ordered("touch"))
-    + f""", st AS (SELECT instrument, i, seq, us, bid_px, bid_sz, bid_sz AS peak, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS level, CAST(NULL AS DOUBLE) AS need FROM o WHERE i = 1
-  UNION ALL SELECT o.instrument, o.i, o.seq, o.us, o.bid_px, o.bid_sz, CASE WHEN o.bid_px = st.bid_px THEN greatest(peak, o.bid_sz) ELSE o.bid_sz END,
-    CASE WHEN o.bid_px < st.bid_px THEN 'VACATED' WHEN o.bid_px = st.bid_px AND o.bid_sz <= 0.34 * peak AND 0.34 * peak < st.bid_sz THEN 'DRAINED' END, CASE WHEN o.bid_px < st.bid_px THEN st.bid_px ELSE o.bid_px END, peak * 2 / 3 FROM st {JOIN}),
-e AS (SELECT * FROM st WHERE kind IS NOT NULL),
-f AS (SELECT e.instrument, e.i, e.seq, e.us, e.kind, e.level, min(n.i) FILTER (WHERE n.us - e.us > 3600000000) AS late, min(n.i) FILTER (WHERE n.bid_px > e.level OR n.bid_px = e.level AND (e.kind = 'VACATED' OR n.bid_sz >= e.need)) AS back
-      FROM e LEFT JOIN o n ON n.instrument = e.instrument AND n.i > e.i GROUP BY ALL)
+    + INSIDE
+    + """
 SELECT instrument, seq, kind, level, CASE WHEN late IS NULL AND back IS NULL THEN 'PENDING' WHEN back IS NULL OR late <= back THEN 'PERMANENT' ELSE 'FAILED' END AS result FROM f""",
 }

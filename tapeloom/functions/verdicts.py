@@ -41,3 +41,14 @@ def asset_class(symbol: Column) -> Column:
 def unit(klass: Column, tick: Column) -> Column:
     """What a move is told in: pips for currencies, ticks where the tick is known, else points."""
     return F.when(klass == "fx", "pip").when(tick > 0, "tick").otherwise("point")
+
+
+def entry_signal(read: Column, cvd: Column, backed: Column, *stack: Column) -> tuple[Column, Column]:
+    """The side to enter and, where it is withheld, why: cvd-side (what traded in the bar isn't of the book's side), cvd (nothing traded behind the book's last
+    turn), stack (every slower read opposes; a silent one doesn't). No side and no reason where the book has no side; nulls are silent."""
+    side = F.when(read.isin("up", "down"), read)
+    opposed = F.lit(bool(stack))
+    for s in stack:
+        opposed &= F.coalesce(s == F.when(side == "up", "down").otherwise("up"), F.lit(False))
+    blocked = F.when(side.isNull(), None).when(~F.coalesce(cvd == side, F.lit(False)), "cvd-side").when(~F.coalesce(backed, F.lit(False)), "cvd").when(opposed, "stack")
+    return F.when(blocked.isNull(), side), blocked

@@ -162,3 +162,44 @@ def pace(prints: DataFrame, tau_s: float, key: tuple[str, ...] = ("instrument",)
             yield seq, b / tau_s, s / tau_s, (b - s) / (b + s) if b + s else None
 
     return in_order(prints.select(*key, "us", "seq", "sz", "side"), step, "seq long, buy_rate double, sell_rate double, lead double", key)
+
+
+def journal(looks: DataFrame, take: int, cut: int, most: int = 2, key: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """What to do at each look at the market: seq, action (open, close or none), why, side held after it (1, -1, 0) and the net of a close. One action a look.
+
+    looks: key, us, seq, px, agree and price (up, down, else silent), disagreed, candle. An open position ends at the stop, then the target (0: none), then where the signal is
+    of the other side, where the reads disagree, or where price itself points the other way; silence holds it. A candle opens each side once and `most` positions in all;
+    a look whose candle is null opens nothing and leaves the candle before as it is. Without a price above 0 nothing is done."""
+    ways = {"up": 1, "down": -1}
+
+    def close(side, move, agree, price, disagreed):
+        checks = (("sl", cut and move <= -cut), ("tp", take and move >= take), ("flip", ways.get(agree) == -side), ("disagree", disagreed), ("diverge", ways.get(price) == -side))
+        return next((name for name, holds in checks if holds), None)
+
+    def refusal(agree, candle, taken):
+        if agree not in ways:
+            return "no signal"
+        return "no candle" if candle is None else "side taken" if ways[agree] in taken else "candle full" if len(taken) >= most else None
+
+    def step(rows):
+        side = entry = 0
+        now, taken = None, set()
+        for _, seq, px, agree, price, disagreed, candle in rows:
+            if candle is not None and candle != now:
+                now, taken = candle, set()
+            if px is None or px <= 0:
+                yield seq, "none", "no price", side, None
+            elif side:
+                move = (px - entry) * side
+                why = close(side, move, agree, price, disagreed)
+                side = 0 if why else side
+                yield seq, "close" if why else "none", why or "held", side, move if why else None
+            else:
+                why = refusal(agree, candle, taken)
+                if why is None:
+                    side, entry = ways[agree], px
+                    taken.add(side)
+                yield seq, "none" if why else "open", why or agree, side, None
+
+    cols = ("us", "seq", "px", "agree", "price", "disagreed", "candle")
+    return in_order(looks.select(*key, *cols), step, "seq long, action string, why string, side int, net long", key)

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import verdicts as V
+from ..operators import bars as B
 from ..operators import machines as O
-from ..sources.fixtures import TAPE, TOUCH, tape, touch
+from ..sources.fixtures import TAPE, TOUCH, tape, touch, with_
 from . import sessions as L
 from .bars import BARS, hours
 from .sequential import JOIN, ordered, recursive
@@ -13,7 +15,25 @@ def sided(s, sf):
     return tape(s, sf).where("side <> 'N'").select("instrument", "us", "seq", "side")
 
 
+def signals(s, sf):
+    """A read, the side that traded, and three slower reads at every print, and the side to enter."""
+    k = F.col("k")
+    way = lambda x: F.when(x == 0, "up").when(x == 1, "down").otherwise("flat")
+    read, cvd = F.when(k % 21 > 11, "up").when(k % 21 < 9, "down").otherwise("flat"), F.when(F.col("side") == "B", "up").when(F.col("side") == "A", "down")
+    side, blocked = V.entry_signal(read, cvd, F.col("sz") >= 2, way(k % 2), way(k % 3), way(k % 4))
+    return tape(s, sf).withColumns({"agree": side, "blocked": blocked})
+
+
+def journaled(s, sf):
+    k = F.col("k")
+    x = signals(s, sf).select("instrument", "us", "seq", "agree", F.when(k % 53 > 0, F.col("px_ticks")).alias("px"), F.when(k % 11 == 0, "up").when(k % 11 == 1, "down").alias("price"), (k % 37 == 0).alias("disagreed"), F.when(k % 97 > 0, B.bucket("us", 43200)).alias("candle"))
+    return O.journal(x, 4, 3)
+
+
 QUERIES = {
+    "entry_signals": lambda s, sf: signals(s, sf).select("instrument", "seq", "agree", "blocked"),
+    "journal_decisions": journaled,
+    "journal_trades": lambda s, sf: journaled(s, sf).groupBy("instrument", "action", "why").agg(F.count("*").alias("n"), F.sum("net").alias("net")),
     "level_life": lambda s, sf: O.level_life(L.on_levels(hours(s, sf), L.session_levels(hours(s, sf))), 8, 12),
     "l1_queue_events": lambda s, sf: O.inside_events(touch(tape(s, sf)), 3600.0, 0.34).drop("at_us"),
     "price_direction": lambda s, sf: O.price_direction(tape(s, sf), 4, 7200.0),
@@ -29,7 +49,24 @@ e AS (SELECT * FROM st WHERE kind IS NOT NULL),
 f AS (SELECT e.instrument, e.i, e.seq, e.us, e.kind, e.level, min(n.i) FILTER (WHERE n.us - e.us > 3600000000) AS late, min(n.i) FILTER (WHERE n.bid_px > e.level OR n.bid_px = e.level AND (e.kind = 'VACATED' OR n.bid_sz >= e.need)) AS back
       FROM e LEFT JOIN o n ON n.instrument = e.instrument AND n.i > e.i GROUP BY ALL)"""
 
+SIGNALS = """sg0 AS (SELECT *, CASE WHEN k % 21 > 11 THEN 'up' WHEN k % 21 < 9 THEN 'down' END AS rd, CASE side WHEN 'B' THEN 'up' WHEN 'A' THEN 'down' END AS cvd FROM tape),
+sg1 AS (SELECT *, CASE WHEN rd IS NULL THEN NULL WHEN cvd IS DISTINCT FROM rd THEN 'cvd-side' WHEN sz < 2 THEN 'cvd' WHEN rd = 'up' AND k % 2 = 1 AND k % 3 = 1 AND k % 4 = 1 OR rd = 'down' AND k % 2 = 0 AND k % 3 = 0 AND k % 4 = 0 THEN 'stack' END AS blocked FROM sg0),
+sg AS (SELECT *, CASE WHEN blocked IS NULL THEN rd END AS agree, CASE WHEN blocked IS NULL THEN CASE rd WHEN 'up' THEN 1 WHEN 'down' THEN -1 END END AS w, CASE WHEN k % 53 > 0 THEN px_ticks END AS px, CASE k % 11 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS pw, k % 37 = 0 AS dis, CASE WHEN k % 97 > 0 THEN us // 43200000000 END AS candle FROM sg1)"""
+JOURNAL = (
+    recursive(TAPE, SIGNALS, ordered("sg"))
+    + f""", st AS (SELECT DISTINCT instrument, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, 0 AS p, CAST(0 AS BIGINT) AS entry, CAST(NULL AS BIGINT) AS c, false AS u, false AS d, '' AS action, '' AS why, CAST(NULL AS BIGINT) AS net FROM tape
+  UNION ALL SELECT instrument, i, seq, CASE WHEN went IS NOT NULL THEN 0 WHEN opens THEN w ELSE p END, CASE WHEN opens THEN px ELSE entry END, c2, CASE WHEN opens AND w = 1 THEN true ELSE u2 END, CASE WHEN opens AND w = -1 THEN true ELSE d2 END,
+    CASE WHEN went IS NOT NULL THEN 'close' WHEN opens THEN 'open' ELSE 'none' END, CASE WHEN px IS NULL THEN 'no price' WHEN p <> 0 THEN coalesce(went, 'held') WHEN w IS NULL THEN 'no signal' WHEN candle IS NULL THEN 'no candle' WHEN NOT opens THEN 'side taken' ELSE agree END, CASE WHEN went IS NOT NULL THEN (px - entry) * p END
+  FROM (SELECT *, coalesce(px IS NOT NULL AND p = 0 AND w IS NOT NULL AND candle IS NOT NULL AND NOT CASE w WHEN 1 THEN u2 ELSE d2 END, false) AS opens FROM (
+    SELECT o.instrument, o.i, o.seq, o.px, o.w, o.agree, o.candle, p, entry, coalesce(o.candle, c) AS c2, u AND (o.candle IS NULL OR o.candle IS NOT DISTINCT FROM c) AS u2, d AND (o.candle IS NULL OR o.candle IS NOT DISTINCT FROM c) AS d2,
+      CASE WHEN p = 0 OR o.px IS NULL THEN NULL WHEN (o.px - entry) * p <= -3 THEN 'sl' WHEN (o.px - entry) * p >= 4 THEN 'tp' WHEN o.w = -p THEN 'flip' WHEN o.dis THEN 'disagree' WHEN o.pw = -p THEN 'diverge' END AS went FROM st {JOIN})))
+"""
+)
+
 ORACLE = {
+    "entry_signals": with_(TAPE, SIGNALS) + "SELECT instrument, seq, agree, blocked FROM sg",
+    "journal_decisions": JOURNAL + "SELECT instrument, seq, action, why, p AS side, net FROM st WHERE i > 0",
+    "journal_trades": JOURNAL + "SELECT instrument, action, why, count(*) AS n, sum(net) AS net FROM st WHERE i > 0 GROUP BY ALL",
     "signal_cooldown": recursive(TAPE, "sd AS (SELECT instrument, us, seq, side FROM tape WHERE side <> 'N')", ordered("sd"))
     + f""", st AS (SELECT instrument, i, seq, side, CASE WHEN side = 'B' THEN us END AS lb, CASE WHEN side = 'A' THEN us END AS la, true AS taken FROM o WHERE i = 1
   UNION ALL SELECT o.instrument, o.i, o.seq, o.side, CASE WHEN o.side = 'B' AND (lb IS NULL OR o.us - lb >= 3600000000) THEN o.us ELSE lb END, CASE WHEN o.side = 'A' AND (la IS NULL OR o.us - la >= 3600000000) THEN o.us ELSE la END,

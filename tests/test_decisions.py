@@ -111,3 +111,37 @@ def test_each_gate(spark):
     rows = [(0, *(ok | {"backed": None}).values()), (1, *(ok | {"bar_bps": 10.0}).values())]
     assert [r.gate for r in O.suggest(spark.createDataFrame(rows, READ), 100.0, True, notional=9000.0).orderBy("id").collect()] == ["unsettled", "breakeven"]
     assert O.suggest(spark.createDataFrame([], READ), 100.0).count() == 0
+
+
+def test_entry_signal(spark):
+    from pyspark.sql import functions as F
+
+    from tapeloom.functions.verdicts import entry_signal
+
+    cases = [
+        ("up", "up", True, "up", "flat", None, ("up", None)), ("up", "down", True, None, None, None, (None, "cvd-side")), ("up", None, True, None, None, None, (None, "cvd-side")), ("down", "down", False, None, None, None, (None, "cvd")),
+        ("down", "down", None, None, None, None, (None, "cvd")), ("up", "up", True, "down", "down", "down", (None, "stack")), ("up", "up", True, "down", "down", "flat", ("up", None)), ("up", "up", True, "down", "down", None, ("up", None)),
+        ("down", "down", True, "up", "up", "up", (None, "stack")), ("flat", "up", True, None, None, None, (None, None)), (None, None, None, None, None, None, (None, None)),
+    ]
+    df = spark.createDataFrame([(i, *c[:6]) for i, c in enumerate(cases)], "i int, r string, c string, b boolean, x string, y string, z string")
+    side, blocked = entry_signal(*(F.col(c) for c in "rcbxyz"))
+    assert [(r.s, r.w) for r in df.select("i", side.alias("s"), blocked.alias("w")).orderBy("i").collect()] == [c[6] for c in cases]
+
+
+def test_journal(spark):
+    from tapeloom.operators.machines import journal
+
+    looks = [
+        (None, "up", None, None, 1, "none", "no price", 0, None), (10, None, None, None, 1, "none", "no signal", 0, None), (10, "up", None, None, None, "none", "no candle", 0, None), (10, "up", "down", True, 1, "open", "up", 1, None),
+        (11, None, "up", None, 1, "none", "held", 1, None), (14, "down", "down", True, 1, "close", "tp", 0, 4), (14, "up", None, None, 1, "none", "side taken", 0, None), (14, "down", None, None, 1, "open", "down", -1, None),
+        (17, "up", None, True, 1, "close", "sl", 0, -3), (17, "up", None, None, None, "none", "no candle", 0, None), (17, "down", None, None, 1, "none", "side taken", 0, None), (17, "up", None, None, 2, "open", "up", 1, None),
+        (0, "down", None, None, 2, "none", "no price", 1, None), (16, "down", "down", True, 2, "close", "flip", 0, -1), (16, "down", None, None, 3, "open", "down", -1, None), (15, None, "up", True, 3, "close", "disagree", 0, 1),
+        (15, "up", None, False, 3, "open", "up", 1, None), (15, "up", "down", False, 3, "close", "diverge", 0, 0), (15, "up", None, None, 4, "open", "up", 1, None),
+    ]
+    schema = "instrument string, us long, seq long, px long, agree string, price string, disagreed boolean, candle long, action string"
+    df = spark.createDataFrame([("M", i, i, *x[:5], "kept") for i, x in enumerate(looks)], schema)
+    got = [(r.action, r.why, r.side, r.net) for r in sorted(journal(df, 4, 3).collect(), key=lambda r: r.seq)]
+    assert got == [x[5:] for x in looks]
+    once = [(r.action, r.why) for r in sorted(journal(df, 0, 0, most=1).collect(), key=lambda r: r.seq)]
+    assert once[5] == ("close", "flip") and once[7] == ("none", "candle full")
+    assert journal(df.limit(0), 4, 3).count() == 0

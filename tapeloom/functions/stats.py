@@ -23,6 +23,12 @@ def mean_interval(x: Column, z: float = Z95) -> list[Column]:
     return [n.alias("n"), m.alias("mean"), s.alias("sd"), (m - z * s / F.sqrt(n)).alias("lo"), (m + z * s / F.sqrt(n)).alias("hi")]
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson's correlation over the rows that have both; null where one of them doesn't vary."""
+    both = lambda c: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c))
+    return F.try_divide(F.covar_pop(both(x), both(y)), F.stddev_pop(both(x)) * F.stddev_pop(both(y)))
+
+
 def normal_cdf(x: Column) -> Column:
     """The normal distribution function by Abramowitz and Stegun 26.2.17 (error under 7.5e-8)."""
     t = 1 / (1 + F.lit(0.2316419) * F.abs(x))

@@ -52,7 +52,7 @@ def zones(bars: DataFrame, swings: DataFrame, impulse_bps: float, limit: int = 8
     # newest origin first; of one origin the first break
     found = candidates(bars, swings, impulse_bps).select("instrument", (-F.col("origin_us")).alias("o1"), F.col("at_us").alias("o2"), "kind", "origin_us", "at_us", "lo", "hi", "impulse")
     kept = in_order(found, step, "kind string, origin_us long, at_us long, lo long, hi long, impulse double", order=("o1", "o2"))
-    later = bars.select("instrument", "bar_us", "high", "low").join(F.broadcast(kept), "instrument").where((F.col("bar_us") > F.col("at_us")) & (F.col("low") <= F.col("hi")) & (F.col("high") >= F.col("lo")))
+    later = bars.select("instrument", "bar_us", "high", "low").join(kept, "instrument").where((F.col("bar_us") > F.col("at_us")) & (F.col("low") <= F.col("hi")) & (F.col("high") >= F.col("lo")))
     tested = later.groupBy("instrument", "kind", "origin_us").agg(F.count("*").alias("tested"))
     return kept.join(tested, ["instrument", "kind", "origin_us"], "left").withColumn("tested", F.coalesce("tested", F.lit(0)))
 

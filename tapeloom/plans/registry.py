@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FLAGSHIP = "bars_rolling_z"
-MODULES = ("bars", "flow", "book", "profile", "structure", "positions", "outcomes", "ledger", "validation", "sequential", "streaming", "other", "studies", "machines", "sessions", "records", "reads", "levels", "columns", "stores", "live", "scans", "stance", "decisions", "pacing", "grid", "contest", "candles", "entries")
+MODULES = ("bars", "flow", "book", "profile", "structure", "positions", "outcomes", "ledger", "validation", "sequential", "streaming", "other", "studies", "machines", "sessions", "records", "reads", "levels", "columns", "stores", "live", "scans", "stance", "decisions", "pacing", "grid", "contest", "candles", "entries", "controls")
 
 
 def queries() -> dict:

@@ -87,6 +87,30 @@ def grid(with_paths: DataFrame, targets: list[int], stops: list[int], cost: floa
     return x.select("event_id", "instrument", "side", F.col("cell.target").alias("target"), F.col("cell.stop").alias("stop"), "hit", net.cast("double").alias("net"))
 
 
+def brackets(with_paths: DataFrame, target: int, stop: int, breakeven: int | None = None, trail: int | None = None, arm: int = 3) -> DataFrame:
+    """One trade per event along its path: out at the target, or at a stop that moves up to the entry once the bars before have been `breakeven` ticks onside, or
+    follows their best by `trail` ticks once that is `arm` (above 0) or more. The stop wins ties, and a bar's own best doesn't move the stop that it meets.
+    event_id, instrument, side, outcome (TARGET, STOP, else OPEN), net in ticks (of the last close while open), bars until then. One fold over each path."""
+    up = F.col("side") > 0
+    best = lambda p: F.when(up, p["hi"] - F.col("entry")).otherwise(F.col("entry") - p["lo"])
+    worst = lambda p: F.when(up, p["lo"] - F.col("entry")).otherwise(F.col("entry") - p["hi"])
+    state = lambda best, out, net, bars: F.struct(best.cast("long").alias("best"), out.cast("string").alias("out"), net.cast("long").alias("net"), bars.cast("long").alias("bars"))
+
+    def step(a, p):
+        line = F.lit(-stop)
+        if trail is not None:
+            line = F.when(a["best"] >= arm, F.greatest(line, a["best"] - trail)).otherwise(line)
+        if breakeven is not None:
+            line = F.when(a["best"] >= breakeven, F.greatest(line, F.lit(0))).otherwise(line)
+        stopped, hit = worst(p) <= line, best(p) >= target
+        out = F.when(stopped, "STOP").when(hit, "TARGET")
+        close = (p["close"] - F.col("entry")) * F.col("side")
+        return F.when(a["out"].isNotNull(), a).otherwise(state(F.greatest(a["best"], best(p)), out, F.when(stopped, line).when(hit, target).otherwise(close), a["bars"] + 1))
+
+    x = with_paths.withColumn("a", F.aggregate("path", state(F.lit(0), F.lit(None), F.lit(0), F.lit(0)), step))
+    return x.select("event_id", "instrument", "side", F.coalesce("a.out", F.lit("OPEN")).alias("outcome"), "a.net", "a.bars")
+
+
 def surface(cells: DataFrame, cost: float) -> DataFrame:
     """By cell: trades, wins, hit rate of the decided, mean net with its error, break-even rate."""
     g = cells.groupBy("target", "stop").agg(F.count("*").alias("n"), F.count_if(F.col("hit") == 1).alias("wins"), F.count_if(F.col("hit") == -1).alias("losses"), F.avg("net").alias("mean_net"), F.stddev_samp("net").alias("sd"))

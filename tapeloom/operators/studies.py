@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import corr
 from .bars import SECOND, bucket
 from .outcomes import range_join
 
@@ -157,7 +158,7 @@ def rotation_floor(series: DataFrame, a: str, b: str, shifts: list[int]) -> Data
     s = series.withColumns({"i": i, "m": F.count("*").over(W.partitionBy("instrument"))})
     x = s.select("instrument", "i", "m", F.col(a).alias("a")).withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("j", (F.col("i") + F.col("shift")) % F.col("m"))
     y = s.select("instrument", F.col("i").alias("j"), F.col(b).alias("b"))
-    return x.join(y, ["instrument", "j"]).groupBy("shift").agg(F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
+    return x.join(y, ["instrument", "j"]).groupBy("shift").agg(corr("a", "b").alias("corr"), F.count("*").alias("n"))
 
 
 def bar_separation(prints: DataFrame, bar_s: int, marks: list[int]) -> DataFrame:

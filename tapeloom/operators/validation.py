@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import Z95
+from ..functions.stats import Z95, corr
 from ..sources.scratch import held
 from .outcomes import first_touch, lcg, range_join
 
@@ -75,7 +75,7 @@ def lead_lag(series: DataFrame, a: str, b: str, order: str, lags: int) -> DataFr
     w = W.partitionBy("instrument").orderBy(order)
     shifted = lambda k: F.lag(b, k).over(w) if k >= 0 else F.lead(b, -k).over(w)
     x = series.select("instrument", a, *(shifted(k).alias(f"b{k + lags}") for k in range(-lags, lags + 1)))
-    row = x.agg(*(F.corr(a, f"b{k + lags}").alias(f"c{k + lags}") for k in range(-lags, lags + 1)))
+    row = x.agg(*(corr(a, f"b{k + lags}").alias(f"c{k + lags}") for k in range(-lags, lags + 1)))
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"c{k + lags}").alias("corr")) for k in range(-lags, lags + 1)))).alias("x")).select("x.lag", "x.corr")
 
 

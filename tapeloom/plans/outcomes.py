@@ -51,6 +51,9 @@ QUERIES = {
     "triple_barrier": lambda s, sf: O.triple_barrier(signals(s, sf), prints(s, sf), 4, 3, HORIZON),
     "triple_barrier_ambiguous": lambda s, sf: O.triple_barrier(signals(s, sf), prints(s, sf), 2, 1, HORIZON, True).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("net").alias("net")),
     "sweep_grid": cells,
+    "bracket_fixed": lambda s, sf: O.brackets(with_paths(s, sf), 6, 3),
+    "bracket_breakeven": lambda s, sf: O.brackets(with_paths(s, sf), 6, 3, breakeven=2),
+    "bracket_trailing": lambda s, sf: O.brackets(with_paths(s, sf), 8, 3, trail=2, arm=3),
     "sweep_surface": lambda s, sf: O.surface(cells(s, sf), 0.5),
     "reach_test": lambda s, sf: O.reach(O.grid(with_paths(s, sf), [1, 2, 3, 4, 6, 8], [3], 0.0)),
     "excursion_distance": lambda s, sf: O.excursions(with_paths(s, sf)),
@@ -82,7 +85,20 @@ y AS (SELECT event_id, instrument, x.side, at_us, min(CASE WHEN gain >= {target}
 W95 = "((k / n + 1.9207294103470 / n) {s} 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 0.9603647051735 / (n * n))) / (1 + 3.841458820694124 / n)"
 LCG2 = "((1103515245 * ((1103515245 * (({x}) % 2147483648) + 12345) % 2147483648) + 12345) % 2147483648)"
 
+
+
+def bracket_sql(target: int, line: str) -> str:
+    """The first bar at the stop's line or the target; b is the best of the bars before."""
+    return f""", bk AS (SELECT *, CASE WHEN side > 0 THEN hi - entry ELSE entry - lo END AS fav, CASE WHEN side > 0 THEN lo - entry ELSE entry - hi END AS adv, (close - entry) * side AS gain FROM px WHERE r <= 20),
+bb AS (SELECT *, greatest(coalesce(max(fav) OVER (PARTITION BY event_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS b FROM bk),
+bl AS (SELECT *, {line} AS line FROM bb), bo AS (SELECT *, CASE WHEN adv <= line THEN 'STOP' WHEN fav >= {target} THEN 'TARGET' END AS o FROM bl)
+SELECT event_id, instrument, side, coalesce(arg_min(o, r) FILTER (o IS NOT NULL), 'OPEN') AS outcome, coalesce(arg_min(CASE o WHEN 'STOP' THEN line ELSE {target} END, r) FILTER (o IS NOT NULL), arg_max(gain, r)) AS net, coalesce(min(r) FILTER (o IS NOT NULL), max(r)) AS bars FROM bo GROUP BY 1, 2, 3"""
+
+
 ORACLE = {
+    "bracket_fixed": S + PATHS + bracket_sql(6, "-3"),
+    "bracket_breakeven": S + PATHS + bracket_sql(6, "CASE WHEN b >= 2 THEN 0 ELSE -3 END"),
+    "bracket_trailing": S + PATHS + bracket_sql(8, "CASE WHEN b >= 3 THEN greatest(-3, b - 2) ELSE -3 END"),
     "touch_resolve": with_(TAPE)
     + f""", e AS (SELECT seq AS event_id, instrument, us AS at_us, px_ticks AS spot, px_ticks + k % 11 - 5 AS level FROM tape),
 x AS (SELECT event_id, min(CASE WHEN CASE WHEN level >= spot THEN px_ticks >= level ELSE px_ticks <= level END THEN us END) AS hit_us, arg_max(px_ticks, seq) AS last_px, count(*) AS prints FROM e JOIN tape t ON t.instrument = e.instrument AND us > at_us AND us <= at_us + {HORIZON} GROUP BY ALL)

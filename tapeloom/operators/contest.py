@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import held
 from .bars import SECOND, bucket
 
 # One-sided from this share on; a usual move in basis points, of a bar of so many seconds, where none is learned; the share of a
@@ -32,13 +33,13 @@ def usual(key: tuple[str, ...], skip: int = 1) -> dict[str, Column]:
 
 
 def measured(prints: DataFrame, frames: list[int], step: int) -> DataFrame:
-    """A reading at the end of each step with a print, for each frame of `frames` (seconds, multiples of step). Prints are summed by step once; a frame
-    runs over the steps of its bar. Prints of an unknown aggressor count as trades alone. An instrument's first bar of a frame isn't seeded."""
+    """A reading at the end of each step with a print, for each frame of `frames` (seconds, multiples of step). Prints are summed by step once and held; a
+    frame runs over the steps of its bar. Prints of an unknown aggressor count as trades alone. An instrument's first bar of a frame isn't seeded."""
     at, side = F.struct("us", "seq"), lambda s: F.sum(F.when(F.col("side") == s, F.col("px_ticks") * F.col("sz")).otherwise(0))
     s = prints.groupBy("instrument", bucket("us", step).alias("at_us")).agg(
         F.min_by("px_ticks", at).alias("o"), F.max("px_ticks").alias("h"), F.min("px_ticks").alias("l"), F.max_by("px_ticks", at).alias("last"), F.sum("sz").alias("v"), side("B").alias("b"), side("A").alias("a"), F.count("*").alias("n")
     )
-    s = s.withColumn("seconds", F.explode(F.array(*(F.lit(f).cast("long") for f in frames))))
+    s = held(s).withColumn("seconds", F.explode(F.array(*(F.lit(f).cast("long") for f in frames))))
     s = s.withColumn("bar_us", F.floor(F.col("at_us") / (F.col("seconds") * SECOND)).cast("long") * F.col("seconds") * SECOND)
     bar = ["instrument", "seconds", "bar_us"]
     bars = s.groupBy(*bar).agg(F.min_by("o", "at_us").alias("open"), F.max_by("last", "at_us").alias("close"), F.sum("v").alias("volume"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import corr
+from ..sources.scratch import held
 from .bars import SECOND, bucket
 from .outcomes import lcg
 
@@ -83,7 +84,7 @@ def travel_by_state(samples: DataFrame, step_s: int, horizons: list[int], least:
     m = samples.select("state", *(F.struct(F.lit(h).cast("long").alias("horizon"), F.when(F.lead("at_us", h).over(w) - F.col("at_us") == h * step_s * SECOND, F.lead("px", h).over(w) - F.col("px")).alias("move")).alias(f"a{h}") for h in horizons))
     m = m.select("state", F.explode(F.array(*(f"a{h}" for h in horizons))).alias("a")).select("state", "a.*").where("move is not null")
     # counts by state and move: the medians of both levels are then taken over distinct moves, weighed
-    c = m.groupBy("horizon", "state", "move").agg(F.count("*").alias("k"))
+    c = held(m.groupBy("horizon", "state", "move").agg(F.count("*").alias("k")))
     sides = c.withColumn("state", F.explode(F.array(F.lit("all"), "state")))
     half = F.lit(0.5)
     g = sides.groupBy("horizon", "state").agg(

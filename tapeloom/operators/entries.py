@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import held
 from .bars import SECOND, bucket, time_bars
 from .flow import level1_ofi, race
 from .sequential import in_order
@@ -50,6 +51,7 @@ def delta_side(window: int) -> Column:
 
 def sided(slices_: DataFrame, frames: list[int], window: int, baseline: int, enter: float, ratio: float, delta_window: int) -> DataFrame:
     """slices with z and a column for each rule: ofi (z of the last `window` slices' OFI among `baseline` of them, `enter` or more), agree, book, delta."""
+    slices_ = held(slices_)
     z = race(slices_.select("instrument", F.col("at_us").alias("seq"), "ofi"), window, baseline).select("instrument", F.col("seq").alias("at_us"), "z")
     ofi = F.when(F.abs("z") >= enter, F.signum("z")).otherwise(0).cast("int")
     s = slices_.drop("ofi").join(z, ["instrument", "at_us"], "left")

@@ -8,6 +8,7 @@ from ..operators import flow as L
 from ..operators import reads as R
 from ..operators import structure as S
 from ..sources.fixtures import TAPE, TOUCH, tape, touch, with_
+from ..sources.scratch import held
 from .bars import FLOW, HOUR, OHLC
 
 BAR, SEEN = 12 * HOUR, 9 * HOUR
@@ -17,8 +18,8 @@ def read(s, sf):
     """Bars of twelve hours as they stand after nine. Structure is the way of the bar before; nothing feeds zones and magnets here."""
     t = tape(s, sf)
     early = F.col("us") - B.bucket("us", BAR) < SEEN * B.SECOND
-    part, key = B.time_bars(t.where(early), BAR), ["instrument", "bar_us"]
-    whole = B.time_bars(t, BAR).select(*key, (F.col("close") > F.col("open")).alias("up"))
+    part, bars, key = held(B.time_bars(t.where(early), BAR)), held(B.time_bars(t, BAR)), ["instrument", "bar_us"]
+    whole = bars.select(*key, (F.col("close") > F.col("open")).alias("up"))
     flow = R.absorption(part, 60, 3, 10).select(*key, F.col("ratio").alias("impact_ratio"), (F.col("confident") & (F.col("expected") > 0)).alias("impact_confident"), (F.col("delta") >= 0).alias("aggressor_up"), F.abs("delta").alias("aggression"))
     pa = S.price_action(part, 12).select(*key, (F.col("sweep") * 0.5 + F.col("rejection") * 0.3 + F.col("acceptance") * 0.2).alias("pa"))
     bands = L.vwap_bands(part).select(*key, "vwap", F.col("sd").alias("vwap_sd"))
@@ -26,7 +27,7 @@ def read(s, sf):
     x = part.withColumn("last", F.col("close"))
     for other in (whole, flow, pa, bands, top):
         x = x.join(other, key)
-    was = B.time_bars(t, BAR).select("instrument", (F.col("bar_us") + BAR * B.SECOND).alias("bar_us"), F.when(F.col("close") > F.col("open"), "up").when(F.col("close") < F.col("open"), "down").alias("trend"))
+    was = bars.select("instrument", (F.col("bar_us") + BAR * B.SECOND).alias("bar_us"), F.when(F.col("close") > F.col("open"), "up").when(F.col("close") < F.col("open"), "down").alias("trend"))
     none = {n: F.lit(None).cast(t) for n, t in (("zone", "string"), ("zone_fresh", "boolean"), ("magnet_bps", "double"), ("magnet_notional", "double"))}
     x = x.join(was, key, "left").withColumns(none | {"elapsed": F.lit(SEEN / BAR)})
     return O.score(O.signals(x))

@@ -6,8 +6,11 @@ the next rank in two steps whatever the length of the text. A position whose pai
 queued is stale and skipped. Each merge queues at most two pairs: a pre-token of n bytes costs O(n log n) at worst,
 where scanning for the lowest rank costs O(n^2).
 
+One queue serves many pre-tokens, laid end to end, whose pairs never cross: what is first in the queue is also first in its own
+pre-token. So the bitmap is looked at once for a bucket of all of them, not once for a merge.
+
 Cases: null texts count as empty; empty texts have no tokens; null ids decode to nothing. Repeated rows give repeated results and null keys pass.
-A very long text is encoded in one piece, in memory of some hundred times its longest pre-token. encode() replaces a column named ids, decode()
+A very long text is encoded in one piece, in memory of some hundred times its longest pre-token and of all its pre-tokens. encode() replaces a column named ids, decode()
 one named decoded; other columns pass through, an empty table gives an empty result. Of pairs of the same rank the leftmost merges first.
 """
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,9 @@ from .common import load, others, parts
 #: and what is found in the old one is young again.
 CACHE = 250_000
 
+#: Pre-tokens of texts that are looked up together, and characters of those that go through one queue, but for longer single ones.
+PIECES, JOINT = 100_000, 50_000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line. The size of a vocabulary doesn't follow the data."""
@@ -37,72 +43,114 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token.
+    """The ids of one pre-token."""
+    return list(memoryview(encode_pieces([piece], ranks)[0]).cast("I"))
+
+
+def encode_pieces(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
+    """The packed ids of each pre-token, from one queue for all of them.
 
     `top` marks the groups of 256 ranks in use and `low` the ranks within each; x & -x finds the first bit set. `buckets`
-    holds a heap of positions for each rank in use. The queue is written out here, not as a class: calls would take half
-    of the time of short pre-tokens.
+    holds a heap of positions for each rank in use. A bucket is emptied at once, unless a merge queues a lower rank, which then
+    goes first. The queue is written out here, not as a class: calls would take half of the time.
     """
+    import numpy as np
+
     get = ranks.get
-    whole = get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    ends = list(range(1, n + 1))  # node i spans piece[i:ends[i]]; the next node starts where it ends
+    found = [b"" if not piece else None if whole is None else whole.to_bytes(4, "little") for piece, whole in zip(pieces, map(get, pieces))]
+    split = [piece for piece, ids in zip(pieces, found) if ids is None]
+    data = b"".join(split)
+    n = len(data)
+    if not n:
+        return found
+    stops = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+    edge = np.zeros(n + 1, np.uint8)  # 1 where a pre-token begins, and at the end
+    edge[0] = edge[stops] = 1
+    ends = list(range(1, n + 1))  # node i spans data[i:ends[i]]; the next node starts where it ends
     prev = list(range(-1, n))
-    due: list[int | None] = [None] * n  # the rank at which a node merges with the next
-    ids = [ranks[piece[i : i + 1]] for i in range(n)]  # of each node: a merge's rank is the id of what it makes
+    single = {c: ranks[bytes([c])] for c in set(data)}
+    ids = list(map(single.__getitem__, data))  # of each node: a merge's rank is the id of what it makes; -1 once the node before has taken it in
+    due = [-1] * n  # the rank at which a node merges with the next
+    codes = np.frombuffer(data, np.uint8).astype(np.uint16)
+    codes = codes[:-1] << 8 | codes[1:]  # the two bytes from each position
+    order = np.argsort(codes, kind="stable")
+    order = order[edge[order + 1] == 0]
     top, low, buckets = 0, {}, {}
-    for i in range(n - 1):
-        rank = due[i] = get(piece[i : i + 2])
-        if rank is not None:
-            if rank in buckets:
-                buckets[rank].append(i)  # positions rise: a sorted list is a heap
-            else:
-                buckets[rank] = [i]
+    if len(order):
+        for same in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+            same = same.tolist()  # positions rise: a sorted list is a heap
+            rank = get(data[same[0] : same[0] + 2])
+            if rank is not None:
+                buckets[rank] = same
                 a = rank >> 8
                 top |= 1 << a
                 low[a] = low.get(a, 0) | 1 << (rank & 255)
+                for i in same:
+                    due[i] = rank
+    edge = edge.tobytes()
     while top:
         a = (top & -top).bit_length() - 1
         word = low[a]
         first = word & -word
-        rank = a << 8 | first.bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
+        now = least = a << 8 | first.bit_length() - 1
+        bucket = buckets[now]
+        while bucket and least == now:
+            i = heappop(bucket)
+            if due[i] != now:
+                continue  # stale
+            j = ends[i]
+            due[j] = ids[j] = -1
+            ids[i] = now
+            end = ends[i] = ends[j]
+            if edge[end]:
+                due[i] = -1
+            else:
+                prev[end] = i
+                rank = get(data[i : ends[end]])
+                if rank is None:
+                    due[i] = -1
+                else:
+                    due[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        a = rank >> 8
+                        top |= 1 << a
+                        low[a] = low.get(a, 0) | 1 << (rank & 255)
+                        if rank < least:
+                            least = rank
+            if not edge[i]:
+                p = prev[i]
+                rank = get(data[p:end])
+                if rank is None:
+                    due[p] = -1
+                else:
+                    due[p] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], p)
+                    else:
+                        buckets[rank] = [p]
+                        a = rank >> 8
+                        top |= 1 << a
+                        low[a] = low.get(a, 0) | 1 << (rank & 255)
+                        if rank < least:
+                            least = rank
         if not bucket:
-            del buckets[rank]
-            word = low[a] = word ^ first
-            if not word:
+            del buckets[now]
+            a = now >> 8
+            low[a] ^= first
+            if not low[a]:
                 top ^= 1 << a
-        if due[i] != rank:
-            continue  # stale
-        j = ends[i]
-        due[j] = due[i] = None
-        ids[i] = rank
-        end = ends[i] = ends[j]
-        near = []
-        if end < n:
-            prev[end] = i
-            near.append((i, ends[end], i))
-        p = prev[i]
-        if p >= 0:
-            near.append((p, end, p))
-        for lo, hi, at in near:
-            rank = due[at] = get(piece[lo:hi])
-            if rank is not None:
-                if rank in buckets:
-                    heappush(buckets[rank], at)
-                else:
-                    buckets[rank] = [at]
-                    a = rank >> 8
-                    top |= 1 << a
-                    low[a] = low.get(a, 0) | 1 << (rank & 255)
-    out, i = [], 0
-    while i < n:
-        out.append(ids[i])
-        i = ends[i]
-    return out
+    left = np.array(ids, np.int64)
+    packed = left[left >= 0].astype("<u4").tobytes()
+    lo, his = 0, iter((4 * np.cumsum(left >= 0)[stops - 1]).tolist())
+    for k, whole in enumerate(found):
+        if whole is None:
+            hi = next(his)
+            found[k] = packed[lo:hi]
+            lo = hi
+    return found
 
 
 class Codec:
@@ -118,20 +166,46 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for piece in self.find(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-                if ids is None:
-                    ids = array("I", encode_piece(piece.encode(), self.ranks)).tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= CACHE:
-                        self.old, self.known = known, {}
-                        known = self.known
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """encode() of each text, in order. What isn't remembered is encoded together for texts of PIECES pre-tokens."""
+        split, n = [], 0
+        for text in texts:
+            split.append(self.find(text))
+            n += len(split[-1])
+            if n >= PIECES:
+                yield from self._ids(split)
+                split, n = [], 0
+        yield from self._ids(split)
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
+        """The packed ids of texts that are split into pre-tokens."""
+        need = set().union(*split)
+        new = need.difference(self.known)
+        if new and len(self.known) + len(new) > CACHE:
+            self.old, self.known, new = self.known, {}, need
+        known, old = self.known, self.old
+        some, size = [], 0
+        for piece in new:
+            ids = old.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
+            some.append(piece)
+            size += len(piece)
+            if size >= JOINT:
+                self._learn(some)
+                some, size = [], 0
+        self._learn(some)
+        packed = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > 64:
+                del known[piece]
+        return packed
+
+    def _learn(self, pieces: list[str]) -> None:
+        self.known.update(zip(pieces, encode_pieces([piece.encode() for piece in pieces], self.ranks)))
 
     def decode(self, packed: bytes) -> bytes:
         ids = array("I")
@@ -160,7 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
         codec = _codec(ranks, pattern)
         for pdf in batches:
-            pdf["ids"] = [np.frombuffer(codec.encode(t or ""), dtype="<i4") for t in pdf[text].array]
+            pdf["ids"] = [np.frombuffer(packed, dtype="<i4") for packed in codec.encode_all(t or "" for t in pdf[text].array)]
             yield pdf[[f.name for f in out.fields]]
 
     out = T.StructType([*others(docs, "ids"), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -195,8 +269,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
         codec = _codec(ranks, pattern)
         for batch in parts(batches):
             n, ids, back = [], [], []
-            for t in batch.column(text):
-                packed = codec.encode(t.as_py() or "")
+            for packed in codec.encode_all(t.as_py() or "" for t in batch.column(text)):
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 back.append(hashlib.sha256(codec.decode(packed)).hexdigest())

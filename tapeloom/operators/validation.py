@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import Z95, corr
 from ..sources.scratch import held
-from .outcomes import first_touch, lcg, range_join
+from .outcomes import first_touch, lcg
 
 
 def lift(rows: DataFrame, by: list[Column], touched: str = "touched", expected: str = "expected") -> DataFrame:
@@ -106,8 +106,8 @@ def after_touch(events: DataFrame, prints: DataFrame, horizon_us: int, follow_us
     follow_us after the touch. events: event_id, instrument, at_us, spot, level."""
     t = first_touch(events, prints, horizon_us).where("touched").select("event_id", "minutes")
     hit = events.join(t, "event_id").select("event_id", "instrument", "spot", "level", (F.col("at_us") + F.round(F.col("minutes") * 60e6).cast("long")).alias("at_us"))
-    x = range_join(hit, prints, follow_us).groupBy("event_id", "spot", "level").agg(F.max_by("px", F.struct("us", "seq")).alias("end"))
-    return x.select("event_id", ((F.col("end") - F.col("level")) * F.when(F.col("level") >= F.col("spot"), 1).otherwise(-1)).alias("move"))
+    x = first_touch(hit, prints, follow_us).where("prints > 0")
+    return x.select("event_id", ((F.col("last_px") - F.col("level")) * F.when(F.col("level") >= F.col("spot"), 1).otherwise(-1)).alias("move"))
 
 
 def size_effect(rows: DataFrame, size: str, groups: int, draws: int, seed: int, least: int = 20, least_band: int = 10, least_blocks: int = 8) -> DataFrame:

@@ -6,6 +6,7 @@ from ..operators import outcomes as X
 from ..operators import validation as V
 from ..operators import zones as O
 from ..sources.fixtures import TAPE, tape, with_
+from ..sources.scratch import held
 from .bars import hours
 from .outcomes import HORIZON, LCG2, prints, touches
 from .sequential import ordered
@@ -20,8 +21,10 @@ def moves(s, sf):
 
 
 def after(s, sf):
-    m = moves(s, sf)
-    return V.block_bootstrap(m.withColumn("one", F.lit(1)), "block", "move", "one", 200, 5).crossJoin(m.agg(F.count("*").alias("touches"), F.percentile("move", F.lit(0.5)).alias("median"), F.avg((F.col("move") > 0).cast("int")).alias("continued")))
+    """From how often each move comes in a block, held: all that is asked are sums and a median."""
+    m = held(moves(s, sf).groupBy("block", "move").agg(F.count("*").alias("n"))).withColumn("total", F.col("move") * F.col("n"))
+    n, up = F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.when(F.col("move") > 0, F.col("n")).otherwise(0))
+    return V.block_bootstrap(m, "block", "total", "n", 200, 5).crossJoin(m.agg(n.alias("touches"), F.percentile("move", F.lit(0.5), F.col("n")).alias("median"), (up / F.sum("n")).alias("continued")))
 
 
 def sized(s, sf):

@@ -1,11 +1,12 @@
 """Operators whose work or disk must not grow faster than their input: the same results as plain loops, by plans that stay in proportion."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import flow, graph, outcomes, reads
+from tapeloom.operators import flow, graph, outcomes, reads, validation
 
 
 def one(df, *cols):
@@ -157,3 +158,19 @@ def test_first_touch_does_not_pair_events_with_prints(spark, odd):
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(one(found, "event_id", "spot", "level", "touched", "minutes", "last_px", "prints"), key=lambda r: r[0]) == want
     assert 20 < sum(r[3] for r in want) < len(want)
+
+
+def test_after_touch_does_not_pair_touches_with_prints(spark, odd):
+    rows, df = odd
+    events = spark.createDataFrame([(r[1], r[0], r[2], r[3], r[3] + r[1] % 11 - 5) for r in rows], "event_id long, instrument string, at_us long, spot long, level long")
+    want = []
+    for r in rows:
+        level, at = r[3] + r[1] % 11 - 5, r[2]
+        hits = [q[2] for q in rows if q[0] == r[0] and at < q[2] <= at + 20 * S and (q[3] >= level if level >= r[3] else q[3] <= level)]
+        after = sorted((q[2], q[1], q[3]) for q in rows if hits and q[0] == r[0] and min(hits) < q[2] <= min(hits) + 9 * S)
+        if after:
+            want.append((r[1], (after[-1][2] - level) * (1 if level >= r[3] else -1)))
+    prints = df.withColumn("px", F.col("px_ticks"))
+    found = validation.after_touch(events, prints, 20 * S, 9 * S)
+    assert "us" not in {c for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line for c in re.findall(r"[(]*(\w+)#", line)}  # no range of prints
+    assert sorted(one(found, "event_id", "move")) == want and len(want) > 50

@@ -5,14 +5,16 @@ burst_us at those prices of at least `burst` times the median volume of the last
 Way: volume of the burst over `over` times what rests within `radius` on the other side of the book, or nothing resting there; without a book none.
 All three for a side turn the stance to it; stack and burst of the other side alone end it.
 
-The state of an instrument is a map of prices, a deque of recent prints, a few candles and the last book; a print costs the runs that it touches, not its history.
+The state of an instrument is a map of prices, a deque of recent prints with their volume by price, a few candles and the last book; a print costs the runs that it touches
+and a few sums, not its history, nor the prints of the burst or the runs that there are.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,84 @@ class Conditions:
     over: float = 1.2
 
 
+class Longest(Runs):
+    """Runs of which the longest, of equals the lowest, is at hand. Runs that are gone stay in the heap until they come up or outnumber those that are there."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.firsts: list[int] = []
+        self.heap: list[tuple[int, int]] = []
+
+    def _put(self, a: int, b: int) -> None:
+        if a > b:
+            return
+        super()._put(a, b)
+        i = bisect_left(self.firsts, a)
+        if i == len(self.firsts) or self.firsts[i] != a:
+            self.firsts.insert(i, a)
+        heappush(self.heap, (a - b, a))
+        if len(self.heap) > 64 + 4 * len(self.to):
+            self.heap = [(a - b, a) for a, b in self.to.items()]
+            heapify(self.heap)
+
+    def _gone(self, a: int) -> None:
+        del self.firsts[bisect_left(self.firsts, a)]
+
+    def add(self, px: int) -> None:
+        if px + 1 in self.to:
+            self._gone(px + 1)
+        super().add(px)
+
+    def remove(self, px: int) -> None:
+        a = self.firsts[bisect_right(self.firsts, px) - 1]
+        self._gone(a)
+        b = self.to.pop(a)
+        del self.back[b]
+        self._put(a, px - 1)
+        self._put(px + 1, b)
+
+    def longest(self) -> tuple[int, int] | None:
+        """First and last price."""
+        while self.heap:
+            short, a = self.heap[0]
+            if self.to.get(a) == a - short:
+                return a, a - short
+            heappop(self.heap)
+        return None
+
+
+class Volumes:
+    """Volume by price, and its sum over any range of prices: sums of 2, 4, 8 and so on neighbours are kept up to 2^DEEP of them."""
+
+    DEEP = 12
+
+    def __init__(self) -> None:
+        self.sums: list[dict] = [{} for _ in range(self.DEEP + 1)]
+
+    def add(self, px: int, volume: int) -> None:
+        for sums in self.sums:
+            new = sums.get(px, 0) + volume
+            if new:
+                sums[px] = new
+            else:
+                sums.pop(px, None)
+            px >>= 1
+
+    def between(self, a: int, b: int) -> int:
+        total = 0
+        for sums in self.sums[:-1]:
+            if a > b:
+                return total
+            if a & 1:
+                total += sums.get(a, 0)
+                a += 1
+            if not b & 1:
+                total += sums.get(b, 0)
+                b -= 1
+            a, b = a >> 1, b >> 1
+        return total + sum(v for k, v in self.sums[-1].items() if a <= k <= b)
+
+
 @dataclass
 class Stance:
     """The state of an instrument."""
@@ -41,8 +121,9 @@ class Stance:
     opened: int | None = None
     volume: int = 0
     levels: dict = field(default_factory=dict)
-    runs: dict = field(default_factory=lambda: {1: Runs(), -1: Runs()})
+    runs: dict = field(default_factory=lambda: {1: Longest(), -1: Longest()})
     recent: deque = field(default_factory=deque)
+    volumes: Volumes = field(default_factory=Volumes)
     candles: deque = field(default_factory=deque)
     ordered: list = field(default_factory=list)
     bids: list = field(default_factory=list)
@@ -71,8 +152,13 @@ class Stance:
 
     def _stack(self, side: int) -> tuple[int, int] | None:
         """The longest run of a side, of equals the lowest; None below the rule's."""
-        found = max(((b - a, -a) for a, b in self.runs[side].to.items()), default=None)
-        return (-found[1], found[0] - found[1]) if found and found[0] + 1 >= self.rule.run else None
+        found = self.runs[side].longest()
+        return found if found and found[1] - found[0] + 1 >= self.rule.run else None
+
+    def remember(self, us: int, px: int, sz: int) -> None:
+        """A print of the burst."""
+        self.recent.append((us, px, sz))
+        self.volumes.add(px, sz)
 
     def _median(self) -> float:
         n = len(self.ordered)
@@ -87,13 +173,14 @@ class Stance:
             self.opened, self.volume = us, 0
         self.volume += sz
         self.level(px, sz if buys else -sz)
-        self.recent.append((us, px, sz))
+        self.remember(us, px, sz)
         while self.recent[0][0] < us - rule.burst_us:
-            self.recent.popleft()
+            _, old, gone = self.recent.popleft()
+            self.volumes.add(old, -gone)
         median, met = self._median(), {}
         for side, facing in ((1, self.asks), (-1, self.bids)):
             stack = self._stack(side)
-            burst = sum(s for _, p, s in self.recent if stack[0] <= p <= stack[1]) if stack else 0
+            burst = self.volumes.between(*stack) if stack else 0
             if not stack or median <= 0 or burst < rule.burst * median:
                 continue
             rests = sum(s for p, s in facing if abs(p - px) <= rule.radius)
@@ -128,16 +215,21 @@ def feed(prints: DataFrame, books: DataFrame) -> DataFrame:
     return p.unionByName(books.select("instrument", "us", "seq", F.lit(0).alias("o"), nothing.alias("px"), nothing.alias("sz"), F.lit(None).cast("boolean").alias("buys"), levels("bids").alias("bids"), levels("asks").alias("asks")))
 
 
+def plain(rows: DataFrame) -> DataFrame:
+    """feed() with the levels of a book as plain arrays, which cost less to hand to Python than structs."""
+    return rows.select("instrument", "us", "seq", "o", "px", "sz", "buys", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("bids", "asks") for c in ("px", "sz")))
+
+
 def transitions(prints: DataFrame, books: DataFrame, rule: Conditions = Conditions()) -> DataFrame:
     """Each change of stance: instrument, seq, us, px, old, new, run, burst, median, resting."""
 
     def step(rows):
         state = Stance(rule)
-        pairs = lambda side: [(x["px"], x["sz"]) for x in side or ()]
-        for us, seq, _, px, sz, buys, bids, asks in rows:
+        pairs = lambda px, sz: zip(px or (), sz or ())
+        for us, seq, _, px, sz, buys, bid_px, bid_sz, ask_px, ask_sz in rows:
             if px is None:
-                state.book(pairs(bids), pairs(asks))
+                state.book(pairs(bid_px, bid_sz), pairs(ask_px, ask_sz))
             elif change := state.add(us, px, sz, buys):
                 yield told(seq, us, px, change)
 
-    return in_order(feed(prints, books), step, FIELDS, order=("us", "seq", "o"))
+    return in_order(plain(feed(prints, books)), step, FIELDS, order=("us", "seq", "o"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.stance import FIELDS, Conditions, Stance, told
+from ..operators.stance import FIELDS, Conditions, Stance, plain, told
 from .live import STORE
 
 
@@ -30,7 +30,8 @@ class Stances(StatefulProcessor):
             state.stance, state.opened, state.volume = self.now.get()
             for k, v in self.levels.iterator():
                 state.level(k[0], v[0])
-            state.recent.extend(map(tuple, self.recent.get()))
+            for print_ in self.recent.get():
+                state.remember(*print_)
             for (volume,) in self.candles.get():
                 state.candle(volume)
             book = list(self.resting.get())
@@ -52,10 +53,10 @@ class Stances(StatefulProcessor):
 
         state, touched, out = self._load(), set(), []
         whole = pd.concat(list(rows)).sort_values(["us", "seq", "o"])
-        pairs = lambda side: [(int(x["px"]), int(x["sz"])) for x in (side if side is not None else ())]
-        for us, seq, o, px, sz, buys, bids, asks in whole[["us", "seq", "o", "px", "sz", "buys", "bids", "asks"]].itertuples(index=False, name=None):
+        pairs = lambda px, sz: () if px is None else zip(map(int, px), map(int, sz))
+        for us, seq, o, px, sz, buys, bid_px, bid_sz, ask_px, ask_sz in whole[["us", "seq", "o", "px", "sz", "buys", "bids_px", "bids_sz", "asks_px", "asks_sz"]].itertuples(index=False, name=None):
             if not o:
-                state.book(pairs(bids), pairs(asks))
+                state.book(pairs(bid_px, bid_sz), pairs(ask_px, ask_sz))
                 continue
             touched.add(int(px))
             if change := state.add(us, int(px), int(sz), bool(buys)):
@@ -70,4 +71,4 @@ class Stances(StatefulProcessor):
 def transitions(rows: DataFrame, rule: Conditions = Conditions()) -> DataFrame:
     """rows: operators.stance.feed() of two streams, or of one."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return rows.groupBy("instrument").transformWithStateInPandas(Stances(rule), f"instrument string, {FIELDS}", "Append", "None")
+    return plain(rows).groupBy("instrument").transformWithStateInPandas(Stances(rule), f"instrument string, {FIELDS}", "Append", "None")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import flow, graph, outcomes, reads, validation
+from tapeloom.operators import flow, graph, outcomes, reads, stance, validation
 
 
 def one(df, *cols):
@@ -174,3 +174,26 @@ def test_after_touch_does_not_pair_touches_with_prints(spark, odd):
     found = validation.after_touch(events, prints, 20 * S, 9 * S)
     assert "us" not in {c for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line for c in re.findall(r"[(]*(\w+)#", line)}  # no range of prints
     assert sorted(one(found, "event_id", "move")) == want and len(want) > 50
+
+
+def test_stance_state_costs_no_scan(monkeypatch):
+    """The longest run and the volume of the burst are what scans of all runs and all recent prints find, though neither is scanned."""
+    rng = random.Random(6)
+    runs, there = stance.Longest(), set()
+    for i in range(3000):
+        px = rng.randrange(-40, 40)
+        runs.remove(px) if px in there else runs.add(px)
+        there ^= {px}
+        want = max(((b - a, -a) for a in there if a - 1 not in there for b in [next(q for q in range(a, 99) if q + 1 not in there)]), default=None)
+        assert runs.longest() == (want and (-want[1], want[0] - want[1])), i
+    assert len(runs.heap) <= 64 + 4 * 80
+
+    monkeypatch.setattr(stance.Volumes, "DEEP", 3)  # beyond eight neighbours too
+    volumes, held_ = stance.Volumes(), {}
+    for _ in range(2000):
+        px, v = rng.randrange(-60, 60), rng.randrange(-3, 9)
+        volumes.add(px, v)
+        held_[px] = held_.get(px, 0) + v
+        a = rng.randrange(-70, 60)
+        b = a + rng.randrange(60)
+        assert volumes.between(a, b) == sum(held_.get(p, 0) for p in range(a, b + 1))

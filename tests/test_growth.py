@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,50 @@ def test_stance_state_costs_no_scan(monkeypatch):
         a = rng.randrange(-70, 60)
         b = a + rng.randrange(60)
         assert volumes.between(a, b) == sum(held_.get(p, 0) for p in range(a, b + 1))
+
+
+def test_stream_stances_scan_no_recent_prints(monkeypatch):
+    """A batch of prints that are all within the burst: its state is loaded and saved, but not gone through for each print."""
+    import pandas as pd
+
+    from tapeloom.streaming import stances
+
+    class Kept:
+        def __init__(self, *_):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: self.rows if isinstance(self.rows, tuple) else iter(self.rows)
+        iterator = lambda self: iter(self.rows)
+        clear = lambda self: self.rows.clear()
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def update(self, row):
+            self.rows = row
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.rows = [r for r in self.rows if r[0] != key] + [(key, value)]
+
+    class Handle:
+        getValueState = getMapState = getListState = staticmethod(Kept)
+
+    class Counted(deque):
+        seen = 0
+
+        def __iter__(self):
+            Counted.seen += len(self)
+            return super().__iter__()
+
+    def fresh(rule, held_=stance.Stance):
+        return held_(rule, recent=Counted())
+
+    monkeypatch.setattr(stances, "Stance", fresh)
+    walk = stances.Stances(stance.Conditions(2, 10**9, 0.4, 5, 1000, 4, 0.2))
+    walk.init(Handle)
+    rng = random.Random(8)
+    for batch in range(2):
+        rows = [(us, us, 1, rng.randrange(100, 110), 1 + us % 5, rng.random() < 0.6, None, None, None, None) for us in range(batch * 400, batch * 400 + 400)]
+        list(walk.handleInputRows(("M0",), [pd.DataFrame(rows, columns=["us", "seq", "o", "px", "sz", "buys", "bids_px", "bids_sz", "asks_px", "asks_sz"])], None))
+    assert len(walk.recent.rows) == 800 and Counted.seen <= 400 + 800  # saved once a batch
